@@ -5,7 +5,7 @@ score: P(grade <= k) = sigmoid(threshold_k - score). The expected grade and the
 
 Features of a whole text: its distinct words (A-Z lower-cased, outer punctuation off), their distinct runs of GRAM bytes, and the character classes of its words, each hashed to
 one of DIMS buckets. A word weighs PRESENT, a character class its share of the words times CLASS. Buckets that fewer than SUPPORT rated texts
-have get no weight, so long texts do not score by chance.
+have, or that do not tell the grades apart, get no weight, so long texts do not score by chance.
 
 The model is fitted on at most SAMPLE rated rows, chosen by a hash of their ids; that bound is a parameter. Everything else runs over all
 rows, in Arrow batches without a shuffle, with the weights (4 * DIMS bytes) broadcast.
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from gradelake.llm.textcore import LOWER, SPACE, column, mix, segments, span_hashes, word_bounds
 
 DIMS, SAMPLE, GRADES, GRAM = 1 << 18, 8_000, 3, 4
-STEPS, RATE, RIDGE, SUPPORT, PRESENT, CLASS = 250, 0.1, 1e-3, 8, 0.25, 4.0
+STEPS, RATE, RIDGE, SUPPORT, PRESENT, CLASS = 250, 0.3, 1e-4, 5, 0.25, 4.0
+APART = 4.0
 #: Kept are documents of at least this probability of the best grade.
 TAIL = 0.5
 
@@ -84,7 +85,7 @@ class Model:
             return
         row = np.repeat(np.arange(len(texts)), [len(i) for i, _ in texts])
         col, val = np.concatenate([i for i, _ in texts]), np.concatenate([v for _, v in texts])
-        well = np.bincount(col, minlength=DIMS)[col] >= SUPPORT
+        well = self.telling(row, col, grades)[col]
         row, col, val = row[well], col[well], val[well]
         balance = len(grades) / (len(np.unique(grades)) * np.bincount(grades, minlength=GRADES)[grades])
         balance = np.sqrt(balance)
@@ -105,6 +106,22 @@ class Model:
             self.cuts = np.sort(self.cuts - 0.1 * rise / np.sqrt(past_cuts))
         self.weights = self.weights.astype(np.float32)
 
+    @staticmethod
+    def telling(row: np.ndarray, col: np.ndarray, grades: np.ndarray) -> np.ndarray:
+        """Buckets whose share of texts differs between lower and higher grades by APART standard errors, at some threshold."""
+        n, have = len(grades), np.bincount(col, minlength=DIMS)
+        out = np.zeros(DIMS, bool)
+        for k in range(GRADES - 1):
+            low = grades <= k
+            m = int(low.sum())
+            if not 0 < m < n:
+                continue
+            own = np.bincount(col[low[row]], minlength=DIMS)
+            p = have / n
+            error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * n / (m * (n - m)))
+            out |= (np.abs(own / m - (have - own) / (n - m)) > APART * error) | (have >= n - 1)
+        return out & (have >= SUPPORT)
+
     def at_most(self, texts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """P(grade <= k) for every text and every k below the best grade."""
         score = np.array([float(self.weights[i] @ v) for i, v in texts])
