@@ -7,8 +7,9 @@ whole sequence is its one shingle. Two documents link when den * |x & y| >= num
 2. All shingles have one global order, frequent ones last (the order comes from a bounded sample; any order is exact). Sets that link share
    a token among the first |x| - ceil(|x| num / den) + 1 of each. Each representative has its first token as its home.
 3. Rows of (token, document) without text show which documents share such a token beyond one home; sizes and positions bound the overlap.
-   Such a document visits the other home. Homes get the texts of their members and visitors; a large home is dealt out in chunks of bounded
-   size, to each of which the home's smallest member is added. What that member is not connected to visits all chunks in a second round.
+   Such a document visits the other home. There bitmaps and sizes of members and visitors tell which may link with a member at all.
+   Only these get their texts; a large home is dealt out in chunks of bounded size, to each of which the home's smallest set is added.
+   What that one is not connected to visits all chunks in a second round.
 4. In each chunk a signature tree (OR-combined bitmaps, size ranges) is traversed against itself; node pairs go that cannot reach the least
    overlap, or whose members are connected already. Remaining pairs are compared exactly. Links are a spanning forest of the component.
 5. Components over the links come from label propagation with pointer jumping on DataFrames, checkpointed every round.
@@ -34,9 +35,9 @@ from gradelake.llm.signature_tree import Join
 from gradelake.llm.textcore import column, mix, shingle_sets
 
 #: Documents of the sample and tokens of the table that order shingles by frequency; they bear on speed only.
-SAMPLE_DOCS, FREQUENT = 4096, 1 << 16
-#: Shingles in a chunk of a home, about.
-CHUNK = 1_000_000
+SAMPLE_DOCS, FREQUENT = 32_768, 1 << 21
+#: Shingles in a chunk of a home, about, when texts are compared, and sets in a chunk when bitmaps are.
+CHUNK, MAPS = 1_000_000, 4_096
 
 
 def _rows(arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -54,14 +55,32 @@ def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
                 if len(s):
                     yield _rows({"token": s.view(np.int64)})
 
-    counts = part.mapInArrow(run, "token long").groupBy("token").count().where("count > 2")
-    top = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
-    return np.array([r[0] for r in reversed(top)], np.int64).view(np.uint64)
+    counts = cut(part.mapInArrow(run, "token long").groupBy("token").agg(F.least(F.count(F.lit(1)), F.lit(1 << 20)).alias("c")).where("c > 1"))
+    least, room = None, FREQUENT
+    for c, tokens in sorted(((x.c, x.n) for x in counts.groupBy(F.least("c", F.lit(1000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        if tokens > room:
+            break
+        least, room = c, room - tokens
+    if least is None:
+        return np.zeros(0, np.uint64)
+    top = counts.where(F.col("c") >= least).toArrow()
+    token, often = top["token"].to_numpy(), top["c"].to_numpy()
+    return token[np.lexsort((token, often))].view(np.uint64)
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Bits of a set's tokens, in a map of at least as many bits as tokens (a power of two)."""
+    size = 64
+    while size < len(tokens):
+        size *= 2
+    bits = np.zeros(size, bool)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def signatures(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), d1 and d2 (digest of the set), prefix (its first tokens)."""
-    place = np.argsort(frequent)
+    """doc_id, n (size of the set), d1 and d2 (digest of the set), prefix (its first tokens), bits (its bitmap)."""
+    place = np.argsort(frequent).astype(np.int32)
     known = frequent[place]
     shared = docs.sparkSession.sparkContext.broadcast((known, place))
 
@@ -70,9 +89,10 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray
         for batch in batches:
             ids = column(batch, "doc_id").cast(pa.int64())
             plain = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            size, d1, d2, prefix = [], [], [], []
+            size, d1, d2, prefix, bits = [], [], [], [], []
             for s, own, known_id in zip(shingle_sets(column(batch, "text"), n), plain, ids.is_valid().to_pylist(), strict=True):
                 size.append(len(s))
+                bits.append(bitmap(s))
                 if not len(s):
                     d1.append(own)
                     d2.append(0 if known_id else 1)
@@ -92,9 +112,9 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray
                 prefix.append(order[:want].view(np.int64))
             offsets = np.r_[0, np.cumsum([len(p) for p in prefix])].astype(np.int32)
             values = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "n", "d1", "d2", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(bits, pa.binary())], ["doc_id", "n", "d1", "d2", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, d1 long, d2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, d1 long, d2 long, prefix array<long>, bits binary")
 
 
 class Visits:
@@ -159,6 +179,50 @@ class Visits:
         yield from emit(held)
 
 
+def hopeful(n: np.ndarray, bits: list[bytes], member: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets of a home may link, by sizes and bitmaps, with another one of it of which one at least is a member."""
+    m = len(n)
+    order = np.argsort(n, kind="stable")
+    n, member, maps = n[order], member[order], [np.frombuffer(bits[i], np.uint64) for i in order]
+    width = np.array([len(x) for x in maps])
+    out = np.zeros(m, bool)
+    for w in np.unique(width):  # sets of this width against those of it and, folded, of greater ones
+        first = int(np.searchsorted(width, w))
+        last = int(np.searchsorted(width, w, side="right"))
+        end = int(np.searchsorted(n, n[last - 1] * den // num, side="right"))
+        folded = np.stack([np.bitwise_or.reduce(x.reshape(-1, w)) for x in maps[first:end]])
+        for i in range(first, last):
+            j = np.arange(i + 1, int(np.searchsorted(n, n[i] * den // num, side="right")))
+            j = j[(member[j] | member[i]) & ~(out[j] & out[i])]
+            if not len(j):
+                continue
+            own, other = folded[i - first], folded[j - first]
+            most = np.minimum(n[i] - np.bitwise_count(own & ~other).sum(1).astype(np.int64), n[j] - np.bitwise_count(other & ~own).sum(1).astype(np.int64))
+            j = j[most * (num + den) >= num * (n[i] + n[j])]
+            if len(j):
+                out[i] = True
+                out[j] = True
+    back = np.empty(m, bool)
+    back[order] = out
+    return back
+
+
+def prune(stay: DataFrame, num: int, den: int) -> DataFrame:
+    """home, chunk, rep, n, member, bits of stays in chunks of homes: the distinct (home, rep, n) that bitmaps leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, ["home", "chunk"]):
+            if table.num_rows < 2:
+                continue
+            n = table["n"].to_numpy().astype(np.int64)
+            go = hopeful(n, table["bits"].to_pylist(), table["member"].to_numpy(zero_copy_only=False).astype(bool), num, den)
+            if go.any():
+                yield pa.RecordBatch.from_arrays([pa.array(table[c].to_numpy()[go]) for c in ("home", "rep", "n")], ["home", "rep", "n"])
+
+    dealt = stay.repartition("home", "chunk").sortWithinPartitions("home", "chunk")
+    return dealt.mapInArrow(run, "home long, rep long, n int").distinct()
+
+
 def verify(work: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """work: home, chunk, chunks, rep, resident (of the home's earlier round). Links (a, b, null), and (null, rep, home) for what stays loose in a home of several chunks."""
     texts = docs.select(F.col("doc_id").alias("rep"), "text").where("rep IS NOT NULL")
@@ -203,12 +267,17 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     """(members, links): doc_id, n_shingles, rep and component_id of every row; and links (a, b) between representatives that span every component."""
     sig = cut(signatures(docs, n, num, den, frequent_tokens(docs, n)))
     classes = cut(sig.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
-    reps = sig.where("n > 0").join(classes.where("rep IS NOT NULL").withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "prefix", F.element_at("prefix", 1).alias("home"))
+    reps = sig.where("n > 0").join(classes.where("rep IS NOT NULL").withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "prefix", "bits", F.element_at("prefix", 1).alias("home"))
     tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), "rep", "home", "n").select("token", "rep", "home", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
     visits = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(Visits(num, den), "home long, rep long").distinct()
-    members = reps.select("home", "rep", "n")
-    guests = visits.join(members.select("rep", "n"), "rep").select("home", "rep", "n")
-    stay = members.union(guests).distinct()
+    members = reps.select("home", "rep", F.lit(True).alias("member")).union(visits.select("home", "rep", F.lit(False)))
+    crowd = members.groupBy("home").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # Every two chunks of a home meet, so that each pair of its sets is looked at.
+    crowd = crowd.withColumn("k", F.ceil(F.col("c") / (MAPS // 2)).cast("int"))
+    own = F.when(F.col("k") == 1, 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.least(x, F.col("own")) * F.col("k") + F.greatest(x, F.col("own")))
+    lonely = members.join(crowd, "home").withColumn("own", own).select("home", "rep", "member", F.explode(meet).alias("chunk"))
+    stay = prune(lonely.join(reps.select("rep", "n", "bits").dropDuplicates(["rep"]), "rep"), num, den)
     weight = stay.groupBy("home").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.min("rep").alias("least")).where("c > 1")
     work = cut(stay.join(weight, "home").withColumn("chunks", F.ceil(F.col("w") / CHUNK).cast("int")).select("home", "rep", "chunks", "least"))
     chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
