@@ -5,7 +5,8 @@ whole sequence is its one shingle. Two documents link when den * |x & y| >= num
 
 1. Documents with equal sets are one class, represented by the smallest doc_id; only representatives go on.
 2. All shingles have one global order, frequent ones last (the order comes from a bounded sample; any order is exact). Sets that link share
-   a token among the first |x| - ceil(|x| num / den) + 1 of each. Each representative has its first token as its home.
+   a token among the first |x| - ceil(|x| num / den) + 1 of each. A representative's home is the token of the least hash of its whole set,
+   which similar sets mostly have in common.
 3. Rows of (token, document) without text show which documents share such a token beyond one home; sizes and positions bound the overlap.
    Such a document visits the other home. There bitmaps and sizes of members and visitors tell which may link with a member at all.
    Only these get their texts; a large home is dealt out in chunks of bounded size, to each of which the home's smallest set is added.
@@ -79,7 +80,7 @@ def bitmap(tokens: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), d1 and d2 (digest of the set), prefix (its first tokens), bits (its bitmap)."""
+    """doc_id, n (size of the set), d1 and d2 (digest of the set), prefix (its first tokens), bits (its bitmap), home (its least token)."""
     place = np.argsort(frequent).astype(np.int32)
     known = frequent[place]
     shared = docs.sparkSession.sparkContext.broadcast((known, place))
@@ -89,10 +90,11 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray
         for batch in batches:
             ids = column(batch, "doc_id").cast(pa.int64())
             plain = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            size, d1, d2, prefix, bits = [], [], [], [], []
+            size, d1, d2, prefix, bits, home = [], [], [], [], [], []
             for s, own, known_id in zip(shingle_sets(column(batch, "text"), n), plain, ids.is_valid().to_pylist(), strict=True):
                 size.append(len(s))
                 bits.append(bitmap(s))
+                home.append(int(s[:1].view(np.int64)[0]) if len(s) else 0)
                 if not len(s):
                     d1.append(own)
                     d2.append(0 if known_id else 1)
@@ -112,9 +114,9 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray
                 prefix.append(order[:want].view(np.int64))
             offsets = np.r_[0, np.cumsum([len(p) for p in prefix])].astype(np.int32)
             values = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(bits, pa.binary())], ["doc_id", "n", "d1", "d2", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(bits, pa.binary()), pa.array(home, pa.int64())], ["doc_id", "n", "d1", "d2", "prefix", "bits", "home"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, d1 long, d2 long, prefix array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, d1 long, d2 long, prefix array<long>, bits binary, home long")
 
 
 class Visits:
@@ -267,7 +269,7 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     """(members, links): doc_id, n_shingles, rep and component_id of every row; and links (a, b) between representatives that span every component."""
     sig = cut(signatures(docs, n, num, den, frequent_tokens(docs, n)))
     classes = cut(sig.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
-    reps = sig.where("n > 0").join(classes.where("rep IS NOT NULL").withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "prefix", "bits", F.element_at("prefix", 1).alias("home"))
+    reps = sig.where("n > 0").join(classes.where("rep IS NOT NULL").withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "prefix", "bits", "home")
     tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), "rep", "home", "n").select("token", "rep", "home", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
     visits = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(Visits(num, den), "home long, rep long").distinct()
     members = reps.select("home", "rep", F.lit(True).alias("member")).union(visits.select("home", "rep", F.lit(False)))
