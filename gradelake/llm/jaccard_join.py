@@ -271,7 +271,7 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     classes = cut(sig.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     reps = sig.where("n > 0").join(classes.where("rep IS NOT NULL").withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "prefix", "bits", "home")
     tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), "rep", "home", "n").select("token", "rep", "home", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
-    visits = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(Visits(num, den), "home long, rep long").distinct()
+    visits = cut(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(Visits(num, den), "home long, rep long").distinct())
     members = reps.select("home", "rep", F.lit(True).alias("member")).union(visits.select("home", "rep", F.lit(False)))
     crowd = members.groupBy("home").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     # Every two chunks of a home meet, so that each pair of its sets is looked at.
