@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gradelake.llm.textcore import column
 
-#: Pieces of at most this many characters are remembered, this many at a time (about 100 MB a worker at most).
+#: Pieces of at most this many characters are remembered, up to twice this many (about 100 MB a worker at most).
 MEMO_CHARS, MEMO_SIZE = 48, 1 << 18
 #: Token ids are packed as little-endian unsigned 32-bit integers.
 ID = "<u4"
@@ -60,16 +60,19 @@ class Bpe:
             a, b, c = vocab[left], vocab[right], vocab[left + right]
             self.rank.setdefault((a, b), r)
             self.made.setdefault(c, (r, a, b))
-        self.automaton = ahocorasick.Automaton()
-        for token, i in vocab.items():
-            self.automaton.add_word(raw[token].decode("latin-1"), (len(raw[token]), i))
-        self.automaton.make_automaton()
         self.piece = regex.compile(PIECE)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # pieces met lately, and those before
+        self.older: dict[str, bytes] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.wholes: dict[int, bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        self.packed = {i: (len(raw[token]), np.array([i], ID).tobytes()) for token, i in vocab.items()}
+        self.automaton = ahocorasick.Automaton()
+        for token, i in vocab.items():
+            if self.whole(i):
+                self.automaton.add_word(raw[token].decode("latin-1"), (len(raw[token]), i))
+        self.automaton.make_automaton()
 
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that stand at the left (1) or right (2) edge while a token is being made, each with the rank at which it ends."""
@@ -120,38 +123,45 @@ class Bpe:
 
     def last_tokens(self, text: bytes) -> list[int]:
         """For each prefix of a piece (by its length) the last token of its encoding; index 0 is unused."""
-        last = [-1] * (len(text) + 1)
-        for at, (size, token) in self.automaton.iter(text.decode("latin-1")):
+        return self._last(text.decode("latin-1"))
+
+    def _last(self, text: str) -> list[int]:
+        last, fits = [-1] * (len(text) + 1), self.fits
+        for at, (size, token) in self.automaton.iter(text):
             end = at + 1
             if last[end] >= 0:
                 continue
             start = end - size
-            if start == 0:
-                if self.whole(token):
-                    last[end] = token
-            elif last[start] >= 0 and self.compatible(last[start], token) and self.whole(token):
+            if start:
+                before = last[start]
+                if before >= 0:
+                    fit = fits.get((before, token))
+                    if self.compatible(before, token) if fit is None else fit:
+                        last[end] = token
+            else:
                 last[end] = token
         return last
 
     def encode_piece(self, piece: str) -> bytes:
-        raw = piece.encode()
-        last = self.last_tokens(raw)
-        ids, end = [], len(raw)
+        last = self._last(piece if piece.isascii() else piece.encode().decode("latin-1"))
+        ids, end = [], len(last) - 1
         while end:
             token = last[end]
             if token < 0:
                 raise ValueError(f"no token of the vocabulary ends at byte {end} of {piece[:40]!r}")
-            ids.append(token)
-            end -= len(self.bytes_of[token])
-        return np.array(ids[::-1], ID).tobytes()
+            size, packed = self.packed[token]
+            ids.append(packed)
+            end -= size
+        ids.reverse()
+        return b"".join(ids)
 
     def _remembered(self, piece: str) -> bytes:
         found = self.memo.get(piece)
         if found is None:
-            found = self.encode_piece(piece)
+            found = self.older.get(piece) or self.encode_piece(piece)
             if len(piece) <= MEMO_CHARS:
                 if len(self.memo) >= MEMO_SIZE:
-                    self.memo.clear()
+                    self.memo, self.older = {}, self.memo
                 self.memo[piece] = found
         return found
 
