@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gradelake.llm.textcore import column
 
-#: Pieces of at most this many characters are remembered, up to twice this many (about 100 MB a worker at most).
-MEMO_CHARS, MEMO_SIZE = 48, 1 << 18
+#: Pieces of at most this many characters are remembered, up to twice this many, and so many pairs of tokens (about 60 MB a
+#: worker); a task forgets them at its end.
+MEMO_CHARS, MEMO_SIZE, PAIRS = 48, 1 << 17, 1 << 18
 #: Token ids are packed as little-endian unsigned 32-bit integers.
 ID = "<u4"
 #: The public byte-level pre-tokenizer's pattern, and its space characters.
@@ -64,7 +65,7 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.memo: dict[str, bytes] = {}  # pieces met lately, and those before
         self.older: dict[str, bytes] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by left * 2**32 + right
         self.wholes: dict[int, bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self.packed = {i: (len(raw[token]), np.array([i], ID).tobytes()) for token, i in vocab.items()}
@@ -92,7 +93,7 @@ class Bpe:
 
         Of merges of one rank the leftmost fires first: one inside the left token comes before, one inside the right token after the border's.
         """
-        key = (left, right)
+        key = left << 32 | right
         found = self.fits.get(key)
         if found is None:
             found = True
@@ -104,7 +105,7 @@ class Bpe:
                         break
                 if not found:
                     break
-            if len(self.fits) > 1 << 20:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             self.fits[key] = found
         return found
@@ -135,7 +136,7 @@ class Bpe:
             if start:
                 before = last[start]
                 if before >= 0:
-                    fit = fits.get((before, token))
+                    fit = fits.get(before << 32 | token)
                     if self.compatible(before, token) if fit is None else fit:
                         last[end] = token
             else:
@@ -175,6 +176,10 @@ class Bpe:
                 out += map(self._remembered, self.piece.findall(part))
         return b"".join(out)
 
+    def forget(self) -> None:
+        self.memo, self.older = {}, {}
+        self.fits.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
@@ -203,6 +208,7 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame
                     offsets = np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int32)
                     out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.int32) if arrays else [], pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
+        coder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>" if ids else ""))
 
