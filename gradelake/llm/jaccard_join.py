@@ -36,7 +36,7 @@ from gradelake.llm.signature_tree import Join
 from gradelake.llm.textcore import column, mix, shingle_sets
 
 #: Documents of the sample and tokens of the table that order shingles by frequency; they bear on speed only.
-SAMPLE_DOCS, FREQUENT = 32_768, 1 << 21
+SAMPLE_DOCS, FREQUENT = 16_384, 1 << 19
 #: Shingles in a chunk of a home, about, when texts are compared, and sets in a chunk when bitmaps are.
 CHUNK, MAPS = 1_000_000, 4_096
 
