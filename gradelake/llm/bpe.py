@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gradelake.llm.textcore import column
 
-#: Pieces of at most this many characters are remembered, up to twice this many, and so many pairs of tokens (about 60 MB a
+#: Pieces of at most this many characters are remembered, up to twice this many, and so many pairs of tokens (about 100 MB a
 #: worker); a task forgets them at its end.
-MEMO_CHARS, MEMO_SIZE, PAIRS = 48, 1 << 17, 1 << 18
+MEMO_CHARS, MEMO_SIZE, PAIRS = 48, 1 << 18, 1 << 18
 #: Token ids are packed as little-endian unsigned 32-bit integers.
 ID = "<u4"
 #: The public byte-level pre-tokenizer's pattern, and its space characters.
