@@ -112,3 +112,8 @@ def json_output_udf(x: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def static_field_udf(x: pd.Series, field: pd.Series) -> pd.Series:
     return pd.Series([static_field(a, b) for a, b in zip(x, field, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def canonical_each_udf(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: None if v is None else [canonical_math(e) for e in v], na_action=None)
