@@ -103,7 +103,7 @@ def evaluation_window(spark, sf_dir):
     ranked = one.withColumn("r", N.keyed_rank(SEED, F.col("source"), F.col("doc_id"))).join(quota.withColumnRenamed("name", "source"), "source")
     picked = O.top_by_rank(ranked, "source", "r", "doc_id", F.col("quota"))
     order = picked.select("doc_id", "source", "lang", N.budget(SEED, F.col("doc_id")).alias("budget"), N.keyed_rank(SEED, "order", F.col("doc_id")).alias("o"))
-    return order.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("o", "doc_id")) - 1).drop("o")
+    return order.withColumn("pos", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("o", "doc_id")) - 1).cast("long")).drop("o")
 
 
 @query(f"SELECT doc_id, {_BUDGET.format(_RANK.format(repr('reasoning_budget'), 'doc_id'))} AS budget FROM documents")
@@ -175,7 +175,7 @@ def audit_sample_round2(spark, sf_dir):
     return audit_round(spark, sf_dir, 2)
 
 
-@query("SELECT lang AS category, count(*) AS n, sum(quality) AS correct, sum(quality) / count(*) AS score FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)")
+@query("SELECT lang AS category, count(*) AS n, CAST(sum(quality) AS BIGINT) AS correct, sum(quality) / count(*) AS score FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)")
 def category_scores(spark, sf_dir):
     joined = table(spark, sf_dir, "labels").join(docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")
     return joined.rollup(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("correct"), (F.sum("quality") / F.count(F.lit(1))).alias("score"))
@@ -220,7 +220,7 @@ def grade_json_output(spark, sf_dir):
 @query("SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, quality AS reward FROM labels JOIN documents USING (doc_id)")
 def reward_bits_roundtrip(spark, sf_dir):
     """Packs each group's rewards into bits and unpacks them again."""
-    rows = table(spark, sf_dir, "labels").join(docs(spark, sf_dir).select("doc_id", "lang"), "doc_id").withColumn("pos", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1)
+    rows = table(spark, sf_dir, "labels").join(docs(spark, sf_dir).select("doc_id", "lang"), "doc_id").withColumn("pos", (F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).cast("long"))
     packed = I.pack_bits(rows, ["lang"], "pos", "quality").join(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "lang")
     return I.unpack_bits(packed, ["lang"], "bits", F.col("rows")).select("lang", "pos", "reward")
 
