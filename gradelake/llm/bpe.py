@@ -23,6 +23,7 @@ import pyarrow.fs as pafs
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from gradelake.llm.shared import release
 from gradelake.llm.textcore import column
 
 #: Pieces of at most this many characters are remembered, up to twice this many, and so many pairs of tokens (about 100 MB a
@@ -209,6 +210,7 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame
                     out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.int32) if arrays else [], pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
         coder.forget()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>" if ids else ""))
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.shared import cut, grouped
+from gradelake.llm.shared import cut, grouped, release
 from gradelake.llm.signature_tree import Join
 from gradelake.llm.textcore import column, mix, shingle_sets
 
@@ -115,6 +115,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray
             offsets = np.r_[0, np.cumsum([len(p) for p in prefix])].astype(np.int32)
             values = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(bits, pa.binary()), pa.array(home, pa.int64())], ["doc_id", "n", "d1", "d2", "prefix", "bits", "home"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, d1 long, d2 long, prefix array<long>, bits binary, home long")
 
@@ -247,6 +248,7 @@ def verify(work: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Data
                 a, b, home = a + [None] * len(loose), b + loose, home + [table["home"][0].as_py()] * len(loose)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, home)], ["a", "b", "home"])
+        release()
 
     return rows.mapInArrow(run, "a long, b long, home long")
 

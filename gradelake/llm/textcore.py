@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled together; one longer document is handled alone.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, for positions below n."""
     if len(_powers[0]) < n:
-        size = max(n, 2 * SEGMENT)
+        size = max(n, SEGMENT + 1)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base & _MASK, np.uint64)
             steps[0] = 1
