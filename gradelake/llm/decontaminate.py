@@ -1,12 +1,14 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are normalised (lower case, every run of other ASCII characters than letters and digits is one space). Every benchmark item is
-covered by overlapping windows of WINDOW bytes, or is one window if shorter. A document is contaminated by an item if some window is
-found in it within an edit distance of ``errors`` times the window's length.
+Texts are normalised (lower case, every run of other ASCII characters than letters and digits is one space). A document is contaminated by
+an item if any WINDOW bytes of the item, wherever they start, are found in it within an edit distance of ``errors`` times the window's
+length, or the whole item where it is shorter. Items of less than two windows are also looked for as a whole, with the edits of their whole
+length; with longer ones any two windows' length that is found within its edits holds a window that is.
 
 Two strings of which one has length L and that are within k edits share at least L - q + 1 - k q of the q-grams (q-gram lemma), and the shared
-ones lie on diagonals no further apart than k. Shared q-grams are therefore counted in overlapping diagonal bands; bands that meet the
-bound are regions, and a banded alignment verifies each of them. The filter loses nothing; the alignment lets no false region pass.
+ones lie on diagonals no further apart than k. Shared q-grams are therefore counted in overlapping diagonal bands, over each window's length
+of the item; windows that meet the bound are either equal to the text or verified by a banded alignment. The filter loses nothing; the
+alignment lets no false window pass.
 
 Rows: a null or empty text is never contaminated. Repeated rows are judged alike, one result each. Items without text, or of fewer than
 MIN_ITEM normalised bytes, are no evidence and match nothing. With an empty benchmark all documents are clean. Other columns are
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 from gradelake.llm.textcore import column, segments
 
 Q = 8  # one q-gram fills a 64-bit integer, so q-grams are compared exactly
-WINDOW, STRIDE, MIN_ITEM, ERRORS = 100, 50, 24, 0.08
+#: Windows start at every position (a stride of 1).
+WINDOW, STRIDE, MIN_ITEM, ERRORS = 50, 1, 24, 0.08
+#: Windows that are aligned together.
+ALIGNED = 8_192
 #: Benchmark characters that one pass broadcasts; a larger benchmark takes more passes.
 PASS_CHARS = 1_000_000
 
@@ -57,56 +62,63 @@ def qgrams(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) - Q + 1,), "<u8", np.ascontiguousarray(buf).tobytes(), 0, (1,))
 
 
-def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> int:
-    """Least edits that turn the whole pattern into some part of text that starts on a diagonal from low to high; budget + 1 if more."""
-    low, width = low - budget, high - low + 1 + 2 * budget
-    step = np.arange(width)
-    far = budget + 1
-    at = low + step
-    row = np.where((at >= 0) & (at <= len(text)), 0, far)
-    padded = np.full(len(pattern) + width + len(text) + 2, 255, np.int16)
-    shift = max(0, -low)
-    padded[shift : shift + len(text)] = text
-    for i in range(len(pattern)):
-        begin = low + i + shift
-        here = padded[begin : begin + width] if begin < len(padded) else np.full(0, 255, np.int16)
-        if len(here) < width:
-            here = np.r_[here, np.full(width - len(here), 255, np.int16)]
-        new = row + (here != pattern[i])
+def align_all(patterns: np.ndarray, buf: np.ndarray, low: np.ndarray, width: int, begin: np.ndarray, end: np.ndarray, budget: int) -> np.ndarray:
+    """For each row of patterns the least edits that turn it into some part of buf[begin:end], on diagonals that start at one of ``width`` places from low on; budget + 1 if more."""
+    out = np.full(len(patterns), budget + 1, np.int16)
+    far, long, step = budget + 1, patterns.shape[1], np.arange(width, dtype=np.int16)[:, None]
+    at = low + np.arange(long + width)[:, None]
+    text = np.where((at >= begin) & (at < end), buf[np.clip(at, 0, len(buf) - 1)], 255).astype(np.uint8)
+    row = np.where((at[:width] >= begin) & (at[:width] <= end), 0, far).astype(np.int16)
+    pattern, live = np.ascontiguousarray(patterns.T), np.arange(len(patterns))
+    for i in range(long):
+        new = row + (text[i : i + width] != pattern[i])
         new[:-1] = np.minimum(new[:-1], row[1:] + 1)
         row = np.minimum(np.minimum.accumulate(new - step) + step, far)
-        if row.min() >= far:
-            return far
-    at = low + len(pattern) + step
-    row = np.where((at >= 0) & (at <= len(text)), row, far)
-    return int(row.min())
+        if i % 8 == 7:
+            on = row.min(0) < far
+            if not on.all():
+                row, text, pattern, live = row[:, on], text[:, on], pattern[:, on], live[on]
+                if not len(live):
+                    return out
+    at = low[live] + long + step
+    out[live] = np.where((at >= begin[live]) & (at <= end[live]), row, far).min(0)
+    return out
+
+
+def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> int:
+    """Least edits that turn the whole pattern into some part of text that starts on a diagonal from low to high; budget + 1 if more."""
+    begin, end = np.zeros(1, np.int64), np.array([len(text)])
+    return int(align_all(pattern[None], np.r_[text, np.uint8(255)], begin + low - budget, high - low + 1 + 2 * budget, begin, end, budget)[0])
 
 
 class Benchmark:
-    """Windows of the items and the sorted table of their q-grams."""
+    """Texts of the items, each to be found by spans of one length at every position, and the sorted table of their q-grams."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], errors: float = ERRORS) -> None:
-        self.ids, self.windows, self.owner = [i for i, _ in items], [], []
+        self.ids, texts, owner, span = [i for i, _ in items], [], [], []
         for n, (_, text) in enumerate(items):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             plain, _ = normalise(raw, np.array([0, len(raw)]))
             plain = plain[:-1] if len(plain) and plain[-1] == 32 else plain
             if len(plain) < MIN_ITEM:
                 continue
-            last = max(0, len(plain) - WINDOW)
-            for start in sorted({*range(0, last + 1, STRIDE), last}):
-                self.windows.append(plain[start : start + WINDOW])
-                self.owner.append(n)
-        sizes = np.array([len(w) for w in self.windows], np.int64)
-        self.budget = np.floor(errors * sizes).astype(np.int64)
-        self.least = np.maximum(1, sizes - Q + 1 - self.budget * Q)
-        self.step = int(self.budget.max(initial=0)) + 1  # bands are twice as wide, so any two diagonals within the budget share one
-        grams = [qgrams(w) for w in self.windows]
+            for length in {min(len(plain), WINDOW), len(plain) if len(plain) < 2 * WINDOW else WINDOW}:
+                texts.append(plain)
+                owner.append(n)
+                span.append(length)
+        self.owner, self.span = np.array(owner, np.int64), np.array(span, np.int64)
+        self.size = np.array([len(x) for x in texts], np.int64)
+        self.start = np.r_[0, np.cumsum(self.size)].astype(np.int64)
+        self.bytes = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
+        self.budget = np.floor(errors * self.span).astype(np.int64)
+        self.least = np.maximum(1, self.span - Q + 1 - self.budget * Q)
+        self.step = self.budget + 1  # bands are twice as wide, so any two diagonals within the budget share one
+        grams = [qgrams(x) for x in texts]
         gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        window = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
+        entry = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
         order = np.argsort(gram, kind="stable")
-        gram, self.window, self.place = gram[order], window[order], place[order]
+        gram, self.entry, self.place = gram[order], entry[order], place[order]
         self.grams, self.first = np.unique(gram, return_index=True)
         self.count = np.diff(np.r_[self.first, len(gram)])
         self.maybe = np.zeros(1 << 22, bool)
@@ -117,7 +129,7 @@ class Benchmark:
         return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
 
     def find(self, buf: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
-        """For each document the windows found in it."""
+        """For each document the item (its place in ``ids``) of every separate stretch of an item that windows found in it cover."""
         out: list[list[int]] = [[] for _ in range(len(offsets) - 1)]
         buf, offsets = normalise(buf, offsets)
         grams = qgrams(buf)
@@ -133,27 +145,79 @@ class Benchmark:
         if not len(at):
             return out
         times = self.count[slot]
-        entry = np.repeat(self.first[slot] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
-        window, diagonal, doc = self.window[entry], np.repeat(at, times) - self.place[entry], np.repeat(doc, times)
-        band = diagonal // self.step + 16 + WINDOW // self.step  # no band is negative
-        bands = int(band.max()) + 2
-        key = (doc * len(self.windows) + window) * bands + band
-        key, count = np.unique(np.r_[key, key - 1], return_counts=True)
-        group, band = np.divmod(key, bands)
-        doc, window = np.divmod(group, len(self.windows))
-        enough = count >= self.least[window]
-        done: set[tuple[int, int]] = set()
-        for d, w, b in zip(doc[enough].tolist(), window[enough].tolist(), band[enough].tolist(), strict=True):
-            if (d, w) not in done and self.verify(buf[offsets[d] : offsets[d + 1]], w, (b - 16 - WINDOW // self.step) * self.step - int(offsets[d])):
-                done.add((d, w))
-                out[d].append(w)
+        row = np.repeat(self.first[slot] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+        entry, place, doc = self.entry[row], self.place[row], np.repeat(doc, times)
+        group, diagonal = doc * len(self.size) + entry, np.repeat(at, times) - place
+        groups, group, count = np.unique(group, return_inverse=True, return_counts=True)
+        enough = count[group] >= self.least[entry]
+        group, diagonal, place, entry = group[enough], diagonal[enough], place[enough], entry[enough]
+        if not len(group):
+            return out
+        wide = int(self.size.max()) + 1  # window = group * wide + start in the item
+        equal = self._equal(group, diagonal, place, entry, wide)
+        window, band = self._likely(group, diagonal, place, entry, wide)
+        open_ = ~np.isin(window, equal)
+        window, band = window[open_], band[open_]
+        found = np.unique(np.r_[equal, window[self._verify(buf, offsets, groups[window // wide], window % wide, band)]])
+        doc, entry = np.divmod(groups[found // wide], len(self.size))
+        begin = found % wide
+        end, item = begin + self.span[entry], self.owner[entry]
+        order = np.lexsort((begin, item, doc))
+        last = (-1, -1, -1)
+        for d, n, b, e in zip(doc[order].tolist(), item[order].tolist(), begin[order].tolist(), end[order].tolist(), strict=True):
+            if (d, n) != last[:2] or b > last[2]:
+                out[d].append(n)
+                last = (d, n, e)
+            else:
+                last = (d, n, max(e, last[2]))
         return out
 
-    def verify(self, text: np.ndarray, w: int, low: int) -> bool:
-        pattern, budget, high = self.windows[w], int(self.budget[w]), low + 2 * self.step - 1
-        begin = max(0, low - budget)
-        region = text[begin : max(0, high + len(pattern) + 2 * budget)]
-        return pattern.tobytes() in region.tobytes() or align(pattern, region, low - begin, high - begin, budget) <= budget
+    def _equal(self, group: np.ndarray, diagonal: np.ndarray, place: np.ndarray, entry: np.ndarray, wide: int) -> np.ndarray:
+        """Windows all of whose q-grams lie on one diagonal."""
+        order = np.lexsort((place, diagonal, group))
+        group, diagonal, place, entry = group[order], diagonal[order], place[order], entry[order]
+        more = self.span[entry] - Q
+        end = np.minimum(np.arange(len(group)) + more, len(group) - 1)
+        whole = (group[end] == group) & (diagonal[end] == diagonal) & (place[end] - place == more)
+        return np.unique(group[whole] * wide + place[whole])
+
+    def _likely(self, group: np.ndarray, diagonal: np.ndarray, place: np.ndarray, entry: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, band) of all windows that share enough q-grams within a band."""
+        band = diagonal // self.step[entry] + wide  # not negative
+        group, entry, place, band = np.r_[group, group], np.r_[entry, entry], np.r_[place, place], np.r_[band, band - 1]
+        order = np.lexsort((place, band, group))
+        group, entry, place, band = group[order], entry[order], place[order], band[order]
+        new = np.ones(len(group), bool)
+        new[1:] = (group[1:] != group[:-1]) | (band[1:] != band[:-1]) | (place[1:] != place[:-1])
+        group, entry, place, band = group[new], entry[new], place[new], band[new]
+        end = np.arange(len(group)) + self.least[entry] - 1
+        inside = end < len(group)
+        end = np.minimum(end, len(group) - 1)
+        near = np.flatnonzero(inside & (group[end] == group) & (band[end] == band) & (place[end] + Q - place <= self.span[entry]))
+        group, entry, band, first, last = group[near], entry[near], band[near], place[near], place[end[near]]
+        low = np.maximum(0, last + Q - self.span[entry])
+        high = np.minimum(first, self.size[entry] - self.span[entry])
+        same = np.zeros(len(group), bool)
+        same[1:] = (group[1:] == group[:-1]) & (band[1:] == band[:-1])
+        low[same] = np.maximum(low[same], high[np.flatnonzero(same) - 1] + 1)  # both grow with the place, so windows come once a band
+        times = np.maximum(0, high - low + 1)
+        start = np.repeat(low - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum()) if len(times) else low
+        return np.repeat(group, times) * wide + start, np.repeat(band - wide, times)
+
+    def _verify(self, buf: np.ndarray, offsets: np.ndarray, group: np.ndarray, start: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Which windows are found in their document on the diagonals of their band."""
+        out = np.zeros(len(group), bool)
+        doc, entry = np.divmod(group, len(self.size))
+        span = self.span[entry]
+        for length in np.unique(span).tolist():
+            mine = np.flatnonzero(span == length)
+            for i in range(0, len(mine), ALIGNED):
+                part = mine[i : i + ALIGNED]
+                d, e, s = doc[part], entry[part], start[part]
+                step, budget = int(self.step[e[0]]), int(self.budget[e[0]])
+                patterns = self.bytes[(self.start[e] + s)[:, None] + np.arange(length)]
+                out[part] = align_all(patterns, buf, s + band[part] * step - budget, 2 * step + 2 * budget, offsets[d], offsets[d + 1], budget) <= budget
+        return out
 
 
 def passes(benchmark: DataFrame, errors: float) -> list[Benchmark]:
@@ -168,7 +232,7 @@ REPORT = "doc_id long, contaminated boolean, item_ids array<long>, n_regions lon
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """doc_id, contaminated, item_ids (sorted, distinct) and n_regions (windows found) of every row."""
+    """doc_id, contaminated, item_ids (sorted, distinct) and n_regions (separate stretches of items found) of every row."""
     context = docs.sparkSession.sparkContext
     parts = [context.broadcast(p) for p in passes(benchmark, errors)]
     if not parts:
@@ -178,10 +242,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS)
         for batch in batches:
             ids, n = [], []
             for _, _, buf, offsets in segments(column(batch, "text")):
-                found = [[(x.value.ids[x.value.owner[w]]) for w in ws] for x in parts[:1] for ws in x.value.find(buf, offsets)]
+                found = [[x.value.ids[n] for n in ns] for x in parts[:1] for ns in x.value.find(buf, offsets)]
                 for x in parts[1:]:
-                    for mine, ws in zip(found, x.value.find(buf, offsets), strict=True):
-                        mine += [x.value.ids[x.value.owner[w]] for w in ws]
+                    for mine, ns in zip(found, x.value.find(buf, offsets), strict=True):
+                        mine += [x.value.ids[n] for n in ns]
                 ids += [sorted({i for i in x if i is not None}) for x in found]
                 n += map(len, found)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array([x > 0 for x in n], pa.bool_()), pa.array(ids, pa.list_(pa.int64())), pa.array(n, pa.int64())], ["doc_id", "contaminated", "item_ids", "n_regions"])

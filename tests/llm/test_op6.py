@@ -93,3 +93,66 @@ def test_alignment():
         best = nearest(p.encode(), t.encode())
         assert D.align(a, b, 0, 5, 6) >= min(best, 7)
         assert best > 3 or D.align(a, b, -len(p), len(t), 6) == best
+
+
+def found(item, text):
+    """Whether 50 bytes of item, from anywhere, or all of a shorter item, stand in text within 8 % edits; a plain table over all starts at once."""
+    p, t = (np.frombuffer(x, np.uint8) for x in (plain(item).rstrip(b" "), plain(text)))
+    spans = {min(len(p), 50), len(p) if len(p) < 100 else 50}
+    for n in spans:
+        at = np.arange(len(p) - n + 1)
+        row = np.zeros((len(at), len(t) + 1), int)
+        for i in range(n):
+            new = row + 1
+            new[:, 1:] = np.minimum(new[:, 1:], row[:, :-1] + (p[at + i][:, None] != t))
+            row = np.minimum.accumulate(new - np.arange(len(t) + 1), axis=1) + np.arange(len(t) + 1)
+        if row.min() <= n * 8 // 100:
+            return True
+    return False
+
+
+def search(items, texts):
+    raw = [x.encode() for x in texts]
+    return D.Benchmark(list(enumerate(items))).find(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+
+
+def test_verbatim_excerpts_at_every_offset():
+    r = random.Random(11)
+    item = "".join(r.choice("abcdefgh ") for _ in range(300)).replace("  ", "xy").strip()
+    for length in (52, 60, 90, 120):
+        texts = [words(r, 9) + " " + item[s : s + length] + " " + words(r, 9) for s in range(len(item) - length + 1)]
+        assert search([item], texts) == [[0]] * len(texts)
+    assert not any(search([item], [words(r, 9) + " " + item[s : s + 40] + " 12345678" for s in range(200)]))
+
+
+def test_edited_excerpts_at_every_offset():
+    r = random.Random(12)
+    items = ["".join(r.choice("abcdefgh ") for _ in range(n)).replace("  ", "xy").strip() for n in (260, 90, 75, 60, 40)]
+    texts = []
+    for item in items:
+        length = min(len(item), 70)
+        texts += [words(r, 5) + " " + edit(r, item[s : s + length], r.randint(0, 12)) + " " + words(r, 5) for s in range(len(item) - length + 1) for _ in range(1 if len(item) > 200 else 9)]
+        texts += [edit(r, item, r.randint(3, 9)) for _ in range(15)]
+    got = search(items, texts)
+    expected = [[n for n, item in enumerate(items) if found(item, x)] for x in texts]
+    assert [sorted(set(x)) for x in got] == expected
+    assert 60 < sum(map(bool, expected)) < len(texts) - 60
+
+
+def test_stretches_are_counted_once():
+    r = random.Random(13)
+    item = "".join(r.choice("abcdefgh") for _ in range(300))
+    assert search([item], [item + " 1 " + item, item[:80] + " 12345678 12345678 " + item[200:], item[:80] + item[60:150]]) == [[0], [0, 0], [0]]
+
+
+def test_excerpts_in_tables(spark):
+    r = random.Random(14)
+    items = [(i, words(r, 40)) for i in range(5)]
+    docs = [(i, words(r, 20) + " " + items[i % 5][1][i : i + 70] + " " + words(r, 20), i) for i in range(60)] + [(60, None, 0), (61, words(r, 60), 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, other int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = D.contamination(df, bench).collect()
+    assert {x.doc_id: x.item_ids for x in rows} == {i: [i % 5] if i < 60 else [] for i in range(62)}
+    assert all((x.contaminated, x.n_regions) == (x.doc_id < 60, int(x.doc_id < 60)) for x in rows)
+    clean = D.decontaminate(df, bench)
+    assert clean.columns == df.columns and sorted(x.doc_id for x in clean.collect()) == [60, 61]
