@@ -2,7 +2,9 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by rules of stop-word density, length and link density, and by
 where they stand: what is inside menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments is
-boilerplate; text inside an article is content unless links make up most of it. Blocks that are short and carry no such sign are ambiguous;
+boilerplate; text inside an article is content unless links make up most of it. A class or id marks a container if it names just that (sidebar,
+site-footer, share-buttons), not if it only has such a word in it (content-sidebar-wrap, elementor-widget-text-editor); a main or an
+article inside a container marked that way stands for itself, but for articles inside reader comments, adverts and related pages. Blocks that are short and carry no such sign are ambiguous;
 in the second pass they inherit the label of the nearest decided neighbour (the nearer by blocks; of two equally near, content wins).
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by two line feeds in page
@@ -54,27 +56,56 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Classes that tell what a page has, as in has-sidebar, and not what this container is.
 STATE = re.compile(r"(?:has|with|no|is|without)[-_]", re.I)
-
-OPEN, ARTICLE, BAD = 0, 1, 2
+HAS = frozenset("has with no without".split())
+#: Marks of parts that no prefix turns into something else, as in acme-sidebar.
+STRONG = frozenset("breadcrumb breadcrumbs comment comments commentlist disqus cookie cookies consent gdpr newsletter menu menus nav navbar navigation pagination pager footer masthead sidebar sidebars toolbar".split())
+#: Marks of parts whose own articles are not the page's.
+OTHERS = frozenset("ad ads advert adverts advertisement advertising adsense adslot adbox sponsor sponsored comment comments commentlist respond disqus replies related recommended recommendations reply".split())
+#: Parts of a name that say where a marked container stands, before the mark, and what it is built of, after it.
+BEFORE = frozenset("article body bottom blog content desktop entry float fixed global head header in inline js left local main mobile page post primary right secondary single site sticky sub the top web".split())
+AFTER = frozenset("area articles bar banner block body bottom box btn button buttons card column col container content footer form group header heading holder icons inner item items left link links list main message outer panel posts primary region right section secondary slot text thread title top trail tree unit wrap wrapper".split())
+#: Parts of a name before a mark that make what wraps both of them, as in content-sidebar-wrap.
+WHOLE = frozenset("article body content entry main page post site text".split())
+
+OPEN, ARTICLE, BAD, MARKED, ALIEN = 0, 1, 2, 3, 4
+
+
+def marks_of(name: str, now: int) -> set[str]:
+    """The marks that decide what a container of this class or id is; none if they are but some part of the name."""
+    parts = [x.lower() for x in PARTS.findall(name)]
+    at = [i for i, x in enumerate(parts) if x in MARKS or x == "header" and now == OPEN]
+    if not at or STATE.match(name) or HAS & set(parts[: at[0]]):
+        return set()
+    before, marks, after = parts[: at[0]], {parts[i] for i in at}, [x for x in parts[at[0] :] if x not in MARKS and x != "header"]
+    if "header" in marks and (len(marks) == 1 and parts[-1] != "header" or set(parts) & {"article", "entry", "post"}):
+        marks.discard("header")
+    if not marks or not AFTER.issuperset(after) or after and WHOLE & set(before):
+        return set()
+    known = BEFORE.issuperset(before) and not (before and marks <= {"widget", "widgets"})
+    return marks if known or now != ARTICLE and not after and marks & (STRONG | {"header"}) else set()
 
 
 def standing(tag: str, attributes: str, now: int, inside_article: bool) -> int:
-    """Where the content of a container stands: OPEN, in an ARTICLE, or BAD (boilerplate)."""
+    """Where the content of a container stands: OPEN, in an ARTICLE, BAD (boilerplate), or boilerplate by a class or id only, in which a main
+    or article stands for itself (MARKED) or only a main does (ALIEN)."""
     if now == BAD or tag in DROPPED or tag == "header" and not inside_article:
         return BAD
+    marks, role = set(), ""
     if attributes.strip():
         found = {k.lower(): entities.unescape((v or "").strip("\"'")) for k, v in ATTRIBUTE.findall(attributes)}
-        if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
-            return BAD
-        names = [x for x in f"{found.get('class', '')} {found.get('id', '')}".split() if not STATE.match(x)]
-        words = {x.lower() for n in names for x in PARTS.findall(n)}
-        if tag not in ("body", "html") and words & MARKS and (tag not in ("article", "main") or words & {"comment", "comments", "reply"}):
-            return BAD
-        if now == OPEN and "header" in words and not words & {"article", "entry", "post"}:
+        role = found.get("role", "").lower()
+        if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or role in ROLES:
             return BAD
-        if found.get("role", "").lower() in ("main", "article"):
-            return ARTICLE
-    return ARTICLE if tag in ("article", "main") else now
+        names = f"{found.get('class', '')} {found.get('id', '')}".split()
+        if tag not in ("body", "html"):
+            marks = set().union(*(marks_of(x, now) for x in names))
+        if tag in ("article", "main"):
+            marks &= {"comment", "comments", "reply"}
+    if marks:
+        return max(now, ALIEN if marks & OTHERS else MARKED)
+    if tag == "main" or role == "main":
+        return ARTICLE
+    return ARTICLE if (tag == "article" or role == "article") and now != ALIEN else now
 
 
 class Block:
@@ -149,7 +180,7 @@ def blocks(page: str) -> list[Block]:
 
 def first_pass(block: Block) -> bool | None:
     """True for content, False for boilerplate, None if it is not decided."""
-    if block.place == BAD:
+    if block.place >= BAD:
         return False
     if block.linked > MANY_LINKS * len(block.text):
         return None if block.place == ARTICLE and len(block.text.split()) >= LONG_WORDS else False

@@ -53,3 +53,34 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (None, "u", "<article>x", 2)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, extract_pages(df).collect()), key=str) == sorted([(1, None, "", 0), (1, None, "", 0), (None, "u", "x", 1)], key=str)
     assert extract_pages(df.limit(0)).count() == 0
+
+
+LONG = "the cat and the dog are in the house with a lot of the other animals of the town"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content-sidebar-wrap'><main><article><p>Text</p></article></main></div>",
+        "<div class='content-sidebar-wrap'><div class=content><p>Text</p></div></div>".replace("Text", LONG),
+        "<article><div class='elementor-element elementor-widget elementor-widget-text-editor'><p>Text</p></div></article>",
+        "<div class=sidebar><main><p>Text</p></main></div>",
+        "<div class=widget><article><p>Text</p></article></div>",
+        "<article><div class='market-share'><p>Text</p></div></article>",
+        "<article><div class='legal-notice' id=searchResults><p>Text</p></div></article>",
+        "<div class='page-with-sidebar hasSidebar'><p>Text</p></div>".replace("Text", LONG),
+        "<div id=relatedWorkText><p>Text</p></div>".replace("Text", LONG),
+    ],
+)
+def test_words_in_names(page):
+    assert extract(page) == (LONG if LONG in page else "Text")
+
+
+@pytest.mark.parametrize("name", "ad ads ad-1 adSlot sidebar site-sidebar acme-sidebar sidebar-primary widget-area social-share share-buttons post-share related-posts comments comment-list page-footer main-nav cookie-notice cookie-bar breadcrumb-trail page-header newsletter-form menu-item".split())
+def test_marked_names(name):
+    for kind in ("class", "id"):
+        assert extract(f"<article><p>Text</p></article><div {kind}='{name}'><p>{LONG}</p></div>") == "Text"
+    if name not in ("acme-sidebar", "page-header"):
+        assert extract(f"<article><p>Text</p><div class='x {name}'><p>{LONG}</p></div></article>") == "Text"
+    if name.startswith(("ad", "related", "comment")):
+        assert extract(f"<article><p>Text</p></article><div class='{name}'><article><p>{LONG}</p></article></div>") == "Text"
