@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by rules of stop-word density, length and link density, and by
 where they stand: what is inside menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments is
-boilerplate; text inside an article is content unless links make up most of it. A class or id marks a container if it names just that (sidebar,
+boilerplate; text inside an article is content, links too. A class or id marks a container if it names just that (sidebar,
 site-footer, share-buttons), not if it only has such a word in it (content-sidebar-wrap, elementor-widget-text-editor); a main or an
 article inside a container marked that way stands for itself, but for articles inside reader comments, adverts and related pages. Blocks that are short and carry no such sign are ambiguous;
 in the second pass they inherit the label of the nearest decided neighbour (the nearer by blocks; of two equally near, content wins).
@@ -182,10 +182,10 @@ def first_pass(block: Block) -> bool | None:
     """True for content, False for boilerplate, None if it is not decided."""
     if block.place >= BAD:
         return False
-    if block.linked > MANY_LINKS * len(block.text):
-        return None if block.place == ARTICLE and len(block.text.split()) >= LONG_WORDS else False
     if block.place == ARTICLE:
         return True
+    if block.linked > MANY_LINKS * len(block.text):
+        return False
     words = WORD.findall(block.text.lower())
     dense = sum(w in STOP_WORDS for w in words) >= DENSE * len(words)
     if len(words) >= LONG_WORDS and dense:

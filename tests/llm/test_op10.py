@@ -84,3 +84,9 @@ def test_marked_names(name):
         assert extract(f"<article><p>Text</p><div class='x {name}'><p>{LONG}</p></div></article>") == "Text"
     if name.startswith(("ad", "related", "comment")):
         assert extract(f"<article><p>Text</p></article><div class='{name}'><article><p>{LONG}</p></article></div>") == "Text"
+
+
+def test_links_in_articles():
+    page = "<nav><a href=x>Home</a></nav><article><h1><a href=x>Title</a></h1><p>Text</p><ul><li><a href=x>One</a><li><a href=y>Two</a></ul><nav><a href=z>Next</a></nav></article><div><a href=x>Out</a></div>"
+    assert extract(page) == "Title\n\nText\n\nOne\n\nTwo"
+    assert extract("<nav><a href=x>Home</a></nav><article><h1><a href=x>Title</a></h1></article><footer>f</footer>") == "Title"
