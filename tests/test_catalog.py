@@ -1,3 +1,4 @@
+import hashlib
 import math
 import os
 
@@ -33,3 +34,16 @@ def test_query(spark, con, name):
         assert sorted(rel.columns) == cols
         names = ", ".join(f'"{c}"' for c in cols)
         assert plain(got) == plain(con.execute(f"SELECT {names} FROM ({SQL[name]})").fetchall())
+
+
+def test_two_key_dedupe_whole_texts(spark, tmp_path):
+    start = "The same twelve characters and more "
+    rows = [(1, start + "a"), (2, start + "b"), (3, start.upper() + " A "), (3, "other"), (4, "other"), (4, "other"), (5, None), (6, "x" * len(start))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids, texts, kept = set(), set(), []
+    for i, t in sorted({(i, " ".join(t.lower().split())) for i, t in rows if t is not None}, key=lambda x: (x[0], hashlib.sha256(x[1].encode()).hexdigest())):
+        if i not in ids and t not in texts:
+            ids.add(i)
+            texts.add(t)
+            kept.append(i)
+    assert sorted(x.doc_id for x in QUERIES["two_key_dedupe"](spark, str(tmp_path)).collect()) == kept == [1, 2, 3, 6]
