@@ -47,3 +47,17 @@ def test_two_key_dedupe_whole_texts(spark, tmp_path):
             texts.add(t)
             kept.append(i)
     assert sorted(x.doc_id for x in QUERIES["two_key_dedupe"](spark, str(tmp_path)).collect()) == kept == [1, 2, 3, 6]
+
+
+def test_merkle_root_of_documents(spark):
+    sf = "/root/testdata/sf0.1"  # ten blocks of leaves
+    from pyspark.sql import functions as F
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((x.doc_id, hashlib.sha256(x.j.encode()).hexdigest()) for x in d.select("doc_id", F.to_json(F.struct("doc_id", "lang", "source", "text")).alias("j")).collect())
+    level = [hashlib.sha256(f"leaf:{h}".encode()).digest() for _, h in rows]
+    while len(level) > 1:
+        level += level[-1:] * (len(level) % 2)
+        level = [hashlib.sha256(b"node:" + level[i] + level[i + 1]).digest() for i in range(0, len(level), 2)]
+    got = QUERIES["merkle_root"](spark, sf).collect()
+    assert [(x.root, x.rows) for x in got] == [(level[0].hex(), len(rows))]
