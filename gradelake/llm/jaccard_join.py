@@ -15,7 +15,8 @@ whole sequence is its one shingle. Two documents link when den * |x & y| >= num
    overlap, or whose members are connected already. Remaining pairs are compared exactly. Links are a spanning forest of the component.
 5. Components over the links come from label propagation with pointer jumping on DataFrames, checkpointed every round.
 
-Nothing is capped or dropped; no group meets in one task unless its size is bounded.
+Nothing is capped or dropped, and homes meet in chunks of bounded size. One group is not bounded: all rows of one token meet in one task of
+step 3, which compares their pairs if they have several homes.
 
 Rows: null or empty texts, and texts without words, have an empty set, link with nothing and are their own component. Repeated rows give
 a result each. A row with a null doc_id has no node of its own: it gets the component of an equal text, else null. Equal
