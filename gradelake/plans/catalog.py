@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradelake.config import PROTOCOL
 from gradelake.functions import native as N
 from gradelake.functions.answers import canonical_math_udf, json_output_udf
+from gradelake.operators import constraints as C
 from gradelake.operators import integrity as I
 from gradelake.operators import ordering as O
 
@@ -330,6 +331,21 @@ def constraint_predicates(spark, sf_dir):
     )
 
 
+#: Arguments of every instruction constraint; counts are read as relations.
+ARGUMENTS = {
+    "forbidden_words": '["password", "token"]', "keywords": '["the", "on"]', "keyword": "the", "frequency": "3", "relation": "at least", "N": "40", "num_words": "40", "num_paragraphs": "1", "num_sentences": "3", "nth_paragraph": "1",
+    "last_word": "the", "first_word": "the", "end_phrase": ".", "postscript_marker": "P.S.", "letter": "e", "let_frequency": "9", "let_relation": "more than", "num_bullets": "1", "num_highlights": "1", "num_placeholders": "1", "num_letters": "200",
+}
+
+
+@query()
+def instruction_constraints(spark, sf_dir):
+    """All 30 instruction constraints over documents; constraint_predicates keeps the columns of its SQL. Tests hold some against plain Python."""
+    args = F.create_map(*[F.lit(x) for pair in ARGUMENTS.items() for x in pair])
+    d = docs(spark, sf_dir)
+    return d.select("doc_id", *[F.coalesce(p, F.lit(False)).alias(name.replace(":", "_")) for name, p in C.predicates(F.col("text"), args).items()])
+
+
 @query()
 def two_key_dedupe(spark, sf_dir):
     """Documents by row id and by the fingerprint of the whole text, in doc_id order; held against the plain loop in the tests. Rows without text have no prompt."""

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -61,3 +62,16 @@ def test_merkle_root_of_documents(spark):
         level = [hashlib.sha256(b"node:" + level[i] + level[i + 1]).digest() for i in range(0, len(level), 2)]
     got = QUERIES["merkle_root"](spark, sf).collect()
     assert [(x.root, x.rows) for x in got] == [(level[0].hex(), len(rows))]
+
+
+def test_instruction_constraints(spark):
+    df = QUERIES["instruction_constraints"](spark, SF)
+    assert len(df.columns) == 31
+    texts = dict(duckdb.connect().execute(f"SELECT doc_id, text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL").fetchall())
+    for x in df.where("doc_id IS NOT NULL").collect():
+        t = texts[x.doc_id]
+        words = re.findall("[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?", t)
+        assert x.punctuation_no_comma == ("," not in t) and x.length_constraints_number_words == (len(words) >= 40)
+        assert x.keywords_forbidden_words == (not re.search("password|token", t.lower()))
+        assert x.first_word_first_word_answer == (words[:1] != [] and words[0].lower() == "the")
+        assert x.letters_letter_counting2 == (t.lower().count("e") > 9)
