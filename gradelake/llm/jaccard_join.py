@@ -3,24 +3,28 @@
 A document's set holds its distinct n-word shingles (A-Z lower-cased; words are runs outside ``[\\x20\\x09-\\x0D]``); with fewer words the
 whole sequence is its one shingle. Two documents link when den * |x & y| >= num * |x | y|.
 
-1. Documents with equal sets are one class, represented by the smallest doc_id; only representatives go on.
-2. All shingles have one global order, frequent ones last (the order comes from a bounded sample; any order is exact). Sets that link share
-   a token among the first |x| - ceil(|x| num / den) + 1 of each. A representative's home is the token of the least hash of its whole set,
-   which similar sets mostly have in common.
+1. Documents with equal sets are one class, represented by its row of the smallest doc_id (then of the smallest text hash); only representatives
+   go on, under a number of their own, so that rows that share a doc_id but not a text stay apart.
+2. All shingles have one global order, frequent ones last. Every task counts the shingles of all its documents and reports its HEAVY most
+   frequent ones; the sums order the table's FREQUENT ones. Any order is exact. Sets that link share a token among the first
+   |x| - ceil(|x| num / den) + 1 of each. A representative's home is the token of the least hash of its whole set, which similar
+   sets mostly have in common.
 3. Rows of (token, document) without text show which documents share such a token beyond one home; sizes and positions bound the overlap.
-   Such a document visits the other home. There bitmaps and sizes of members and visitors tell which may link with a member at all.
-   Only these get their texts; a large home is dealt out in chunks of bounded size, to each of which the home's smallest set is added.
-   What that one is not connected to visits all chunks in a second round.
-4. In each chunk a signature tree (OR-combined bitmaps, size ranges) is traversed against itself; node pairs go that cannot reach the least
+   Such a document visits the other home. Tokens of over RUN documents are dealt out in chunks of which every two meet.
+4. In a home bitmaps and sizes of members and visitors tell which may link with a member at all; large homes are dealt out likewise.
+   Only those that may link get their texts; a large home is dealt out in chunks of bounded size, to each of which the home's smallest set
+   is added. What that one is not connected to visits all chunks in a second round.
+5. In each chunk a signature tree (OR-combined bitmaps, size ranges) is traversed against itself; node pairs go that cannot reach the least
    overlap, or whose members are connected already. Remaining pairs are compared exactly. Links are a spanning forest of the component.
-5. Components over the links come from label propagation with pointer jumping on DataFrames, checkpointed every round.
+6. Components over the links come from label propagation with pointer jumping on DataFrames, checkpointed every round.
 
-Nothing is capped or dropped, and homes meet in chunks of bounded size. One group is not bounded: all rows of one token meet in one task of
-step 3, which compares their pairs if they have several homes.
+Nothing is capped or dropped, and no unbounded group meets in one task: joins on homes, tokens and labels deal the rows of each key over
+SALTS tasks, and classes of very many copies are joined by broadcast (BROAD of them at most).
 
 Rows: null or empty texts, and texts without words, have an empty set, link with nothing and are their own component. Repeated rows give
-a result each. A row with a null doc_id has no node of its own: it gets the component of an equal text, else null. Equal
-similarities need no order. An empty table gives an empty result. Other columns are ignored, or carried along by ``one_of_each``.
+a result each. Rows that share a doc_id but not a set are apart: each belongs to its own text's component. A row with a null doc_id gets the
+component of an equal text that has one, else null, and links with nothing itself. Equal similarities need no order. An empty table gives
+an empty result. Other columns are ignored, or carried along by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -29,35 +33,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.shared import cut, grouped, release
+from gradelake.llm.shared import SALTS, cut, grouped, release, salted, stored
 from gradelake.llm.signature_tree import Join
-from gradelake.llm.textcore import column, mix, shingle_sets
-
-#: Documents of the sample and tokens of the table that order shingles by frequency; they bear on speed only.
-SAMPLE_DOCS, FREQUENT = 16_384, 1 << 19
+from gradelake.llm.textcore import column, mix, shingle_runs, shingle_sets
+
+#: Frequent shingles that a task reports, and tokens of the table that orders them; they bear on speed only.
+HEAVY, FREQUENT = 1 << 14, 1 << 19
+#: Shingles that a task counts at a time.
+COUNTED = 1 << 21
+#: Rows of a token that are compared in one task.
+RUN = 8_192
 #: Shingles in a chunk of a home, about, when texts are compared, and sets in a chunk when bitmaps are.
 CHUNK, MAPS = 1_000_000, 4_096
+#: Keys that are broadcast because they have very many rows; a key needs HOT rows for it, and more in large tables.
+BROAD, HOT = 100_000, 256
 
 
 def _rows(arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays.values()], list(arrays))
 
 
+def top_counts(token: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by token, of the ``most`` frequent tokens."""
+    token, place = np.unique(token, return_inverse=True)
+    count = np.bincount(place, count, len(token)).astype(np.int64)
+    if len(token) > most:
+        best = np.argpartition(count, len(count) - most)[len(count) - most :]
+        token, count = token[best], count[best]
+    return token, count
+
+
 def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
-    """Hashes of shingles that are frequent in a sample of about SAMPLE_DOCS documents, rarest first; FREQUENT of them at most."""
-    total = docs.count()
-    part = docs.select("text") if total <= SAMPLE_DOCS else docs.select("text").sample(fraction=SAMPLE_DOCS / total, seed=17)
+    """Hashes of the shingles that are frequent over all documents, rarest first; FREQUENT of them at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        fresh: list[np.ndarray] = []
+
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            own, times = np.unique(np.concatenate(fresh), return_counts=True)
+            fresh.clear()
+            return top_counts(np.r_[token, own], np.r_[count, times], 4 * HEAVY)
+
         for batch in batches:
-            for s in shingle_sets(column(batch, "text"), n):
-                if len(s):
-                    yield _rows({"token": s.view(np.int64)})
+            for _, hashes, _ in shingle_runs(column(batch, "text"), n):
+                fresh.append(hashes)
+                if sum(map(len, fresh)) >= COUNTED:
+                    token, count = fold()
+        if fresh:
+            token, count = fold()
+        token, count = top_counts(token[count > 1], count[count > 1], HEAVY)
+        yield _rows({"token": token.view(np.int64), "c": count})
+        release()
 
-    counts = cut(part.mapInArrow(run, "token long").groupBy("token").agg(F.least(F.count(F.lit(1)), F.lit(1 << 20)).alias("c")).where("c > 1"))
+    counts = cut(docs.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.least(F.sum("c"), F.lit(1 << 20)).alias("c")))
     least, room = None, FREQUENT
     for c, tokens in sorted(((x.c, x.n) for x in counts.groupBy(F.least("c", F.lit(1000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
         if tokens > room:
@@ -81,7 +113,7 @@ def bitmap(tokens: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), d1 and d2 (digest of the set), prefix (its first tokens), bits (its bitmap), home (its least token)."""
+    """doc_id, th (hash of the text), n (size of the set), d1 and d2 (digest of the set), prefix (its first tokens), bits (its bitmap), home (its least token)."""
     place = np.argsort(frequent).astype(np.int32)
     known = frequent[place]
     shared = docs.sparkSession.sparkContext.broadcast((known, place))
@@ -89,7 +121,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = shared.value
         for batch in batches:
-            ids = column(batch, "doc_id").cast(pa.int64())
+            ids, th = column(batch, "doc_id").cast(pa.int64()), column(batch, "th")
             plain = ids.fill_null(0).to_numpy(zero_copy_only=False)
             size, d1, d2, prefix, bits, home = [], [], [], [], [], []
             for s, own, known_id in zip(shingle_sets(column(batch, "text"), n), plain, ids.is_valid().to_pylist(), strict=True):
@@ -115,17 +147,17 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray
                 prefix.append(order[:want].view(np.int64))
             offsets = np.r_[0, np.cumsum([len(p) for p in prefix])].astype(np.int32)
             values = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(bits, pa.binary()), pa.array(home, pa.int64())], ["doc_id", "n", "d1", "d2", "prefix", "bits", "home"])
+            yield pa.RecordBatch.from_arrays([ids, th, pa.array(size, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(bits, pa.binary()), pa.array(home, pa.int64())], ["doc_id", "th", "n", "d1", "d2", "prefix", "bits", "home"])
         release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, d1 long, d2 long, prefix array<long>, bits binary, home long")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n int, d1 long, d2 long, prefix array<long>, bits binary, home long")
 
 
 class Visits:
-    """From rows sorted by token: which document has to visit which other home."""
+    """From rows sorted by token: which document has to visit which other home. Rows of tokens with over ``most`` of them are passed on."""
 
-    def __init__(self, num: int, den: int) -> None:
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, most: int) -> None:
+        self.num, self.den, self.most = num, den, most
 
     def may_link(self, n1, p1, n2, p2) -> np.ndarray:
         """Whether two sets can link whose first common token stands at these positions."""
@@ -164,25 +196,65 @@ class Visits:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("token", "rep", "home", "at")
-        held: tuple[np.ndarray, ...] = tuple(np.zeros(0, np.int64) for _ in names)
+        empty: tuple[np.ndarray, ...] = tuple(np.zeros(0, np.int64) for _ in names)
+        held, passed = empty, None  # the last token's rows, or that token if its rows are passed on
 
         def emit(cols: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
             token, rep, home, at = cols
+            if not len(token):
+                return
+            start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            size = np.diff(np.r_[start, len(token)])
+            far = np.repeat((size > self.most) | (token[start] == passed if passed is not None else False), size)
+            if far.any():
+                yield _rows({"home": home[far], "rep": rep[far], "token": token[far], "at": at[far]})
+                token, rep, home, at = token[~far], rep[~far], home[~far], at[~far]
             if len(token):
                 found = self.run(token, rep, home, at >> 32, at & 0xFFFFFFFF)
-                yield _rows({"home": np.concatenate([h for _, h in found]), "rep": np.concatenate([r for r, _ in found])})
+                home, rep = np.concatenate([h for _, h in found]), np.concatenate([r for r, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(rep), *[pa.nulls(len(rep), pa.int64())] * 2], ["home", "rep", "token", "at"])
 
         for batch in batches:
             new = [column(batch, c).to_numpy(zero_copy_only=False) for c in names]
             cols = tuple(np.r_[h, x] for h, x in zip(held, new, strict=True))
             if not len(cols[0]):
                 continue
-            end = int(np.searchsorted(cols[0], cols[0][-1]))
+            last = cols[0][-1]
+            end = int(np.searchsorted(cols[0], last))
             yield from emit(tuple(c[:end] for c in cols))
             held = tuple(c[end:] for c in cols)
+            if last == passed or len(held[0]) > self.most:
+                passed = last
+                yield from emit(held)
+                held = empty
         yield from emit(held)
 
 
+def meetings(own: Column, k: Column) -> Column:
+    """The chunks of a group of k parts that a row of one part is in; every two parts meet in one of them."""
+    return F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda x: F.least(x, own) * k + F.greatest(x, own)))
+
+
+def part_of(rep: str, k: Column) -> Column:
+    return F.pmod(F.xxhash64(rep), k).cast("int")
+
+
+def visits_of(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """home, rep: which document has to visit which other home. The rows of a token that has over RUN of them are dealt out in parts."""
+    kind = "home long, rep long, token long, at long"
+    tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), "rep", "home", "n").select("token", "rep", "home", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
+    found = cut(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(Visits(num, den, RUN), kind).distinct())
+    far = found.where("token IS NOT NULL")
+    out = found.where("token IS NULL").select("home", "rep")
+    if not far.limit(1).count():
+        return out
+    parts = far.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / (RUN // 2)).cast("int").alias("k"))
+    dealt = salted(far, parts, ["token"], "rep").withColumn("own", part_of("rep", F.col("k"))).select("token", "rep", "home", "at", meetings(F.col("own"), F.col("k")).alias("chunk"))
+    dealt = dealt.select(F.xxhash64("token", "chunk").alias("token"), "rep", "home", "at")
+    more = dealt.repartition("token").sortWithinPartitions("token").mapInArrow(Visits(num, den, 1 << 62), kind)
+    return cut(out.union(more.select("home", "rep")).distinct())
+
+
 def hopeful(n: np.ndarray, bits: list[bytes], member: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which sets of a home may link, by sizes and bitmaps, with another one of it of which one at least is a member."""
     m = len(n)
@@ -228,13 +300,18 @@ def prune(stay: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def verify(work: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """work: home, chunk, chunks, rep, resident (of the home's earlier round). Links (a, b, null), and (null, rep, home) for what stays loose in a home of several chunks."""
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").where("rep IS NOT NULL")
-    rows = work.join(texts, "rep").repartition("home", "chunk").sortWithinPartitions("home", "chunk", "rep")
+    """work: home, chunk, chunks, rep, doc_id and th (of the representative), resident (of the home's earlier round). Links (a, b, null), and (null, rep,
+    home) for what stays loose in a home of several chunks."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").where("doc_id IS NOT NULL")
+    rows = work.join(texts, ["doc_id", "th"]).select("home", "chunk", "chunks", "rep", "resident", "text").repartition("home", "chunk").sortWithinPartitions("home", "chunk", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["home", "chunk"]):
             reps = table["rep"].to_numpy()
+            once = np.r_[True, reps[1:] != reps[:-1]]
+            if not once.all():  # a repeated row
+                table = table.filter(pa.array(once))
+                reps = reps[once]
             if len(reps) < 2:
                 continue
             sets = [s for chunk in table["text"].chunks for s in shingle_sets(chunk, n)]
@@ -255,62 +332,79 @@ def verify(work: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Data
 
 
 def components(links: DataFrame) -> DataFrame:
-    """rep, label (the smallest rep that it is connected to) for every end of a link."""
+    """rep, label (the smallest rep that it is connected to) for every end of a link. Rows of a node with very many links are dealt out."""
     both = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).where("u <> v").distinct())
+    hubs = cut(both.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(HOT, both.count() // BROAD)).select("v", F.lit(SALTS - 1).alias("top")))
+    top = F.coalesce("top", F.lit(0))
+    both = cut(both.join(F.broadcast(hubs), "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), top + 1).alias("salt")))
     label = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l")))
     while True:
-        seen = both.join(label.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
+        told = label.select(F.col("u").alias("v"), "l").join(F.broadcast(hubs), "v", "left").select("v", "l", F.explode(F.sequence(F.lit(0).cast("bigint"), top.cast("bigint"))).alias("salt"))
+        seen = both.join(told, ["v", "salt"]).groupBy("u").agg(F.min("l").alias("m"))
         lower = label.join(seen, "u").select("u", F.least("l", "m").alias("l"), F.col("l").alias("old"))
-        jump = lower.join(label.select(F.col("u").alias("l"), F.col("l").alias("k")), "l", "left")
+        jump = salted(lower, label.select(F.col("u").alias("l"), F.col("l").alias("k")), ["l"], "u", "left")
         new = cut(jump.select("u", F.least("l", F.coalesce("k", "l")).alias("l"), "old"))
         if not new.where("l <> old").limit(1).count():
             return label.select(F.col("u").alias("rep"), F.col("l").alias("label"))
         label = new.select("u", "l")
 
 
+def crowded(members: DataFrame) -> DataFrame:
+    """home, rep, member and chunk of every home of several sets; every two parts of a home meet in a chunk, so that each pair of its sets is looked at."""
+    crowd = members.groupBy("home").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("home", F.ceil(F.col("c") / (MAPS // 2)).cast("int").alias("k"))
+    dealt = salted(members, crowd, ["home"], "rep")
+    own = F.when(F.col("k") == 1, 0).otherwise(part_of("rep", F.col("k")))
+    return dealt.withColumn("own", own).select("home", "rep", "member", meetings(F.col("own"), F.col("k")).alias("chunk"))
+
+
 def similar_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(members, links): doc_id, n_shingles, rep and component_id of every row; and links (a, b) between representatives that span every component."""
-    sig = cut(signatures(docs, n, num, den, frequent_tokens(docs, n)))
-    classes = cut(sig.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
-    reps = sig.where("n > 0").join(classes.where("rep IS NOT NULL").withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "prefix", "bits", "home")
-    tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), "rep", "home", "n").select("token", "rep", "home", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
-    visits = cut(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(Visits(num, den), "home long, rep long").distinct())
+    """(members, links): doc_id, th (hash of the text), n_shingles, rep, component_id and first (whether the row is its component's first) of every row; and
+    links (a, b) between representatives that span every component."""
+    sig = stored(signatures(docs, n, num, den, frequent_tokens(docs, n)).withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th", "rid")))
+    classes = sig.groupBy("n", "d1", "d2").agg(least.alias("r"), F.count(F.lit(1)).alias("c"))
+    classes = cut(classes.select("n", "d1", "d2", "c", F.col("r.rid").alias("rep"), F.struct("r.doc_id", "r.th").alias("own")))
+    reps = sig.where("n > 0").join(classes.where("rep IS NOT NULL").select(F.col("rep").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "rep")
+    visits = visits_of(reps, num, den)
     members = reps.select("home", "rep", F.lit(True).alias("member")).union(visits.select("home", "rep", F.lit(False)))
-    crowd = members.groupBy("home").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    # Every two chunks of a home meet, so that each pair of its sets is looked at.
-    crowd = crowd.withColumn("k", F.ceil(F.col("c") / (MAPS // 2)).cast("int"))
-    own = F.when(F.col("k") == 1, 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.least(x, F.col("own")) * F.col("k") + F.greatest(x, F.col("own")))
-    lonely = members.join(crowd, "home").withColumn("own", own).select("home", "rep", "member", F.explode(meet).alias("chunk"))
-    stay = prune(lonely.join(reps.select("rep", "n", "bits").dropDuplicates(["rep"]), "rep"), num, den)
+    stay = prune(crowded(members).join(reps.select("rep", "n", "bits"), "rep"), num, den)
     weight = stay.groupBy("home").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.min("rep").alias("least")).where("c > 1")
-    work = cut(stay.join(weight, "home").withColumn("chunks", F.ceil(F.col("w") / CHUNK).cast("int")).select("home", "rep", "chunks", "least"))
-    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    weight = weight.select("home", F.ceil(F.col("w") / CHUNK).cast("int").alias("chunks"), "least")
+    work = cut(salted(stay, weight, ["home"], "rep").select("home", "rep", "chunks", "least").join(reps.select("rep", "doc_id", "th"), "rep"))
+    chunk = part_of("rep", F.col("chunks"))
     everywhere = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    cols = ["home", "chunk", "chunks", "rep", "doc_id", "th", "resident"]
     lead = work.where("rep = least AND chunks > 1").withColumn("chunk", everywhere)
-    first = work.where("NOT (rep = least AND chunks > 1)").withColumn("chunk", chunk).union(lead)
-    found = cut(verify(first.select("home", "chunk", "chunks", "rep", F.lit(False).alias("resident")), docs, n, num, den))
+    first = work.where("NOT (rep = least AND chunks > 1)").withColumn("chunk", chunk).unionByName(lead).withColumn("resident", F.lit(False))
+    found = cut(verify(first.select(cols), docs, n, num, den))
     links = found.where("home IS NULL").select("a", "b")
     loose = found.where("home IS NOT NULL").select("home", F.col("b").alias("rep")).distinct()
     if loose.limit(1).count():
         open_ = loose.join(work, ["home", "rep"])
         guests = open_.withColumn("chunk", everywhere).where(F.col("chunk") != chunk).withColumn("resident", F.lit(False))
-        hosts = work.join(loose.select("home").distinct(), "home").withColumn("chunk", chunk).withColumn("resident", F.lit(True))
-        again = guests.select("home", "chunk", "chunks", "rep", "resident").union(hosts.select("home", "chunk", "chunks", "rep", "resident"))
-        links = links.union(cut(verify(again, docs, n, num, den)).select("a", "b"))
-    labels = components(links)
-    joined = classes.join(labels, "rep", "left").select("n", "d1", "d2", "rep", F.coalesce("label", "rep").alias("component_id"))
-    members = sig.select("doc_id", "n", "d1", "d2").join(joined, ["n", "d1", "d2"], "left")
-    return members.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "rep", "component_id"), links
+        hosts = salted(work, loose.select("home").distinct(), ["home"], "rep").withColumn("chunk", chunk).withColumn("resident", F.lit(True))
+        links = links.union(cut(verify(guests.select(cols).union(hosts.select(cols)), docs, n, num, den)).select("a", "b"))
+    linked = cut(components(links).join(classes.where("n > 0").select("rep", "own"), "rep"))
+    heads = linked.groupBy("label").agg(F.min("own").alias("head"))
+    heads = salted(linked.select("rep", "label"), heads, ["label"], "rep").select("rep", "head")
+    joined = cut(classes.join(heads, "rep", "left").select("n", "d1", "d2", "c", "rep", F.coalesce("head", "own").alias("head")))
+    rows = sig.select("doc_id", "th", "n", "d1", "d2")
+    hot = joined.where(F.col("c") > max(HOT, (joined.agg(F.sum("c")).first()[0] or 0) // BROAD))
+    keys = ["n", "d1", "d2"]
+    many = rows.join(F.broadcast(hot), keys)
+    few = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(joined, keys)
+    own = (F.col("n") == 0) | (F.struct("doc_id", "th") == F.col("head"))
+    out = [F.col("doc_id"), F.col("th"), F.col("n").cast("long").alias("n_shingles"), F.col("rep"), F.col("head.doc_id").alias("component_id"), own.alias("first")]
+    return many.select(out).union(few.select(out)), links
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; rows without a doc_id stay."""
+    """docs with one row of each component, that of the smallest doc_id; rows without a doc_id stay."""
     members, _ = similar_documents(docs, n, num, den)
-    keep = cut(members.where("doc_id = component_id").groupBy("doc_id").count())
-    stay = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
+    keep = cut(members.where("first AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id"), F.col("th").alias("kept_th")).count())
+    stay = docs.join(keep, (docs["doc_id"] == keep["kept_id"]) & (F.xxhash64(docs["text"]) == keep["kept_th"]), "left_semi")
     if keep.where("count > 1").limit(1).count():
-        stay = stay.dropDuplicates(["doc_id"])
+        stay = stay.dropDuplicates(["doc_id", "text"])
     return stay.union(docs.where("doc_id IS NULL")).select(docs.columns)
 
 

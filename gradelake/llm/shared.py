@@ -13,13 +13,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SALTS = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (as in tests) a local one is made and set."""
+    """The folder of spark.checkpoint.dir; where that is unset, a local one is made and set on a local master, and on a cluster it is an error."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='gradelake-')}"
         context.setCheckpointDir(found)
     return found
@@ -35,6 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, of which a later scan reads only the columns that it needs."""
+    folder = fresh_dir(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def salted(df: DataFrame, small: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """df joined with ``small`` (a row a key); the rows of each key are dealt over SALTS tasks by a hash of the column ``by``."""
+    many = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = df.withColumn("salt_", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return dealt.join(many, [*keys, "salt_"], how).drop("salt_")
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 

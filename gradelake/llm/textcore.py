@@ -19,9 +19,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of a block that are kept when a span ends inside it.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,25 +32,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, for positions below n."""
-    if len(_powers[0]) < n:
-        size = max(n, SEGMENT + 1)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base & _MASK, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """64-bit hash of each byte span [start, end); equal spans have equal hashes wherever they stand."""
-    up, down = _tables(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    values = buf.astype(np.uint64) + np.uint64(1 + salt)
-    np.cumsum((values * values if salt else values) * up[: len(buf)], out=total[1:])
-    length = (ends - starts).astype(np.uint64)
-    return mix((total[ends] - total[starts]) * down[starts] + length * np.uint64(0xD6E8FEB86659FD93) + np.uint64(salt))
+    """64-bit hash of each byte span [start, end); equal spans have equal hashes wherever they stand.
+
+    A span is cut into blocks of eight bytes; every block is mixed with a key of its place and the salt, and the mixed blocks are added up. The
+    mixing is not linear in the bytes, so no arrangement of equal letters cancels out, and hashes under two salts are independent.
+    """
+    length = (ends - starts).astype(np.int64)
+    if not len(length):
+        return np.zeros(0, np.uint64)
+    blocks = np.ndarray((len(buf) + 1,), "<u8", buf.tobytes() + bytes(8), 0, (1,))  # the block that starts at each byte
+    seed = mix(np.array([salt * 2 + 1], np.uint64))
+    key = mix(np.arange(1, int(length.max()) // 8 + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seed)
+    total = mix((blocks[starts] & _MASK[np.minimum(length, 8)]) ^ key[0])
+    far = np.flatnonzero(length > 8)
+    if len(far):
+        times = (length[far] - 1) // 8  # blocks behind the first
+        first = np.r_[0, np.cumsum(times)[:-1]]
+        place = np.arange(int(times.sum())) - np.repeat(first, times) + 1
+        rest = np.repeat(length[far], times) - 8 * place
+        more = mix((blocks[np.repeat(starts[far], times) + 8 * place] & _MASK[np.minimum(rest, 8)]) ^ key[place])
+        total[far] += np.add.reduceat(more, first)
+    return mix(total + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + seed)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -118,12 +120,17 @@ def shingle_hashes(words: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndar
     return out, owner
 
 
-def shingle_sets(texts: pa.Array, n: int, lower: bool = True) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each document, in order; empty without words."""
+def shingle_runs(texts: pa.Array, n: int, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of every segment the number of documents, the hashes of all their shingles, and each one's document."""
     for first, last, buf, offsets in segments(texts):
         buf = LOWER[buf] if lower else buf
         starts, ends, docs = word_bounds(buf, offsets)
-        hashes, owner = shingle_hashes(span_hashes(buf, starts, ends), docs, n)
-        cut = np.searchsorted(owner, np.arange(last - first + 1))
-        for i in range(last - first):
+        yield last - first, *shingle_hashes(span_hashes(buf, starts, ends), docs, n)
+
+
+def shingle_sets(texts: pa.Array, n: int, lower: bool = True) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each document, in order; empty without words."""
+    for size, hashes, owner in shingle_runs(texts, n, lower):
+        cut = np.searchsorted(owner, np.arange(size + 1))
+        for i in range(size):
             yield np.unique(hashes[cut[i] : cut[i + 1]])

@@ -109,3 +109,41 @@ def test_tree_finds_all_components():
                 if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both) and plain[i] != plain[j]:
                     plain = [min(plain[i], plain[j]) if x in (plain[i], plain[j]) else x for x in plain]
         assert len(set(zip(label.tolist(), plain, strict=True))) == len(set(plain)) == len(set(label.tolist()))
+
+
+def thue(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t[:n]
+
+
+def test_letters_that_cancel_out_do_not_collide(spark):
+    one = thue(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{one} x y"), (2, f"{two} x y"), (3, one), (4, two), (5, f"{one}  X y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    members, _ = J.similar_documents(df, 3, 9, 10)
+    assert sorted((x.doc_id, x.component_id) for x in members.collect()) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 1)]
+
+
+def test_clashing_ids_with_different_texts(spark):
+    a, b, c = ("a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z 1 2 3 4")
+    rows = [(4, a, 1), (4, b, 2), (4, a.upper(), 3), (7, b, 4), (2, c, 5), (9, c, 6), (4, c, 7), (8, "", 8), (8, None, 9), (4, a, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th int").repartition(3)
+    members, _ = J.similar_documents(df, 3, 8, 10)
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in members.collect())
+    assert got == sorted([(4, 8, 4), (4, 8, 4), (4, 8, 4), (4, 8, 4), (7, 8, 4), (2, 8, 2), (9, 8, 2), (4, 8, 2), (8, 0, 8), (8, 0, 8)])
+    kept = J.one_of_each(df, 3, 8, 10)
+    assert kept.columns == df.columns
+    texts = sorted((x.doc_id, (x.text or "").lower()) for x in kept.collect())
+    assert texts == sorted([(4, a), (4, b), (2, c), (8, ""), (8, "")])
+
+
+def test_long_runs_of_a_token_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(J, "RUN", 8)
+    monkeypatch.setattr(J, "MAPS", 16)
+    monkeypatch.setattr(J, "HOT", 4)
+    for seed, n, num, den in ((5, 3, 9, 10), (6, 2, 1, 2)):
+        rows = corpus(seed, 250)
+        assert run(spark, rows, n, num, den)[1] == brute(rows, n, num, den)

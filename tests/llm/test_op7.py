@@ -59,3 +59,13 @@ def test_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     expected = sorted(con.execute(OP7_SQL).fetchall())
     assert sorted((x.doc_id, x.n_lines, x.n_dropped, x.kept_sha256) for x in op7_line_dedup(spark, SF).collect()) == expected
+
+
+def test_letters_that_cancel_out_do_not_collide(spark):
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(i, one) for i in range(4)] + [(9, two)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((x.doc_id, x.text) for x in dedup_lines(df).collect()) == rows
