@@ -2,7 +2,8 @@
 
 Conversations come in many layouts: a row a turn, message lists, prompt and response, instruction and output. The known nested field paths that a
 table's schema or a JSON record has are hashed to a fingerprint, and the fingerprint selects a declarative mapping to canonical turns (role,
-text). Records of an unknown fingerprint keep their row, with a null layout and no turns.
+text). A list has the paths that any of its elements has, so a message without a role or text is an empty one, not another layout. Records of an
+unknown fingerprint keep their row, with a null layout and no turns.
 
 The template opens a turn with ``<|im_start|>``, its role (percent-encoded) and a line feed, and closes it with ``<|im_end|>`` and a line feed. In
 texts a backslash becomes two, and one is put behind the first character of every control string, so that no control string is left and texts
@@ -43,6 +44,7 @@ _WITH_INPUT = "array(named_struct('role', 'user', 'text', concat_ws('\\n\\n', va
 RECORDS: tuple[tuple[str, tuple[str, ...], str], ...] = (
     ("messages", ("messages", "messages[].role", "messages[].content"), _messages("messages", "role", "content")),
     ("messages_text", ("messages", "messages[].role", "messages[].text"), _messages("messages", "role", "text")),
+    ("messages_mixed", ("messages", "messages[].role", "messages[].content", "messages[].text"), "transform(variant_get(record, '$.messages', 'array<struct<role:string,content:string,text:string>>'), x -> named_struct('role', x.role, 'text', coalesce(x.content, x.text)))"),
     ("no_messages", ("messages",), "cast(array() AS array<struct<role:string,text:string>>)"),
     ("from_value", ("conversations", "conversations[].from", "conversations[].value"), _messages("conversations", "from", "value")),
     ("no_conversations", ("conversations",), "cast(array() AS array<struct<role:string,text:string>>)"),
@@ -87,7 +89,14 @@ def table_layout(df: DataFrame) -> str:
 def record_fingerprint(record: Column, extra: tuple = ()) -> Column:
     """Fingerprint of the known field paths that a variant has."""
     paths = sorted({p for _, own, _ in (*RECORDS, *extra) for p in own})
-    present = [F.when(F.try_variant_get(record, "$." + p.replace("[]", "[0]"), "variant").isNotNull(), F.lit(p)) for p in paths]
+
+    def has(path: str) -> Column:
+        head, inner, rest = path.partition("[].")
+        if inner:
+            return F.exists(F.try_variant_get(record, f"$.{head}", "array<variant>"), lambda x: F.try_variant_get(x, f"$.{rest}", "variant").isNotNull())
+        return F.try_variant_get(record, f"$.{path}", "variant").isNotNull()
+
+    present = [F.when(has(p), F.lit(p)) for p in paths]
     return F.sha2(F.concat_ws("\n", *present), 256)
 
 

@@ -69,3 +69,16 @@ def test_sql_and_plan(spark):
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(C.OP1_SQL).fetchall())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_messages_that_lack_a_field(spark):
+    rows = [
+        (1, {"messages": [{"role": "user"}, {"role": "assistant", "content": "b"}]}, "messages", [("user", ""), ("assistant", "b")]),
+        (2, {"messages": [{"content": "a"}, {"role": "assistant", "content": None}]}, "messages", [("", "a"), ("assistant", "")]),
+        (3, {"messages": [{"role": "user", "text": "a"}, {"role": "gpt", "content": "b"}]}, "messages_mixed", [("user", "a"), ("assistant", "b")]),
+        (4, {"conversations": [{"from": "human"}, {"from": "gpt", "value": "y"}]}, "from_value", [("user", ""), ("assistant", "y")]),
+        (5, {"messages": [{"role": "user"}]}, None, []), (6, {"messages": "none"}, "no_messages", []), (7, {"messages": []}, "no_messages", []),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x, _, _ in rows], "conv_id long, record string")
+    got = {x.conv_id: (x.layout, [(t.role, t.text) for t in x.turns]) for x in C.turns_of_records(df).collect()}
+    assert got == {i: (layout, turns) for i, _, layout, turns in rows}
