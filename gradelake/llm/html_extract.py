@@ -40,6 +40,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CONTAINER = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form head header li main menu nav ol search section table td th tr ul select button title label span a".split())
 #: Tags whose content is no text, up to their end tag.
 RAW = frozenset("script style noscript template textarea iframe object svg math canvas audio video noembed noframes xmp".split())
+FOREIGN = frozenset("svg math".split())
 DROPPED = frozenset("aside button dialog fieldset footer form head menu nav search select title label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form status toolbar".split())
@@ -108,6 +109,17 @@ def standing(tag: str, attributes: str, now: int, inside_article: bool) -> int:
     return ARTICLE if (tag == "article" or role == "article") and now != ALIEN else now
 
 
+def raw_end(page: str, tag: str, at: int, closed: bool) -> int:
+    """Where the content of a tag like script ends whose start tag ends at ``at``. A slash in the start tag closes foreign elements only; on others
+    it tells nothing, unless no end tag follows, or another start tag of the kind comes first."""
+    if closed and tag in FOREIGN:
+        return at
+    close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+    if closed and (close is None or re.compile(rf"<{tag}(?=[\s/>])", re.I).search(page, at, close.start())):
+        return at
+    return close.end() if close else len(page)
+
+
 class Block:
     __slots__ = ("linked", "place", "text")
 
@@ -146,9 +158,7 @@ def blocks(page: str) -> list[Block]:
             break  # the page ends inside this tag
         tag = tag.lower()
         if tag in RAW and not m[1]:
-            if not m[3].endswith("/"):
-                close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+            at = raw_end(page, tag, at, m[3].endswith("/"))
             text.append(" ")
             continue
         if tag == "br" or tag in ("td", "th"):

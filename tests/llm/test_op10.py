@@ -90,3 +90,13 @@ def test_links_in_articles():
     page = "<nav><a href=x>Home</a></nav><article><h1><a href=x>Title</a></h1><p>Text</p><ul><li><a href=x>One</a><li><a href=y>Two</a></ul><nav><a href=z>Next</a></nav></article><div><a href=x>Out</a></div>"
     assert extract(page) == "Title\n\nText\n\nOne\n\nTwo"
     assert extract("<nav><a href=x>Home</a></nav><article><h1><a href=x>Title</a></h1></article><footer>f</footer>") == "Title"
+
+
+def test_a_slash_does_not_close_a_script():
+    body = "<article><p>One is the text of it.</p>{}<p>Two is the text of it.</p></article>"
+    both, one = "One is the text of it.\n\nTwo is the text of it.", "One is the text of it."
+    for inner, expected in (
+        ('<script src="a"/>var x=1</script>', both), ('<script src="a"></script>', both), ('<script src="a"/>', both), ("<SCRIPT/ >var x=1</script >", both), ("<style/>p{}</style>", both),
+        ('<script src="a"/><script>var x=1</script>', both), ("<svg/>", both), ("<svg><text>x</text></svg>", both), ("<script>never closed", one), ("<iframe src='x'/>", both),
+    ):
+        assert extract(body.format(inner)) == expected, inner
