@@ -42,13 +42,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def read(path: str) -> bytes:
+    source, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    with source.open_input_stream(inner) as f:
+        return f.read()
+
+
 class Bpe:
-    """Encoder and decoder for a byte-level BPE vocabulary file."""
+    """Encoder and decoder for a byte-level BPE vocabulary, from a file's path or its bytes."""
 
-    def __init__(self, path: str) -> None:
-        source, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-        with source.open_input_stream(inner) as f:
-            spec = json.loads(f.read())
+    def __init__(self, vocabulary: str | bytes) -> None:
+        spec = json.loads(vocabulary if isinstance(vocabulary, bytes) else read(vocabulary))
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
         raw = {token: bytes(alphabet[c] for c in token) for token in vocab}
@@ -186,18 +190,21 @@ class Bpe:
 
 
 @lru_cache(2)
-def bpe(path: str) -> Bpe:
-    return Bpe(path)
+def bpe(vocabulary: bytes) -> Bpe:
+    return Bpe(vocabulary)
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, with the ids themselves (array) if asked for. Ties do not occur."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, with the ids themselves (array) if asked for. Ties do not occur.
+
+    The vocabulary file is read by the driver and broadcast (a few MB, as large as the file), so that executors need not have its folder."""
+    shared = docs.sparkSession.sparkContext.broadcast(read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(path)
+        coder = bpe(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -52,3 +52,10 @@ def test_rows(spark):
     assert all(r.n_tokens == 0 and r.ids_sha256 == nothing == r.decoded_sha256 for r in got if r.doc_id in (1, 2))
     assert all(r.decoded_sha256 == hashlib.sha256(b"the cat").hexdigest() and len(r.ids) == r.n_tokens for r in got if r.doc_id == 3)
     assert encode_documents(df.limit(0), vocabulary()).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a" * 20_000, "ab" * 15_000, "é😀" * 8_000, "x1y2" * 10_000, " " * 20_000 + "end", "long words and " * 20_000, "𝔘nicode\n" * 5_000, "=" * 30_001], ids=range(8))
+def test_long_texts(coder, public, text):
+    ids = np.frombuffer(coder.encode(text), "<u4")
+    assert ids.tolist() == public.encode(text, add_special_tokens=False).ids
+    assert coder.decode(ids) == public.decode(ids.tolist(), skip_special_tokens=False)
