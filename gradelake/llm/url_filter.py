@@ -4,9 +4,9 @@ Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-ca
 empty. A rule (host and path) fits its host and all subdomains if the URL's path starts with the rule's; the longest fitting rule wins and
 decides. Other URLs are blocked if their canonical form (host and path without a trailing slash) is listed, and allowed otherwise.
 
-The list becomes a blocked Bloom filter: a key has all its bits in one block of 8 longs, so a probe is one lookup. It has at most MAX_BLOCKS
-blocks (64 bytes each), whatever the list's size, and is broadcast; a fuller filter lets more URLs pass to the exact join, and never
-changes a verdict. Only URLs that pass are joined, by hash, with the distinct listed ones; Spark splits a skewed side of that join.
+The list becomes a blocked Bloom filter: a key has all its bits in one block of 8 longs, so a probe is one lookup. It grows with the list up to
+MAX_BLOCKS blocks (64 bytes each, 32 MB) and is broadcast. That holds 16 million keys at KEYS_PER_BLOCK; a longer list fills it further (at 64
+million keys about a quarter of the other URLs pass), which lets more URLs pass to the exact join, and never changes a verdict. Only URLs that pass are joined, by hash, with the distinct listed ones; Spark splits a skewed side of that join.
 
 Rows: a null URL has an empty host and path, fits no rule, and is allowed unless the empty URL is listed. Listed nulls are ignored. Repeated rows
 are judged alike. Rules of one length that fit the same URL are told apart by their text. Extra columns are ignored.
@@ -17,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BLOCKS, KEYS_PER_BLOCK, WORDS, PROBES = 1 << 17, 32, 8, 4
+from gradelake.llm.shared import cut
+
+MAX_BLOCKS, KEYS_PER_BLOCK, WORDS, PROBES = 1 << 19, 32, 8, 4
 A_Z, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -46,11 +48,11 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 def bloom(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
     """(block, w0 .. w7) of a blocked Bloom filter of the distinct keys, and its number of blocks."""
-    blocks = 1
-    while blocks * KEYS_PER_BLOCK < keys.count() and blocks < MAX_BLOCKS:
+    count, blocks = keys.count(), 1
+    while blocks * KEYS_PER_BLOCK < count and blocks < MAX_BLOCKS:
         blocks *= 2
     words = [F.bit_or(w).alias(f"w{i}") for i, w in enumerate(masks(F.col(key)))]
-    return keys.groupBy(block_of(F.col(key), blocks).alias("block")).agg(*words), blocks
+    return cut(keys.groupBy(block_of(F.col(key), blocks).alias("block")).agg(*words)), blocks
 
 
 def block_of(key: Column, blocks: int) -> Column:
@@ -76,7 +78,7 @@ def _bit(b: Column) -> Column:
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page; ``listed`` has canonical URLs in column key."""
-    listed = listed.where("key IS NOT NULL").select("key").distinct()
+    listed = cut(listed.where("key IS NOT NULL").select("key").distinct())
     filled, blocks = bloom(listed, "key")
     base = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
