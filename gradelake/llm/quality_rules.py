@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.shared import cut
+from gradelake.llm.shared import cut, stored
 
 MIN_WORDS, REPEAT_SHARE, WINDOW = 20, 30, 8
 SYMBOL_SHARE, DUP_LINE_SHARE, MEAN_CHARS = 100, 30, (2, 15)
@@ -132,11 +132,15 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The kept rows of docs with all their columns. Texts are measured twice, for hosts and for documents, rather than written in between."""
-    hosts = host_rates(measure(docs, [F.col("source")]), "k0")
-    rejected = cut(rejected_hosts(cut(hosts)))
+    """The kept rows of docs with all their columns. Texts are measured once: the rows that pass their base rules wait in the shared folder for the verdicts on hosts."""
     row = F.struct(*[docs[c] for c in docs.columns])
-    judged = join_hosts(measure(docs, [row]).where(~base_failed()).select(F.col("k0").alias("row")), F.col("row.source"), rejected)
+    measured = measure(docs, [row]).withColumns({"host": F.col("k0.source"), "base_failed": base_failed()})
+    fails = [F.when(test, 1).otherwise(0).alias(f"f_{rule}") for rule, test in failures().items()]
+    measured = stored(measured.select("host", *fails, F.when(~F.col("base_failed"), F.col("k0")).alias("row")), "measured")
+    sums = [F.sum(f"f_{rule}").alias(f"f_{rule}") for rule in RULES]
+    hosts = measured.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("n"), *sums)
+    rejected = cut(rejected_hosts(cut(hosts)))
+    judged = join_hosts(measured.where("row IS NOT NULL").select("row"), F.col("row.source"), rejected)
     return judged.where("host_rule IS NULL").select("row.*")
 
 
