@@ -9,10 +9,10 @@ from gradelake.llm.line_dedup import OP7_SQL, op7_line_dedup
 from gradelake.llm.ordinal_quality import op9_quality_classifier
 from gradelake.llm.quality_rules import OP2_SQL, op2_quality_rules
 from gradelake.llm.url_filter import OP8_SQL, op8_url_filter
-from gradelake.llm.warc import op5_warc_normaliser
+from gradelake.llm.warc import OP5_SQL, op5_warc_normaliser
 
 QUERIES = {
     f.__name__: f
     for f in (op1_chat_format, op2_quality_rules, op3_ngram_jaccard_join, op4_bpe_encode_decode, op5_warc_normaliser, op6_benchmark_decontamination, op7_line_dedup, op8_url_filter, op9_quality_classifier, op10_html_extraction)
 }
-SQL = {"op1_chat_format": OP1_SQL, "op2_quality_rules": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
+SQL = {"op1_chat_format": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_warc_normaliser": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}

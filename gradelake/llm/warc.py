@@ -3,13 +3,15 @@
 ``write_archives`` writes pages as WARC/1.1 records into whole-file gzip streams, a file a task: a response record with the page as its
 payload, or a revisit record where an equal payload is held by a page of a larger page_id. ``normalise`` inflates such a stream once,
 rewrites every record as a gzip member of its own and writes a sidecar index of offsets. ``read_archives`` reads records through the index.
+Archives of others are read too: field names in any case, any record id and type, folded fields, other digests, empty lines between records.
 
 Files lie in a folder of the shared checkpoint folder. Each is written under a name of its own and moved into place when complete, so
 a task that runs again (a lost executor, speculation) replaces it by the same; inflating and rewriting hold one record at a time.
 
 Rows: a null html is an empty payload; a null url writes no target. Of rows with an equal payload those of the largest page_id are
 responses (repeated rows all), the others revisit it; a null page_id is smaller than every other and is read back as null, and a
-payload held by null page_ids only is a response in each. An empty table writes no record. Other columns are ignored.
+payload held by null page_ids only is a response in each. An empty table writes no record. Other columns are ignored. Zero bytes behind a gzip
+member are padding; a stream that ends inside a member or a record, or goes on with anything else, is an error, never a shorter result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from gradelake.llm.textcore import column
 
 #: Compression levels of the whole-file streams and of the normalised members; bytes read at a time.
 FAST, MEMBER, PIECE = 1, 3, 1 << 20
-#: Repeated payloads (40 bytes each) whose table is broadcast; more of them are joined by shuffling.
+#: Repeated payloads (40 bytes each) whose table is broadcast; of more, those of most copies are, and the others are joined by shuffling.
 SMALL = 100_000
 
 
@@ -55,22 +57,45 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def fields_of(head: bytes) -> tuple[str, dict[str, str]]:
+    """The first line of a head, and its fields by lower-case name (of a repeated one the first); a line that starts with a blank goes on with the field before."""
+    first, *lines = re.sub(rb"\r?\n[ \t]+", b" ", head).decode("utf-8", "replace").splitlines()
+    fields: dict[str, str] = {}
+    for line in lines:
+        name, _, value = line.partition(":")
+        fields.setdefault(name.strip().lower(), value.strip())
+    return first, fields
+
+
+def stated_digest(text: str) -> str | None:
+    """A SHA-1 digest in upper-case base32, from base32 or base16; null for other digests."""
+    name, _, value = text.partition(":")
+    if name.strip().lower() != "sha1":
+        return None
+    return base64.b32encode(bytes.fromhex(value)).decode() if re.fullmatch("[0-9A-Fa-f]{40}", value) else value.upper()
+
+
 def parse(raw: bytes) -> dict:
-    """Page id, payload length and digest, type and reference of one record."""
+    """Ids, target, payload length and digest, type and reference of one record. Where a record does not state a digest, a response gets its payload's."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/"):
-        raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-    fields = dict(x.split(": ", 1) for x in lines[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    kind = fields["WARC-Type"]
-    stated = int(re.search(rb"Content-Length: (\d+)", http)[1])
+    version, fields = fields_of(head)
+    if not version.startswith("WARC/"):
+        raise ValueError(f"not a WARC record: {version[:40]!r}")
+    block, kind = rest[: int(fields["content-length"])], fields.get("warc-type", "").lower()
+    http, payload, size = {}, block, len(block)
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        top, _, payload = block.partition(b"\r\n\r\n")
+        http, size = fields_of(top)[1], len(payload)
+    if kind == "revisit":
+        size = int(http["content-length"]) if http.get("content-length", "").isdecimal() else None
+    told = stated_digest(fields.get("warc-payload-digest", ""))
     page = lambda x: int(m[1]) if (m := re.search(r"<urn:page:(-?\d+)>", x)) else None
-    found = {"page_id": page(fields["WARC-Record-ID"]), "record_type": kind, "refers_to": page(fields.get("WARC-Refers-To", "")), "payload_bytes": stated, "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:")}
-    if kind == "response" and (len(payload) != stated or digest(payload) != found["payload_digest"]):
-        raise ValueError(f"the payload of page {found['page_id']} does not have its stated length and digest")
-    return found
+    own = fields.get("warc-record-id", "")
+    if "<urn:page:" in own and kind == "response" and (http.get("content-length") != str(size) or digest(payload) != told):
+        raise ValueError(f"the payload of page {page(own)} does not have its stated length and digest")
+    if told is None and kind != "revisit":
+        told = digest(payload)
+    return {"page_id": page(own), "payload_bytes": size, "payload_digest": told, "record_type": kind, "refers_to": page(fields.get("warc-refers-to", "")), "record_id": own.strip("<>"), "target_uri": fields.get("warc-target-uri")}
 
 
 class Output:
@@ -92,34 +117,57 @@ class Output:
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """The bytes of a gzip file, of one member or many."""
-    engine = zlib.decompressobj(31)
-    while piece := stream.read(PIECE):
-        while piece:
-            yield engine.decompress(piece)
-            piece = engine.unused_data if engine.eof else b""
-            if engine.eof:
-                engine = zlib.decompressobj(31)
+    """The bytes of a gzip file, of one member or many, in pieces of bounded size."""
+    engine = None
+    try:
+        while piece := stream.read(PIECE):
+            while piece:
+                if engine is None:
+                    piece = piece.lstrip(b"\0")
+                    if not piece:
+                        break
+                    engine = zlib.decompressobj(31)
+                yield engine.decompress(piece, PIECE)
+                piece = engine.unused_data if engine.eof else engine.unconsumed_tail
+                if engine.eof:
+                    engine = None
+        if engine is not None:
+            yield engine.flush()
+    except zlib.error as e:
+        raise ValueError("the archive holds what is no gzip member") from e
+    if engine is not None and not engine.eof:
+        raise ValueError("the archive ends inside a gzip member")
+
+
+LENGTH = re.compile(rb"\r\ncontent-length[ \t]*:[ \t]*(\d+)", re.I)
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
     """Whole records of an inflated stream, by their stated lengths."""
     held = bytearray()
-    need, head = None, -1
+    need, searched = None, 0
     for piece in pieces:
         held += piece
         while True:
             if need is None:
-                head = held.find(b"\r\n\r\n")
+                blank = len(held) - len(held.lstrip(b"\r\n"))
+                if blank:
+                    del held[:blank]
+                    searched = 0
+                head = held.find(b"\r\n\r\n", max(0, searched - 3))
+                searched = len(held)
                 if head < 0:
                     break
-                need = head + 4 + int(re.search(rb"\r\nContent-Length: (\d+)", held[:head])[1]) + 4
+                length = LENGTH.search(held[:head])
+                if length is None:
+                    raise ValueError("a record does not state its length")
+                need = head + 4 + int(length[1]) + 4
             if len(held) < need:
                 break
             yield bytes(held[:need])
             del held[:need]
-            need = None
-    if held:
+            need, searched = None, 0
+    if held.strip(b"\r\n"):
         raise ValueError("the archive ends inside a record")
 
 
@@ -127,9 +175,14 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> list[st
     """Names of the monolithic archives made of page_id, url and html. Payloads under min_bytes are never revisits."""
     html = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), html.alias("html"), F.unhex(F.sha1(html)).alias("key"))
-    repeated = cut(pages.where(F.octet_length("html") >= min_bytes).groupBy("key").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "largest"))
-    known = F.broadcast(repeated) if repeated.count() <= SMALL else repeated
-    rows = pages.join(known, "key", "left").select("page_id", "url", "html", "largest")
+    repeated = cut(pages.where(F.octet_length("html") >= min_bytes).groupBy("key").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    if repeated.count() <= SMALL:
+        rows = pages.join(F.broadcast(repeated), "key", "left").select("page_id", "url", "html", "largest")
+    else:  # the payloads of most copies are broadcast, so that none of the others is a hot key of the shuffle
+        hot = cut(repeated.orderBy(F.desc("n"), "key").limit(SMALL))
+        rows = pages.join(F.broadcast(hot), "key").select("page_id", "url", "html", "largest")
+        others = pages.join(F.broadcast(hot.select("key")), "key", "left_anti").join(repeated, "key", "left")
+        rows = rows.union(others.select("page_id", "url", "html", "largest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
@@ -175,7 +228,7 @@ def normalise(spark: SparkSession, source: str, names: list[str], folder: str) -
     return cut(tasks.mapInArrow(run, "name string, n long"))
 
 
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string"
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
@@ -183,7 +236,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, path = filesystem(folder)
-        fields = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+        fields = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("target_uri", pa.string())])
         for batch in batches:
             for name in column(batch, "name").to_pylist():
                 rows: list[dict] = []
@@ -215,4 +268,16 @@ def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), 0)
+    return archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), 0).drop("record_id", "target_uri")
+
+
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS largest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS abc FROM p),
+e AS (SELECT *, [CAST('0x' || substr(hex, 1 + 5 * i, 5) AS INTEGER) FOR i IN range(8)] AS parts FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string([abc[1 + (v >> 15)] || abc[1 + ((v >> 10) & 31)] || abc[1 + ((v >> 5) & 31)] || abc[1 + (v & 31)] FOR v IN parts], '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM e
+"""
