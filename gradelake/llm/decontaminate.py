@@ -10,13 +10,20 @@ ones lie on diagonals no further apart than k. Shared q-grams are therefore coun
 of the item; windows that meet the bound are either equal to the text or verified by a banded alignment. The filter loses nothing; the
 alignment lets no false window pass.
 
-Rows: a null or empty text is never contaminated. Repeated rows are judged alike, one result each. Items without text, or of fewer than
-MIN_ITEM normalised bytes, are no evidence and match nothing. With an empty benchmark all documents are clean. Other columns are
-carried along by ``decontaminate``, whatever their names. Documents stay where they are: there is no shuffle.
+Items of fewer than MIN_ITEM normalised bytes, which common words would match, contaminate the documents that consist of them and of nothing else.
+
+The benchmark is dealt into parts of about PASS_CHARS bytes; executors make each part's table of q-grams and write it into the shared folder. A task
+goes through the parts one after another and holds at most HELD_BYTES of them, so nothing of the benchmark is collected or broadcast.
+
+Rows: a null or empty text is never contaminated. Repeated rows are judged alike, one result each. Items without a letter or digit are no
+evidence and match nothing; repeated items count once. With an empty benchmark all documents are clean. Other columns are
+carried along by ``decontaminate``, whatever their names. Documents stay where they are: there is no shuffle of them.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradelake.llm.shared import filesystem, fresh_dir, grouped, release, write_file
 from gradelake.llm.textcore import column, segments
 
 Q = 8  # one q-gram fills a 64-bit integer, so q-grams are compared exactly
@@ -31,8 +39,10 @@ Q = 8  # one q-gram fills a 64-bit integer, so q-grams are compared exactly
 WINDOW, STRIDE, MIN_ITEM, ERRORS = 50, 1, 24, 0.08
 #: Windows that are aligned together.
 ALIGNED = 8_192
-#: Benchmark characters that one pass broadcasts; a larger benchmark takes more passes.
-PASS_CHARS = 1_000_000
+#: Benchmark bytes of a part (about 50 bytes of tables each), and bytes of parts that a worker holds at a time.
+PASS_CHARS, HELD_BYTES = 1_000_000, 256 << 20
+#: Places of q-grams in documents and items that are looked at together; more only where one document and one item alone have them.
+EXPANDED = 4_000_000
 
 PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[65:91] += 32
@@ -96,11 +106,14 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int | None, str | None]], errors: float = ERRORS) -> None:
         self.ids, texts, owner, span = [i for i, _ in items], [], [], []
+        self.short: dict[bytes, list[int]] = {}
         for n, (_, text) in enumerate(items):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             plain, _ = normalise(raw, np.array([0, len(raw)]))
             plain = plain[:-1] if len(plain) and plain[-1] == 32 else plain
             if len(plain) < MIN_ITEM:
+                if len(plain):
+                    self.short.setdefault(plain.tobytes(), []).append(n)
                 continue
             for length in {min(len(plain), WINDOW), len(plain) if len(plain) < 2 * WINDOW else WINDOW}:
                 texts.append(plain)
@@ -111,7 +124,7 @@ class Benchmark:
         self.start = np.r_[0, np.cumsum(self.size)].astype(np.int64)
         self.bytes = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
         self.budget = np.floor(errors * self.span).astype(np.int64)
-        self.least = np.maximum(1, self.span - Q + 1 - self.budget * Q)
+        self.least = self.span - Q + 1 - self.budget * Q
         self.step = self.budget + 1  # bands are twice as wide, so any two diagonals within the budget share one
         grams = [qgrams(x) for x in texts]
         gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -121,6 +134,7 @@ class Benchmark:
         gram, self.entry, self.place = gram[order], entry[order], place[order]
         self.grams, self.first = np.unique(gram, return_index=True)
         self.count = np.diff(np.r_[self.first, len(gram)])
+        self.key = np.repeat(np.arange(len(self.grams)), self.count) * len(self.size) + self.entry
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self._slot(self.grams)] = True
 
@@ -132,6 +146,9 @@ class Benchmark:
         """For each document the item (its place in ``ids``) of every separate stretch of an item that windows found in it cover."""
         out: list[list[int]] = [[] for _ in range(len(offsets) - 1)]
         buf, offsets = normalise(buf, offsets)
+        if self.short:
+            for d in np.flatnonzero(np.diff(offsets) <= MIN_ITEM).tolist():
+                out[d] += self.short.get(buf[offsets[d] : offsets[d + 1]].tobytes().rstrip(b" "), [])
         grams = qgrams(buf)
         if not len(grams) or not len(self.grams):
             return out
@@ -142,35 +159,65 @@ class Benchmark:
         doc = np.searchsorted(offsets, at, side="right") - 1
         inside = at + Q <= offsets[doc + 1]
         at, slot, doc = at[inside], slot[inside], doc[inside]
-        if not len(at):
+        found = [self._windows(buf, offsets, at[i:j], slot[i:j], doc[i:j], a, b) for i, j, a, b in self._portions(slot, doc)]
+        if not found:
             return out
-        times = self.count[slot]
-        row = np.repeat(self.first[slot] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+        doc, entry, begin = (np.concatenate(x) for x in zip(*found, strict=True))
+        end, item = begin + self.span[entry], self.owner[entry]
+        order = np.lexsort((begin, item, doc))
+        last = (-1, -1, -1)
+        for d, n, b, e in zip(doc[order].tolist(), item[order].tolist(), begin[order].tolist(), end[order].tolist(), strict=True):
+            if (d, n) != last[:2] or b > last[2]:
+                out[d].append(n)
+                last = (d, n, e)
+            else:
+                last = (d, n, max(e, last[2]))
+        return out
+
+    def _portions(self, slot: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Hits (from, to) of whole documents and entries (from, to) whose places together are about EXPANDED."""
+        total = np.r_[0, np.cumsum(self.count[slot])]
+        border = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), len(doc)] if len(doc) else np.zeros(1, np.int64)
+        i = 0
+        while i < len(border) - 1:
+            j = max(i + 1, int(np.searchsorted(total[border], total[border[i]] + EXPANDED, side="right")) - 1)
+            first, last, size = int(border[i]), int(border[j]), int(total[border[j]] - total[border[i]])
+            if size <= EXPANDED:
+                yield first, last, 0, len(self.size)
+            else:  # one document with very many places
+                own, times = np.unique(slot[first:last], return_counts=True)
+                weight = np.zeros(len(self.size))
+                for s, t in zip(own.tolist(), times.tolist(), strict=True):
+                    weight += t * np.bincount(self.entry[self.first[s] : self.first[s] + self.count[s]], minlength=len(self.size))
+                step, a = np.cumsum(weight), 0
+                while a < len(self.size):
+                    b = max(a + 1, int(np.searchsorted(step, (step[a - 1] if a else 0) + EXPANDED, side="right")))
+                    yield first, last, a, b
+                    a = b
+            i = j
+
+    def _windows(self, buf: np.ndarray, offsets: np.ndarray, at: np.ndarray, slot: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, entry and start of the windows of the entries from low to high that are found."""
+        if (low, high) == (0, len(self.size)):
+            first, times = self.first[slot], self.count[slot]
+        else:
+            first = np.searchsorted(self.key, slot * len(self.size) + low)
+            times = np.searchsorted(self.key, slot * len(self.size) + high) - first
+        row = np.repeat(first - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
         entry, place, doc = self.entry[row], self.place[row], np.repeat(doc, times)
         group, diagonal = doc * len(self.size) + entry, np.repeat(at, times) - place
         groups, group, count = np.unique(group, return_inverse=True, return_counts=True)
         enough = count[group] >= self.least[entry]
         group, diagonal, place, entry = group[enough], diagonal[enough], place[enough], entry[enough]
         if not len(group):
-            return out
+            return (np.zeros(0, np.int64),) * 3
         wide = int(self.size.max()) + 1  # window = group * wide + start in the item
         equal = self._equal(group, diagonal, place, entry, wide)
         window, band = self._likely(group, diagonal, place, entry, wide)
         open_ = ~np.isin(window, equal)
         window, band = window[open_], band[open_]
         found = np.unique(np.r_[equal, window[self._verify(buf, offsets, groups[window // wide], window % wide, band)]])
-        doc, entry = np.divmod(groups[found // wide], len(self.size))
-        begin = found % wide
-        end, item = begin + self.span[entry], self.owner[entry]
-        order = np.lexsort((begin, item, doc))
-        last = (-1, -1, -1)
-        for d, n, b, e in zip(doc[order].tolist(), item[order].tolist(), begin[order].tolist(), end[order].tolist(), strict=True):
-            if (d, n) != last[:2] or b > last[2]:
-                out[d].append(n)
-                last = (d, n, e)
-            else:
-                last = (d, n, max(e, last[2]))
-        return out
+        return *np.divmod(groups[found // wide], len(self.size)), found % wide
 
     def _equal(self, group: np.ndarray, diagonal: np.ndarray, place: np.ndarray, entry: np.ndarray, wide: int) -> np.ndarray:
         """Windows all of whose q-grams lie on one diagonal."""
@@ -220,12 +267,59 @@ class Benchmark:
         return out
 
 
-def passes(benchmark: DataFrame, errors: float) -> list[Benchmark]:
-    """The benchmark in as many parts as PASS_CHARS asks for; an empty list without items."""
-    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = -(-chars // PASS_CHARS)
-    part = F.pmod(F.xxhash64("text"), F.lit(max(1, parts)))
-    return [Benchmark([(x[0], x[1]) for x in benchmark.where(part == n).select("item_id", "text").orderBy("item_id", "text").collect()], errors) for n in range(parts)]
+def build(benchmark: DataFrame, errors: float) -> tuple[str, int]:
+    """The folder of the benchmark's parts, and their number (0 without items)."""
+    if any(n - Q + 1 - int(errors * n) * Q < 1 for n in range(MIN_ITEM, 2 * WINDOW)):
+        raise ValueError(f"with {errors} edits a character windows need not share a q-gram, so the filter would lose some")
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    parts = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PASS_CHARS)
+    folder = fresh_dir(benchmark.sparkSession, "benchmark")
+    if not parts:
+        return folder, 0
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, ["part"]):
+            name = table["part"][0].as_py()
+            made = Benchmark(list(zip(table["item_id"].to_pylist(), table["text"].to_pylist(), strict=True)), errors)
+            write_file(folder, f"{name}.part", pickle.dumps(made, protocol=5))
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([table.num_rows], pa.int64())], ["part", "n"])
+
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")).repartition(parts, "part").sortWithinPartitions("part", "item_id", "text")
+    dealt.mapInArrow(write, "part int, n long").agg(F.sum("n")).first()
+    return folder, parts
+
+
+class Parts:
+    """The parts of a folder, held within HELD_BYTES."""
+
+    def __init__(self, folder: str, parts: int) -> None:
+        self.source, self.path = filesystem(folder)
+        self.names = [f"{self.path}/{n}.part" for n in range(parts)]
+        self.held: OrderedDict[str, tuple[Benchmark | None, int]] = OrderedDict()
+
+    def load(self, name: str) -> Benchmark | None:
+        if name not in self.held:
+            raw = b""
+            if self.source.get_file_info(name).is_file:
+                with self.source.open_input_stream(name) as f:
+                    raw = f.read()
+            while self.held and sum(n for _, n in self.held.values()) + len(raw) > HELD_BYTES:
+                self.held.popitem(last=True)  # the parts come round in one order, so those held longest are needed first
+            self.held[name] = (pickle.loads(raw) if raw else None, len(raw))
+        return self.held[name][0]
+
+    def find(self, texts: pa.Array) -> tuple[list[set[int]], list[int]]:
+        """The items found in each text (those with an id), and the number of separate stretches."""
+        ids, n = [set() for _ in range(len(texts))], [0] * len(texts)
+        for name in self.names:
+            part = self.load(name)
+            if part is None:
+                continue
+            for first, _, buf, offsets in segments(texts):
+                for i, found in enumerate(part.find(buf, offsets), first):
+                    n[i] += len(found)
+                    ids[i].update(part.ids[x] for x in found if part.ids[x] is not None)
+        return ids, n
 
 
 REPORT = "doc_id long, contaminated boolean, item_ids array<long>, n_regions long"
@@ -233,40 +327,27 @@ REPORT = "doc_id long, contaminated boolean, item_ids array<long>, n_regions lon
 
 def contamination(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
     """doc_id, contaminated, item_ids (sorted, distinct) and n_regions (separate stretches of items found) of every row."""
-    context = docs.sparkSession.sparkContext
-    parts = [context.broadcast(p) for p in passes(benchmark, errors)]
-    if not parts:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("contaminated"), F.array().cast("array<long>").alias("item_ids"), F.lit(0).cast("long").alias("n_regions"))
+    folder, parts = build(benchmark, errors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Parts(folder, parts)
         for batch in batches:
-            ids, n = [], []
-            for _, _, buf, offsets in segments(column(batch, "text")):
-                found = [[x.value.ids[n] for n in ns] for x in parts[:1] for ns in x.value.find(buf, offsets)]
-                for x in parts[1:]:
-                    for mine, ns in zip(found, x.value.find(buf, offsets), strict=True):
-                        mine += [x.value.ids[n] for n in ns]
-                ids += [sorted({i for i in x if i is not None}) for x in found]
-                n += map(len, found)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array([x > 0 for x in n], pa.bool_()), pa.array(ids, pa.list_(pa.int64())), pa.array(n, pa.int64())], ["doc_id", "contaminated", "item_ids", "n_regions"])
+            ids, n = known.find(column(batch, "text"))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array([x > 0 for x in n], pa.bool_()), pa.array(map(sorted, ids), pa.list_(pa.int64())), pa.array(n, pa.int64())], ["doc_id", "contaminated", "item_ids", "n_regions"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, REPORT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    context = docs.sparkSession.sparkContext
-    parts = [context.broadcast(p) for p in passes(benchmark, errors)]
-    if not parts:
-        return docs
+    folder, parts = build(benchmark, errors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Parts(folder, parts)
         for batch in batches:
-            clean: list[bool] = []
-            for _, _, buf, offsets in segments(column(batch, "text")):
-                found = [x.value.find(buf, offsets) for x in parts]
-                clean += [not any(x) for x in zip(*found, strict=True)]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            yield batch.filter(pa.array([not x for x in known.find(column(batch, "text"))[1]], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.shared import cut, filesystem, fresh_dir, grouped
+from gradelake.llm.shared import cut, filesystem, fresh_dir, grouped, write_file
 from gradelake.llm.textcore import LOWER, SPACE, column, mix, segments, span_hashes
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -189,12 +188,7 @@ def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             name = table["shard"][0].as_py()
             h1, h2 = (table[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
             raw = Shard(h1, h2, table["n"].to_numpy(), table["keep"].to_numpy()).to_bytes()
-            source, path = filesystem(folder)
-            source.create_dir(path, recursive=True)
-            part = f"{path}/.{uuid.uuid4().hex}"
-            with source.open_output_stream(part) as f:
-                f.write(raw)
-            source.move(part, f"{path}/{name}.npz")
+            write_file(folder, f"{name}.npz", raw)
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([len(h1)], pa.int64())], ["shard", "n"])
 
     made = repeated.withColumn("shard", shard).repartition(max(1, 1 << bits), "shard").sortWithinPartitions("shard").mapInArrow(write, "shard int, n long")

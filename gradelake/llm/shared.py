@@ -58,6 +58,16 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def write_file(folder: str, name: str, raw: bytes) -> None:
+    """A file of a shared folder that appears under its name only when it is complete; a task that runs again replaces it."""
+    source, path = filesystem(folder)
+    source.create_dir(path, recursive=True)
+    part = f"{path}/.{uuid.uuid4().hex}"
+    with source.open_output_stream(part) as f:
+        f.write(raw)
+    source.move(part, f"{path}/{name}")
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys from batches sorted by them; a run may span batches."""
     held: list[pa.RecordBatch] = []

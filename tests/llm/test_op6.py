@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from gradelake.llm import decontaminate as D
 
@@ -59,6 +60,8 @@ def test_brute_force(spark):
         item = r.choice(items[:12])[1]
         piece = item[r.randint(0, 20) :] if r.random() < 0.4 else item
         docs.append((i, words(r, r.randint(0, 20)) + " " + edit(r, piece, r.randint(0, 14)) + " " + words(r, r.randint(0, 20))))
+    other = random.Random(55)
+    docs += [(i, words(other, other.randint(20, 60))) for i in range(100, 125)]
     docs.append((60, words(r, 3000) + " " + items[1][1]))
     expected = brute(docs[:-1], items)
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, contaminated int").repartition(5)
@@ -67,7 +70,7 @@ def test_brute_force(spark):
     got = {x.doc_id: x.item_ids for x in rows}
     assert len(rows) == len(docs) and 1 in got[60]
     assert {i: v for i, v in got.items() if i != 60} == expected
-    assert 10 < sum(map(bool, expected.values())) < 55
+    assert 10 < sum(map(bool, expected.values())) < len(expected) - 25
     clean = D.decontaminate(df, bench)
     assert clean.columns == df.columns
     assert sorted(x.doc_id for x in clean.collect()) == sorted(i for i, v in got.items() if not v)
@@ -156,3 +159,36 @@ def test_excerpts_in_tables(spark):
     assert all((x.contaminated, x.n_regions) == (x.doc_id < 60, int(x.doc_id < 60)) for x in rows)
     clean = D.decontaminate(df, bench)
     assert clean.columns == df.columns and sorted(x.doc_id for x in clean.collect()) == [60, 61]
+
+
+def test_short_items_need_the_whole_document(spark):
+    items = [(1, "Yes, it is!"), (2, "tiny"), (3, "..."), (4, "tiny"), (None, "No")]
+    docs = [(1, "yes it is"), (2, " YES -- it is. "), (3, "yes it is so"), (4, "tiny"), (5, ""), (6, "..."), (7, "no"), (8, None)]
+    got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {x.doc_id: (x.item_ids, x.n_regions) for x in got} == {1: ([1], 1), 2: ([1], 1), 3: ([], 0), 4: ([2, 4], 2), 5: ([], 0), 6: ([], 0), 7: ([], 1), 8: ([], 0)}
+
+
+def test_errors_that_the_filter_cannot_bound(spark):
+    one = spark.createDataFrame([(1, "x" * 60)], "item_id long, text string")
+    with pytest.raises(ValueError):
+        D.decontaminate(spark.createDataFrame([(1, "x")], "doc_id long, text string"), one, errors=0.2)
+
+
+def test_many_places_are_looked_at_in_portions(monkeypatch):
+    r = random.Random(15)
+    items = ["ab" * 60, "a" * 90, "abc" * 40, words(r, 30), "ab" * 30 + words(r, 12), "tail " + "a" * 80]
+    texts = ["ab" * 3000, "a" * 5000 + " " + items[3], "abc" * 500 + "ab" * 500, words(r, 50), items[4], "a" * 5000, "", "abd" * 900]
+    whole = [sorted(x) for x in search(items, texts)]
+    monkeypatch.setattr(D, "EXPANDED", 5_000)
+    assert [sorted(x) for x in search(items, texts)] == whole
+    assert [set(x) for x in whole] == [{n for n, item in enumerate(items) if found(item, x)} for x in texts]
+
+
+def test_long_and_repeated_documents(spark):
+    r = random.Random(16)
+    items = [(i, words(r, 40)) for i in range(6)]
+    long = words(r, 60_000) + " " + items[4][1] + " " + words(r, 60_000)
+    docs = [(1, long), (1, long), (2, words(r, 120_000)), (3, items[2][1]), (3, items[2][1]), (3, "clean")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = D.contamination(df, spark.createDataFrame(items * 2, "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_ids, x.n_regions) for x in got) == [(1, [4], 1), (1, [4], 1), (2, [], 0), (3, [], 0), (3, [2], 1), (3, [2], 1)]
