@@ -7,11 +7,13 @@ Features of a whole text: its distinct words (A-Z lower-cased, outer punctuation
 one of DIMS buckets. A word weighs PRESENT, a character class its share of the words times CLASS. Buckets that fewer than SUPPORT rated texts
 have, or that do not tell the grades apart, get no weight, so long texts do not score by chance.
 
-The model is fitted on at most SAMPLE rated rows, chosen by a hash of their ids; that bound is a parameter. Everything else runs over all
-rows, in Arrow batches without a shuffle, with the weights (4 * DIMS bytes) broadcast.
+The model is fitted on at most SAMPLE rated rows, chosen by a hash of their ids, each with at most FEATURES features, chosen by a hash too (those of
+words, classes and GRAM bytes from all over the text); both bounds are parameters, and what reaches the driver stays under 8 * SAMPLE * FEATURES
+bytes. Everything else runs over all rows and all features, in Arrow batches without a shuffle, with the weights (4 * DIMS bytes) broadcast.
 
 Rows: a null or empty text scores by the intercept alone. Ratings without a document, or null ones, are not used; of several ratings of one id
-each counts. Without any rating, or with ratings of one grade only, the thresholds are the smoothed frequencies. Repeated rows score
+each counts, and so does each text of several of one id, but rows that repeat id, text and grade count once. Equal hashes are told apart by id,
+grade and features. Without any rating, or with ratings of one grade only, the thresholds are the smoothed frequencies. Repeated rows score
 alike. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -24,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradelake.llm.shared import stored
 from gradelake.llm.textcore import LOWER, SPACE, column, mix, segments, span_hashes, word_bounds
 
-DIMS, SAMPLE, GRADES, GRAM = 1 << 18, 8_000, 3, 4
+DIMS, SAMPLE, FEATURES, GRADES, GRAM = 1 << 18, 8_000, 4_096, 3, 4
 STEPS, RATE, RIDGE, SUPPORT, PRESENT, CLASS = 250, 0.3, 1e-4, 5, 0.25, 4.0
 APART = 4.0
 #: Kept are documents of at least this probability of the best grade.
@@ -85,27 +88,34 @@ class Model:
             return
         row = np.repeat(np.arange(len(texts)), [len(i) for i, _ in texts])
         col, val = np.concatenate([i for i, _ in texts]), np.concatenate([v for _, v in texts])
+        pair, place = np.unique(row * DIMS + col, return_inverse=True)  # a text has a bucket once, whatever falls into it
+        row, col, val = pair // DIMS, pair % DIMS, np.bincount(place, val, len(pair))
         well = self.telling(row, col, grades)[col]
         row, col, val = row[well], col[well], val[well]
         balance = len(grades) / (len(np.unique(grades)) * np.bincount(grades, minlength=GRADES)[grades])
         balance = np.sqrt(balance)
         past, past_cuts = np.full(DIMS, 1e-8), np.full(GRADES - 1, 1e-8)
-        n = len(grades)
         for _ in range(STEPS):
-            score = np.bincount(row, val * self.weights[col], n)
-            edges = np.r_[-np.inf, self.cuts, np.inf]
-            high, low = sigmoid(edges[grades + 1] - score), sigmoid(edges[grades] - score)
-            high, low = np.where(grades == GRADES - 1, 1.0, high), np.where(grades == 0, 0.0, low)
-            p = np.maximum(high - low, 1e-12)
-            up, down = high * (1 - high) / p * balance, low * (1 - low) / p * balance
-            slope = np.bincount(col, val * (up - down)[row], DIMS) / n + RIDGE * self.weights
+            slope, rise = self.slopes(row, col, val, grades, balance, self.weights, self.cuts)
             past += slope**2
             self.weights -= RATE * slope / np.sqrt(past)
-            rise = np.array([(down[grades == k + 1].sum() - up[grades == k].sum()) / n for k in range(GRADES - 1)])
             past_cuts += rise**2
             self.cuts = np.sort(self.cuts - 0.1 * rise / np.sqrt(past_cuts))
         self.weights = self.weights.astype(np.float32)
 
+    @staticmethod
+    def slopes(row: np.ndarray, col: np.ndarray, val: np.ndarray, grades: np.ndarray, balance: np.ndarray, weights: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Derivatives of the penalised negative log-likelihood, a mean over texts weighted by balance, by weights and by thresholds."""
+        n = len(grades)
+        score = np.bincount(row, val * weights[col], n)
+        edges = np.r_[-np.inf, cuts, np.inf]
+        high, low = sigmoid(edges[grades + 1] - score), sigmoid(edges[grades] - score)
+        high, low = np.where(grades == GRADES - 1, 1.0, high), np.where(grades == 0, 0.0, low)
+        p = np.maximum(high - low, 1e-12)
+        up, down = high * (1 - high) / p * balance, low * (1 - low) / p * balance
+        slope = np.bincount(col, val * (up - down)[row], DIMS) / n + RIDGE * weights
+        return slope, np.array([(down[grades == k + 1].sum() - up[grades == k].sum()) / n for k in range(GRADES - 1)])
+
     @staticmethod
     def telling(row: np.ndarray, col: np.ndarray, grades: np.ndarray) -> np.ndarray:
         """Buckets whose share of texts differs between lower and higher grades by APART standard errors, at some threshold."""
@@ -128,8 +138,16 @@ class Model:
         return sigmoid(self.cuts[None, :] - score[:, None])
 
 
+def few(cols: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most FEATURES features of a text, those of the least hashes."""
+    if len(cols) <= FEATURES:
+        return cols, vals
+    best = np.sort(np.argsort(mix(cols.astype(np.uint64) + np.uint64(1)), kind="stable")[:FEATURES])
+    return cols[best], vals[best]
+
+
 def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """text and grade of at most ``sample`` rated documents, chosen by a hash of the id."""
+    """doc_id, text and grade of the documents of at most ``sample`` ratings, chosen by a hash of the id."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     graded = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL AND quality IS NOT NULL").select("doc_id", grade.alias("grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
@@ -141,10 +159,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(features(column(batch, "text")))
+            found = [few(i, v) for i, v in features(column(batch, "text"))]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "grade"), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], ["doc_id", "grade", "cols", "vals"])
 
-    rows = rated(docs, labels, sample).mapInArrow(run, "doc_id long, grade int, cols binary, vals binary").toArrow()
+    order = [F.xxhash64("doc_id"), "doc_id", "grade", "key"]
+    every = stored(rated(docs, labels, sample).mapInArrow(run, "doc_id long, grade int, cols binary, vals binary").withColumn("key", F.xxhash64("cols", "vals")), "rated")
+    chosen = every.select("doc_id", "grade", "key").distinct().orderBy(*order).limit(sample)
+    rows = every.join(F.broadcast(chosen), ["doc_id", "grade", "key"], "left_semi").dropDuplicates(["doc_id", "grade", "key"]).toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("cols", "ascending")])
     texts = [(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(v, "<f4")) for c, v in zip(rows["cols"].to_pylist(), rows["vals"].to_pylist(), strict=True)]
     return Model(texts, np.array(rows["grade"].to_pylist(), np.int64))
