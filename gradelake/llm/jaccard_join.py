@@ -411,3 +411,25 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> Dat
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 9, 10)
     return members.select("doc_id", "n_shingles", "component_id")
+
+
+#: Links by a self-join on shingles, components by following links from every node; quadratic, for small tables.
+OP3_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT doc_id, rid, [x FOR x IN string_split(translate(t, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '     abcdefghijklmnopqrstuvwxyz'), ' ') IF x <> ''] AS w FROM t
+), s AS (
+  SELECT doc_id, rid, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM w
+), c AS (SELECT s, min(rid) AS rep, count(*) AS copies FROM (SELECT rid, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s),
+u AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM c),
+pairs AS (
+  SELECT a.rep AS a, b.rep AS b FROM u a JOIN u b ON a.x = b.x AND a.rep < b.rep AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+rows_ AS (SELECT t.doc_id, t.rid, c.rep FROM (SELECT doc_id, rid, list_sort(s) AS s FROM s WHERE len(s) > 0) t JOIN c USING (s)),
+least AS (SELECT r.a AS rep, min(d.doc_id) AS component_id FROM reach r JOIN rows_ d ON d.rep = r.b GROUP BY r.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN rows_ r ON r.rid = s.rid LEFT JOIN least l ON l.rep = r.rep
+"""

@@ -4,7 +4,7 @@ from gradelake.llm.bpe import op4_bpe_encode_decode
 from gradelake.llm.chat_format import OP1_SQL, op1_chat_format
 from gradelake.llm.decontaminate import op6_benchmark_decontamination
 from gradelake.llm.html_extract import op10_html_extraction
-from gradelake.llm.jaccard_join import op3_ngram_jaccard_join
+from gradelake.llm.jaccard_join import OP3_SQL, op3_ngram_jaccard_join
 from gradelake.llm.line_dedup import OP7_SQL, op7_line_dedup
 from gradelake.llm.ordinal_quality import op9_quality_classifier
 from gradelake.llm.quality_rules import OP2_SQL, op2_quality_rules
@@ -15,4 +15,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_chat_format, op2_quality_rules, op3_ngram_jaccard_join, op4_bpe_encode_decode, op5_warc_normaliser, op6_benchmark_decontamination, op7_line_dedup, op8_url_filter, op9_quality_classifier, op10_html_extraction)
 }
-SQL = {"op1_chat_format": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_warc_normaliser": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
+SQL = {"op1_chat_format": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_warc_normaliser": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}

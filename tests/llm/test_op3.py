@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 
 from gradelake.llm import jaccard_join as J
@@ -147,3 +148,11 @@ def test_long_runs_of_a_token_are_dealt_out(spark, monkeypatch):
     for seed, n, num, den in ((5, 3, 9, 10), (6, 2, 1, 2)):
         rows = corpus(seed, 250)
         assert run(spark, rows, n, num, den)[1] == brute(rows, n, num, den)
+
+
+def test_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    expected = sorted(con.execute(J.OP3_SQL).fetchall())
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in J.op3_ngram_jaccard_join(spark, sf).collect()) == expected
