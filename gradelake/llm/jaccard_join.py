@@ -11,12 +11,14 @@ whole sequence is its one shingle. Two documents link when den * |x & y| >= num
    sets mostly have in common.
 3. Rows of (token, document) without text show which documents share such a token beyond one home; sizes and positions bound the overlap.
    Such a document visits the other home. Tokens of over RUN documents are dealt out in chunks of which every two meet.
-4. In a home bitmaps and sizes of members and visitors tell which may link with a member at all; large homes are dealt out likewise.
-   Only those that may link get their texts; a large home is dealt out in chunks of bounded size, to each of which the home's smallest set
-   is added. What that one is not connected to visits all chunks in a second round.
-5. In each chunk a signature tree (OR-combined bitmaps, size ranges) is traversed against itself; node pairs go that cannot reach the least
+4. In a home of over MAPS sets all are first compared with LEADS of them, in chunks to each of which those are added. What is connected to the first
+   of them is one component already; only the others, the open ones, still have to meet all. In smaller homes all sets are open.
+5. Bitmaps and sizes of members and visitors of a home tell which may link with a member at all, one of both being open; a home is dealt out in
+   parts of which every two that may matter meet. Only those that may link get their texts; they are dealt out in chunks of bounded size, to each
+   of which the home's first set is added. What that one is not connected to visits all chunks in a second round.
+6. In each chunk a signature tree (OR-combined bitmaps, size ranges) is traversed against itself; node pairs go that cannot reach the least
    overlap, or whose members are connected already. Remaining pairs are compared exactly. Links are a spanning forest of the component.
-6. Components over the links come from label propagation with pointer jumping on DataFrames, checkpointed every round.
+7. Components over the links come from label propagation with pointer jumping on DataFrames, checkpointed every round.
 
 Nothing is capped or dropped, and no unbounded group meets in one task: joins on homes, tokens and labels deal the rows of each key over
 SALTS tasks, and classes of very many copies are joined by broadcast (BROAD of them at most).
@@ -41,13 +43,15 @@ from gradelake.llm.signature_tree import Join
 from gradelake.llm.textcore import column, mix, shingle_runs, shingle_sets
 
 #: Frequent shingles that a task reports, and tokens of the table that orders them; they bear on speed only.
-HEAVY, FREQUENT = 1 << 14, 1 << 19
+HEAVY, FREQUENT = 1 << 13, 1 << 17
 #: Shingles that a task counts at a time.
 COUNTED = 1 << 21
 #: Rows of a token that are compared in one task.
 RUN = 8_192
 #: Shingles in a chunk of a home, about, when texts are compared, and sets in a chunk when bitmaps are.
-CHUNK, MAPS = 1_000_000, 4_096
+CHUNK, MAPS = 1_000_000, 512
+#: Sets of a large home with which all are compared first.
+LEADS = 16
 #: Keys that are broadcast because they have very many rows; a key needs HOT rows for it, and more in large tables.
 BROAD, HOT = 100_000, 256
 
@@ -183,8 +187,8 @@ class Visits:
             order = np.argsort(n[s : s + m], kind="stable")
             which, r, k, p = which[order], rep[s : s + m][order], n[s : s + m][order], pos[s : s + m][order]
             weight = count[which]
-            for i in range(0, m, 256):
-                j = min(m, i + 256)
+            for i in range(0, m, 64):
+                j = min(m, i + 64)
                 far = int(np.searchsorted(k, k[j - 1] * self.den // self.num, side="right"))
                 x, y = np.nonzero((which[i:j, None] != which[None, i:far]) & self.may_link(k[i:j, None], p[i:j, None], k[None, i:far], p[None, i:far]))
                 ahead = y > x
@@ -255,11 +259,11 @@ def visits_of(reps: DataFrame, num: int, den: int) -> DataFrame:
     return cut(out.union(more.select("home", "rep")).distinct())
 
 
-def hopeful(n: np.ndarray, bits: list[bytes], member: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which sets of a home may link, by sizes and bitmaps, with another one of it of which one at least is a member."""
+def hopeful(n: np.ndarray, bits: list[bytes], member: np.ndarray, open_: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets of a home may link, by sizes and bitmaps, with another one of it; one of both at least is a member, and one is open."""
     m = len(n)
     order = np.argsort(n, kind="stable")
-    n, member, maps = n[order], member[order], [np.frombuffer(bits[i], np.uint64) for i in order]
+    n, member, open_, maps = n[order], member[order], open_[order], [np.frombuffer(bits[i], np.uint64) for i in order]
     width = np.array([len(x) for x in maps])
     out = np.zeros(m, bool)
     for w in np.unique(width):  # sets of this width against those of it and, folded, of greater ones
@@ -269,7 +273,7 @@ def hopeful(n: np.ndarray, bits: list[bytes], member: np.ndarray, num: int, den:
         folded = np.stack([np.bitwise_or.reduce(x.reshape(-1, w)) for x in maps[first:end]])
         for i in range(first, last):
             j = np.arange(i + 1, int(np.searchsorted(n, n[i] * den // num, side="right")))
-            j = j[(member[j] | member[i]) & ~(out[j] & out[i])]
+            j = j[(member[j] | member[i]) & (open_[j] | open_[i]) & ~(out[j] & out[i])]
             if not len(j):
                 continue
             own, other = folded[i - first], folded[j - first]
@@ -284,14 +288,14 @@ def hopeful(n: np.ndarray, bits: list[bytes], member: np.ndarray, num: int, den:
 
 
 def prune(stay: DataFrame, num: int, den: int) -> DataFrame:
-    """home, chunk, rep, n, member, bits of stays in chunks of homes: the distinct (home, rep, n) that bitmaps leave."""
+    """home, chunk, rep, n, member, open, bits of stays in chunks of homes: the distinct (home, rep, n) that bitmaps leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["home", "chunk"]):
             if table.num_rows < 2:
                 continue
             n = table["n"].to_numpy().astype(np.int64)
-            go = hopeful(n, table["bits"].to_pylist(), table["member"].to_numpy(zero_copy_only=False).astype(bool), num, den)
+            go = hopeful(n, table["bits"].to_pylist(), *(table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("member", "open")), num, den)
             if go.any():
                 yield pa.RecordBatch.from_arrays([pa.array(table[c].to_numpy()[go]) for c in ("home", "rep", "n")], ["home", "rep", "n"])
 
@@ -299,10 +303,13 @@ def prune(stay: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "home long, rep long, n int").distinct()
 
 
-def verify(work: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """work: home, chunk, chunks, rep, doc_id and th (of the representative), resident (of the home's earlier round). Links (a, b, null), and (null, rep,
-    home) for what stays loose in a home of several chunks."""
+def verify(work: DataFrame, docs: DataFrame, n: int, num: int, den: int, star: bool = False) -> DataFrame:
+    """work: home, chunk, chunks, rep, doc_id and th (of the representative), resident (not to be compared with one another). Links (a, b, null), and (null,
+    rep, home) for what stays loose from the home's first set in a home of several chunks, or (star) in every home."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").where("doc_id IS NOT NULL")
+    wanted = work.select("doc_id", "th").distinct()
+    if wanted.count() <= BROAD:  # only the texts that are wanted go through the shuffle
+        texts = texts.join(F.broadcast(wanted), ["doc_id", "th"], "left_semi")
     rows = work.join(texts, ["doc_id", "th"]).select("home", "chunk", "chunks", "rep", "resident", "text").repartition("home", "chunk").sortWithinPartitions("home", "chunk", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,14 +322,15 @@ def verify(work: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Data
             if len(reps) < 2:
                 continue
             sets = [s for chunk in table["text"].chunks for s in shingle_sets(chunk, n)]
-            join = Join(sets, num, den, table["resident"].to_numpy(zero_copy_only=False).astype(bool))
+            resident = table["resident"].to_numpy(zero_copy_only=False).astype(bool)
+            join = Join(sets, num, den, resident)
             links = join.run()
             a, b = [int(reps[i]) for i, _ in links], [int(reps[j]) for _, j in links]
             home = [None] * len(links)
-            if table["chunks"][0].as_py() > 1 and not join.resident.any():
+            if star or table["chunks"][0].as_py() > 1 and not resident.any():
                 label = np.empty(len(reps), np.int64)
                 label[join.order] = join.label
-                loose = reps[label != label[0]].tolist()  # rows are sorted, the first is the home's smallest
+                loose = reps[label != label[np.argmin(resident)]].tolist()  # rows are sorted, so this is the home's first set in all chunks
                 a, b, home = a + [None] * len(loose), b + loose, home + [table["home"][0].as_py()] * len(loose)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, home)], ["a", "b", "home"])
@@ -349,12 +357,27 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("u", "l")
 
 
-def crowded(members: DataFrame) -> DataFrame:
-    """home, rep, member and chunk of every home of several sets; every two parts of a home meet in a chunk, so that each pair of its sets is looked at."""
-    crowd = members.groupBy("home").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("home", F.ceil(F.col("c") / (MAPS // 2)).cast("int").alias("k"))
-    dealt = salted(members, crowd, ["home"], "rep")
-    own = F.when(F.col("k") == 1, 0).otherwise(part_of("rep", F.col("k")))
-    return dealt.withColumn("own", own).select("home", "rep", "member", meetings(F.col("own"), F.col("k")).alias("chunk"))
+def stars(crowd: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """crowd: home, rep, c (sets of the home). What ``verify`` finds in homes of over MAPS sets when all are compared with LEADS of them, one by a hash of the rep."""
+    big = crowd.where(F.col("c") > MAPS).select("home", "rep", F.ceil(F.col("c") / MAPS).cast("int").alias("chunks"), part_of("rep", F.lit(LEADS)).alias("lead"))
+    first = big.groupBy("home", "lead").agg(F.min("rep").alias("rep"), F.first("chunks").alias("chunks"))
+    lead = cut(first.select("home", "rep", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("resident")))
+    others = big.join(first.select("home", "rep"), ["home", "rep"], "left_anti").select("home", "rep", "chunks", part_of("rep", F.col("chunks")).alias("chunk"), F.lit(True).alias("resident"))
+    return cut(verify(lead.union(others).join(reps.select("rep", "doc_id", "th"), "rep"), docs, n, num, den, star=True))
+
+
+def parted(crowd: DataFrame, loose: DataFrame) -> DataFrame:
+    """home, rep, member, open and chunk of every set that may still matter. The open sets and the others of a home are dealt out in parts; every part of
+    open sets meets every part of the home in a chunk."""
+    crowd = crowd.join(loose.withColumn("loose", F.lit(True)), ["home", "rep"], "left")
+    crowd = crowd.select("home", "rep", "member", ((F.col("c") <= MAPS) | F.col("loose").isNotNull()).alias("open"))
+    half = max(1, MAPS // 2)
+    parts = [F.ceil(F.count_if(x) / half).cast("int").alias(k) for k, x in (("s", ~F.col("open")), ("o", F.col("open")))]
+    dealt = salted(crowd, crowd.groupBy("home").agg(*parts).where("o > 0"), ["home"], "rep")
+    k = F.col("s") + F.col("o")
+    own = F.when(F.col("open"), F.col("s") + part_of("rep", F.greatest("o", F.lit(1)))).otherwise(part_of("rep", F.greatest("s", F.lit(1))))
+    meet = F.transform(F.sequence(F.when(F.col("open"), 0).otherwise(F.col("s")), k - 1), lambda x: F.least(x, F.col("own")) * k + F.greatest(x, F.col("own")))
+    return dealt.withColumn("own", own).select("home", "rep", "member", "open", F.explode(meet).alias("chunk"))
 
 
 def similar_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -367,7 +390,11 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     reps = sig.where("n > 0").join(classes.where("rep IS NOT NULL").select(F.col("rep").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "rep")
     visits = visits_of(reps, num, den)
     members = reps.select("home", "rep", F.lit(True).alias("member")).union(visits.select("home", "rep", F.lit(False)))
-    stay = prune(crowded(members).join(reps.select("rep", "n", "bits"), "rep"), num, den)
+    sizes = members.groupBy("home").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    crowd = cut(salted(members, sizes, ["home"], "rep"))
+    star = stars(crowd, reps, docs, n, num, den)
+    crowd = parted(crowd, star.where("home IS NOT NULL").select("home", F.col("b").alias("rep")).distinct())
+    stay = prune(crowd.join(reps.select("rep", "n", "bits"), "rep"), num, den)
     weight = stay.groupBy("home").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.min("rep").alias("least")).where("c > 1")
     weight = weight.select("home", F.ceil(F.col("w") / CHUNK).cast("int").alias("chunks"), "least")
     work = cut(salted(stay, weight, ["home"], "rep").select("home", "rep", "chunks", "least").join(reps.select("rep", "doc_id", "th"), "rep"))
@@ -377,7 +404,7 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     lead = work.where("rep = least AND chunks > 1").withColumn("chunk", everywhere)
     first = work.where("NOT (rep = least AND chunks > 1)").withColumn("chunk", chunk).unionByName(lead).withColumn("resident", F.lit(False))
     found = cut(verify(first.select(cols), docs, n, num, den))
-    links = found.where("home IS NULL").select("a", "b")
+    links = found.union(star).where("home IS NULL").select("a", "b")
     loose = found.where("home IS NOT NULL").select("home", F.col("b").alias("rep")).distinct()
     if loose.limit(1).count():
         open_ = loose.join(work, ["home", "rep"])

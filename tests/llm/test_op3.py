@@ -79,7 +79,8 @@ def test_chunked_homes(spark, monkeypatch):
         for _ in range(r.randint(0, 4)):
             w[r.randrange(20, 100)] = f"z{r.random()}"
         rows.append((i, " ".join(w)))
-    for n, num, den in ((3, 9, 10), (5, 8, 10)):
+    for n, num, den, maps in ((3, 9, 10, J.MAPS), (5, 8, 10, 16), (3, 9, 10, 16)):
+        monkeypatch.setattr(J, "MAPS", maps)
         assert run(spark, rows, n, num, den)[1] == brute(rows, n, num, den)
 
 
