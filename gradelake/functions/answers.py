@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -70,17 +71,48 @@ def canonical_math(value: str | None) -> str | None:
 
 
 def json_output(value: str | None) -> str | None:
-    """The string under the only key ``output`` of a JSON object that ends the text; one closing code fence may follow."""
-    text = re.sub(r"```\Z", "", (value or "").strip()).rstrip()
+    """The string under the only key ``output`` of a JSON object that ends the text; a closing code fence on a line of its own may follow."""
+    text = re.sub(r"(?:\A|\n)[ \t]*```[ \t]*\Z", "", (value or "").rstrip()).rstrip()
     decoder = json.JSONDecoder()
-    starts = [m.start() for m in re.finditer(r"\{", text)][-MAX_STARTS:]
-    for at in reversed(starts):
+    for at in [m.start() for m in re.finditer(r"\{", text)][: -MAX_STARTS - 1 : -1]:
         try:
             found, end = decoder.raw_decode(text, at)
         except (ValueError, RecursionError):
             continue
-        if end == len(text):
-            return found["output"] if isinstance(found, dict) and set(found) == {"output"} and isinstance(found["output"], str) else None
+        if end == len(text) and isinstance(found, dict) and set(found) == {"output"} and isinstance(found["output"], str):
+            return found["output"]
+    return None
+
+
+# Forms of numbers that are read as exact rationals.
+NUMBER = re.compile(r"[+-]?(?:\d+(?:\.\d+)?|\.\d+)(?:[eE][+-]?\d+)?")
+RATIO = re.compile(r"\\frac\s*\{([+-]?\d+)\}\s*\{([+-]?\d+)\}|([+-]?\d+)\s*/\s*([+-]?\d+)")
+#: Digits of an exponent beyond which a number is not read: its exact value would have millions of digits.
+MAX_EXPONENT = 4
+
+
+def literal(text: str | None) -> Fraction | None:
+    """The exact value of a text that is nothing but a number or a ratio."""
+    text = unwrap(text or "")
+    if m := RATIO.fullmatch(text):
+        over, under = int(m[1] or m[3]), int(m[2] or m[4])
+        return Fraction(over, under) if under else None
+    if not NUMBER.fullmatch(text) or len(re.sub(r".*[eE][+-]?0*|\A[^eE]*\Z", "", text)) > MAX_EXPONENT:
+        return None
+    return Fraction(text)
+
+
+def rational(value: str | None) -> str | None:
+    """The final answer as n or n/d in lowest terms: of the whole text, else of its answer tag, last box, or last marker."""
+    text = (value or "").strip()
+
+    def candidate(x: str | None) -> Fraction | None:
+        found = literal(x)
+        return found if found is not None or x is None else literal(boxed(x))
+
+    for read, part in ((literal, text), (candidate, tagged(text)), (literal, boxed(text)), (candidate, marked(text))):
+        if part and (found := read(part)) is not None:
+            return str(found)
     return None
 
 
@@ -117,3 +149,8 @@ def static_field_udf(x: pd.Series, field: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def canonical_each_udf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else [canonical_math(e) for e in v], na_action=None)
+
+
+@F.pandas_udf(T.StringType())
+def rational_udf(x: pd.Series) -> pd.Series:
+    return x.map(rational, na_action=None)

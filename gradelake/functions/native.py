@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,8 +23,25 @@ SUSPICIOUS = (
 )
 
 
+# Forms in which an option letter is given, bare, wrapped or named.
+BARE_LETTER = r"\A[^A-Za-z0-9]*([A-Za-z])[^A-Za-z0-9]*\z"
+WRAPPED_LETTER = r"\\(?:boxed|text|mathrm)\s*\{\s*([A-Za-z])\s*\}"
+NAMED_LETTER = r"(?i)\banswer\s*[:\-]?\s*\(?\s*([A-Za-z])(?![A-Za-z])"
+
+
+def div(a: Column, b: Column | int) -> Column:
+    """Exact integer division."""
+    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
+
+
+def demand(ok: Column, value: Column, message: str) -> Column:
+    """``value`` where ``ok`` holds; anything else is an error."""
+    return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)))
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"\A{WS}+|{WS}+\z", "")
+    # a trailing run is tried from its first character only, so a long inner run costs its length once
+    return F.regexp_replace(x, rf"\A{WS}+|(?<!{WS}){WS}+\z", "")
 
 
 def collapse(x: Column) -> Column:
@@ -68,12 +87,19 @@ def budget(seed: str, row_id: Column, protocol: Protocol = PROTOCOL) -> Column:
 
 def budget_bounds(level: Column, protocol: Protocol = PROTOCOL) -> tuple[Column, Column]:
     bps = protocol.budget_tolerance_bps
-    low = F.expr("1").cast("long") * 0 + F.floor((level.cast("long") * (10_000 - bps) + 9_999) / 10_000)
-    return low.cast("int"), F.floor(level.cast("long") * (10_000 + bps) / 10_000).cast("int")
+    low, high = div(level.cast("long") * (10_000 - bps) + 9_999, 10_000), div(level.cast("long") * (10_000 + bps), 10_000)
+    return low.cast("int"), high.cast("int")
 
 
 def window_of(block: Column, protocol: Protocol = PROTOCOL) -> Column:
-    return F.floor(block / protocol.window_blocks).cast("long")
+    """The window of a block; a negative block is an error, null stays null."""
+    return F.when(block < 0, F.raise_error(F.lit("a block must not be negative")).cast("long")).otherwise(div(block.cast("long"), protocol.window_blocks))
+
+
+def precedes(block: Column, window: Column | int, protocol: Protocol = PROTOCOL) -> Column:
+    """Whether a block lies before the start of a window."""
+    start = (F.lit(window) if isinstance(window, int) else window).cast("long") * protocol.window_blocks
+    return block < start
 
 
 def words(x: Column) -> Column:
@@ -101,17 +127,29 @@ def close(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
 def mcqa_letter(x: Column) -> Column:
     """A bare letter, else the last wrapped one, else the last after the word answer."""
     text = strip(x)
-    bare = F.regexp_extract(text, r"\A[^A-Za-z0-9]*([A-Za-z])[^A-Za-z0-9]*\z", 1)
-    wrapped = F.regexp_extract_all(text, F.lit(r"\\(?:boxed|text|mathrm)\s*\{\s*([A-Za-z])\s*\}"), F.lit(1))
-    named = F.regexp_extract_all(text, F.lit(r"(?i)\banswer\s*[:\-]?\s*\(?\s*([A-Za-z])(?![A-Za-z])"), F.lit(1))
+    bare = F.regexp_extract(text, BARE_LETTER, 1)
+    wrapped = F.regexp_extract_all(text, F.lit(WRAPPED_LETTER), F.lit(1))
+    named = F.regexp_extract_all(text, F.lit(NAMED_LETTER), F.lit(1))
     found = F.when(bare != "", bare).when(F.size(wrapped) > 0, F.try_element_at(wrapped, F.lit(-1))).when(F.size(named) > 0, F.try_element_at(named, F.lit(-1)))
     return F.upper(found)
 
 
 def detection_probability(population: Column, forged: Column, samples: Column) -> Column:
-    """Chance that a sample without replacement meets a forged row."""
-    miss = F.aggregate(F.sequence(F.lit(0), samples - 1), F.lit(0.0), lambda a, i: a + F.ln(population - forged - i) - F.ln(population - i))
-    return F.when(samples > population - forged, 1.0).otherwise(-F.expm1(miss))
+    """Chance that a sample without replacement meets a forged row: 0 without samples or forged rows."""
+    ok = (population > 0) & forged.between(0, population) & samples.between(0, population)
+    some = F.when(samples > 0, F.sequence(F.lit(0), samples - 1))
+    miss = F.aggregate(some, F.lit(0.0), lambda a, i: a + F.ln((population - forged - i).cast("double")) - F.ln((population - i).cast("double")))
+    chance = F.when((forged == 0) | (samples == 0), 0.0).when(samples > population - forged, 1.0).otherwise(-F.expm1(miss))
+    return demand(ok, chance, "forged rows and samples lie between none and all of the population")
+
+
+def required_rounds(population: Column, rows: Column, fraction: float, confidence: float) -> Column:
+    """Rounds of ``rows`` samples that meet a forged ``fraction`` with the given confidence, as if drawn with replacement; at most those that cover all rows."""
+    if not (0 < fraction < 1 and 0 < confidence < 1):
+        raise ValueError("fraction and confidence lie between 0 and 1")
+    samples = math.ceil(math.log1p(-confidence) / math.log1p(-fraction))
+    up = lambda a, b: div(a.cast("long") + b - 1, b)
+    return demand((population > 0) & (rows > 0), F.least(up(F.lit(samples), rows), up(population, rows)), "population and rows are positive")
 
 
 def retry_delay(attempts: Column) -> Column:

@@ -65,10 +65,11 @@ def predicates(t: Column, a: Column) -> dict[str, Column]:
     divided = F.split(t, r"\s?\*\*\*\s?")
     inner = F.slice(divided, 2, F.greatest(F.size(divided) - 2, F.lit(0)))
     solid = lambda parts: F.filter(parts, lambda p: N.strip(p) != "")
-    required = listed(arg(a, "keywords", "keyword"))
+    wanted = arg(a, "keywords", "keyword")
+    none_wanted = F.coalesce(F.ltrim(wanted).startswith("[") & (F.size(F.from_json(wanted, "array<string>")) == 0), F.lit(False))
     return {
         "keywords:forbidden_words": F.forall(listed(arg(a, "forbidden_words", "keywords", "keyword")), lambda x: ~F.contains(low, F.lower(x))),
-        "keywords:existence": F.forall(required, lambda x: phrase_count(t, x) > 0),
+        "keywords:existence": ~none_wanted & F.forall(listed(wanted), lambda x: phrase_count(t, x) > 0),
         "keywords:word_once": phrase_count(t, arg(a, "keyword", "word")) == 1,
         "keywords:frequency": compare(phrase_count(t, arg(a, "keyword", "word")), arg(a, "frequency", "N"), rel),
         "keywords:no_adjacent_consecutive": F.forall(pairs, lambda x: x),
@@ -80,7 +81,7 @@ def predicates(t: Column, a: Column) -> dict[str, Column]:
         "punctuation:punctuation_dot": ~t.contains("."),
         "punctuation:punctuation_exclamation": ~t.contains("!"),
         "last_word:last_word_answer": has_last & same_last(t, last),
-        "last_word:last_word_sent": has_last & (F.size(sents) > 0) & F.forall(sents, lambda s: same_last(s, last)),
+        "last_word:last_word_sent": (last != "") & (F.size(sents) > 0) & F.forall(sents, lambda s: same_last(s, last)),
         "first_word:first_word_answer": same_first(t, first),
         "first_word:first_word_sent": has_first & F.forall(sents, lambda s: same_first(s, first)),
         "startend:end_checker": (F.coalesce(phrase, F.lit("")) != "") & F.regexp_replace(t, rf"{N.WS}+\z", "").endswith(phrase),
@@ -106,3 +107,8 @@ def satisfied(t: Column, name: Column, a: Column) -> Column:
     for known, test in predicates(t, a).items():
         out = F.when(name == known, F.coalesce(test, F.lit(False))).otherwise(out)
     return out
+
+
+def all_satisfied(t: Column, constraints: Column) -> Column:
+    """Whether all constraints (array of id and kwargs) hold; without any the answer fails."""
+    return F.coalesce((F.size(constraints) > 0) & F.forall(constraints, lambda c: satisfied(t, c["id"], c["kwargs"])), F.lit(False))

@@ -1,13 +1,28 @@
-"""Token rollouts: bounds, reasoning, verifiers, scores and log-probability audits."""
+"""Token rollouts: bounds, reasoning, verifiers, scores and log-probability audits.
+
+Rows: null responses, expected values and tokens fail their row (null counts as the word none only where texts are compared); repeated rows give a
+result each; ties of log-probabilities go to the smaller token id; empty tables give empty results, and scores of 0. Columns that end in an
+underscore are the operators' own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.config import PROTOCOL, Protocol
 from gradelake.functions import native as N
 from gradelake.functions.answers import canonical_each_udf, canonical_math_udf, json_output_udf
+from gradelake.operators.constraints import all_satisfied
+from gradelake.operators.ordering import own_names
+
+# Fixed value: what the protocol tells a model about its reasoning block.
+SYSTEM = (
+    "Thinking mode is mandatory. Start your response exactly with <think>. Write about {level} tokenizer tokens of reasoning inside that block; {low} through {high} tokens "
+    "inclusive are accepted. Close the block with </think>. Only tokens between the opening and first closing tag count toward this reasoning budget. After </think>, answer the "
+    "user's task normally; that final response is not part of the reasoning budget. /think"
+)
 
 
 def find(tokens: Column, pattern: list[int], start: Column) -> Column:
@@ -39,9 +54,10 @@ def split_reasoning(tokens: Column, opening: list[int], closing: list[int], leve
     return F.struct(F.coalesce(good, F.lit(False)).alias("valid"), F.when(good, n).alias("n"), F.when(good, answer).alias("answer"))
 
 
-def grade(df: DataFrame, response: str = "response", expected: str = "expected", verifier: str = "verifier") -> DataFrame:
-    """df with reward 0 or 1. Each verifier sees only its own rows; unknown names grade as exact_or_numeric."""
-    r, e = F.col(response), F.col(expected)
+def grade(df: DataFrame, response: str = "response", expected: str = "expected", verifier: str = "verifier", constraints: str = "constraints") -> DataFrame:
+    """df with reward 0 or 1. Each verifier sees only its own rows; a null verifier and unknown names grade as exact_or_numeric."""
+    own_names(df)
+    r, e, v = F.col(response), F.col(expected), F.coalesce(F.col(verifier), F.lit(""))
     label = F.exists(e, lambda x: N.normal_answer(x) == N.normal_answer(r))
     letter = F.exists(e, lambda x: F.upper(N.strip(x)) == N.mcqa_letter(r))
     numeric = F.get(F.filter(F.transform(e, N.numeric_value), lambda x: x.isNotNull()), F.lit(0))
@@ -49,12 +65,87 @@ def grade(df: DataFrame, response: str = "response", expected: str = "expected",
     either = F.when(own.isNotNull() & numeric.isNotNull(), N.close(own, numeric)).otherwise(label)
     reward = lambda c: F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0).alias("reward")
     cols = [F.col(c) for c in df.columns]
-    native = F.when(F.col(verifier) == "label_match", label).when(F.col(verifier) == "mcqa_letter", letter).otherwise(either)
-    plain = df.where(~F.coalesce(F.col(verifier), F.lit("")).isin("math_exact", "json_output_exact")).select(*cols, reward(native))
-    math = df.where(F.col(verifier) == "math_exact").withColumns({"_r": canonical_math_udf(r), "_e": canonical_each_udf(e)})
-    math = math.select(*cols, reward(F.array_contains("_e", F.col("_r"))))
-    code = df.where(F.col(verifier) == "json_output_exact").withColumn("_r", json_output_udf(r)).select(*cols, reward(F.array_contains(e, F.col("_r"))))
-    return plain.unionByName(math).unionByName(code)
+    native = F.when(v == "label_match", label).when(v == "mcqa_letter", letter).otherwise(either)
+    out = df.where(~v.isin("math_exact", "json_output_exact", "instruction_constraints")).select(*cols, reward(native))
+    math = df.where(v == "math_exact").withColumns({"r_": canonical_math_udf(r), "e_": canonical_each_udf(e)})
+    code = df.where(v == "json_output_exact").withColumn("r_", json_output_udf(r))
+    told = all_satisfied(r, F.col(constraints)) if constraints in df.columns else F.lit(False)
+    out = out.unionByName(math.select(*cols, reward(F.array_contains("e_", F.col("r_"))))).unionByName(code.select(*cols, reward(F.array_contains(e, F.col("r_")))))
+    return out.unionByName(df.where(v == "instruction_constraints").select(*cols, reward(told)))
+
+
+class CodePoints:
+    """A tokenizer whose ids are code points; the reasoning marks and the terminal are single private code points."""
+
+    opening, closing, stops = [0xE000], [0xE001], [0xE002, 0xE003]
+    marks = {"<think>": "\ue000", "</think>": "\ue001"}
+
+    def encode(self, text: str) -> list[int]:
+        for name, mark in self.marks.items():
+            text = text.replace(name, mark)
+        return list(map(ord, text))
+
+    def decode(self, ids: list[int]) -> str:
+        return "".join(chr(i) for i in ids if i not in self.stops)
+
+
+def _tokenized(tokenizer):
+    @F.pandas_udf("int")
+    def length(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: len(tokenizer.encode(t)))
+
+    @F.pandas_udf("string")
+    def decode(x: pd.Series) -> pd.Series:
+        return x.map(lambda ids: None if ids is None else tokenizer.decode([int(i) for i in ids]).strip())
+
+    return length, decode
+
+
+def prompt_text(prompt: Column, level: Column | None = None, protocol: Protocol = PROTOCOL) -> Column:
+    """The protocol's chat template around a prompt; with a reasoning level its inclusive bounds are told first."""
+    user = F.concat(F.lit("<|im_start|>user\n"), prompt, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+    if level is None:
+        return user
+    low, high = N.budget_bounds(level, protocol)
+    system = F.format_string(SYSTEM.replace("{level}", "%1$s").replace("{low}", "%2$s").replace("{high}", "%3$s"), level.cast("string"), low.cast("string"), high.cast("string"))
+    return F.concat(F.lit("<|im_start|>system\n"), N.demand(level.isin(*protocol.budget_levels), system, "an unknown reasoning level"), F.lit("<|im_end|>\n"), user)
+
+
+def context_size(rows: DataFrame, tokenizer, limit: int | None = None, protocol: Protocol = PROTOCOL) -> DataFrame:
+    """One row: longest (prompt tokens) and size (the context for it and its answer: a multiple of 512 from 2048 to the protocol's)."""
+    length, _ = _tokenized(tokenizer)
+    most = protocol.max_context
+    longest = rows.agg(F.coalesce(F.max(length(prompt_text(F.col("prompt"), F.col("reasoning_budget_tokens"), protocol))), F.lit(0)).alias("longest"))
+    need = F.col("longest") + F.least(F.lit(most if limit is None else limit), most - F.col("longest"))
+    size = F.least(F.lit(most), F.greatest(F.lit(2_048), N.div(need + 511, 512) * 512)).cast("int")
+    return longest.select("longest", N.demand(F.col("longest") < most, size, "a prompt leaves no room for its answer").alias("size"))
+
+
+def score_rollouts(evaluation: DataFrame, rollouts: DataFrame, tokenizer, limit: int | None = None, protocol: Protocol = PROTOCOL) -> DataFrame:
+    """pos, row_id, tokens, reward, category, reasoning_budget_tokens, reasoning_tokens, reasoning_valid of every evaluation row.
+
+    evaluation: pos, row_id, prompt, expected, verifier, category, reasoning_budget_tokens (and constraints); rollouts: pos, row_id, tokens. Rows meet by
+    place: another number of rows, another order, a missing category, and a rollout that breaks the token protocol are errors of the whole
+    bundle; a wrong reasoning block only costs its row the reward.
+    """
+    length, decode = _tokenized(tokenizer)
+    limit = protocol.max_context if limit is None else limit
+    if not 0 < limit <= protocol.max_context:
+        raise ValueError("the token limit lies between 1 and the protocol's context")
+    theirs = rollouts.select(F.col("pos").alias("pos_"), F.col("row_id").alias("id_"), "tokens")
+    both = own_names(evaluation).join(theirs, F.col("pos") == F.col("pos_"), "full_outer")
+    same = F.col("pos").isNotNull() & F.col("pos_").isNotNull() & (F.col("row_id") == F.col("id_"))
+    both = both.withColumn("tokens", N.demand(same, F.col("tokens"), "evaluation and rollout rows differ in number or order"))
+    both = both.withColumn("room_", length(prompt_text(F.col("prompt"), F.col("reasoning_budget_tokens"), protocol)))
+    fault = rollout_fault(F.col("tokens"), F.col("room_"), tokenizer.stops, F.lit(limit), protocol)
+    named = F.coalesce(F.col("category"), F.lit("")) != ""
+    both = both.withColumn("category", F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("rollout "), F.col("row_id"), F.lit(": "), fault)).cast("string")).otherwise(N.demand(named, F.col("category"), "an evaluation row has no category")))
+    both = both.withColumn("split_", split_reasoning(F.col("tokens"), tokenizer.opening, tokenizer.closing, F.col("reasoning_budget_tokens"), protocol))
+    both = both.withColumn("response", decode(F.col("split_.answer")))
+    cols = ["pos", "row_id", "tokens", "category", "reasoning_budget_tokens"]
+    extra = ["constraints"] if "constraints" in evaluation.columns else []
+    graded = grade(both.select(*cols, *extra, "expected", "verifier", "response", F.col("split_.n").alias("reasoning_tokens"), F.col("split_.valid").alias("reasoning_valid")))
+    return graded.select(*cols[:3], F.when(F.col("reasoning_valid"), F.col("reward")).otherwise(0).alias("reward"), *cols[3:], "reasoning_tokens", "reasoning_valid")
 
 
 def category_scores(scored: DataFrame) -> DataFrame:
@@ -63,13 +154,26 @@ def category_scores(scored: DataFrame) -> DataFrame:
 
 
 def audit_positions(candidates: DataFrame, protocol: Protocol = PROTOCOL) -> DataFrame:
-    """row_id, position, rank, gap, valid of the submitted token among candidate log-probabilities (row_id, position, submitted_token, token_id, logprob)."""
-    cand = F.struct((-F.col("logprob")).alias("o"), F.col("token_id"))
-    own = F.col("token_id") == F.col("submitted_token")
-    top = candidates.groupBy("row_id", "position").agg(F.sort_array(F.collect_list(cand)).alias("all"), F.max(F.when(own, F.col("logprob"))).alias("own"), F.first("submitted_token").alias("token"))
-    rank = F.array_position(F.transform("all", lambda c: c["token_id"]), F.col("token"))
-    gap = -F.get("all", F.lit(0))["o"] - F.col("own")
-    ok = (rank > 0) & (rank <= protocol.max_rank) & (gap <= protocol.max_gap + 1e-6)
+    """row_id, position, rank, gap, valid of the submitted token among candidates (row_id, position, submitted_token, token_id, logprob, rank).
+
+    A candidate's rank is the given one (positive); the best one without a rank has rank 1, others without one are not accepted. In a table without
+    the column, ranks are the candidates' places. Log-probabilities that are null or not finite are no candidates; a position without any is invalid.
+    """
+    lp = F.col("logprob")
+    real = lp.isNotNull() & ~F.isnan(lp) & (F.abs(lp) < float("inf"))
+    if "rank" not in candidates.columns:  # a position's candidates are few
+        place = Window.partitionBy("row_id", "position").orderBy(F.desc(F.when(real, lp)), "token_id")
+        candidates = candidates.withColumn("rank", F.row_number().over(place))
+    given = F.when(F.col("rank") > 0, F.col("rank"))
+    own = real & (F.col("token_id") == F.col("submitted_token"))
+    top = candidates.groupBy("row_id", "position").agg(
+        F.min(F.when(real, F.struct((-lp).alias("o"), F.col("token_id")))).alias("best"),
+        F.min(F.when(own, F.struct((-lp).alias("o"), given.cast("int").alias("rank")))).alias("own"),
+        F.first("submitted_token").alias("token"),
+    )
+    rank = F.coalesce(F.col("own.rank"), F.when(F.col("best.token_id") == F.col("token"), 1))
+    gap = F.when(F.col("own").isNotNull(), F.greatest(F.lit(0.0), F.col("own.o") - F.col("best.o")))
+    ok = (rank <= protocol.max_rank) & (gap <= protocol.max_gap + 1e-6)
     return top.select("row_id", "position", rank.cast("int").alias("rank"), gap.alias("gap"), F.coalesce(ok, F.lit(False)).alias("valid"))
 
 

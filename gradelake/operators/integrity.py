@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradelake.functions import native as N
+
 EMPTY = hashlib.sha256(b"").hexdigest()
 FOLD = 10
 
@@ -52,28 +53,54 @@ def merkle_root(df: DataFrame, pos: str, payload: Column) -> str:
 
 
 def pack_bits(df: DataFrame, group: list[str], pos: str, reward: str) -> DataFrame:
-    """group, bits: rewards of 0 or 1 by position, least bit first in each byte, in base64."""
-    byte = df.groupBy(*group, F.floor(F.col(pos) / 8).alias("byte")).agg(F.sum(F.col(reward).cast("int") * F.pow(F.lit(2), F.col(pos) % 8).cast("int")).alias("v"))
+    """group, bits: rewards by position, least bit first in each byte, in base64. Rewards other than 0 and 1, and positions that repeat or leave a gap, are errors."""
+    one = F.col(reward).cast("int")
+    sound = N.demand(F.col(reward).isNotNull() & F.col(reward).isin(0, 1), one, "a reward is 0 or 1")
+    byte = df.groupBy(*group, N.div(F.col(pos).cast("long"), 8).alias("byte")).agg(
+        F.sum(sound * F.pow(F.lit(2), F.col(pos) % 8).cast("int")).alias("v"),
+        F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(pos)).alias("d"), F.max(pos).alias("top"), F.min(pos).alias("low"),
+    )
     cells = F.sort_array(F.collect_list(F.struct("byte", F.lpad(F.hex("v"), 2, "0").alias("x"))))
-    return byte.groupBy(*group).agg(F.base64(F.unhex(F.array_join(F.transform(cells, lambda c: c["x"]), ""))).alias("bits"))
+    packed = byte.groupBy(*group).agg(F.base64(F.unhex(F.array_join(F.transform(cells, lambda c: c["x"]), ""))).alias("bits"), F.sum("n").alias("n"), F.sum("d").alias("d"), F.max("top").alias("top"), F.min("low").alias("low"))
+    whole = (F.col("low") == 0) & (F.col("n") == F.col("d")) & (F.col("top") + 1 == F.col("n"))
+    return packed.select(*group, N.demand(whole, F.col("bits"), "positions run from 0 without a gap and do not repeat").alias("bits"))
+
+
+def _byte(raw: Column, i: Column) -> Column:
+    """Byte i of a text of hex digits."""
+    return F.conv(F.substr(raw, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+
+
+def checked_bits(bits: Column, rows: Column) -> Column:
+    """Hex digits of packed bits; a length that does not fit or set padding bits are errors."""
+    raw = F.hex(F.unbase64(bits))
+    n = F.length(raw) / 2
+    padding = F.when(rows % 8 > 0, _byte(raw, n - 1) < F.pow(F.lit(2), rows % 8)).otherwise(True)
+    return N.demand((n == F.ceil(rows / 8)) & padding, raw, "reward bits do not fit their rows")
 
 
 def unpack_bits(df: DataFrame, group: list[str], bits: str, rows: Column) -> DataFrame:
-    """group, pos, reward; a length that does not fit or set padding bits are errors."""
-    raw = F.hex(F.unbase64(F.col(bits)))
-    byte = F.conv(F.substr(raw, (F.floor(F.col("pos") / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-    full = df.withColumn("_n", rows.cast("int")).withColumn("_full", F.length(raw) * 4)
-    full = full.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("_full") - 1)))
-    bit = F.floor(byte / F.pow(F.lit(2), F.col("pos") % 8)).cast("int") % 2
-    wrong = (F.col("_full") != F.ceil(F.col("_n") / 8) * 8) | ((F.col("pos") >= F.col("_n")) & (bit == 1))
-    checked = F.when(wrong, F.raise_error(F.lit("reward bits do not fit their rows")).cast("int")).otherwise(bit)
-    return full.select(*group, "pos", checked.alias("reward"), "_n").where("pos < _n").drop("_n")
+    """group, pos, reward; a length that does not fit or set padding bits are errors. An empty vector has no rows."""
+    raw = df.select(*group, checked_bits(F.col(bits), rows).alias("raw_"), rows.cast("long").alias("rows_"))
+    every = F.when(F.col("rows_") > 0, F.sequence(F.lit(0).cast("long"), F.col("rows_") - 1)).otherwise(F.array().cast("array<long>"))
+    return raw.select(*group, "raw_", F.explode(every).alias("pos")).select(*group, "pos", (F.floor(_byte(F.col("raw_"), N.div(F.col("pos"), 8)) / F.pow(F.lit(2), F.col("pos") % 8)).cast("int") % 2).alias("reward"))
+
+
+def bit_sums(one: Column, two: Column) -> Column:
+    """struct(one, two, differ): bits set in each of two texts of hex digits of equal length, and bits that differ; 14 digits at a time, so nothing is exploded."""
+    steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(one) / 14).cast("int") - 1, F.lit(0)))
+    part = lambda x, i: F.coalesce(F.conv(F.substr(x, i * 14 + 1, F.lit(14)), 16, 10).cast("long"), F.lit(0).cast("long"))
+    count = lambda x: F.bit_count(x).cast("long")
+    zero = F.struct(*[F.lit(0).cast("long").alias(k) for k in ("one", "two", "differ")])
+    return F.aggregate(steps, zero, lambda s, i: F.struct((s["one"] + count(part(one, i))).alias("one"), (s["two"] + count(part(two, i))).alias("two"), (s["differ"] + count(part(one, i).bitwiseXOR(part(two, i)))).alias("differ")))
 
 
 def familywise_z(z: float, comparisons: int) -> float:
     """The one-sided bound's z after a Bonferroni correction."""
     if comparisons < 1:
         raise ValueError("at least one comparison")
+    if not 0 < z < float("inf"):
+        raise ValueError("z is positive and finite")
     normal = NormalDist()
     return normal.inv_cdf(1 - (1 - normal.cdf(z)) / comparisons)
 
@@ -85,7 +112,3 @@ def paired_bound(delta: Column, z: float) -> tuple[Column, Column]:
 
 def unpaired_bound(p: Column, n: Column, q: Column, m: Column, z: float) -> Column:
     return p - q - F.lit(z) * F.sqrt(p * (1 - p) / n + q * (1 - q) / m)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -1,61 +1,109 @@
-"""Keyed orders, positions, quotas and de-duplication."""
+"""Keyed orders, positions, quotas and de-duplication.
+
+Rows: columns that end in an underscore are the operators' own; no table may bring one (an error). Repeated rows stay unless an operator removes
+them by key; nulls sort first; equal ranks are told apart by the tie column. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradelake.functions import native as N
+
 
 def settle(df: DataFrame) -> DataFrame:
     """df computed once into the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="gradelake-"))
     return df.checkpoint()
 
 
+def own_names(df: DataFrame) -> DataFrame:
+    """df, if none of its columns has a name that operators use for themselves."""
+    if taken := [c for c in df.columns if c.endswith("_")]:
+        raise ValueError(f"columns {taken} end in an underscore; such names are the operators' own")
+    return df
+
+
+def dealt(df: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner", parts: int = 8) -> DataFrame:
+    """df joined with ``small`` (a row a key); the rows of each key are dealt over several tasks by a hash of the column ``by``. Null keys meet nothing."""
+    many = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return df.withColumn("salt_", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).join(many, [key, "salt_"], how).drop("salt_")
+
+
 def position(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     """df with its 0-based place in a total order: a range-partitioned sort and the counts of the partitions before, so no task sees all rows."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    placed = own_names(df).repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part_"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at_"))
     placed = settle(placed)
-    before = placed.groupBy("_part").count().withColumn("_before", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    return placed.join(F.broadcast(before.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    before = placed.groupBy("part_").count().withColumn("before_", F.sum("count").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)))
+    return placed.join(F.broadcast(before.select("part_", F.coalesce("before_", F.lit(0)).alias("before_"))), "part_").withColumn(name, F.col("before_") + F.col("at_")).drop("part_", "at_", "before_")
 
 
 def quotas(sizes: DataFrame, rows: int, name: str = "name", size: str = "size") -> DataFrame:
-    """name, quota: ``rows`` shared out in proportion by largest remainders, ties by name. Sizes are a row a source."""
+    """name, quota: ``rows`` shared out in proportion by largest remainders, ties by name. Sizes are a row a source; a source that would get no row is an error."""
     one = sizes.select(F.col(name).alias("name"), F.col(size).cast("long").alias("size"))
     total = one.agg(F.sum("size").alias("total"))
     parts = one.join(F.broadcast(total)).select("name", F.expr(f"size * {rows} div total").alias("base"), (F.col("size") * rows % F.col("total")).alias("rest"))
     left = F.lit(rows) - F.sum("base").over(Window.partitionBy(F.lit(0)))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rest"), "name"))
-    return parts.select("name", (F.col("base") + F.when(place <= left, 1).otherwise(0)).alias("quota"))
+    quota = F.col("base") + F.when(place <= left, 1).otherwise(0)
+    return parts.select("name", quota.alias("quota")).select("name", N.demand(F.col("quota") > 0, F.col("quota"), "a source would get no rows").alias("quota"))
 
 
-def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row of every key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """A first row of every key, by a grouped minimum that is pre-aggregated before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    best = own_names(df).groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row_"))
+    return best.select(*keys, *[F.col("row_")[c].alias(c) for c in rest]).select(df.columns)
 
 
-def two_key_dedupe(df: DataFrame, scan: str, first: str, second: str) -> DataFrame:
-    """Greedy de-duplication in scan order: a row stays if no row that stays before it has its first or its second key.
+def two_key_dedupe(df: DataFrame, scan: str, first: str, second: str, reserved: DataFrame | None = None) -> DataFrame:
+    """Greedy de-duplication in the order of the unique column ``scan``: a row stays if no row that stays before it has its first or its second key.
 
-    Rounds of a fixpoint: open rows that come first of both their keys stay; open rows that share a key with one of them go.
+    ``reserved`` (columns first, second) holds keys of earlier tables, whose rows go at once. A null key is no key: it meets no other. Rounds of a
+    fixpoint on grouped minima: open rows that come first of both their keys stay; open rows that share a key with one of them go.
     """
-    open_, kept = settle(df), None
+    open_ = own_names(df)
+    if reserved is not None:
+        for key in (first, second):
+            open_ = open_.join(reserved.select(F.col(key)).where(F.col(key).isNotNull()).distinct(), key, "left_anti").select(df.columns)
+    open_, kept = settle(open_), None
     while True:
-        lead = open_.withColumns({"_a": F.min(scan).over(Window.partitionBy(first)), "_b": F.min(scan).over(Window.partitionBy(second))})
-        new = settle(lead.where((F.col(scan) == F.col("_a")) & (F.col(scan) == F.col("_b"))).drop("_a", "_b"))
+        lead = open_
+        for key, least in ((first, "a_"), (second, "b_")):
+            lowest = open_.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(scan).alias(least))
+            lead = dealt(lead, lowest, key, scan, "left")
+        stays = (F.col(scan) == F.coalesce("a_", F.col(scan))) & (F.col(scan) == F.coalesce("b_", F.col(scan)))
+        new = settle(lead.where(stays).select(df.columns))
         kept = new if kept is None else kept.unionByName(new)
-        rest = open_.join(new.select(first), first, "left_anti").join(new.select(second), second, "left_anti").select(df.columns)
+        rest = open_.join(new.select(scan), scan, "left_anti").select(df.columns)
+        for key in (first, second):
+            rest = dealt(rest, new.select(key).where(F.col(key).isNotNull()).distinct().withColumn("gone_", F.lit(True)), key, scan, "left").where("gone_ IS NULL").select(df.columns)
         open_ = settle(rest)
         if not open_.limit(1).count():
             return kept
 
 
-def top_by_rank(df: DataFrame, group: str, rank: str, tie: str, quota: Column) -> DataFrame:
-    """The ``quota`` smallest rows of every group by (rank, tie). Spark prunes groups before the shuffle only for literal limits."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(rank, tie))).where(F.col("_n") <= quota).drop("_n")
+def top_by_rank(df: DataFrame, group: str, rank: str, tie: str, quota: DataFrame) -> DataFrame:
+    """The ``quota`` (columns group and quota, a row a group) smallest rows of every group by (rank, tie); ranks are uniform hex digits.
+
+    A group's rows are cut first at a rank that leaves its quota with all but certainty, so that only about that many meet in a task; a count then proves
+    the cut, and groups that it left too few rows of are taken whole.
+    """
+    own_names(df)
+    keyed = df.select(group, F.conv(F.substring(rank, 1, 8), 16, 10).cast("long").alias("high_"))
+    sizes = keyed.groupBy(group).agg(F.count(F.lit(1)).alias("size_")).join(F.broadcast(quota.select(group, F.col("quota").alias("quota_"))), group)
+    slack = F.col("quota_") + 8 * F.sqrt(F.col("quota_").cast("double")) + 64
+    limits = settle(sizes.withColumn("cut_", F.ceil(slack / F.col("size_") * float(1 << 32)).cast("long")))
+    proven = keyed.join(F.broadcast(limits), group).groupBy(group).agg(F.count_if(F.col("high_") < F.col("cut_")).alias("n_"), F.first("quota_").alias("quota_"), F.first("size_").alias("size_"), F.first("cut_").alias("cut_"))
+    whole = F.col("n_") < F.least("quota_", "size_")
+    limits = settle(proven.select(group, "quota_", F.when(whole, 1 << 32).otherwise(F.col("cut_")).alias("cut_")))
+    few = df.join(F.broadcast(limits), group).where(F.conv(F.substring(rank, 1, 8), 16, 10).cast("long") < F.col("cut_"))
+    return few.withColumn("n_", F.row_number().over(Window.partitionBy(group).orderBy(rank, tie))).where("n_ <= quota_").select(df.columns)

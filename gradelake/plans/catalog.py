@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from gradelake.config import PROTOCOL
 from gradelake.functions import native as N
-from gradelake.functions.answers import canonical_math_udf, json_output_udf
 from gradelake.operators import constraints as C
 from gradelake.operators import integrity as I
 from gradelake.operators import ordering as O
@@ -38,10 +37,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-_CLASS = """CASE WHEN regexp_matches(lower({0}), 'https?://|www\\.') THEN 'url' WHEN regexp_matches(lower({0}), '<script|</script>|javascript:') THEN 'script'
- WHEN regexp_matches(lower({0}), 'ignore (all )?(previous|above) instructions|developer message|system message') THEN 'role_injection'
- WHEN regexp_matches(lower({0}), 'private key|api key|password|token') THEN 'secret_request'
- WHEN regexp_matches(lower({0}), '/etc/passwd|\\.ssh|powershell|cmd\\.exe') THEN 'file_request' END"""
+_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(lower({{0}}), '{pattern}') THEN '{name}'" for name, pattern in N.SUSPICIOUS) + " END"
 _PRINT = r"sha256(lower(regexp_replace(regexp_replace({0}, '[\s\x{{1c}}-\x{{1f}}\x{{85}}\pZ]+', ' ', 'g'), '^ +| +$', '', 'g')))"
 _RANK = f"sha256('{DOMAIN}' || chr(0) || '{SEED}' || chr(0) || {{0}} || chr(0) || {{1}})"
 _BUDGET = "[1024, 2048, 4096, 8192, 16384][CAST(1 + list_sum([CAST('0x' || c AS INTEGER) FOR c IN string_split({0}, '')]) % 5 AS BIGINT)]"
@@ -74,7 +70,8 @@ def fingerprint_dedupe(spark, sf_dir):
 @query(f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_RANK.format('source', 'doc_id')}, doc_id) AS n FROM documents) WHERE n <= 5")
 def seeded_topk_per_source(spark, sf_dir):
     ranked = docs(spark, sf_dir).select("doc_id", "source", N.keyed_rank(SEED, F.col("source"), F.col("doc_id")).alias("r"))
-    return O.top_by_rank(ranked, "source", "r", "doc_id", F.lit(5)).select("doc_id", "source")
+    five = ranked.groupBy("source").agg(F.lit(5).cast("long").alias("quota"))
+    return O.top_by_rank(ranked, "source", "r", "doc_id", five).select("doc_id", "source")
 
 
 @query(f"SELECT doc_id, row_number() OVER (ORDER BY {_RANK.format(repr('order'), 'doc_id')}, doc_id) - 1 AS pos FROM documents")
@@ -101,10 +98,10 @@ def evaluation_window(spark, sf_dir):
     """Filters, de-duplication, proportional quotas, keyed top-k by source, budgets and the global order. The result is bounded by ROWS."""
     one = O.settle(candidates(spark, sf_dir))
     quota = O.quotas(one.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("size")), ROWS)
-    ranked = one.withColumn("r", N.keyed_rank(SEED, F.col("source"), F.col("doc_id"))).join(quota.withColumnRenamed("name", "source"), "source")
-    picked = O.top_by_rank(ranked, "source", "r", "doc_id", F.col("quota"))
+    ranked = one.withColumn("r", N.keyed_rank(SEED, F.col("source"), F.col("doc_id")))
+    picked = O.top_by_rank(ranked, "source", "r", "doc_id", quota.withColumnRenamed("name", "source"))
     order = picked.select("doc_id", "source", "lang", N.budget(SEED, F.col("doc_id")).alias("budget"), N.keyed_rank(SEED, "order", F.col("doc_id")).alias("o"))
-    return order.withColumn("pos", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("o", "doc_id")) - 1).cast("long")).drop("o")
+    return O.position(order, "o", "doc_id").drop("o")
 
 
 @query(f"SELECT doc_id, {_BUDGET.format(_RANK.format(repr('reasoning_budget'), 'doc_id'))} AS budget FROM documents")
@@ -131,27 +128,6 @@ def block_window(spark, sf_dir):
     return o.groupBy(N.window_of(F.col("block")).alias("win")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("block") < 2 * PROTOCOL.window_blocks).alias("before_2"))
 
 
-@query("SELECT o_custkey AS hotkey, max(o_orderkey) AS block FROM orders GROUP BY 1")
-def latest_commitment(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("hotkey")).agg(F.max("o_orderkey").alias("block"))
-
-
-@query("""WITH d AS (SELECT o_orderkey AS block, o_custkey AS hotkey, o_orderstatus || o_orderpriority || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR) AS digest FROM orders)
-SELECT block, hotkey, first_value(hotkey) OVER (PARTITION BY digest ORDER BY block, hotkey) AS first_hotkey FROM d""")
-def copy_filter_first_committer(spark, sf_dir):
-    """First committer by a minimum over each digest, joined back; a digest of many copies stays one row of the aggregate."""
-    digest = F.concat("o_orderstatus", "o_orderpriority", F.floor(F.col("o_totalprice") / 1000).cast("string"))
-    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("block"), F.col("o_custkey").alias("hotkey"), digest.alias("digest"))
-    first = d.groupBy("digest").agg(F.min(F.struct("block", "hotkey")).alias("f"))
-    return d.join(first, "digest").select("block", "hotkey", F.col("f.hotkey").alias("first_hotkey"))
-
-
-@query("SELECT l_orderkey // 3600 AS win, l_partkey AS digest, arg_min(l_suppkey, (l_orderkey, l_suppkey)) AS hotkey, min(l_orderkey) AS block FROM lineitem GROUP BY 1, 2")
-def rollout_priority(spark, sf_dir):
-    item = table(spark, sf_dir, "lineitem").select(N.window_of(F.col("l_orderkey")).alias("win"), F.col("l_partkey").alias("digest"), F.struct(F.col("l_orderkey").alias("block"), F.col("l_suppkey").alias("hotkey")).alias("f"))
-    return item.groupBy("win", "digest").agg(F.min("f").alias("f")).select("win", "digest", "f.hotkey", "f.block")
-
-
 def audit_round(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """Correct rows by keyed rank, 32 a round; rounds are disjoint because a later one anti-joins the earlier."""
     pool = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", N.keyed_rank(SEED, "audit", F.col("doc_id")).alias("r"))
@@ -176,120 +152,24 @@ def audit_sample_round2(spark, sf_dir):
     return audit_round(spark, sf_dir, 2)
 
 
-@query("SELECT lang AS category, count(*) AS n, CAST(sum(quality) AS BIGINT) AS correct, sum(quality) / count(*) AS score FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)")
-def category_scores(spark, sf_dir):
-    joined = table(spark, sf_dir, "labels").join(docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")
-    return joined.rollup(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("correct"), (F.sum("quality") / F.count(F.lit(1))).alias("score"))
-
-
-@query("""SELECT o_orderkey, CASE WHEN abs(a - b) <= greatest(1e-6 * greatest(abs(a), abs(b)), 1e-6) THEN 1 ELSE 0 END AS reward FROM (SELECT o_orderkey,
-TRY_CAST(regexp_extract(replace('the total is ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR), ',', ''), '-?\\d+(?:\\.\\d+)?') AS DOUBLE) AS a, floor(o_totalprice) + o_orderkey % 2 AS b FROM orders)""".replace("\\\\", "\\"))
-def grade_numeric(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    response = F.concat(F.lit("the total is "), F.floor("o_totalprice").cast("string"))
-    expected = (F.floor("o_totalprice") + F.col("o_orderkey") % 2).cast("double")
-    return o.select("o_orderkey", F.when(N.close(N.numeric_value(response), expected), 1).otherwise(0).alias("reward"))
-
-
-@query("SELECT c_custkey, CASE WHEN lower(trim(c_mktsegment)) = CASE WHEN c_custkey % 3 = 0 THEN 'building' ELSE lower(c_mktsegment) END THEN 1 ELSE 0 END AS reward FROM customer")
-def grade_label(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    response = F.concat(F.lit(" \t"), F.upper("c_mktsegment"), F.lit("\n"))
-    expected = F.when(F.col("c_custkey") % 3 == 0, "Building").otherwise(F.col("c_mktsegment"))
-    return c.select("c_custkey", F.when(N.normal_answer(response) == N.normal_answer(expected), 1).otherwise(0).alias("reward"))
-
-
-@query("SELECT p_partkey, chr(65 + CAST(p_size % 10 AS INTEGER)) AS letter FROM part")
-def grade_mcqa(spark, sf_dir):
-    letter = F.char(F.lit(65) + F.col("p_size") % 10)
-    forms = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("I think the answer is (Z). Answer: ("), letter, F.lit(")"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("so \\boxed{"), F.lower(letter), F.lit("}"))).otherwise(F.concat(F.lit(" ("), letter, F.lit(") ")))
-    return table(spark, sf_dir, "part").select("p_partkey", N.mcqa_letter(forms).alias("letter"))
-
-
-@query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS answer FROM lineitem")
-def grade_math_exact(spark, sf_dir):
-    text = F.concat(F.lit("we get \\boxed{1} then \\boxed{ $"), F.col("l_quantity").cast("long").cast("string"), F.lit("$ }."))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", canonical_math_udf(text).alias("answer"))
-
-
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS answer FROM lineitem")
-def grade_json_output(spark, sf_dir):
-    text = F.concat(F.lit('result {x} {"output": "'), F.col("l_returnflag"), F.when(F.col("l_linenumber") % 2 == 0, '"}').otherwise('"} and more'))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", json_output_udf(text).alias("answer"))
-
-
-@query("SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, quality AS reward FROM labels JOIN documents USING (doc_id)")
-def reward_bits_roundtrip(spark, sf_dir):
-    """Packs each group's rewards into bits and unpacks them again."""
-    rows = table(spark, sf_dir, "labels").join(docs(spark, sf_dir).select("doc_id", "lang"), "doc_id").withColumn("pos", (F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).cast("long"))
-    packed = I.pack_bits(rows, ["lang"], "pos", "quality").join(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "lang")
-    return I.unpack_bits(packed, ["lang"], "bits", F.col("rows")).select("lang", "pos", "reward")
-
-
 @query("SELECT round(avg(quality - toxic), 9) AS delta, round(avg(quality - toxic) - 2.3263 * sqrt(var_samp(quality - toxic) / count(*)), 9) AS bound FROM labels")
 def paired_lcb(spark, sf_dir):
     delta, bound = I.paired_bound(F.col("quality") - F.col("toxic"), 2.3263)
     return table(spark, sf_dir, "labels").agg(F.round(delta, 9).alias("delta"), F.round(bound, 9).alias("bound"))
 
 
-@query("""WITH s AS (SELECT source, count(*) AS n, avg(quality) AS p FROM labels JOIN documents USING (doc_id) GROUP BY source), k AS (SELECT * FROM s ORDER BY p DESC, source LIMIT 1)
-SELECT s.source, k.source AS king, round(s.p - k.p - 2.3263 * sqrt(s.p * (1 - s.p) / s.n + k.p * (1 - k.p) / k.n), 9) AS bound FROM s, k WHERE s.source <> k.source""")
-def champion_decision(spark, sf_dir):
-    """Lower bounds of all challengers against the best submitter, which is one row."""
-    s = table(spark, sf_dir, "labels").join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("p"))
-    king = s.orderBy(F.desc("p"), "source").limit(1).select(F.col("source").alias("king"), F.col("n").alias("kn"), F.col("p").alias("kp"))
-    both = s.join(F.broadcast(king), F.col("source") != F.col("king"))
-    return both.select("source", "king", F.round(I.unpaired_bound(F.col("p"), F.col("n"), F.col("kp"), F.col("kn"), 2.3263), 9).alias("bound"))
-
-
-@query("SELECT uid, sum(w) AS weight FROM (SELECT 0 AS uid, CASE WHEN count(*) > 0 THEN 0.9::DOUBLE ELSE 1::DOUBLE END AS w FROM supplier WHERE s_acctbal > 0 UNION ALL (SELECT s_suppkey, 0.1::DOUBLE FROM supplier WHERE s_acctbal > 0 ORDER BY s_acctbal DESC, s_suppkey LIMIT 1)) GROUP BY uid")
-def winner_weights(spark, sf_dir):
-    """Nine tenths to uid 0 and one tenth to the best eligible submitter; all to uid 0 without one."""
-    best = table(spark, sf_dir, "supplier").where("s_acctbal > 0").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(1)
-    burn = best.agg(F.when(F.count(F.lit(1)) > 0, PROTOCOL.burn_share).otherwise(1.0).alias("w")).select(F.lit(0).cast("long").alias("uid"), "w")
-    paid = best.select(F.col("s_suppkey").alias("uid"), F.lit(0.1).alias("w"))
-    return burn.union(paid).groupBy("uid").agg(F.sum("w").alias("weight"))
-
-
-@query("SELECT row_number() OVER (ORDER BY s_acctbal DESC, s_name) AS rank, s_name AS hotkey, s_acctbal AS score FROM supplier")
-def leaderboard_rank(spark, sf_dir):
-    ranked = O.position(table(spark, sf_dir, "supplier").select("s_name", "s_acctbal", (-F.col("s_acctbal")).alias("o")), "o", "s_name", name="rank")
-    return ranked.select((F.col("rank") + 1).alias("rank"), F.col("s_name").alias("hotkey"), F.col("s_acctbal").alias("score"))
-
-
 @query("SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS \"user\", count(*) FILTER (WHERE role = 'assistant') AS assistant, count(*) FILTER (WHERE role = 'system') AS system FROM conversations GROUP BY conv_id")
 def validator_pivot(spark, sf_dir):
     p = table(spark, sf_dir, "conversations").groupBy("conv_id").pivot("role", ["user", "assistant", "system"]).agg(F.count(F.lit(1)))
     return p.na.fill(0)
 
 
-@query("""SELECT coalesce(a.o_custkey, b.o_custkey) AS hotkey, coalesce(a.best, b.best) AS score, CASE WHEN a.o_custkey IS NULL THEN 'carried' ELSE 'current' END AS status
-FROM (SELECT o_custkey, max(o_totalprice) AS best FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT o_custkey, max(o_totalprice) AS best FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) b ON a.o_custkey = b.o_custkey""")
-def carryover_full_outer(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    half = lambda k, c: o.where(F.col("o_orderkey") % 2 == k).groupBy(F.col("o_custkey").alias("hotkey")).agg(F.max("o_totalprice").alias(c))
-    status = F.when(F.col("now").isNull(), "carried").otherwise("current")
-    return half(0, "now").join(half(1, "old"), "hotkey", "full_outer").select("hotkey", F.coalesce("now", "old").alias("score"), status.alias("status"))
-
-
 @query("SELECT event_id, count(*) OVER w AS rounds, max(value) OVER w AS best FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def audit_progress_cumulative(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, sf_dir, "events").select("event_id", F.count(F.lit(1)).over(w).alias("rounds"), F.max("value").over(w).alias("best"))
 
 
-@query("""WITH c AS (SELECT vec_id, unnest(embedding) AS lp, unnest(range(64)) AS token FROM embeddings),
-r AS (SELECT vec_id, token, lp, row_number() OVER (PARTITION BY vec_id ORDER BY lp DESC, token) AS rank, max(lp) OVER (PARTITION BY vec_id) AS top FROM c)
-SELECT vec_id, CAST(rank AS INTEGER) AS rank, rank <= 3 AND top - lp <= 0.25 + 1e-6 AS valid FROM r WHERE token = vec_id % 64""")
-def token_audit(spark, sf_dir):
-    """Rank and gap of the submitted token among its candidates, which stay one array a position."""
-    e = table(spark, sf_dir, "embeddings").withColumn("token", (F.col("vec_id") % 64).cast("int"))
-    own = F.get("embedding", F.col("token"))
-    better = F.filter(F.transform("embedding", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda c: (c["x"] > own) | ((c["x"] == own) & (c["i"] < F.col("token"))))
-    rank = F.size(better) + 1
-    return e.select("vec_id", rank.alias("rank"), ((rank <= PROTOCOL.max_rank) & ((F.array_max("embedding") - own).cast("double") <= PROTOCOL.max_gap + 1e-6)).alias("valid"))
-
-
 @query()
 def merkle_root(spark, sf_dir):
     """The root over documents in doc_id order (equal ids by digest), a digest of the whole row a leaf; held against a plain tree in the tests."""
@@ -314,23 +194,6 @@ def retry_backoff(spark, sf_dir):
 _W = r"regexp_extract_all(text, '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?')"
 
 
-@query(rf"""SELECT doc_id, CAST(len({_W}) AS INTEGER) AS n_words, text NOT LIKE '%,%' AS no_comma, text NOT LIKE '%.%' AS no_dot, text NOT LIKE '%!%' AS no_exclamation,
-regexp_matches(text, '<<[^<>]+>>') AS title, CAST(len(regexp_extract_all(text, '\[[^\[\]]+\]')) AS INTEGER) AS placeholders,
-len(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 0 AND NOT regexp_matches(text, '[a-z]') AS capital, len(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 0 AND NOT regexp_matches(text, '[A-Z]') AS lowercase,
-CAST(len(regexp_extract_all(text, '\p{{L}}')) AS INTEGER) AS letters, len({_W}) > 0 AND len({_W}) = len(list_distinct([lower(x) FOR x IN {_W}])) AS count_unique,
-lower({_W}[-1]) AS last_word, lower({_W}[1]) AS first_word FROM documents""")
-def constraint_predicates(spark, sf_dir):
-    t, w = F.col("text"), N.words(F.col("text"))
-    some = F.length(F.regexp_replace(t, "[^A-Za-z]", "")) > 0
-    return docs(spark, sf_dir).select(
-        "doc_id", F.size(w).alias("n_words"), (~t.contains(",")).alias("no_comma"), (~t.contains(".")).alias("no_dot"), (~t.contains("!")).alias("no_exclamation"),
-        t.rlike("<<[^<>]+>>").alias("title"), F.regexp_count(t, F.lit(r"\[[^\[\]]+\]")).alias("placeholders"),
-        (some & ~t.rlike("[a-z]")).alias("capital"), (some & ~t.rlike("[A-Z]")).alias("lowercase"), F.regexp_count(t, F.lit(r"\p{L}")).alias("letters"),
-        ((F.size(w) > 0) & (F.size(w) == F.size(F.array_distinct(F.transform(w, F.lower))))).alias("count_unique"),
-        F.lower(F.try_element_at(w, F.lit(-1))).alias("last_word"), F.lower(F.try_element_at(w, F.lit(1))).alias("first_word"),
-    )
-
-
 #: Arguments of every instruction constraint; counts are read as relations.
 ARGUMENTS = {
     "forbidden_words": '["password", "token"]', "keywords": '["the", "on"]', "keyword": "the", "frequency": "3", "relation": "at least", "N": "40", "num_words": "40", "num_paragraphs": "1", "num_sentences": "3", "nth_paragraph": "1",
@@ -346,20 +209,6 @@ def instruction_constraints(spark, sf_dir):
     return d.select("doc_id", *[F.coalesce(p, F.lit(False)).alias(name.replace(":", "_")) for name, p in C.predicates(F.col("text"), args).items()])
 
 
-@query()
-def two_key_dedupe(spark, sf_dir):
-    """Documents by row id and by the fingerprint of the whole text, in doc_id order; held against the plain loop in the tests. Rows without text have no prompt."""
-    keyed = docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", N.fingerprint(F.col("text")).alias("fp")).distinct()
-    return O.two_key_dedupe(keyed.withColumn("scan", F.struct("doc_id", "fp")), "scan", "doc_id", "fp").select("doc_id")
-
-
-@query("SELECT doc_id, CASE WHEN n > 2000 THEN 'too_long' WHEN n < 2000 AND NOT ends THEN 'no_terminal' ELSE 'ok' END AS verdict FROM (SELECT doc_id, length(text) AS n, text LIKE '%.' AS ends FROM documents)")
-def rollout_bounds(spark, sf_dir):
-    """Documents as code-point rollouts under a limit of 2000 tokens; the full stop is the terminal."""
-    n, ends = F.length("text"), F.col("text").endswith(".")
-    return docs(spark, sf_dir).select("doc_id", F.when(n > 2000, "too_long").when((n < 2000) & ~ends, "no_terminal").otherwise("ok").alias("verdict"))
-
-
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 0) AS valid, count(DISTINCT user_id) AS hotkeys, max(value) AS best FROM events GROUP BY event_type")
 def status_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 0).alias("valid"), F.count_distinct("user_id").alias("hotkeys"), F.max("value").alias("best"))
@@ -368,3 +217,6 @@ def status_counts(spark, sf_dir):
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem GROUP BY ALL")
 def lineitem_summary(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n"))
+
+
+from gradelake.plans import protocol  # noqa: E402, F401 (registers its queries)

@@ -5,6 +5,7 @@ from gradelake.operators.constraints import predicates, satisfied
 CASES = [
     ("keywords:forbidden_words", "A cat", {"forbidden_words": '["dog"]'}, True), ("keywords:forbidden_words", "A Dog", {"forbidden_words": '["dog"]'}, False), ("keywords:forbidden_words", "x", {}, True),
     ("keywords:existence", "the cat sat", {"keywords": '["Cat","sat"]'}, True), ("keywords:existence", "category", {"keyword": "cat"}, False), ("keywords:existence", "x", {}, True),
+    ("keywords:existence", "x", {"keywords": "[]"}, False), ("keywords:existence", "x", {"keywords": '[""]'}, True), ("last_word:last_word_sent", "so it is none. None!", {}, True),
     ("keywords:word_once", "a b a", {"word": "b"}, True), ("keywords:frequency", "a.b a.b", {"keyword": "a.b", "frequency": "2", "relation": "at least"}, True),
     ("keywords:no_adjacent_consecutive", "apple cat", {}, True), ("keywords:no_adjacent_consecutive", "apple bat", {}, False),
     ("length_constraints:number_words", "one two's three", {"N": "3"}, True), ("length_constraints:number_words", "one", {"N": "x"}, False), ("length_constraints:number_words", "one", {"num_words": "2", "relation": "less than"}, True),

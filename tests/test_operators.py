@@ -74,7 +74,7 @@ def test_math(text, answer):
 
 
 @pytest.mark.parametrize(("text", "answer"), [
-    ('x {"output": "a\\n b"}', "a\n b"), ('```json\n{"output": "q"}\n```', "q"), ('{"output": "q"} more', None), ('{"output": 1}', None),
+    ('x {"output": "a\\n b"}', "a\n b"), ('```json\n{"output": "q"}\n```', "q"), ('{"output": "q"}```', None), ('{"output": "q"}\n  ```  ', "q"), ('{"output": "q"} more', None), ('{"output": 1}', None),
     ('{"output": "q", "b": 1}', None), ('{"a": {"output": "q"}}', None), (None, None), ("{" * 500, None), ('{"output": "{}"}', "{}"),
 ])
 def test_json(text, answer):
@@ -102,3 +102,42 @@ def test_native(spark):
     rows = spark.createDataFrame([(1024,), (16384,)], "id long").select(low, high).collect()
     assert [tuple(r) for r in rows] == [(922, 1126), (14746, 18022)]
     assert I.familywise_z(2.3263478740408408, 2) == pytest.approx(2.5758, abs=1e-4)
+
+
+def test_edges(spark):
+    one = spark.range(1)
+    n = lambda *x: [F.lit(v) for v in x]
+    assert one.select(N.detection_probability(*n(100, 10, 0))).first()[0] == 0 == one.select(N.detection_probability(*n(100, 0, 5))).first()[0]
+    for bad in (N.detection_probability(*n(10, 11, 1)), N.window_of(F.lit(-1)), N.required_rounds(F.lit(0), F.lit(1), 0.1, 0.9)):
+        with pytest.raises(PySparkException):
+            one.select(bad).collect()
+    assert one.select(N.strip(F.lit("a" + " " * 200_000 + "b"))).first()[0] == "a" + " " * 200_000 + "b"  # a long inner run costs its length once
+    empty = spark.createDataFrame([("g", "")], "g string, bits string")
+    assert I.unpack_bits(empty, ["g"], "bits", F.lit(0)).count() == 0
+    for rows in ([("g", 0, 2)], [("g", 0, 1), ("g", 2, 1)], [("g", 0, 1), ("g", 0, 1)], [("g", 1, 1)], [("g", 0, None)]):
+        with pytest.raises(PySparkException):
+            I.pack_bits(spark.createDataFrame(rows, "g string, pos long, r int"), ["g"], "pos", "r").collect()
+    with pytest.raises(PySparkException):
+        O.quotas(spark.createDataFrame([("a", 1), ("b", 10_000)], "name string, size long"), 10).collect()
+    with pytest.raises(ValueError):
+        O.position(spark.createDataFrame([(1, 2)], "a int, part_ int"), "a")
+
+
+def test_two_keys_with_nulls_and_reserved_keys(spark):
+    rows = [(1, None, None), (2, None, None), (3, "a", None), (4, "a", "x"), (5, None, "x"), (6, "b", "x"), (7, "r", "y"), (8, "c", "s")]
+    df = spark.createDataFrame(rows, "n long, a string, b string")
+    reserved = spark.createDataFrame([("r", "q"), ("w", "s")], "a string, b string")
+    assert sorted(x.n for x in O.two_key_dedupe(df, "n", "a", "b").collect()) == [1, 2, 3, 5, 7, 8]
+    assert sorted(x.n for x in O.two_key_dedupe(df, "n", "a", "b", reserved).collect()) == [1, 2, 3, 5]
+
+
+def test_top_by_rank_needs_its_second_pass(spark):
+    rows = [("g", "ffffffff" + f"{i:04d}", i) for i in range(3000)] + [("h", f"{i:08x}", i) for i in range(20)]
+    df = spark.createDataFrame(rows, "g string, r string, t int")
+    got = O.top_by_rank(df, "g", "r", "t", spark.createDataFrame([("g", 7), ("h", 50)], "g string, quota long")).collect()
+    assert sorted(x.t for x in got if x.g == "g") == list(range(7)) and len([x for x in got if x.g == "h"]) == 20
+
+
+@pytest.mark.parametrize(("text", "answer"), [("42", "42"), ("\\frac{2}{4}", "1/2"), (".5", "1/2"), ("1e3", "1000"), ("<answer> 3/6 </answer>", "1/2"), ("so \\boxed{0.25} ok", "1/4"), ("the answer is 7.", "7"), ("1/0", None), ("1e99999", None), ("x", None), (None, None)])
+def test_rational(text, answer):
+    assert A.rational(text) == answer

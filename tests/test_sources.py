@@ -1,12 +1,19 @@
+import hashlib
 import json
+import os
 import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from gradelake.functions import scalars as S2
+
 from gradelake.operators import normalize as R
+from gradelake.operators import window as W
+from gradelake.sources import artifacts as A
 from gradelake.sources import sampled as S
 
 
@@ -73,4 +80,77 @@ def test_normalizers(spark):
     got = R.declared_mcqa(spark.createDataFrame(rows, kind), "s", F.lit(1)).collect()
     assert [(x.row_id, x.prompt.startswith("Q\n")) for x in got] == [("mcqa:s:u1", True)]
     code = spark.createDataFrame([("c1", "p", "{'ground_truth': 'a\\n b'}"), ("c2", "p", "{'ground_truth': str(1)}"), ("c3", "p", "{'ground_truth': ''}"), ("c4", "p", None)], "problem_id string, prompt string, verification_info string")
+    twins = spark.createDataFrame([(" p ", "1", "x"), ("p", "1", "x")], "problem string, answer string, question_type string")
+    assert len({x.row_id for x in R.typed_math(twins, "s", "open").collect()}) == 1  # ids come from the cleaned question
     assert [(x.row_id, x.expected) for x in R.code_output(code, "s", F.lit(1)).collect()] == [("code:s:c1", ["a\n b"])]
+
+
+def test_rollout_files(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"row-{i}", [1, 2, i]) for i in range(500)], "pos long, row_id string, tokens array<int>").repartition(5)
+    path = f"{tmp_path}/out/rollouts.jsonl"
+    sha, n = A.write_rollouts(rows, path)
+    raw = open(path, "rb").read()
+    assert n == 500 and sha == hashlib.sha256(raw).hexdigest() == A.file_sha256(path)
+    assert raw == b"".join(S2.canonical_json({"row_id": f"row-{i}", "tokens": [1, 2, i]}) + b"\n" for i in range(500))
+    assert sorted(map(tuple, A.load_rollouts(spark, path).collect())) == sorted((x.pos, x.row_id, x.tokens) for x in rows.collect())
+    manifest = {"hotkey": "h", "model_repo": "a/b", "model_revision": "1" * 40, "digest": "2" * 64, "window": 3, "evaluation_seed": "3" * 64, "evaluation_root": "4" * 64, "row_count": 500, "rows_sha256": sha, "base_model": "m", "base_revision": "r", "max_output_tokens": 10, "protocol": "p"}
+    A.write_json(manifest, f"{tmp_path}/out/manifest.json")
+    told, got = A.load_bundle(spark, f"{tmp_path}/out", rows)
+    assert told == manifest and got.count() == 500 and A.manifest_fault(told, manifest | {"window": 4}) == "window" and A.manifest_fault(told, manifest) is None
+    with pytest.raises(ValueError):
+        A.load_bundle(spark, f"{tmp_path}/out", rows.withColumn("row_id", F.lit("other")))
+    for bad in (b'{"row_id":"a","tokens":[1],"x":1}', b'{"row_id":"a","row_id":"b","tokens":[1]}', b'{"row_id":"a","tokens":[true]}', b'{"row_id":"a","tokens":[-1]}', b'{"row_id":" a","tokens":[1]}', b'{"row_id":"a","tokens":[NaN]}', b"", b"[1]", b"\xff", b'{"row_id":"a","tokens":[1,2,3]}'):
+        (tmp_path / "bad.jsonl").write_bytes(bad + b"\n")
+        with pytest.raises(PySparkException):
+            A.load_rollouts(spark, f"{tmp_path}/bad.jsonl", most=2, vocabulary=9).collect()
+    for change in ({"row_count": 4}, {"window": True}, {"digest": "x"}, {"extra": 1}):
+        A.write_json(manifest | change, f"{tmp_path}/m.json")
+        with pytest.raises(ValueError):
+            A.load_manifest(f"{tmp_path}/m.json", 500)
+
+
+def test_jsonl(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n  \n{"row_id": "own", "a": 2}\n{"a": 3}')
+    got = A.load_jsonl(spark, f"{tmp_path}/x.jsonl", "row_id string, a int").orderBy("line").collect()
+    assert [(x.row_id, x.a) for x in got] == [("row-1", 1), ("own", 2), ("row-5", 3)]
+    assert A.load_exact(spark, f"{tmp_path}/x.jsonl").count() == 3
+    (tmp_path / "y.jsonl").write_text('{"a": 1}\n[2]\n')
+    with pytest.raises(PySparkException):
+        A.load_exact(spark, f"{tmp_path}/y.jsonl").collect()
+    df = spark.createDataFrame([(1, "\u2028é", None), (0, "b", 2)], "o int, t string, n int")
+    A.write_jsonl(df, "o", f"{tmp_path}/z.jsonl", ascii_only=True)
+    assert (tmp_path / "z.jsonl").read_text() == '{"n": 2, "t": "b"}\n{"n": null, "t": "\\u2028\\u00e9"}\n'
+
+
+def test_scalars():
+    fields = {"protocol": "p1", "model_repo": "a/b", "model_revision": "1" * 40, "digest": "2" * 64, "rollout_repo": "c/d"}
+    assert S2.commitment_fields(S2.commitment_bytes(fields)) == fields
+    for bad in ({"p": "x"}, fields, b"{}", {**{k: fields[v] for k, v in S2.COMMITMENT.items()}, "m": "no"}, {**{k: fields[v] for k, v in S2.COMMITMENT.items()}, "p": "x" * 600}):
+        with pytest.raises(ValueError):
+            S2.commitment_fields(bad)
+    assert S2.block_hash(" " + "AB" * 32 + "\n") == "0x" + "ab" * 32 == S2.block_hash("0X" + "ab" * 32) and S2.revision("A" * 40) == "a" * 40
+    assert S2.evaluation_seed(1, 2, "0x" + "ab" * 32) == S2.evaluation_seed(1, 2, "ab" * 32) != S2.evaluation_seed(1, 3, "ab" * 32)
+    for bad in ("", "0x", "g" * 64, "a" * 63):
+        with pytest.raises(ValueError):
+            S2.block_hash(bad)
+    told = S2.sign({"a": 1}, b"key", "k")
+    assert S2.signed({"a": 1}, told, {"k": b"key"}) and not S2.signed({"a": 2}, told, {"k": b"key"}) and not S2.signed({"a": 1}, told, {})
+
+
+def test_window_fails_closed_and_is_reused(spark, tmp_path):
+    raw = spark.createDataFrame([(f"question {i % 50}", str(i), "x", i // 10, i % 10) for i in range(100)], "problem string, answer string, question_type string, block_ord long, pos long")
+    make = lambda **kw: W.Source(**({"name": "s", "size": 5, "read": lambda n: raw.where(F.col("block_ord") < n), "normalizer": "typed_math", "category": "c", "verifier": "math_exact"} | kw))
+    held = W.ensure_window(spark, f"{tmp_path}/w", [make(), make(name="t")], "seed", 40)
+    rows = held.orderBy("pos").collect()
+    assert [x.pos for x in rows] == list(range(40)) and len({x.row_id for x in rows}) == 40 == len({x.prompt for x in rows})
+    assert all(int(x.expected[0]) < 50 for x in rows)  # of repeated questions the first in scan order
+    stamp = os.path.getmtime(f"{tmp_path}/w/rows/_SUCCESS")
+    W.ensure_window(spark, f"{tmp_path}/w", [make(), make(name="t")], "seed", 40)
+    assert os.path.getmtime(f"{tmp_path}/w/rows/_SUCCESS") == stamp
+    assert W.ensure_window(spark, f"{tmp_path}/w", [make(), make(name="t")], "seed2", 40).count() == 40 and os.path.getmtime(f"{tmp_path}/w/rows/_SUCCESS") != stamp
+    with pytest.raises(ValueError):
+        W.build_window(spark, [make()], "seed", 51)
+    with pytest.raises(PySparkException):
+        W.build_window(spark, [make(verifier="label_match")], "seed", 5)
+    few = W.select_source(make(), "seed", 15, None)
+    assert {int(x.expected[0]) // 10 for x in few.collect()} <= {0, 1}  # read to the end of the block that fills the quota
