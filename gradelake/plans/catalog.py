@@ -170,14 +170,21 @@ def audit_progress_cumulative(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.count(F.lit(1)).over(w).alias("rounds"), F.max("value").over(w).alias("best"))
 
 
-@query()
+#: Levels of the tree as lists of hex digests, each from the one below; leaves are digests of the rows' JSON.
+_ROOT = """WITH RECURSIVE d AS (SELECT doc_id, sha256('{"doc_id":' || doc_id || coalesce(',"lang":' || to_json(lang), '') || coalesce(',"source":' || to_json(source), '') || coalesce(',"text":' || to_json(text), '') || '}') AS h FROM documents),
+t AS (SELECT list(sha256('leaf:' || h) ORDER BY doc_id, h) AS level, count(*) AS rows FROM d
+ UNION ALL SELECT [sha256('node:'::BLOB || unhex(level[2 * i + 1]) || unhex(coalesce(level[2 * i + 2], level[2 * i + 1]))) FOR i IN range((len(level) + 1) // 2)], rows FROM t WHERE len(level) > 1)
+SELECT level[1] AS root, rows FROM t WHERE len(level) = 1"""
+
+
+@query(_ROOT)
 def merkle_root(spark, sf_dir):
     """The root over documents in doc_id order (equal ids by digest), a digest of the whole row a leaf; held against a plain tree in the tests."""
     d = docs(spark, sf_dir)
     digest = F.sha2(F.to_json(F.struct("doc_id", "lang", "source", "text")), 256)
     rows = O.settle(O.position(d.select("doc_id", digest.alias("digest")), "doc_id", "digest"))
     root = I.merkle_root(rows, "pos", F.col("digest"))
-    return spark.range(1).select(F.lit(root).alias("root"), F.lit(rows.count()).alias("rows"))
+    return spark.range(1).select(F.lit(root).alias("root"), F.lit(rows.count()).cast("long").alias("rows"))
 
 
 @query("SELECT CAST(k AS INTEGER) AS k, round(1 - exp(sum(ln(100000 - 1000 - i) - ln(100000 - i))), 8) AS p FROM (SELECT unnest([32, 320, 960]) AS k), range(960) t(i) WHERE i < k GROUP BY k")

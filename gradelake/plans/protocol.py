@@ -194,15 +194,15 @@ def suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
     name, digest = F.col("s_name").alias("hotkey"), F.col("s_nationkey").cast("string")
     commitments = s.select(name, (k % 60).cast("int").alias("uid"), digest.alias("digest"), F.when(k % 11 == 0, "first").alias("copy_of"))
-    results = s.where(k % 6 != 0).select(name, (k % 60).cast("int").alias("uid"), F.when(k % 5 == 0, "other").otherwise(digest).alias("digest"), (F.col("s_acctbal") / 10_000).alias("score"), F.when(k % 7 != 0, k % 4 != 0).alias("valid"),
+    results = s.where("s_acctbal > 500").select(name, (k % 60).cast("int").alias("uid"), F.when(k % 5 == 0, "other").otherwise(digest).alias("digest"), ((F.col("s_acctbal") - 1_000) / 10_000).alias("score"), F.when(k % 7 != 0, k % 4 != 0).alias("valid"),
                                              F.when(k % 8 == 0, "auditing").when(k % 9 == 0, "blacklisted").alias("audit_status"), (k % 31).cast("int").alias("audit_round"), F.when(k % 16 == 0, "model").alias("copy_kind"), F.when(k % 32 == 0, "x").alias("copy_source"))
-    carried = s.where(k % 3 == 0).select(name, (k % 60).cast("int").alias("uid"), digest.alias("digest"), F.lit(0.5).alias("score"), F.lit(True).alias("valid"), F.lit(True).alias("carryover"), F.lit(4).cast("long").alias("source_window"))
+    carried = s.where("s_nationkey < 9").select(name, (k % 60).cast("int").alias("uid"), digest.alias("digest"), F.lit(0.5).alias("score"), F.lit(True).alias("valid"), F.lit(True).alias("carryover"), F.lit(4).cast("long").alias("source_window"))
     return commitments, results, carried
 
 
-_SUPPLIERS = """s AS (SELECT s_suppkey AS k, s_name AS hotkey, CAST(s_suppkey % 60 AS INTEGER) AS uid, CAST(s_nationkey AS VARCHAR) AS digest, s_acctbal / 10000 AS score FROM supplier),
-res AS (SELECT k, hotkey, uid, CASE WHEN k % 5 = 0 THEN 'other' ELSE digest END AS digest, score, CASE WHEN k % 7 <> 0 THEN k % 4 <> 0 END AS valid, CASE WHEN k % 8 = 0 THEN 'auditing' WHEN k % 9 = 0 THEN 'blacklisted' END AS audit_status FROM s WHERE k % 6 <> 0),
-good AS (SELECT * FROM res WHERE valid AND score > 0), old AS (SELECT hotkey, uid, digest, 0.5::DOUBLE AS score FROM s WHERE k % 3 = 0)"""
+_SUPPLIERS = """s AS (SELECT s_suppkey AS k, s_name AS hotkey, CAST(s_suppkey % 60 AS INTEGER) AS uid, CAST(s_nationkey AS VARCHAR) AS digest, (s_acctbal - 1000) / 10000 AS score, s_acctbal, s_nationkey FROM supplier),
+res AS (SELECT k, hotkey, uid, CASE WHEN k % 5 = 0 THEN 'other' ELSE digest END AS digest, score, CASE WHEN k % 7 <> 0 THEN k % 4 <> 0 END AS valid, CASE WHEN k % 8 = 0 THEN 'auditing' WHEN k % 9 = 0 THEN 'blacklisted' END AS audit_status FROM s WHERE s_acctbal > 500),
+good AS (SELECT * FROM res WHERE valid AND score > 0), old AS (SELECT hotkey, uid, digest, 0.5::DOUBLE AS score FROM s WHERE s_nationkey < 9)"""
 _WEIGHTS = """best AS (SELECT s.uid FROM s LEFT JOIN good g USING (hotkey) LEFT JOIN old o USING (hotkey) WHERE s.uid > 0 AND k % 11 <> 0 AND CASE WHEN g.hotkey IS NULL THEN o.digest ELSE g.digest END = s.digest
  ORDER BY CASE WHEN g.hotkey IS NULL THEN o.score ELSE g.score END DESC, s.uid, hotkey LIMIT 1),
 weights AS (SELECT 0 AS uid, CASE WHEN count(*) > 0 THEN 0.9::DOUBLE ELSE 1::DOUBLE END AS weight FROM best UNION ALL SELECT uid, 0.1::DOUBLE FROM best)"""
@@ -245,18 +245,18 @@ def leaderboard_rank(spark, sf_dir):
 _NAMES = ["a", "b", "c"]
 
 
-@query("""WITH v AS (SELECT c_custkey, 'Customer ' || lpad(CAST(c_custkey // 3 AS VARCHAR), 14, '0') AS hotkey, ['a', 'b', 'c'][1 + c_custkey % 3] AS validator, CAST(c_custkey // 3 AS INTEGER) AS uid, floor(abs(c_acctbal)) / 10000 AS score, CASE WHEN c_custkey % 17 = 0 THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS w, c_custkey % 4 > 0 AS valid,
- CASE WHEN c_custkey % 5 = 0 THEN 'auditing' WHEN c_custkey % 5 = 1 THEN 'Retrying' WHEN c_custkey % 5 = 2 THEN 'blacklisted' END AS st, c_custkey % 31 AS n FROM customer WHERE c_custkey % 10 > 0),
+@query("""WITH v AS (SELECT c_custkey, 'Customer ' || lpad(CAST(c_custkey // 2 AS VARCHAR), 14, '0') AS hotkey, ['a', 'b', 'c'][1 + c_custkey % 3] AS validator, CAST(c_custkey // 2 AS INTEGER) AS uid, floor(abs(c_acctbal)) / 10000 AS score, CASE WHEN c_custkey % 17 = 0 THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS w, c_custkey % 4 > 0 AS valid,
+ CASE WHEN c_custkey % 5 = 0 THEN 'auditing' WHEN c_custkey % 5 = 1 THEN 'Retrying' WHEN c_custkey % 5 = 2 THEN 'blacklisted' END AS st, c_custkey % 31 AS n FROM customer),
 c AS (SELECT *, CASE WHEN w > 0 THEN 'KING ' || printf('%.4f', score) WHEN valid THEN 'VALID ' || printf('%.4f', score) WHEN st = 'auditing' THEN 'AUDIT ' || n || '/50' WHEN st = 'Retrying' THEN 'RETRY ' || n || '/50' WHEN st = 'blacklisted' THEN 'BLACKLIST' ELSE 'INVALID' END AS cell FROM v),
 g AS (SELECT hotkey, min(uid) AS uid, count(*) FILTER (WHERE w > 0) AS k, count(*) FILTER (WHERE valid) AS v, coalesce(avg(score) FILTER (WHERE valid), 0) AS m,
  coalesce(max(cell) FILTER (WHERE validator = 'a'), '-') AS a, coalesce(max(cell) FILTER (WHERE validator = 'b'), '-') AS b, coalesce(max(cell) FILTER (WHERE validator = 'c'), '-') AS c FROM c GROUP BY hotkey)
 SELECT row_number() OVER (ORDER BY k DESC, v DESC, m DESC, hotkey) AS rank, left(hotkey, 8) || '...' || right(hotkey, 6) AS miner, uid, a, b, c FROM g""")
 def consensus_leaderboard(spark, sf_dir):
-    """Customers as three validators' views of miners."""
+    """Customers as views of three validators, of which two know each miner."""
     k = F.col("c_custkey")
-    hotkey = F.concat(F.lit("Customer "), F.lpad(N.div(k, 3).cast("string"), 14, "0"))
+    hotkey = F.concat(F.lit("Customer "), F.lpad(N.div(k, 2).cast("string"), 14, "0"))
     state = F.when(k % 5 == 0, "auditing").when(k % 5 == 1, "Retrying").when(k % 5 == 2, "blacklisted")
-    views = table(spark, sf_dir, "customer").where(k % 10 > 0).select(hotkey.alias("hotkey"), F.element_at(F.array(*map(F.lit, _NAMES)), (k % 3 + 1).cast("int")).alias("validator"), N.div(k, 3).cast("int").alias("uid"), (F.floor(F.abs("c_acctbal")) / 10_000).alias("score"),
+    views = table(spark, sf_dir, "customer").select(hotkey.alias("hotkey"), F.element_at(F.array(*map(F.lit, _NAMES)), (k % 3 + 1).cast("int")).alias("validator"), N.div(k, 2).cast("int").alias("uid"), (F.floor(F.abs("c_acctbal")) / 10_000).alias("score"),
                                                                        F.when(k % 17 == 0, 0.1).otherwise(0.0).alias("final_weight"), (k % 4 > 0).alias("valid"), state.alias("audit_status"), F.lit(None).cast("string").alias("status"), (k % 31).cast("int").alias("audit_round"), F.lit(0).alias("audit_total_rounds"))
     return P.consensus(views, _NAMES)
 
@@ -362,13 +362,13 @@ def window_manifest(spark, sf_dir):
     return W.histograms(W.build_window(spark, raw_sources(spark, sf_dir), SEED, 60))
 
 
-@query("""WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_size FROM part WHERE p_partkey <= 150)
+@query("""WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_size FROM part)
 SELECT pos, 'row-' || p_partkey AS row_id, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 5 > 1 THEN 1 ELSE 0 END AS reward, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN NULL ELSE 1000 + p_partkey % 100 END::INTEGER AS reasoning_tokens, p_partkey % 5 > 1 AS reasoning_valid FROM p""")
 def score_rollouts(spark, sf_dir):
     """Parts as rollouts of code points: reasoning of the right length, too short, or without its opening mark; right and wrong answers."""
     tok = G.CodePoints()
     k = F.col("p_partkey")
-    placed = O.position(table(spark, sf_dir, "part").where(k <= 150).select("p_partkey", "p_size"), "p_partkey")
+    placed = O.position(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     row = F.concat(F.lit("row-"), k.cast("string"))
     evaluation = placed.select("pos", row.alias("row_id"), F.lit("How big?").alias("prompt"), F.array(F.col("p_size").cast("string")).alias("expected"), F.lit("math_exact").alias("verifier"), F.lit("size").alias("category"), F.lit(1024).alias("reasoning_budget_tokens"))
     fill = F.when(k % 5 == 0, 10).otherwise(1000 + k % 100).cast("int")
@@ -379,29 +379,31 @@ def score_rollouts(spark, sf_dir):
     return G.score_rollouts(evaluation, rollouts, tok).select("pos", "row_id", "reward", "reasoning_tokens", "reasoning_valid")
 
 
-@query("""WITH r AS (SELECT c_nationkey AS n, bool_and(c_acctbal > -990) AS a, sum(c_custkey % 7 + 190) AS e, count(*) * 197 AS c FROM customer WHERE c_nationkey < 20 GROUP BY 1),
+@query("""WITH r AS (SELECT c_nationkey AS n, bool_and(c_acctbal > -990) AS a, sum(c_custkey % 7 + 190) AS e, count(*) * 197 AS c FROM customer GROUP BY 1),
 x AS (SELECT *, a AND e >= 0.975 * c AS ok, CASE WHEN n % 3 > 0 THEN n * 2 END AS before, n * 40 AS correct FROM r),
 g AS (SELECT *, coalesce(before, 0) + CAST(ok AS INTEGER) AS passed, least(30, (correct + 31) // 32) AS required, least(50, (correct + 31) // 32) AS total FROM x)
 SELECT 'n' || n AS hotkey, passed::INTEGER AS rounds_passed, (coalesce(before, 0) * 10 + e)::BIGINT AS exact, (coalesce(before, 0) * 11 + c)::BIGINT AS checked, correct::BIGINT AS correct, CASE WHEN ok AND passed >= required THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS score, ok AND passed >= required AS valid,
  CASE WHEN NOT ok THEN 'failed' WHEN passed >= total THEN 'passed' WHEN passed >= required THEN 'monitoring' ELSE 'auditing' END AS audit_status, required::INTEGER AS required, total::INTEGER AS total FROM g""")
 def audit_step(spark, sf_dir):
-    """Customers as row reports of 20 nations' bundles: some rounds fail, some pass, some complete the required or all rounds."""
+    """Customers as row reports of the nations' bundles: some rounds fail, some pass, some complete the required or all rounds."""
     from dataclasses import replace
 
-    c = table(spark, sf_dir, "customer").where("c_nationkey < 20")
+    c = table(spark, sf_dir, "customer")
     hotkey = F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("hotkey")
     reports = c.select(hotkey, (F.col("c_acctbal") > -990).alias("valid"), (F.col("c_custkey") % 7 + 190).alias("exact"), F.lit(197).cast("long").alias("checked"))
-    nation = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("long").alias("n"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"))
     name, before = F.concat(F.lit("n"), F.col("n").cast("string")).alias("hotkey"), F.col("n") * 2
     progress = nation.where("n % 3 > 0").select(name, before.cast("int").alias("rounds_passed"), (before * 10).alias("exact"), (before * 11).alias("checked"))
     return A.audit_step(progress, reports, nation.select(name, (F.col("n") * 40).alias("correct"), F.lit(0.5).alias("score")), replace(PROTOCOL, exact_ratio=0.975))
 
 
-_DEDUPE = f"""WITH RECURSIVE k AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id, doc_id, {_PRINT.format('text')} AS fp FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-r AS (SELECT doc_id, id, fp, row_number() OVER (ORDER BY doc_id, fp) AS n FROM k),
+#: Rows that share neither key with another stay; the others are gone through in order, with a list of the keys that are taken.
+_DEDUPE = f"""WITH RECURSIVE k AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id, doc_id, {_PRINT.format('text')} AS fp FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, (id IS NOT NULL AND count(*) OVER (PARTITION BY id) > 1) OR count(*) OVER (PARTITION BY fp) > 1 AS shared FROM k),
+r AS (SELECT doc_id, id, fp, row_number() OVER (ORDER BY doc_id, fp) AS n FROM c WHERE shared),
 s AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS doc_id, []::VARCHAR[] AS seen, false AS keep UNION ALL
  SELECT r.n, r.doc_id, CASE WHEN list_contains(s.seen, r.id) OR list_contains(s.seen, r.fp) THEN s.seen ELSE s.seen || [r.id, r.fp] END, NOT (list_contains(s.seen, r.id) OR list_contains(s.seen, r.fp)) FROM s JOIN r ON r.n = s.n + 1)
-SELECT doc_id FROM s WHERE keep"""
+SELECT doc_id FROM s WHERE keep UNION ALL SELECT doc_id FROM c WHERE NOT shared"""
 
 
 @query(_DEDUPE)

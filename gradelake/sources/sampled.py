@@ -172,3 +172,20 @@ class _ByteBlockReader(DataSourceReader):
 def register(spark) -> None:
     spark.dataSource.register(RowGroups)
     spark.dataSource.register(ByteBlocks)
+
+
+KINDS = {"parquet": "sampled_parquet", "jsonl": "sampled_jsonl"}
+
+
+def scan(spark, kind: str, paths: list[str], seed: str, name: str, columns: list[str] | None = None):
+    """The seeded scan of a source by its kind; an unknown kind is an error."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind of source: {kind!r}")
+    reader = spark.read.format(KINDS[kind]).options(paths=json.dumps(paths), seed=seed, name=name)
+    return (reader.option("columns", json.dumps(columns)) if kind == "parquet" else reader).load()
+
+
+def describe(kind: str, name: str, revision: str, paths: list[str], columns: list[str] | None = None) -> dict:
+    """A source's row in a manifest; only row groups are read by columns."""
+    out = {"name": name, "kind": kind, "revision": revision, "files": list(paths)}
+    return out | {"columns": list(columns or [])} if kind == "parquet" else out
