@@ -45,7 +45,7 @@ from gradelake.llm.textcore import column, mix, shingle_runs, shingle_sets
 #: Frequent shingles that a task reports, and tokens of the table that orders them; they bear on speed only.
 HEAVY, FREQUENT = 1 << 13, 1 << 17
 #: Shingles that a task counts at a time.
-COUNTED = 1 << 21
+COUNTED = 1 << 20
 #: Rows of a token that are compared in one task.
 RUN = 8_192
 #: Shingles in a chunk of a home, about, when texts are compared, and sets in a chunk when bitmaps are.
@@ -232,6 +232,7 @@ class Visits:
                 yield from emit(held)
                 held = empty
         yield from emit(held)
+        release()
 
 
 def meetings(own: Column, k: Column) -> Column:
@@ -298,6 +299,7 @@ def prune(stay: DataFrame, num: int, den: int) -> DataFrame:
             go = hopeful(n, table["bits"].to_pylist(), *(table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("member", "open")), num, den)
             if go.any():
                 yield pa.RecordBatch.from_arrays([pa.array(table[c].to_numpy()[go]) for c in ("home", "rep", "n")], ["home", "rep", "n"])
+        release()
 
     dealt = stay.repartition("home", "chunk").sortWithinPartitions("home", "chunk")
     return dealt.mapInArrow(run, "home long, rep long, n int").distinct()
