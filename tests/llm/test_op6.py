@@ -26,17 +26,7 @@ def nearest(pattern, text):
 def brute(docs, items):
     out = {}
     for i, t in docs:
-        text, found = plain(t or ""), set()
-        for item, b in items:
-            p = plain(b or "").rstrip(b" ")
-            if len(p) < D.MIN_ITEM:
-                continue
-            last = max(0, len(p) - D.WINDOW)
-            for s in {*range(0, last + 1, D.STRIDE), last}:
-                w = p[s : s + D.WINDOW]
-                if nearest(w, text) <= int(D.ERRORS * len(w)):
-                    found.add(item)
-        out[i] = sorted(found)
+        out[i] = sorted({item for item, b in items if len(plain(b or "").rstrip(b" ")) >= D.MIN_ITEM and found(b, t or "")})
     return out
 
 
@@ -104,11 +94,11 @@ def found(item, text):
     spans = {min(len(p), 50), len(p) if len(p) < 100 else 50}
     for n in spans:
         at = np.arange(len(p) - n + 1)
-        row = np.zeros((len(at), len(t) + 1), int)
+        row, place = np.zeros((len(at), len(t) + 1), np.int16), np.arange(len(t) + 1, dtype=np.int16)
         for i in range(n):
             new = row + 1
             new[:, 1:] = np.minimum(new[:, 1:], row[:, :-1] + (p[at + i][:, None] != t))
-            row = np.minimum.accumulate(new - np.arange(len(t) + 1), axis=1) + np.arange(len(t) + 1)
+            row = np.minimum.accumulate(new - place, axis=1) + place
         if row.min() <= n * 8 // 100:
             return True
     return False
