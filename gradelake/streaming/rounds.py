@@ -36,10 +36,13 @@ def schedule(state: DataFrame, current: int, protocol: Protocol = PROTOCOL) -> D
 
 
 class StateTable:
-    """Versions of a table: folder/v=<batch>; the batch's own number is the version."""
+    """Versions of a table: folder/v=<batch>; the batch's own number is the version. With ``keep`` only the last ones stay (two at least: a batch that
+    runs again needs the one before it)."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, keep: int | None = None) -> None:
+        if keep is not None and keep < 2:
+            raise ValueError("at least two versions stay")
+        self.spark, self.folder, self.keep = spark, folder, keep
 
     def _versions(self) -> list[int]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -59,6 +62,9 @@ class StateTable:
     def apply(self, step: Step) -> Callable[[DataFrame, int], None]:
         def run(batch: DataFrame, number: int) -> None:
             step(self.before(number), batch).write.mode("overwrite").parquet(f"{self.folder}/v={number}")
+            for old in [v for v in self._versions() if v <= number][: -self.keep] if self.keep else []:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v={old}")
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
         return run
 

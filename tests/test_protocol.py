@@ -141,6 +141,18 @@ def test_stream_replays_to_the_batch_result(spark, tmp_path):
     assert len(table._versions()) == 4
 
 
+def test_state_table_keeps_the_last_versions(spark, tmp_path):
+    with pytest.raises(ValueError):
+        S.StateTable(spark, f"{tmp_path}/state", keep=1)
+    table = S.StateTable(spark, f"{tmp_path}/state", keep=2)
+    run = table.apply(S.priority)
+    batches = [spark.createDataFrame([("a", 9 - n, f"h{n}")], "key string, block long, hotkey string") for n in range(4)]
+    for n in [0, 1, 2, 3, 3]:  # the last batch runs again
+        run(batches[n], n)
+    assert table._versions() == [2, 3]
+    assert [tuple(x) for x in table.latest().collect()] == [("a", 6, "h3")]
+
+
 def test_scoring_fails_closed(spark):
     tok = G.CodePoints()
     kind = "pos long, row_id string, prompt string, expected array<string>, verifier string, category string, reasoning_budget_tokens int, constraints array<struct<id:string,kwargs:map<string,string>>>"
