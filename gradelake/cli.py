@@ -23,13 +23,15 @@ def source_of(spark: SparkSession, spec: dict, seed: str) -> window.Source:
         raise ValueError(f"unknown fields of a source: {sorted(unknown)}")
     sampled.register(spark)
 
-    def read(blocks: int) -> DataFrame:
-        raw = sampled.scan(spark, spec["kind"], spec["paths"], seed, spec["name"], spec.get("columns"))
+    told = spec["kind"], spec["paths"], seed, spec["name"], spec.get("columns")
+
+    def read(first: int, last: int) -> DataFrame:
+        raw = sampled.scan(spark, *told, first=first, last=last)
         if spec["kind"] == "jsonl":
             raw = raw.select(F.from_json("value", spec["schema"]).alias("x"), "block_ord", "pos").select("x.*", "block_ord", "pos")
-        return raw.where(F.col("block_ord") < blocks)
+        return raw
 
-    return window.Source(spec["name"], spec["size"], read, spec["normalizer"], spec["category"], spec["verifier"], spec.get("license"))
+    return window.Source(spec["name"], spec["size"], read, lambda: sampled.blocks(*told), spec["normalizer"], spec["category"], spec["verifier"], spec.get("license"))
 
 
 def cmd_window(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -1,8 +1,9 @@
 """Evaluation windows from raw sources: seeded blocks, normalisers, filters, de-duplication, quotas, budgets, order and attestation.
 
-Sources are taken in their order; keys of rows that one selected are reserved against later ones. A source is read block by block in seeded order and only
-as far as its quota needs, to the end of a block; the pool's rows are then ranked by a keyed hash. A quota that cannot be filled, a wrong verifier
-and a repeated id are errors, never a shorter window.
+Sources are taken in their order; keys of rows that one selected are reserved against later ones. A source is read in portions of blocks in seeded order, each
+portion once and going on where the one before ended, until its quota is filled or its blocks are at an end; the pool, cut at the end of the block that
+fills the quota, is then ranked by a keyed hash. Blocks without a row are blocks like any other. A quota that cannot be filled, a wrong verifier and a
+repeated id are errors, never a shorter window.
 
 Rows: what a normaliser or filter rejects goes; repeated prompts and ids go after the first in scan order; ranks tie by row_id. Extra columns of raw
 rows are ignored.
@@ -24,18 +25,20 @@ from gradelake.operators import integrity as I
 from gradelake.operators import normalize as R
 from gradelake.operators import ordering as O
 
-#: Blocks of a source that are read at first; each further reading is of four times as many, up to all.
-FIRST_BLOCKS, MAX_BLOCKS = 16, 4_096
+#: Blocks of a source's first portion; each further one is of four times as many.
+FIRST_BLOCKS = 16
 COLUMNS = ["row_id", "task_type", "prompt", "expected", "verifier", "source_dataset", "license", "category"]
 
 
 @dataclass(frozen=True)
 class Source:
-    """A raw source: its reader gives the rows of its first n blocks in seeded order, with block_ord and pos; size is its stated number of rows."""
+    """A raw source: ``read(first, last)`` gives the rows of those blocks of the seeded order (the last excluded), with block_ord and pos, ``blocks()`` the
+    number of blocks there are; size is its stated number of rows."""
 
     name: str
     size: int
-    read: Callable[[int], DataFrame]
+    read: Callable[[int, int], DataFrame]
+    blocks: Callable[[], int]
     normalizer: str
     category: str
     verifier: str
@@ -44,15 +47,15 @@ class Source:
 
 def described(sources: list[Source]) -> list[dict]:
     """What a manifest says of the sources."""
-    return [{k: v for k, v in vars(s).items() if k != "read"} for s in sources]
+    return [{k: v for k, v in vars(s).items() if k not in ("read", "blocks")} for s in sources]
 
 
-def candidates(raw: DataFrame, source: Source, protocol: Protocol = PROTOCOL) -> DataFrame:
-    """Normalised rows that pass the filters, with their place in the scan, fingerprint and category."""
+def candidates(raw: DataFrame, source: Source, protocol: Protocol = PROTOCOL, rows_before: int = 0) -> DataFrame:
+    """Normalised rows that pass the filters, with their place in the scan, fingerprint and category; ``rows_before`` is the number of raw rows of earlier blocks."""
     kwargs = {}
     if source.normalizer in R.BY_ORDINAL:  # rows are numbered from 1 over all blocks, rejected ones too
         before = raw.groupBy("block_ord").agg(F.count(F.lit(1)).alias("n_")).withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("block_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        raw = raw.join(F.broadcast(before.select("block_ord", "before_")), "block_ord").withColumn("ordinal_", F.col("before_") + F.col("pos") + 1)
+        raw = raw.join(F.broadcast(before.select("block_ord", "before_")), "block_ord").withColumn("ordinal_", F.col("before_") + F.col("pos") + 1 + rows_before)
         kwargs["ordinal"] = F.col("ordinal_")
     rows = R.NORMALIZERS[source.normalizer](raw, source.name, license=source.license, **kwargs)
     rows = rows.withColumn("verifier", N.demand(F.col("verifier") == source.verifier, F.col("verifier"), f"source {source.name} made another verifier than {source.verifier}"))
@@ -61,7 +64,7 @@ def candidates(raw: DataFrame, source: Source, protocol: Protocol = PROTOCOL) ->
 
 
 def up_to_quota(pool: DataFrame, quota: int) -> DataFrame:
-    """The pool up to the end of the block in which it reaches the quota. Blocks are few (MAX_BLOCKS)."""
+    """The pool up to the end of the block in which it reaches the quota. Blocks are few: a row each."""
     blocks = pool.groupBy(F.col("scan.block_ord").alias("block_")).agg(F.count(F.lit(1)).alias("n_"))
     before = F.coalesce(F.sum("n_").over(Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     need = blocks.withColumn("before_", before).where(F.col("before_") < quota).select("block_")
@@ -70,15 +73,19 @@ def up_to_quota(pool: DataFrame, quota: int) -> DataFrame:
 
 def select_source(source: Source, seed: str, quota: int, reserved: DataFrame | None, protocol: Protocol = PROTOCOL) -> DataFrame:
     """The quota rows of a source of the smallest keyed ranks, with their fingerprints."""
-    blocks = FIRST_BLOCKS
-    while True:
-        raw = source.read(min(blocks, MAX_BLOCKS))
-        pool = O.settle(O.two_key_dedupe(candidates(raw, source, protocol), "scan", "row_id", "print", reserved))
-        if pool.count() >= quota:
-            break
-        if blocks >= MAX_BLOCKS or raw.select("block_ord").distinct().count() < blocks:
-            raise ValueError(f"source {source.name} gave {pool.count()} usable rows and needs {quota}")
-        blocks *= 4
+    pool, seen, done, portion, before, usable = None, reserved, 0, FIRST_BLOCKS, 0, 0
+    total = source.blocks()
+    while usable < quota:
+        if done >= total:
+            raise ValueError(f"source {source.name} gave {usable} usable rows and needs {quota}")
+        last = min(done + portion, total)
+        raw = O.settle(source.read(done, last))  # opened once; what follows reads the settled rows
+        new = O.settle(O.two_key_dedupe(candidates(raw, source, protocol, before), "scan", "row_id", "print", seen))
+        pool = new if pool is None else pool.unionByName(new)
+        keys = new.select("row_id", "print")
+        seen = keys if seen is None else seen.unionByName(keys)
+        before, usable = before + raw.count(), usable + new.count()
+        done, portion = last, portion * 4
     ranked = up_to_quota(pool, quota).withColumn("rank", N.keyed_rank(seed, source.name, F.col("row_id"), protocol))
     need = pool.sparkSession.createDataFrame([(source.name, quota)], "source_dataset string, quota long")
     return O.settle(O.top_by_rank(ranked, "source_dataset", "rank", "row_id", need).select(*COLUMNS, "print"))

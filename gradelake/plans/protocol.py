@@ -330,9 +330,12 @@ def raw_sources(spark: SparkSession, sf_dir: str) -> list[W.Source]:
     def read(name: str):
         part = d.where((F.col("doc_id") % 2 == 0) if name == "even" else (F.col("doc_id") % 2 == 1) | (F.col("doc_id") % 9 == 0))
         raw = part.select(F.col("text").alias("problem"), F.col("n_chars").cast("string").alias("answer"), F.when(F.col("doc_id") % 13 == 0, "Proof ").otherwise(F.col("lang")).alias("question_type"), N.div(F.col("doc_id"), 32).alias("block_ord"), (F.col("doc_id") % 32).alias("pos"))
-        return lambda blocks: raw.where(F.col("block_ord") < blocks)
+        return lambda first, last: raw.where((F.col("block_ord") >= first) & (F.col("block_ord") < last))
 
-    return [W.Source(name, size, read(name), "typed_math", f"math {name}", "math_exact", "open" if name == "even" else None) for name, size in sizes.items()]
+    def blocks() -> int:
+        return d.agg(F.coalesce(F.max(N.div(F.col("doc_id"), 32)) + 1, F.lit(0))).first()[0]
+
+    return [W.Source(name, size, read(name), blocks, "typed_math", f"math {name}", "math_exact", "open" if name == "even" else None) for name, size in sizes.items()]
 
 
 _WS = r"[\s\x{1c}-\x{1f}\x{85}\pZ]"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gradelake.functions import scalars as S2
 
 from gradelake.operators import normalize as R
+from gradelake.operators import ordering as O
 from gradelake.operators import window as W
 from gradelake.sources import artifacts as A
 from gradelake.sources import sampled as S
@@ -139,7 +140,7 @@ def test_scalars():
 
 def test_window_fails_closed_and_is_reused(spark, tmp_path):
     raw = spark.createDataFrame([(f"question {i % 50}", str(i), "x", i // 10, i % 10) for i in range(100)], "problem string, answer string, question_type string, block_ord long, pos long")
-    make = lambda **kw: W.Source(**({"name": "s", "size": 5, "read": lambda n: raw.where(F.col("block_ord") < n), "normalizer": "typed_math", "category": "c", "verifier": "math_exact"} | kw))
+    make = lambda **kw: W.Source(**({"name": "s", "size": 5, "read": lambda a, b: raw.where((F.col("block_ord") >= a) & (F.col("block_ord") < b)), "blocks": lambda: 10, "normalizer": "typed_math", "category": "c", "verifier": "math_exact"} | kw))
     held = W.ensure_window(spark, f"{tmp_path}/w", [make(), make(name="t")], "seed", 40)
     rows = held.orderBy("pos").collect()
     assert [x.pos for x in rows] == list(range(40)) and len({x.row_id for x in rows}) == 40 == len({x.prompt for x in rows})
@@ -154,3 +155,92 @@ def test_window_fails_closed_and_is_reused(spark, tmp_path):
         W.build_window(spark, [make(verifier="label_match")], "seed", 5)
     few = W.select_source(make(), "seed", 15, None)
     assert {int(x.expected[0]) // 10 for x in few.collect()} <= {0, 1}  # read to the end of the block that fills the quota
+
+
+def test_only_asked_blocks_are_planned(spark, tmp_path):
+    S.register(spark)
+    for k in range(4):
+        pq.write_table(pa.table({"a": list(range(k * 100, k * 100 + 100))}), f"{tmp_path}/{k}.parquet", row_group_size=10)
+    paths = [f"{tmp_path}/{k}.parquet" for k in range(4)]
+    total = S.blocks("parquet", paths, "s", "n", ["a"])
+    assert total == 3 * 9
+    every = S.scan(spark, "parquet", paths, "s", "n", ["a"])
+    part = lambda a, b: S.scan(spark, "parquet", paths, "s", "n", ["a"], a, b)
+    assert [part(a, b).rdd.getNumPartitions() for a, b in ((0, 5), (5, 7), (20, 99), (0, total))] == [5, 2, 7, total]
+    assert part(5, 5).count() == 0 == part(99, 200).count()
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, part(0, 11).union(part(11, total)).collect()))
+    os.rename(S.seeded_order(paths, "s", "n", "file")[1], f"{tmp_path}/gone")  # the second file of the order
+    assert part(0, 9).count() == 90
+    with pytest.raises(Exception, match="gone|No such file|Failed to open"):
+        part(0, 10).count()
+    with pytest.raises(Exception, match="no range"):
+        part(7, 3).count()
+
+
+def test_filters_are_pushed(spark, tmp_path):
+    S.register(spark)
+    (tmp_path / "x.jsonl").write_text("".join(json.dumps({"i": i}) + "\n" for i in range(2000)))
+    df = lambda: S.scan(spark, "jsonl", [f"{tmp_path}/x.jsonl"], "s", "n", block=1000)
+    total = S.blocks("jsonl", [f"{tmp_path}/x.jsonl"], "s", "n", block=1000)
+    expected = {b: sorted(x.value for x in df().collect() if x.block_ord == b) for b in range(total)}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        for cond, chosen, planned in (("block_ord < 4", range(4), 4), ("block_ord >= 2 AND block_ord <= 3", (2, 3), 2), ("block_ord = 5", (5,), 1), ("block_ord IN (1, 3)", (1, 3), 3), ("block_ord > 18 AND pos < 0", (), total - 19), ("block_ord < 0", (), 1)):
+            got = df().where(cond)
+            assert sorted(x.value for x in got.collect()) == sorted(v for b in chosen for v in expected[b])
+            assert got.rdd.getNumPartitions() == planned, cond
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def counted(spark, kind, paths, folder, columns=None, block=None, schema=None):
+    """A source over real files that writes down every block a task opens."""
+
+    def read(first, last):
+        df = S.scan(spark, kind, paths, "seed", "s", columns, first, last, block)
+
+        def spy(batches):
+            from pyspark import TaskContext
+
+            name = f"{folder}/{first}-{last}-{TaskContext.get().partitionId()}"
+            with open(name, "a") as f:
+                f.write("x")
+            yield from batches
+
+        df = df.mapInArrow(spy, df.schema)
+        return df if schema is None else df.select(F.from_json("value", schema).alias("x"), "block_ord", "pos").select("x.*", "block_ord", "pos")
+
+    return W.Source("s", 5, read, lambda: S.blocks(kind, paths, "seed", "s", columns, block), "typed_math", "c", "math_exact")
+
+
+@pytest.mark.parametrize("kind", ["parquet", "jsonl"])
+def test_window_opens_each_block_once_and_passes_empty_ones(spark, tmp_path, kind):
+    """396 good rows in 99 scanned blocks of which many have no row; 16 blocks are not enough, further ones are read on."""
+    S.register(spark)
+    os.mkdir(f"{tmp_path}/seen")
+    rows = [{"problem": f"question {i}", "answer": str(i), "question_type": "x"} for i in range(440)]
+    if kind == "parquet":
+        with pq.ParquetWriter(f"{tmp_path}/x.parquet", pa.table({k: [""] for k in rows[0]}).schema) as out:
+            for k in range(110):
+                part = rows[4 * k : 4 * k + 4] if k % 5 else []
+                out.write_table(pa.table({c: pa.array([r[c] for r in part], pa.string()) for c in rows[0]}), row_group_size=4)
+                if not part:
+                    out.write_table(pa.table({c: pa.array(["proof"], pa.string()) for c in rows[0]}))
+        source = counted(spark, kind, [f"{tmp_path}/x.parquet"], f"{tmp_path}/seen", columns=list(rows[0]))
+    else:
+        text = "".join(json.dumps(r) + "\n" + (" " * 900 + "\n" if i % 20 == 0 else "") for i, r in enumerate(rows))
+        (tmp_path / "x.jsonl").write_text(text)
+        source = counted(spark, kind, [f"{tmp_path}/x.jsonl"], f"{tmp_path}/seen", block=300, schema="problem string, answer string, question_type string")
+    total = source.blocks()
+    held = W.select_source(source, "seed", 100, None)
+    assert held.count() == 100
+    opened = {name: os.path.getsize(f"{tmp_path}/seen/{name}") for name in os.listdir(f"{tmp_path}/seen")}
+    assert set(opened.values()) == {1}  # no block twice
+    ranges = {tuple(map(int, name.split("-")[:2])) for name in opened}
+    assert ranges == {(0, 16), (16, 80)} and len(opened) == 80 < total
+    everything = O.two_key_dedupe(W.candidates(source.read(0, total), source), "scan", "row_id", "print")
+    pool = W.up_to_quota(O.settle(everything), 100)
+    best = sorted((hashlib.sha256("\0".join([W.PROTOCOL.domain, "seed", "s", x.row_id]).encode()).hexdigest(), x.row_id) for x in pool.collect())
+    assert sorted(x.row_id for x in held.collect()) == sorted(r for _, r in best[:100])
+    with pytest.raises(ValueError, match="usable rows"):
+        W.select_source(source, "seed", 10_000, None)
