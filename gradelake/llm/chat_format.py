@@ -2,7 +2,8 @@
 
 Conversations come in many layouts: a row a turn, message lists, prompt and response, instruction and output. The known nested field paths that a
 table's schema or a JSON record has are hashed to a fingerprint, and the fingerprint selects a declarative mapping to canonical turns (role,
-text). A list has the paths that any of its elements has, so a message without a role or text is an empty one, not another layout. Records of an
+text). A list has the paths that any of its elements has, so a message without a role or text, or one that is no
+object at all, is an empty one, not another layout. Records of an
 unknown fingerprint keep their row, with a null layout and no turns.
 
 The template opens a turn with ``<|im_start|>``, its role (percent-encoded) and a line feed, and closes it with ``<|im_end|>`` and a line feed. In
@@ -30,21 +31,23 @@ _SQUARE = r"(\[)(/?INST\])"
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def _messages(path: str, role: str, text: str) -> str:
-    return f"transform(variant_get(record, '$.{path}', 'array<struct<{role}:string,{text}:string>>'), x -> named_struct('role', x.`{role}`, 'text', x.`{text}`))"
+def _messages(path: str, role: str, *texts: str) -> str:
+    """Turns of a list; an element that is no object, or whose field is no text, is an empty message."""
+    text = ", ".join(f"try_variant_get(x, '$.{t}', 'string')" for t in texts)
+    return f"transform(try_variant_get(record, '$.{path}', 'array<variant>'), x -> named_struct('role', try_variant_get(x, '$.{role}', 'string'), 'text', coalesce({text}, CAST(NULL AS STRING))))"
 
 
 def _fields(*pairs: tuple[str, str]) -> str:
-    return "array(" + ", ".join(f"named_struct('role', '{role}', 'text', variant_get(record, '$.{field}', 'string'))" for role, field in pairs) + ")"
+    return "array(" + ", ".join(f"named_struct('role', '{role}', 'text', try_variant_get(record, '$.{field}', 'string'))" for role, field in pairs) + ")"
 
 
-_WITH_INPUT = "array(named_struct('role', 'user', 'text', concat_ws('\\n\\n', variant_get(record, '$.instruction', 'string'), nullif(variant_get(record, '$.input', 'string'), ''))), named_struct('role', 'assistant', 'text', variant_get(record, '$.output', 'string')))"
+_WITH_INPUT = "array(named_struct('role', 'user', 'text', concat_ws('\\n\\n', try_variant_get(record, '$.instruction', 'string'), nullif(try_variant_get(record, '$.input', 'string'), ''))), named_struct('role', 'assistant', 'text', try_variant_get(record, '$.output', 'string')))"
 
 #: Layouts of JSON records: name, field paths, and the turns as an SQL expression over the variant ``record``.
 RECORDS: tuple[tuple[str, tuple[str, ...], str], ...] = (
     ("messages", ("messages", "messages[].role", "messages[].content"), _messages("messages", "role", "content")),
     ("messages_text", ("messages", "messages[].role", "messages[].text"), _messages("messages", "role", "text")),
-    ("messages_mixed", ("messages", "messages[].role", "messages[].content", "messages[].text"), "transform(variant_get(record, '$.messages', 'array<struct<role:string,content:string,text:string>>'), x -> named_struct('role', x.role, 'text', coalesce(x.content, x.text)))"),
+    ("messages_mixed", ("messages", "messages[].role", "messages[].content", "messages[].text"), _messages("messages", "role", "content", "text")),
     ("no_messages", ("messages",), "cast(array() AS array<struct<role:string,text:string>>)"),
     ("from_value", ("conversations", "conversations[].from", "conversations[].value"), _messages("conversations", "from", "value")),
     ("no_conversations", ("conversations",), "cast(array() AS array<struct<role:string,text:string>>)"),

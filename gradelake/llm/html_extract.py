@@ -5,7 +5,8 @@ where they stand: what is inside menus, page headers, footers, sidebars, notices
 boilerplate; text inside an article is content, links too. A class or id marks a container if it names just that (sidebar,
 site-footer, share-buttons), not if it only has such a word in it (content-sidebar-wrap, elementor-widget-text-editor); a main or an
 article inside a container marked that way stands for itself, but for articles inside reader comments, adverts and related pages. Blocks that are short and carry no such sign are ambiguous;
-in the second pass they inherit the label of the nearest decided neighbour (the nearer by blocks; of two equally near, content wins).
+in the second pass they inherit the label of the nearest decided neighbour (the nearer by blocks; of two equally near, content wins). On a page on
+which no block is decided as content they are its text. A paragraph or heading that is hidden or marked itself is boilerplate up to its end.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by two line feeds in page
 order. Nothing else is dropped or cut. Tags that the page leaves open end with the page; an unfinished tag at its end is dropped.
@@ -50,7 +51,9 @@ MARKS = frozenset(
     "popup modal overlay newsletter subscribe signup login menu menus nav navbar navigation pagination pager footer masthead sidebar sidebars widget widgets related recommended recommendations share sharing social toolbar search skip replies reviews".split()
 )
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[A-Za-z/][^>]*(?:>|\Z)|[^<]+|<", re.S)
+#: A quote opens a quoted value only behind an equals sign; elsewhere it is a character like any other. Nothing is tried twice.
+ATTRIBUTES = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)))?)*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)({ATTRIBUTES})(?:>|\Z)|<[A-Za-z/][^>]*(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 WORD = re.compile(r"\w+")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -131,16 +134,16 @@ def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks in order, with the characters of links in them and where they stand."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
-    place, links, text, linked = OPEN, 0, [], 0
+    place, links, text, linked, own = OPEN, 0, [], 0, None
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, own
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                out.append(Block(whole, linked, place))
+                out.append(Block(whole, linked, place if own is None else max(own, place)))
             text.clear()
-        linked = 0
+        linked, own = 0, None
 
     at, end, find = 0, len(page), TOKEN.match
     while at < end:
@@ -165,6 +168,8 @@ def blocks(page: str) -> list[Block]:
             text.append(" ")
         if tag in BLOCK and tag not in ("td", "th"):
             flush()
+            if tag not in CONTAINER and not m[1] and m[3].strip():
+                own = standing(tag, m[3], place, False)
         if tag == "a":
             links = 0 if m[1] else 1
         if tag in CONTAINER and tag not in VOID:
@@ -204,7 +209,9 @@ def first_pass(block: Block) -> bool | None:
 
 
 def second_pass(labels: list[bool | None]) -> list[bool]:
-    """Undecided blocks take the label of the nearest decided one; without any, blocks are boilerplate."""
+    """Undecided blocks take the label of the nearest decided one; on a page without decided content they are content."""
+    if True not in labels:
+        return [x is None for x in labels]
     n = len(labels)
     before, after = [(n + 1, False)] * n, [(n + 1, False)] * n
     last = None

@@ -428,12 +428,17 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id; rows without a doc_id stay."""
+    """docs with one row of each component, that of the smallest doc_id; rows without a doc_id stay. Of rows that share that doc_id and its text the one whose
+    other columns come first, as JSON text, stays."""
     members, _ = similar_documents(docs, n, num, den)
-    keep = cut(members.where("first AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id"), F.col("th").alias("kept_th")).count())
-    stay = docs.join(keep, (docs["doc_id"] == keep["kept_id"]) & (F.xxhash64(docs["text"]) == keep["kept_th"]), "left_semi")
-    if keep.where("count > 1").limit(1).count():
-        stay = stay.dropDuplicates(["doc_id", "text"])
+    own = ["__one_id", "__one_text", "__one_rows"]
+    keep = cut(members.where("first AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(own[0]), F.col("th").alias(own[1])).agg(F.count(F.lit(1)).alias(own[2])))
+    both = docs.join(keep, (docs["doc_id"] == keep[own[0]]) & (F.xxhash64(docs["text"]) == keep[own[1]]))
+    stay = both.where(F.col(own[2]) == 1).select(docs.columns)
+    if keep.where(F.col(own[2]) > 1).limit(1).count():
+        row = F.struct(*docs.columns)
+        least = both.where(F.col(own[2]) > 1).groupBy(*own[:2]).agg(F.min_by(row, F.to_json(row)).alias("row"))
+        stay = stay.union(least.select("row.*"))
     return stay.union(docs.where("doc_id IS NULL")).select(docs.columns)
 
 

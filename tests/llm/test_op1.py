@@ -77,8 +77,12 @@ def test_messages_that_lack_a_field(spark):
         (2, {"messages": [{"content": "a"}, {"role": "assistant", "content": None}]}, "messages", [("", "a"), ("assistant", "")]),
         (3, {"messages": [{"role": "user", "text": "a"}, {"role": "gpt", "content": "b"}]}, "messages_mixed", [("user", "a"), ("assistant", "b")]),
         (4, {"conversations": [{"from": "human"}, {"from": "gpt", "value": "y"}]}, "from_value", [("user", ""), ("assistant", "y")]),
+        (8, {"messages": ["hi", {"role": "user", "content": "x"}, 4, None, [1]]}, "messages", [("", ""), ("user", "x"), ("", ""), ("", ""), ("", "")]),
+        (9, {"conversations": [{}, {"from": "gpt", "value": "y"}, [], "z"]}, "from_value", [("", ""), ("assistant", "y"), ("", ""), ("", "")]),
+        (10, {"messages": ["hi"]}, "no_messages", []), (11, {"messages": [{"role": ["r"], "content": {"a": 1}}, {"role": "user", "content": "x"}]}, "messages", [None, ("user", "x")]),
         (5, {"messages": [{"role": "user"}]}, None, []), (6, {"messages": "none"}, "no_messages", []), (7, {"messages": []}, "no_messages", []),
     ]
     df = spark.createDataFrame([(i, json.dumps(x)) for i, x, _, _ in rows], "conv_id long, record string")
     got = {x.conv_id: (x.layout, [(t.role, t.text) for t in x.turns]) for x in C.turns_of_records(df).collect()}
-    assert got == {i: (layout, turns) for i, _, layout, turns in rows}
+    assert got.pop(11)[1][1:] == [("user", "x")]  # fields that are no texts do not fail
+    assert got == {i: (layout, turns) for i, _, layout, turns in rows if i != 11}

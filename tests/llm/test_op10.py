@@ -21,6 +21,15 @@ CASES = [
     ("<main><p>m</p><ul><li>item one</li><li>item two</li></ul></main>", "m\n\nitem one\n\nitem two"),
     ("<article><p>" + "x" * 2_000_000 + "</p></article>", "x" * 2_000_000),
     ("<p>" * 50_000, ""),
+    ("<article><p data-x=it's>One</p><p>It's two</p><p>three</p></article>", "One\n\nIt's two\n\nthree"),
+    ("<article><p title='a > b' alt=\"c > d\" x = 'e>' y=>One</p><p \"q\" it's>two</p><img alt=x\"y>three</article>", "One\n\ntwo\n\nthree"),
+    ("<article><p>one</p><a href='x>two</a><p>three</p></article>", "one\n\ntwo\n\nthree"),
+    ("<body><h1>Title only</h1><p>Short text here.</p></body>", "Title only\n\nShort text here."),
+    ("<div class='entry-content'><p>Hola mundo, este es un texto corto.</p></div>", "Hola mundo, este es un texto corto."),
+    ("<nav>Home</nav><p>Short</p><footer>f</footer>", "Short"),
+    ("<article><p>One</p><p hidden>no</p><p class=ad>buy</p><h2 aria-hidden=true>no</h2><p class='lead'>two</p>three</article>", "One\n\ntwo\n\nthree"),
+    ("<p " + "a" * 200_000 + "=", ""),
+    ("<p " + "='" * 100_000 + ">x", "x"),
     ("<div class='has-sidebar'><div class=page-header>Site</div><article class='post with-comments'><div class='article-header'>T</div><p>x</p></article><article class=comment><p>hi</p></article></div>", "T\n\nx"),
 ]
 
@@ -33,7 +42,7 @@ def test_cases(page, text):
 def test_neighbours():
     assert second_pass([None, True, None, None, False, None]) == [True, True, True, False, False, False]
     assert second_pass([True, None, False]) == [True, True, False]
-    assert second_pass([None, None]) == [False, False]
+    assert second_pass([None, None]) == [True, True] and second_pass([False, None]) == [False, True]
     assert second_pass([]) == []
 
 

@@ -157,3 +157,12 @@ def test_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     expected = sorted(con.execute(J.OP3_SQL).fetchall())
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in J.op3_ngram_jaccard_join(spark, sf).collect()) == expected
+
+
+def test_of_repeated_rows_the_first_by_their_other_columns_stays(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, "b", 1), (1, text, "a", 2), (1, text, "a", 1), (2, text, "a", 0), (3, "quite another text of more than five words", None, 1), (None, text, "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, __one int")
+    for parts in (1, 5):
+        got = J.one_of_each(df.repartition(parts, "__one"))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[2], rows[4], rows[5]], key=str)
