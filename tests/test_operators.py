@@ -141,3 +141,57 @@ def test_top_by_rank_needs_its_second_pass(spark):
 @pytest.mark.parametrize(("text", "answer"), [("42", "42"), ("\\frac{2}{4}", "1/2"), (".5", "1/2"), ("1e3", "1000"), ("<answer> 3/6 </answer>", "1/2"), ("so \\boxed{0.25} ok", "1/4"), ("the answer is 7.", "7"), ("1/0", None), ("1e99999", None), ("x", None), (None, None)])
 def test_rational(text, answer):
     assert A.rational(text) == answer
+
+
+def greedy(rows, reserved=()):
+    """(scan, first, second): one after the other."""
+    a, b, kept = {x for x, _ in reserved}, {x for _, x in reserved}, []
+    for scan, x, y in sorted(rows):
+        if (x is None or x not in a) and (y is None or y not in b):
+            kept.append(scan)
+            a.add(x)
+            b.add(y)
+    return kept
+
+
+@pytest.mark.parametrize("most", [4, 100_000])
+def test_two_keys_on_random_graphs(spark, most):
+    r = random.Random(most)
+    rows = [(i, r.choice([None, *range(40)]), r.choice([None, *(f"k{j}" for j in range(40))])) for i in range(60)]
+    rows += [(100 + i, 1000 + (i + 1) // 2, f"c{i // 2}") for i in range(9)]  # a chain in scan order
+    rows += [(200 + i, 2000, f"s{i}") for i in range(30)]  # one hot key
+    df = spark.createDataFrame([(*x, "x") for x in rows], "scan long, a long, b string, node string").repartition(3)
+    got = [x.scan for x in O.two_key_dedupe(df, "scan", "a", "b", most=most).collect()]
+    assert sorted(got) == greedy(rows)
+
+
+def test_a_chain_of_ten_thousand_rows_in_a_bounded_number_of_jobs(spark):
+    rows = [(i, (i + 1) // 2, i // 2) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "scan long, a long, b long").repartition(4)
+    context = spark.sparkContext
+    context.setJobGroup("chain", "chain")
+    try:
+        got = [x.scan for x in O.two_key_dedupe(df, "scan", "a", "b").collect()]
+        jobs = len(context.statusTracker().getJobIdsForGroup("chain"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(got) == greedy(rows) == list(range(0, 10_000, 2))
+    assert jobs < 400
+
+
+def test_components(spark):
+    r = random.Random(7)
+    edges = [(r.randint(-50, 50), r.randint(-50, 50)) for _ in range(45)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(5001, 5100)] + [(9, 9)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((root(u), root(v)))
+        parent[b] = a
+    got = {x.node: x.label for x in O.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: root(x) for x in parent}
+    assert O.components(spark.createDataFrame([], "u long, v long")).count() == 0
