@@ -15,7 +15,7 @@ from gradelake.config import PROTOCOL, Protocol
 from gradelake.functions import native as N
 from gradelake.functions.answers import canonical_each_udf, canonical_math_udf, json_output_udf
 from gradelake.operators.constraints import all_satisfied
-from gradelake.operators.ordering import own_names
+from gradelake.operators.ordering import own_names, written
 
 # Fixed value: what the protocol tells a model about its reasoning block.
 SYSTEM = (
@@ -90,6 +90,10 @@ class CodePoints:
 
 
 def _tokenized(tokenizer):
+    """(length, decode) of a tokenizer as Column functions: its own ones, or UDFs around its encode and decode."""
+    if hasattr(tokenizer, "text"):
+        return tokenizer.length, tokenizer.text
+
     @F.pandas_udf("int")
     def length(x: pd.Series) -> pd.Series:
         return x.map(lambda t: len(tokenizer.encode(t)))
@@ -148,13 +152,35 @@ def score_rollouts(evaluation: DataFrame, rollouts: DataFrame, tokenizer, limit:
     return graded.select(*cols[:3], F.when(F.col("reasoning_valid"), F.col("reward")).otherwise(0).alias("reward"), *cols[3:], "reasoning_tokens", "reasoning_valid")
 
 
+def score_bundles(evaluation: DataFrame, rollouts: DataFrame, tokenizer, protocol: Protocol = PROTOCOL) -> DataFrame:
+    """hotkey, row_id, category, reward, fault of the rows of many bundles at once.
+
+    evaluation as for ``score_rollouts``; rollouts: hotkey, pos, row_id, tokens, max_tokens, whose rows are known to be the evaluation's. A fault is
+    why the token protocol is broken (or max_tokens is out of bounds); it costs the bundle everything, which is the caller's to decide. Prompts are measured
+    once an evaluation row, not once a rollout.
+    """
+    length, decode = _tokenized(tokenizer)
+    extra = ["constraints"] if "constraints" in evaluation.columns else []
+    text = prompt_text(F.col("prompt"), F.col("reasoning_budget_tokens"), protocol)
+    facts = written(own_names(evaluation).select("pos", "row_id", "category", "reasoning_budget_tokens", "expected", "verifier", *extra, length(text).alias("room_")))
+    both = own_names(rollouts).join(facts, ["pos", "row_id"])
+    limit = F.col("max_tokens")
+    fault = F.when(~F.coalesce(limit.between(1, protocol.max_context), F.lit(False)), "token_limit").otherwise(rollout_fault(F.col("tokens"), F.col("room_"), tokenizer.stops, limit, protocol))
+    fault = F.coalesce(fault, F.when(F.coalesce("category", F.lit("")) == "", "no_category"))
+    both = both.withColumn("split_", split_reasoning(F.col("tokens"), tokenizer.opening, tokenizer.closing, F.col("reasoning_budget_tokens"), protocol))
+    told = written(both.select("hotkey", "row_id", "category", "expected", "verifier", *extra, fault.alias("fault"), F.col("split_.valid").alias("good"), decode(F.col("split_.answer")).alias("response")))
+    right = F.when(F.col("good") & F.col("fault").isNull(), F.col("reward")).otherwise(0)
+    return grade(told).select("hotkey", "row_id", "category", right.alias("reward"), "fault")
+
+
 def category_scores(scored: DataFrame) -> DataFrame:
     """category (null for all), n, score; an empty table scores 0."""
     return scored.rollup("category").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("reward") / F.count(F.lit(1)), F.lit(0.0)).alias("score"))
 
 
-def audit_positions(candidates: DataFrame, protocol: Protocol = PROTOCOL) -> DataFrame:
-    """row_id, position, rank, gap, valid of the submitted token among candidates (row_id, position, submitted_token, token_id, logprob, rank).
+def audit_positions(candidates: DataFrame, protocol: Protocol = PROTOCOL, by: tuple[str, ...] = ("row_id",)) -> DataFrame:
+    """row_id, position, rank, gap, valid of the submitted token among candidates (row_id, position, submitted_token, token_id, logprob, rank); ``by`` names
+    the columns that tell rows apart where one row_id is not enough.
 
     A candidate's rank is the given one (positive); the best one without a rank has rank 1, others without one are not accepted. In a table without
     the column, ranks are the candidates' places. Log-probabilities that are null or not finite are no candidates; a position without any is invalid.
@@ -162,11 +188,11 @@ def audit_positions(candidates: DataFrame, protocol: Protocol = PROTOCOL) -> Dat
     lp = F.col("logprob")
     real = lp.isNotNull() & ~F.isnan(lp) & (F.abs(lp) < float("inf"))
     if "rank" not in candidates.columns:  # a position's candidates are few
-        place = Window.partitionBy("row_id", "position").orderBy(F.desc(F.when(real, lp)), "token_id")
+        place = Window.partitionBy(*by, "position").orderBy(F.desc(F.when(real, lp)), "token_id")
         candidates = candidates.withColumn("rank", F.row_number().over(place))
     given = F.when(F.col("rank") > 0, F.col("rank"))
     own = real & (F.col("token_id") == F.col("submitted_token"))
-    top = candidates.groupBy("row_id", "position").agg(
+    top = candidates.groupBy(*by, "position").agg(
         F.min(F.when(real, F.struct((-lp).alias("o"), F.col("token_id")))).alias("best"),
         F.min(F.when(own, F.struct((-lp).alias("o"), given.cast("int").alias("rank")))).alias("own"),
         F.first("submitted_token").alias("token"),
@@ -174,13 +200,13 @@ def audit_positions(candidates: DataFrame, protocol: Protocol = PROTOCOL) -> Dat
     rank = F.coalesce(F.col("own.rank"), F.when(F.col("best.token_id") == F.col("token"), 1))
     gap = F.when(F.col("own").isNotNull(), F.greatest(F.lit(0.0), F.col("own.o") - F.col("best.o")))
     ok = (rank <= protocol.max_rank) & (gap <= protocol.max_gap + 1e-6)
-    return top.select("row_id", "position", rank.cast("int").alias("rank"), gap.alias("gap"), F.coalesce(ok, F.lit(False)).alias("valid"))
+    return top.select(*by, "position", rank.cast("int").alias("rank"), gap.alias("gap"), F.coalesce(ok, F.lit(False)).alias("valid"))
 
 
-def audit_rows(positions: DataFrame) -> DataFrame:
+def audit_rows(positions: DataFrame, by: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """A report a row: valid, first failure with its rank and gap, exact and checked tokens."""
     first = F.min(F.when(~F.col("valid"), F.struct("position", "rank", "gap")))
-    return positions.groupBy("row_id").agg(F.bool_and("valid").alias("valid"), first.alias("failure"), F.count_if(F.col("rank") == 1).alias("exact"), F.count(F.lit(1)).alias("checked"))
+    return positions.groupBy(*by).agg(F.bool_and("valid").alias("valid"), first.alias("failure"), F.count_if(F.col("rank") == 1).alias("exact"), F.count(F.lit(1)).alias("checked"))
 
 
 def round_valid(reports: DataFrame, protocol: Protocol = PROTOCOL) -> DataFrame:

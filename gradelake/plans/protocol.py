@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ from gradelake.operators import normalize as R
 from gradelake.operators import ordering as O
 from gradelake.operators import promotion as P
 from gradelake.operators import window as W
+from gradelake.sources.vocabulary import Vocabulary
 from gradelake.plans.catalog import _BUDGET, _CLASS, _PRINT, _RANK, ARGUMENTS, DOMAIN, SEED, docs, query, table
 from gradelake.streaming import audits as A
+from gradelake.streaming import cycle as Y
 from gradelake.streaming import rounds as S
 
 # ---- commitments and priorities
@@ -365,19 +369,32 @@ def window_manifest(spark, sf_dir):
     return W.histograms(W.build_window(spark, raw_sources(spark, sf_dir), SEED, 60))
 
 
+def vocabulary(spark: SparkSession) -> Vocabulary:
+    """The public byte-level vocabulary of the box; its path is a parameter of Vocabulary."""
+    import public_tokenizers
+
+    return Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def letters(tok: Vocabulary, text: Column) -> Column:
+    """Ids of a text of printable ASCII, a token a character."""
+    each = F.create_map(*[F.lit(x) for c in map(chr, range(33, 127)) for x in (c, tok.ids(c)[0])])
+    return F.transform(F.split(text, ""), lambda c: F.element_at(each, c))
+
+
 @query("""WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_size FROM part)
 SELECT pos, 'row-' || p_partkey AS row_id, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 5 > 1 THEN 1 ELSE 0 END AS reward, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN NULL ELSE 1000 + p_partkey % 100 END::INTEGER AS reasoning_tokens, p_partkey % 5 > 1 AS reasoning_valid FROM p""")
 def score_rollouts(spark, sf_dir):
-    """Parts as rollouts of code points: reasoning of the right length, too short, or without its opening mark; right and wrong answers."""
-    tok = G.CodePoints()
+    """Parts as rollouts of a public vocabulary: reasoning of the right length, too short, or without its opening mark; right and wrong answers."""
+    tok = vocabulary(spark)
     k = F.col("p_partkey")
     placed = O.position(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     row = F.concat(F.lit("row-"), k.cast("string"))
     evaluation = placed.select("pos", row.alias("row_id"), F.lit("How big?").alias("prompt"), F.array(F.col("p_size").cast("string")).alias("expected"), F.lit("math_exact").alias("verifier"), F.lit("size").alias("category"), F.lit(1024).alias("reasoning_budget_tokens"))
     fill = F.when(k % 5 == 0, 10).otherwise(1000 + k % 100).cast("int")
-    opening = F.when(k % 5 == 1, F.array(F.lit(65))).otherwise(F.array(F.lit(tok.opening[0])))
+    opening = F.when(k % 5 == 1, F.array(F.lit(65))).otherwise(F.array(*map(F.lit, tok.opening)))
     answer = F.concat(F.lit("\\boxed{"), F.when(k % 3 == 0, F.col("p_size")).otherwise(F.col("p_size") + 1).cast("string"), F.lit("}"))
-    tokens = F.concat(opening, F.array_repeat(F.lit(97), fill), F.array(F.lit(tok.closing[0])), F.transform(F.split(answer, ""), F.ascii), F.array(F.lit(tok.stops[0])))
+    tokens = F.concat(opening, F.array_repeat(F.lit(tok.ids("a")[0]), fill), F.array(*map(F.lit, tok.closing)), letters(tok, answer), F.array(F.lit(tok.stops[0])))
     rollouts = placed.select("pos", row.alias("row_id"), tokens.alias("tokens"))
     return G.score_rollouts(evaluation, rollouts, tok).select("pos", "row_id", "reward", "reasoning_tokens", "reasoning_valid")
 
@@ -389,8 +406,6 @@ SELECT 'n' || n AS hotkey, passed::INTEGER AS rounds_passed, (coalesce(before, 0
  CASE WHEN NOT ok THEN 'failed' WHEN passed >= total THEN 'passed' WHEN passed >= required THEN 'monitoring' ELSE 'auditing' END AS audit_status, required::INTEGER AS required, total::INTEGER AS total FROM g""")
 def audit_step(spark, sf_dir):
     """Customers as row reports of the nations' bundles: some rounds fail, some pass, some complete the required or all rounds."""
-    from dataclasses import replace
-
     c = table(spark, sf_dir, "customer")
     hotkey = F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("hotkey")
     reports = c.select(hotkey, (F.col("c_acctbal") > -990).alias("valid"), (F.col("c_custkey") % 7 + 190).alias("exact"), F.lit(197).cast("long").alias("checked"))
@@ -400,6 +415,62 @@ def audit_step(spark, sf_dir):
     return A.audit_step(progress, reports, nation.select(name, (F.col("n") * 40).alias("correct"), F.lit(0.5).alias("score")), replace(PROTOCOL, exact_ratio=0.975))
 
 
+_SAMPLED = f"sha256('{DOMAIN}' || chr(0) || 's' || n || chr(0) || 'audit' || chr(0) || 'row-' || p_partkey)"
+
+
+@query(f"""WITH m AS (SELECT n_nationkey AS n, n_nationkey % 9 AS kind FROM nation), facts AS (SELECT count(*) AS rows, count(*) FILTER (p_partkey % 3 > 0) AS correct FROM part),
+ranked AS (SELECT n, kind, p_partkey, row_number() OVER (PARTITION BY n ORDER BY {_SAMPLED}, 'row-' || p_partkey) AS place FROM m, part WHERE kind IN (0, 5) AND p_partkey % 3 > 0 AND NOT (n % 5 = 0 AND p_partkey % 7 = 0)),
+told AS (SELECT n, count(*) AS audited, sum(CASE WHEN kind = 5 AND p_partkey % 8 = 0 THEN 1 ELSE 2 END) AS e, 2 * count(*) AS c, count(*) FILTER (kind = 5 AND p_partkey % 8 = 0) AS bad FROM ranked WHERE place <= 32 GROUP BY n),
+x AS (SELECT m.n, kind, rows, correct, audited, e, c, coalesce(bad = 0 AND e >= 0.995 * c, false) AS ok, CASE WHEN m.n % 5 = 0 THEN least(29, (correct + 31) // 32 - 1) ELSE 0 END AS before, least(30, (correct + 31) // 32) AS required, least(50, (correct + 31) // 32) AS total,
+ CASE WHEN m.n % 5 = 0 THEN (SELECT count(*) FROM part WHERE p_partkey % 7 = 0) ELSE 0 END AS old FROM m LEFT JOIN told ON told.n = m.n, facts),
+y AS (SELECT *, before + CAST(ok AS INTEGER) AS passed, CASE kind WHEN 0 THEN NULL WHEN 1 THEN 'duplicate_rollout' WHEN 2 THEN 'rows_differ' WHEN 4 THEN 'commitment_disappeared' WHEN 5 THEN CASE WHEN ok THEN NULL ELSE 'round_failed' END WHEN 7 THEN 'manifest_mismatch' WHEN 8 THEN 'rollout_fault' END AS reason FROM x),
+z AS (SELECT *, n % 2 = 1 AND reason IN ('rows_differ', 'round_failed', 'manifest_mismatch', 'rollout_fault') AS out FROM y)
+SELECT 'm' || n AS hotkey, CASE WHEN kind = 6 THEN NULL ELSE kind IN (0, 5) AND ok AND passed >= required END AS valid, CASE WHEN kind = 6 THEN NULL WHEN kind IN (0, 5) AND ok AND passed >= required THEN correct / rows ELSE 0 END::DOUBLE AS score,
+ CASE WHEN kind IN (0, 5) THEN correct END::BIGINT AS correct, CASE WHEN kind = 6 THEN NULL WHEN out THEN 'blacklisted' WHEN kind = 1 THEN 'copied' WHEN kind = 3 THEN 'retrying' WHEN reason IS NOT NULL THEN 'failed' WHEN passed >= total THEN 'passed' WHEN passed >= required THEN 'monitoring' ELSE 'auditing' END AS audit_status,
+ reason, CASE WHEN kind = 1 THEN 'm' || (n - 1) END AS copy_source, CASE WHEN kind IN (0, 5) THEN passed END::INTEGER AS audit_round, CASE WHEN kind IN (0, 5) THEN before * 64 + e END::BIGINT AS exact, CASE WHEN kind IN (0, 5) THEN before * 64 + c END::BIGINT AS checked,
+ CASE WHEN kind IN (0, 5) THEN old + audited END::BIGINT AS audited_count, CASE WHEN kind = 3 THEN n % 2 + 1 WHEN kind = 6 THEN n % 2 END::INTEGER AS attempts, CASE WHEN kind = 3 THEN 6000 + 5 * pow(2, n % 2) WHEN kind = 6 THEN 9000 END::BIGINT AS challenge_block, CASE WHEN out THEN 6000 + 7200 END::BIGINT AS blacklisted_until_block FROM z""")
+def audit_cycle(spark, sf_dir):
+    """Parts as evaluation rows, nations as submitters whose bundles answer all of them: sound, copied, of other rows, unaudited by the engine, withdrawn,
+    forged in places, not yet due, of another root, or broken; from validation to strikes and retries in one go."""
+    protocol = replace(PROTOCOL, budget_levels=(16,))
+    tok, n, k = vocabulary(spark), F.col("n"), F.col("p_partkey")
+    parts = O.written(O.position(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey"))
+    m = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"), (F.col("n_nationkey") % 9).alias("kind"))
+    name = lambda prefix, of: F.concat(F.lit(prefix), of.cast("string"))
+    hotkey, digest, revision, kind = name("m", n).alias("hotkey"), name("d", n).alias("digest"), F.lit("r").alias("revision"), F.col("kind")
+    evaluation = parts.select("pos", name("row-", k).alias("row_id"), F.lit("How big?").alias("prompt"), F.array(F.col("p_size").cast("string")).alias("expected"), F.lit("label_match").alias("verifier"), F.lit("size").alias("category"), F.lit(16).alias("reasoning_budget_tokens"))
+    stop = F.when(kind == 8, F.array().cast("array<int>")).otherwise(F.array(F.lit(tok.stops[0])))
+    answer = letters(tok, (F.col("p_size") + F.when(k % 3 == 0, 1).otherwise(0)).cast("string"))
+    tokens = F.concat(F.array(*map(F.lit, tok.opening)), F.array_repeat(F.lit(tok.ids("a")[0]), 16), F.array(*map(F.lit, tok.closing)), answer, stop)
+    # Every submitter answers every part: a fixed number of rows a part.
+    miners = F.from_json(F.lit(m.agg(F.to_json(F.sort_array(F.collect_list(F.struct("n", "kind"))))).first()[0]), "array<struct<n: long, kind: int>>")
+    each = parts.withColumn("x", F.explode(miners)).select("*", "x.n", "x.kind")
+    rollouts = each.select(hotkey, "pos", F.concat(F.when(kind == 2, "other-").otherwise("row-"), k.cast("string")).alias("row_id"), tokens.alias("tokens"))
+    manifests = m.select(hotkey, digest, revision, F.lit(1).alias("window"), F.when(kind == 7, "other").otherwise("root").alias("evaluation_root"), name("s", F.when(kind == 1, n - 1).otherwise(n)).alias("rows_sha256"), F.lit(1_000).alias("max_tokens"))
+    commitments = m.where("kind <> 4").select(hotkey, n.cast("int").alias("uid"), digest, (1_000 + n).alias("commit_block"))
+    pending = m.select(hotkey, digest, revision, (1_000 + n).alias("commit_block"), F.when(kind == 6, 9_000).otherwise(5_000).alias("challenge_block"), (n % 3 + 1).alias("round"), (n % 2).alias("attempts"))
+    cover = N.div(F.lit(evaluation.where("CAST(substr(row_id, 5) AS BIGINT) % 3 > 0").count()) + 31, 32)
+    before = F.least(F.lit(29), cover - 1)
+    progress = m.where("n % 5 = 0").select(hotkey, digest, revision, before.alias("rounds_passed"), (before * 64).alias("exact"), (before * 64).alias("checked"))
+    audited = each.where("n % 5 = 0 AND p_partkey % 7 = 0").select(hotkey, digest, revision, name("row-", k).alias("row_id"))
+    strikes = m.where("n % 2 = 1").select(hotkey, F.array(F.lit("x"), F.lit("y")).alias("keys"))
+    given = {"pending": pending, "progress": progress, "audited": audited, "strikes": strikes}
+    empty = Y.State.empty(spark)
+    state = Y.State(**{t: Y.conform(given[t], t) if t in given else getattr(empty, t) for t in Y.TABLES})
+    chain = Y.Chain(6_000, 1, commitments, m.select(hotkey, revision), m.select(hotkey, name("s", n).alias("seed")))
+
+    def engine(rows: DataFrame) -> DataFrame:
+        number, part = F.substr("hotkey", F.lit(2)).cast("int"), F.substr("row_id", F.lit(5)).cast("long")
+        bad = (number % 9 == 5) & (part % 8 == 0) & (F.col("position") == 1)
+        told = rows.where(number % 9 != 3).withColumn("position", F.explode(F.array(F.lit(0), F.lit(1))))
+        return told.select("hotkey", "row_id", "position", F.lit(7).alias("submitted_token"), F.lit(7).alias("token_id"), F.lit(-0.5).alias("logprob"), F.when(bad, 5).otherwise(1).alias("rank"))
+
+    after = Y.audit_due(state, chain, Y.Bundles(manifests, rollouts), evaluation, "root", engine, tok, protocol)
+    waiting = after.pending.select("hotkey", "attempts", "challenge_block")
+    cols = ["valid", "score", "correct", "audit_status", "reason", "copy_source", "audit_round", "exact", "checked", "audited_count", "blacklisted_until_block"]
+    return after.results.select("hotkey", *cols).join(waiting, "hotkey", "full_outer")
+
+
 #: Rows that share neither key with another stay; the others are gone through in order, with a list of the keys that are taken.
 _DEDUPE = f"""WITH RECURSIVE k AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id, doc_id, {_PRINT.format('text')} AS fp FROM documents WHERE text IS NOT NULL),
 c AS (SELECT *, (id IS NOT NULL AND count(*) OVER (PARTITION BY id) > 1) OR count(*) OVER (PARTITION BY fp) > 1 AS shared FROM k),
