@@ -56,9 +56,9 @@ def cmd_export(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _verified(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    if not promotion.verify_bundle(spark, folder):
+    if (version := promotion.verified_bundle(spark, folder)) is None:
         raise ValueError(f"{folder} does not have its stated roots")
-    return spark.read.parquet(f"{folder}/{name}")
+    return spark.read.parquet(f"{version}/{name}")
 
 
 def cmd_leaderboard(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -7,8 +7,6 @@ in an underscore are the operators' own.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from gradelake.config import PROTOCOL, Protocol
 from gradelake.functions import native as N
 from gradelake.operators import integrity as I
 from gradelake.operators.ordering import own_names, position, settle
+from gradelake.sources.published import current, publish, versions
 
 #: Columns of a published result and of the leaderboard, with their types.
 RESULT = {
@@ -215,23 +214,17 @@ def backfill(results: DataFrame, commitments: DataFrame, cols: list[str]) -> Dat
     return results.join(now, ["hotkey", "digest"], "left").select(*[F.coalesce(c, f"{c}_").alias(c) if c in cols else F.col(c) for c in results.columns])
 
 
-def _paths(spark: SparkSession, *names: str):
-    make = spark._jvm.org.apache.hadoop.fs.Path
-    paths = [make(n) for n in names]
-    return paths[0].getFileSystem(spark._jsc.hadoopConfiguration()), paths
+def export_bundle(results: DataFrame, folder: str, keep: int = 2) -> dict:
+    """Publishes summary and leaderboard as Parquet and a manifest with their Merkle roots and counts, as the next version in ``folder`` (see ``published``)."""
+    spark, out = results.sparkSession, {}
 
+    def write(aside: str) -> None:
+        for name, df, key in (("summary", results, "hotkey"), ("leaderboard", leaderboard(results), "rank")):
+            position(df.select(*sorted(df.columns)), key).write.parquet(f"{aside}/{name}")
+            out[name] = _root(spark, aside, name)
+        spark.createDataFrame([(k, r, n) for k, (r, n) in out.items()], "name string, root string, n long").coalesce(1).write.json(f"{aside}/manifest")
 
-def export_bundle(results: DataFrame, folder: str) -> dict:
-    """Writes summary and leaderboard as Parquet and a manifest with their Merkle roots and counts. The folder is written aside and put into place when complete."""
-    spark, aside, out = results.sparkSession, f"{folder.rstrip('/')}.{uuid.uuid4().hex}", {}
-    for name, df, key in (("summary", results, "hotkey"), ("leaderboard", leaderboard(results), "rank")):
-        position(df.select(*sorted(df.columns)), key).write.parquet(f"{aside}/{name}")
-        out[name] = _root(spark, aside, name)
-    spark.createDataFrame([(k, r, n) for k, (r, n) in out.items()], "name string, root string, n long").coalesce(1).write.json(f"{aside}/manifest")
-    fs, (new, old) = _paths(spark, aside, folder)
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{aside} could not be moved to {folder}")
+    publish(spark, folder, write, keep)
     return out
 
 
@@ -241,14 +234,23 @@ def _root(spark: SparkSession, folder: str, name: str) -> tuple[str, int]:
     return I.merkle_root(df, "pos", F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})), df.count()
 
 
+def verified_bundle(spark: SparkSession, folder: str) -> str | None:
+    """The folder of the newest version of a bundle whose files have the roots and counts of its manifest; None without any."""
+    for version in versions(spark, folder):
+        told = {x["name"]: (x["root"], x["n"]) for x in spark.read.json(f"{version}/manifest").collect()}
+        if set(told) == {"summary", "leaderboard"} and all(_root(spark, version, k) == v for k, v in told.items()):
+            return version
+    return None
+
+
 def verify_bundle(spark: SparkSession, folder: str) -> bool:
-    """Whether the files still have the roots and counts of the manifest."""
-    told = {x["name"]: (x["root"], x["n"]) for x in spark.read.json(f"{folder}/manifest").collect()}
-    return set(told) == {"summary", "leaderboard"} and all(_root(spark, folder, k) == v for k, v in told.items())
+    """Whether the current version's files still have the roots and counts of its manifest."""
+    now = current(spark, folder)
+    return now is not None and verified_bundle(spark, folder) == now
 
 
 def miner_result(spark: SparkSession, folder: str, hotkey: str) -> DataFrame:
-    """The summary's row of one hotkey from a verified bundle."""
-    if not verify_bundle(spark, folder):
+    """The summary's row of one hotkey from the newest verified version of a bundle."""
+    if (version := verified_bundle(spark, folder)) is None:
         raise ValueError("the bundle does not have its stated roots")
-    return spark.read.parquet(f"{folder}/summary").where(F.col("hotkey") == hotkey).drop("pos")
+    return spark.read.parquet(f"{version}/summary").where(F.col("hotkey") == hotkey).drop("pos")

@@ -1,7 +1,6 @@
 """The audit of submitted bundles as transitions over state tables: due work, rounds, status, retry, strikes, retraction and the window's rollover.
 
-State tables have a row a hotkey. Each function takes the tables before and gives the tables after, so that a stream's micro-batch (``rounds.StateTable``) and a
-batch over all events give the same. Null counters are 0; a hotkey without a row has no state; empty tables stay empty.
+State tables have a row a hotkey. Each function takes the tables before and gives the tables after; ``cycle`` composes them. Null counters are 0; a hotkey without a row has no state; empty tables stay empty.
 """
 
 from __future__ import annotations

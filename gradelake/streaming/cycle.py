@@ -30,6 +30,7 @@ from gradelake.config import PROTOCOL, Protocol
 from gradelake.operators import grading as G
 from gradelake.operators import promotion as P
 from gradelake.operators.ordering import top_by_rank, written
+from gradelake.sources.published import publish_tables, read_tables
 from gradelake.streaming import audits as A
 from gradelake.streaming import rounds as R
 
@@ -71,6 +72,18 @@ class State:
         return State(*(written(conform(getattr(self, f.name), f.name)) for f in fields(self)))
 
 
+def save(state: State, folder: str) -> str:
+    """The state's tables published together as the next version in ``folder``; a writer that dies leaves the version before."""
+    tables = {f.name: conform(getattr(state, f.name), f.name) for f in fields(State)}
+    return publish_tables(state.pending.sparkSession, folder, tables)
+
+
+def load(spark: SparkSession, folder: str) -> State:
+    """The last published state, an empty one where there is none."""
+    found = read_tables(spark, folder, TABLES)
+    return State.empty(spark) if found is None else State(**found)
+
+
 @dataclass(frozen=True)
 class Chain:
     """What is public at a block: current commitments (hotkey, uid, digest, commit_block), the rollout revision of each (hotkey, revision; missing where it

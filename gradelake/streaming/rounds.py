@@ -1,21 +1,12 @@
-"""The validator's loop as Structured Streaming: earliest-wins priorities and the audit rounds with their common barrier.
-
-State tables are Parquet versions in a folder, one a micro-batch, written whole before the version counts. A batch that runs again after a failure
-rewrites its own version from the one before it, so results do not depend on retries.
-"""
+"""Earliest-wins priorities and the audit rounds with their common barrier, over whole tables; ``keyed`` has the streams, ``cycle`` the composed loop."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.config import PROTOCOL, Protocol
 
-Step = Callable[[DataFrame | None, DataFrame], DataFrame]
-
-
 def priority(state: DataFrame | None, batch: DataFrame) -> DataFrame:
     """key, block, hotkey: the earliest submitter of each key; one that turns up later with an earlier block displaces the holder."""
     new = batch.select("key", "block", "hotkey")
@@ -33,42 +24,3 @@ def schedule(state: DataFrame, current: int, protocol: Protocol = PROTOCOL) -> D
     go = ~out & F.col("challenge_block").isNull() & (F.col("round") < protocol.total_rounds) & free
     label = F.when(out, F.col("status")).when(F.col("round") >= protocol.total_rounds, "passed").when(F.col("round") >= protocol.required_rounds, "monitoring").otherwise("auditing")
     return both.select("hotkey", "round", label.alias("status"), F.when(go, current + protocol.audit_delay).otherwise(F.col("challenge_block")).alias("challenge_block"))
-
-
-class StateTable:
-    """Versions of a table: folder/v=<batch>; the batch's own number is the version. With ``keep`` only the last ones stay (two at least: a batch that
-    runs again needs the one before it)."""
-
-    def __init__(self, spark: SparkSession, folder: str, keep: int | None = None) -> None:
-        if keep is not None and keep < 2:
-            raise ValueError("at least two versions stay")
-        self.spark, self.folder, self.keep = spark, folder, keep
-
-    def _versions(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath() for s in fs.listStatus(path)]
-        return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def before(self, batch: int) -> DataFrame | None:
-        older = [v for v in self._versions() if v < batch]
-        return self.spark.read.parquet(f"{self.folder}/v={older[-1]}") if older else None
-
-    def latest(self) -> DataFrame | None:
-        return self.before(1 << 62)
-
-    def apply(self, step: Step) -> Callable[[DataFrame, int], None]:
-        def run(batch: DataFrame, number: int) -> None:
-            step(self.before(number), batch).write.mode("overwrite").parquet(f"{self.folder}/v={number}")
-            for old in [v for v in self._versions() if v <= number][: -self.keep] if self.keep else []:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v={old}")
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-        return run
-
-
-def run_stream(source: DataFrame, table: StateTable, step: Step, checkpoint: str):
-    """Starts the stream over all data that is there now."""
-    return source.writeStream.foreachBatch(table.apply(step)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
