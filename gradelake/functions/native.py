@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gradelake.config import PROTOCOL, Protocol
+from gradelake.functions.canonical import object_json
 
 #: White space as Python's str methods see it; Java's \s is ASCII only.
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -154,3 +155,22 @@ def required_rounds(population: Column, rows: Column, fraction: float, confidenc
 
 def retry_delay(attempts: Column) -> Column:
     return F.least(F.lit(150), (5 * F.pow(F.lit(2), F.least(attempts - 1, F.lit(5)))).cast("int"))
+
+
+def block_hash(x: Column) -> Column:
+    """The one form of a block's hash, 0x and 64 lower-case hex digits; another text is an error, null stays null."""
+    bare = F.regexp_replace(F.lower(strip(x)), "^0x", "")
+    return F.when(x.isNotNull(), demand(bare.rlike("^[0-9a-f]{64}$"), F.concat(F.lit("0x"), bare), "a block hash has 32 bytes in hex digits"))
+
+
+def evaluation_seed(network: Column, window: Column, block: Column, protocol: Protocol = PROTOCOL) -> Column:
+    """The seed of a window's evaluation: the hash of the canonical JSON of its parts."""
+    told = object_json(domain=(F.lit(f"{protocol.domain}/evaluation"), "string"), network=(network, "long"), window=(window, "long"), block_hash=(block_hash(block), "string"))
+    return F.sha2(told, 256)
+
+
+def audit_seed(network: Column, block: Column, hotkey: Column, digest: Column, revision: Column, number: Column, protocol: Protocol = PROTOCOL) -> Column:
+    """The seed of an audit round."""
+    parts = {"hotkey": hotkey, "digest": digest, "revision": revision, "block_hash": block_hash(block), "domain": F.lit(f"{protocol.domain}/audit")}
+    told = object_json(**{k: (c, "string") for k, c in parts.items()}, network=(network, "long"), round=(number, "long"))
+    return F.sha2(told, 256)

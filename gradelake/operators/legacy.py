@@ -13,14 +13,14 @@ from gradelake.config import PROTOCOL, Protocol
 from gradelake.functions import native as N
 from gradelake.functions import scalars as S
 from gradelake.operators import grading as G
+from gradelake.functions import canonical as C
 from gradelake.operators import integrity as I
 
 
 def roots(submission: DataFrame) -> tuple[str, str]:
     """Merkle roots of a submission's answers with their rewards, and of its tokens."""
-    whole = {"ignoreNullFields": "false"}
-    answers = F.to_json(F.struct("answer", F.col("reward_claimed").alias("reward"), "row_id"), whole)
-    return I.merkle_root(submission, "pos", answers), I.merkle_root(submission, "pos", F.to_json(F.struct("row_id", "tokens"), whole))
+    rows = submission.withColumn("reward", F.col("reward_claimed"))
+    return I.merkle_root(rows, "pos", C.row_json(rows, ["answer", "reward", "row_id"])), I.merkle_root(rows, "pos", C.row_json(rows, ["row_id", "tokens"]))
 
 
 def structure_faults(submission: DataFrame, evaluation: DataFrame, head: dict, expected: dict, keys: dict[str, bytes] | None = None) -> list[str]:

@@ -88,6 +88,13 @@ def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, *[F.col("row_")[c].alias(c) for c in rest]).select(df.columns)
 
 
+def distinct_in_order(df: DataFrame, keys: list[str], *order: str, name: str = "place") -> DataFrame:
+    """keys and the 0-based place of each distinct key among the keys by their first row in ``order``; rows that tie are told apart by their keys."""
+    first = own_names(df).groupBy(*keys).agg(F.min(F.struct(*order)).alias("first_"))
+    placed = position(first.withColumnRenamed("first_", "first"), "first", *keys, name=name)
+    return placed.select(*keys, name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label of every node of an edge list (u, v: long): nodes of one connected component share a label, its least node.
 

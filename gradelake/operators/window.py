@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradelake.config import PROTOCOL, Protocol
+from gradelake.functions import canonical as C
 from gradelake.functions import native as N
 from gradelake.operators import integrity as I
 from gradelake.operators import normalize as R
@@ -119,7 +120,7 @@ def histograms(window: DataFrame) -> DataFrame:
 def root_of(window: DataFrame) -> str:
     """Merkle root over the rows in their order."""
     cols = [c for c in sorted(window.columns) if c != "pos"]
-    return I.merkle_root(window, "pos", F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}))
+    return I.merkle_root(window, "pos", C.row_json(window, cols))
 
 
 def identity(sources: list[Source], protocol: Protocol = PROTOCOL) -> str:

@@ -115,11 +115,13 @@ def window_histograms(spark, sf_dir):
     return d.groupingSets([[d.lang], [d.source]], d.lang, d.source).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT level, CAST((level * 9000 + 9999) // 10000 AS INTEGER) AS low, CAST(level * 11000 // 10000 AS INTEGER) AS high FROM (VALUES (1024), (2048), (4096), (8192), (16384)) t(level)")
+@query(f"""WITH b AS (SELECT doc_id, {_BUDGET.format(_RANK.format(repr('reasoning_budget'), 'doc_id'))} AS level FROM documents)
+SELECT doc_id, level, CAST((level * 9000 + 9999) // 10000 AS INTEGER) AS low, CAST(level * 11000 // 10000 AS INTEGER) AS high FROM b""")
 def budget_bounds(spark, sf_dir):
-    levels = spark.range(1).select(F.explode(F.array(*map(F.lit, PROTOCOL.budget_levels))).alias("level"))
+    """Documents as rows: each one's reasoning level and its inclusive bounds."""
+    level = N.budget(SEED, F.col("doc_id"))
     low, high = N.budget_bounds(F.col("level"))
-    return levels.select("level", low.alias("low"), high.alias("high"))
+    return docs(spark, sf_dir).select("doc_id", level.alias("level")).select("doc_id", "level", low.alias("low"), high.alias("high"))
 
 
 @query("SELECT o_orderkey // 3600 AS win, count(*) AS n, count(*) FILTER (WHERE o_orderkey < 7200) AS before_2 FROM orders GROUP BY 1")
@@ -187,15 +189,23 @@ def merkle_root(spark, sf_dir):
     return spark.range(1).select(F.lit(root).alias("root"), F.lit(rows.count()).cast("long").alias("rows"))
 
 
-@query("SELECT CAST(k AS INTEGER) AS k, round(1 - exp(sum(ln(100000 - 1000 - i) - ln(100000 - i))), 8) AS p FROM (SELECT unnest([32, 320, 960]) AS k), range(960) t(i) WHERE i < k GROUP BY k")
+_CHANCE = """CASE WHEN forged = 0 OR samples = 0 THEN 0 WHEN samples > population - forged THEN 1
+ ELSE 1 - exp(list_sum([ln(population - forged - i) - ln(population - i) FOR i IN range(samples)])) END"""
+
+
+@query(f"""WITH g AS (SELECT o_custkey, count(*) AS population, count(*) FILTER (o_orderstatus = 'F') AS forged, least(count(*), 1 + o_custkey % 9) AS samples FROM orders GROUP BY o_custkey)
+SELECT o_custkey, round({_CHANCE}, 8) AS p FROM g""")
 def detection_probability(spark, sf_dir):
-    k = spark.range(1).select(F.explode(F.array(F.lit(32), F.lit(320), F.lit(960))).alias("k"))
-    return k.select("k", F.round(N.detection_probability(F.lit(100_000), F.lit(1_000), F.col("k")), 8).alias("p"))
+    """Customers as bundles of their orders, some of them forged: the chance that a sample meets a forged one."""
+    counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("population"), F.count_if(F.col("o_orderstatus") == "F").alias("forged"))
+    samples = F.least(F.col("population"), 1 + F.col("o_custkey") % 9)
+    return counts.select("o_custkey", F.round(N.detection_probability(F.col("population"), F.col("forged"), samples), 8).alias("p"))
 
 
-@query("SELECT CAST(a AS INTEGER) AS attempts, CAST(least(150, 5 * pow(2, least(a - 1, 5))) AS INTEGER) AS blocks FROM range(1, 10) t(a)")
+@query("SELECT event_id, CAST(least(150, 5 * pow(2, least(event_id % 12, 5))) AS INTEGER) AS blocks FROM events")
 def retry_backoff(spark, sf_dir):
-    return spark.range(1, 10).select(F.col("id").cast("int").alias("attempts"), N.retry_delay(F.col("id")).cast("int").alias("blocks"))
+    """Events as failed attempts, the first to the twelfth: blocks until the next one."""
+    return table(spark, sf_dir, "events").select("event_id", N.retry_delay(F.col("event_id") % 12 + 1).cast("int").alias("blocks"))
 
 
 _W = r"regexp_extract_all(text, '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?')"

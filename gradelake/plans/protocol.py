@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from gradelake.config import PROTOCOL
 from gradelake.functions import native as N
-from gradelake.functions import scalars
 from gradelake.operators import constraints as C
 from gradelake.operators import grading as G
 from gradelake.operators import integrity as I
@@ -308,19 +307,47 @@ def champion_inactive_king(spark, sf_dir):
 # ---- protocol scalars
 
 
-@query("""SELECT CAST(population AS INTEGER) AS population, CAST(rows AS INTEGER) AS rows, CAST(least(ceil(ceil(ln(1 - 0.9999::DOUBLE) / ln(1 - 0.01::DOUBLE)) / rows), ceil(population / rows)) AS BIGINT) AS rounds
-FROM (VALUES (100000, 32), (100, 32), (917, 1), (64, 32), (5, 10)) t(population, rows)""")
+@query("""WITH g AS (SELECT p_brand, count(*) AS population, CAST(1 + min(p_size) % 32 AS BIGINT) AS rows FROM part GROUP BY p_brand)
+SELECT p_brand, CAST(least(ceil(ceil(ln(1 - 0.9999::DOUBLE) / ln(1 - 0.01::DOUBLE)) / rows), ceil(population / rows)) AS BIGINT) AS rounds FROM g""")
 def required_rounds(spark, sf_dir):
-    cases = spark.createDataFrame([(100_000, 32), (100, 32), (917, 1), (64, 32), (5, 10)], "population int, rows int")
-    return cases.select("population", "rows", N.required_rounds(F.col("population"), F.col("rows"), 0.01, 0.9999).alias("rounds"))
+    """Brands as bundles of their parts, with samples of different sizes."""
+    g = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("population"), (1 + F.min("p_size") % 32).cast("long").alias("rows"))
+    return g.select("p_brand", N.required_rounds(F.col("population"), F.col("rows"), 0.01, 0.9999).alias("rounds"))
 
 
-@query(f"""SELECT CAST(w AS INTEGER) AS win, sha256('{{"block_hash":"0x' || repeat('ab', 32) || '","domain":"{DOMAIN}/evaluation","network":7,"window":' || w || '}}') AS seed,
- sha256('{{"block_hash":"0x' || repeat('ab', 32) || '","digest":"d","domain":"{DOMAIN}/audit","hotkey":"h","network":7,"revision":"r","round":' || w || '}}') AS audit FROM range(3) t(w)""")
+@query(f"""WITH b AS (SELECT o_orderkey, o_orderkey // 3600 AS w, '0x' || sha256(CAST(o_orderkey AS VARCHAR)) AS h, CAST(o_custkey AS VARCHAR) AS hotkey, o_orderpriority AS digest FROM orders)
+SELECT o_orderkey, sha256('{{"block_hash":"' || h || '","domain":"{DOMAIN}/evaluation","network":7,"window":' || w || '}}') AS seed,
+ sha256('{{"block_hash":"' || h || '","digest":' || to_json(digest) || ',"domain":"{DOMAIN}/audit","hotkey":"' || hotkey || '","network":7,"revision":"a\\"b","round":' || (o_orderkey % 30) || '}}') AS audit FROM b""")
 def window_seeds(spark, sf_dir):
-    block = " " + "AB" * 32
-    rows = [(w, scalars.evaluation_seed(7, w, block), scalars.audit_seed(7, "0x" + "ab" * 32, "h", "d", "r", w)) for w in range(3)]
-    return spark.createDataFrame(rows, "win int, seed string, audit string")
+    """Orders as blocks: the seed of each one's window and of an audit round, from hashes in any of their forms."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    block = F.concat(F.when(k % 2 == 0, " 0X").otherwise(""), F.upper(F.sha2(k.cast("string"), 256)))
+    seed = N.evaluation_seed(F.lit(7), N.window_of(k), block)
+    return o.select("o_orderkey", seed.alias("seed"), N.audit_seed(F.lit(7), block, F.col("o_custkey").cast("string"), F.col("o_orderpriority"), F.lit('a"b'), k % 30).alias("audit"))
+
+
+@query("SELECT o_custkey, row_number() OVER (ORDER BY min(o_orderkey), o_custkey) - 1 AS place FROM orders GROUP BY o_custkey")
+def first_seen_order(spark, sf_dir):
+    """Customers in the order of their first orders."""
+    return O.distinct_in_order(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey")
+
+
+@query("""WITH r AS (SELECT s_suppkey % 4 > 0 AS valid, ['auditing', 'retrying', 'monitoring', 'failed', 'blacklisted', 'passed', NULL][1 + s_suppkey % 7] AS status FROM supplier)
+SELECT count(*) AS evaluated, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid AND coalesce(status, '') IN ('auditing', 'retrying')) AS auditing,
+ count(*) FILTER (coalesce(status, '') = 'monitoring' OR valid AND coalesce(status, '') = 'retrying') AS monitoring,
+ count(*) FILTER (coalesce(status, '') IN ('failed', 'blacklisted') OR NOT valid AND coalesce(status, '') NOT IN ('auditing', 'retrying')) AS invalid FROM r""")
+def result_status_counts(spark, sf_dir):
+    """Suppliers as results: all five counters of the status line."""
+    states = F.array(*map(F.lit, ["auditing", "retrying", "monitoring", "failed", "blacklisted", "passed", None]))
+    return Y.status_counts(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 4 > 0).alias("valid"), F.get(states, (F.col("s_suppkey") % 7).cast("int")).alias("audit_status")))
+
+
+@query("SELECT 'h' || s_suppkey AS hotkey, s_suppkey * 7919 % 1009 AS audit_block FROM supplier WHERE s_suppkey % 5 > 0 ORDER BY audit_block DESC, hotkey LIMIT 1")
+def latest_audited(spark, sf_dir):
+    """The supplier whose result was audited last; every fifth was not."""
+    k = F.col("s_suppkey")
+    results = table(spark, sf_dir, "supplier").select(F.concat(F.lit("h"), k.cast("string")).alias("hotkey"), F.when(k % 5 > 0, k * 7_919 % 1_009).alias("audit_block"))
+    return Y.latest_audited(results)
 
 
 # ---- the window, scoring and the audit step
