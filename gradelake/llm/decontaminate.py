@@ -13,7 +13,8 @@ alignment lets no false window pass.
 Items of fewer than MIN_ITEM normalised bytes, which common words would match, contaminate the documents that consist of them and of nothing else.
 
 The benchmark is dealt into parts of about PASS_CHARS bytes; executors make each part's table of q-grams and write it into the shared folder. A task
-goes through the parts one after another and holds at most HELD_BYTES of them, so nothing of the benchmark is collected or broadcast.
+goes through the parts one after another and holds at most HELD_BYTES of them, from task to task, so nothing of the benchmark is collected or broadcast;
+a part is read at most once for every PORTION bytes of a task's texts.
 
 Rows: a null or empty text is never contaminated. Repeated rows are judged alike, one result each. Items without a letter or digit are no
 evidence and match nothing; repeated items count once. With an empty benchmark all documents are clean. Other columns are
@@ -25,13 +26,14 @@ from __future__ import annotations
 import pickle
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.shared import filesystem, fresh_dir, grouped, release, write_file
+from gradelake.llm.shared import filesystem, fresh_dir, grouped, portions, release, write_file
 from gradelake.llm.textcore import column, segments
 
 Q = 8  # one q-gram fills a 64-bit integer, so q-grams are compared exactly
@@ -41,6 +43,8 @@ WINDOW, STRIDE, MIN_ITEM, ERRORS = 50, 1, 24, 0.08
 ALIGNED = 8_192
 #: Benchmark bytes of a part (about 50 bytes of tables each), and bytes of parts that a worker holds at a time.
 PASS_CHARS, HELD_BYTES = 1_000_000, 256 << 20
+#: Bytes of text (at least) that are searched for one part after another together.
+PORTION = 48 << 20
 #: Places of q-grams in documents and items that are looked at together; more only where one document and one item alone have them.
 EXPANDED = 4_000_000
 
@@ -304,22 +308,37 @@ class Parts:
                 with self.source.open_input_stream(name) as f:
                     raw = f.read()
             while self.held and sum(n for _, n in self.held.values()) + len(raw) > HELD_BYTES:
-                self.held.popitem(last=True)  # the parts come round in one order, so those held longest are needed first
+                self.held.popitem(last=True)  # what was held before the portion stays, for the next one to begin with
             self.held[name] = (pickle.loads(raw) if raw else None, len(raw))
         return self.held[name][0]
 
-    def find(self, texts: pa.Array) -> tuple[list[set[int]], list[int]]:
-        """The items found in each text (those with an id), and the number of separate stretches."""
-        ids, n = [set() for _ in range(len(texts))], [0] * len(texts)
-        for name in self.names:
+    def find(self, portion: list[pa.Array]) -> list[tuple[list[set[int]], list[int]]]:
+        """For each array of texts the items found in each text (those with an id), and the number of separate stretches. Every part is loaded at most once for
+        all of them, those that are held first."""
+        out = [([set() for _ in range(len(texts))], [0] * len(texts)) for texts in portion]
+        for name in sorted(self.names, key=lambda x: x not in self.held):
             part = self.load(name)
             if part is None:
                 continue
-            for first, _, buf, offsets in segments(texts):
-                for i, found in enumerate(part.find(buf, offsets), first):
-                    n[i] += len(found)
-                    ids[i].update(part.ids[x] for x in found if part.ids[x] is not None)
-        return ids, n
+            for texts, (ids, n) in zip(portion, out, strict=True):
+                for first, _, buf, offsets in segments(texts):
+                    for i, found in enumerate(part.find(buf, offsets), first):
+                        n[i] += len(found)
+                        ids[i].update(part.ids[x] for x in found if part.ids[x] is not None)
+        return out
+
+
+@lru_cache(1)
+def parts_of(folder: str, parts: int) -> Parts:
+    """The worker's own view of a benchmark's parts, kept from task to task."""
+    return Parts(folder, parts)
+
+
+def searched(batches: Iterator[pa.RecordBatch], known: Parts) -> Iterator[tuple[pa.RecordBatch, list[set[int]], list[int]]]:
+    """Each batch with what is found in its texts."""
+    for portion in portions(batches, "text", PORTION):
+        for batch, (ids, n) in zip(portion, known.find([column(b, "text") for b in portion]), strict=True):
+            yield batch, ids, n
 
 
 REPORT = "doc_id long, contaminated boolean, item_ids array<long>, n_regions long"
@@ -330,9 +349,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS)
     folder, parts = build(benchmark, errors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Parts(folder, parts)
-        for batch in batches:
-            ids, n = known.find(column(batch, "text"))
+        for batch, ids, n in searched(batches, parts_of(folder, parts)):
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array([x > 0 for x in n], pa.bool_()), pa.array(map(sorted, ids), pa.list_(pa.int64())), pa.array(n, pa.int64())], ["doc_id", "contaminated", "item_ids", "n_regions"])
         release()
 
@@ -344,9 +361,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS)
     folder, parts = build(benchmark, errors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Parts(folder, parts)
-        for batch in batches:
-            yield batch.filter(pa.array([not x for x in known.find(column(batch, "text"))[1]], pa.bool_()))
+        for batch, _, n in searched(batches, parts_of(folder, parts)):
+            yield batch.filter(pa.array([not x for x in n], pa.bool_()))
         release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,8 +7,10 @@ code points that are found in at least ``min_docs`` documents lose all their lin
    (a sum and a maximum, pre-aggregated before the shuffle, so that a line of a third of all documents is no hot spot).
 2. Repeated keys are dealt by hash prefix to shards of bounded size. Each shard becomes a minimal perfect hash with compact arrays of
    fingerprints, counts and kept ids, written as one file into the shared folder; a lost executor loses no shard.
-3. Documents probe the arrays, a shard at a time and the whole batch at once; no line is joined. The second 64-bit hash is the
-   fingerprint, so a line that is not indexed passes with a chance of 2**-64.
+3. Documents probe the arrays; no line is joined. A task gathers the hashes of all lines of a portion of its documents and probes each shard once
+   with them, those that the worker holds already first; a worker keeps its shards from task to task. So a task reads a shard at most once for every
+   PORTION bytes of its texts, however many shards there are. The second 64-bit hash is the fingerprint, so a line that is not indexed passes with a
+   chance of 2**-64.
 
 Rows: a null or empty text is one empty line. A repeated row counts as a document of its own. Equal doc_ids keep their lines alike. A null
 doc_id is smaller than every other. An empty table gives an empty result. Other columns are carried along, whatever their names.
@@ -20,18 +22,19 @@ import hashlib
 import io
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.shared import cut, filesystem, fresh_dir, grouped, write_file
+from gradelake.llm.shared import cut, filesystem, fresh_dir, grouped, portions, release, write_file
 from gradelake.llm.textcore import LOWER, SPACE, column, mix, segments, span_hashes
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Keys a shard, about (24 bytes each), and bytes of shards that a worker holds at a time.
-SHARD_KEYS, HELD_BYTES = 200_000, 128 << 20
+#: Keys a shard, about (24 bytes each), bytes of shards that a worker holds at a time, and bytes of text (at least) whose lines probe together.
+SHARD_KEYS, HELD_BYTES, PORTION = 200_000, 128 << 20, 48 << 20
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -225,56 +228,89 @@ class Index:
         """Which keys are repeated ones, and the doc_id that keeps each."""
         found, keep = np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
         names = (h1 >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h1), np.int64)
-        for name in np.unique(names):
-            shard = self.shard(int(name))
+        for name in sorted(np.unique(names).tolist(), key=lambda n: (n not in self.held, n)):
+            shard = self.shard(name)
             if shard is not None:
                 here = np.flatnonzero(names == name)
                 found[here], _, keep[here] = shard.lookup(h1[here], h2[here])
         return found, keep
 
 
+@lru_cache(1)
+def index_of(folder: str, bits: int) -> Index:
+    """The worker's own view of an index, kept from task to task."""
+    return Index(folder, bits)
+
+
+def judged(batches: list[pa.RecordBatch], index: Index, min_chars: int) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Each batch of a portion with its segments: bytes, offsets, lines, and which lines go. The index is probed once for all of them."""
+    work, h1, h2 = [], [], []
+    for batch in batches:
+        ids, parts = _ids(batch), []
+        for first, last, buf, offsets in segments(column(batch, "text")):
+            lines = Lines(buf, offsets)
+            long = np.flatnonzero(lines.chars >= min_chars)
+            if len(long):
+                one, two = lines.hashes(buf, long)
+                h1.append(one)
+                h2.append(two)
+            parts.append((buf, offsets, lines, long, ids[first:last]))
+        work.append((batch, parts))
+    found, keep = index.keepers(np.concatenate(h1), np.concatenate(h2)) if h1 else (None, None)
+    at = 0
+    for batch, parts in work:
+        out = []
+        for buf, offsets, lines, long, ids in parts:
+            drop = np.zeros(len(lines.doc), bool)
+            if len(long):
+                here = slice(at, at + len(long))
+                drop[long] = found[here] & (keep[here] != ids[lines.doc[long]])
+                at += len(long)
+            out.append((buf, offsets, lines, drop))
+        yield batch, out
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, digests: bool = False) -> DataFrame:
     """docs with the lines that stay (and n_chars anew, where there is such a column); or the digests that op7 returns."""
     folder, bits = build_index(docs, min_chars, min_docs)
     if digests:
         docs = docs.select("doc_id", "text")
 
+    def rewritten(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
+        kept, n_lines, n_dropped, hashes = [], [], [], []
+        for buf, offsets, lines, drop in parts:
+            n = len(offsets) - 1
+            raw, dropped = buf.tobytes(), np.bincount(lines.doc[drop], minlength=n)
+            at = 0
+            for i in range(n):
+                end = at + int(lines.count[i])
+                text = raw[offsets[i] : offsets[i + 1]]
+                if dropped[i]:
+                    text = b"\n".join(raw[lines.start[k] : lines.end[k]] for k in range(at, end) if not drop[k])
+                if digests:
+                    hashes.append(hashlib.sha256(text).hexdigest())
+                else:
+                    kept.append(text.decode() if dropped[i] else None)
+                at = end
+            n_lines += lines.count.tolist()
+            n_dropped += dropped.tolist()
+        if digests:
+            return pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(hashes, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+        texts = column(batch, "text")
+        new = pa.array([k if d else t for k, d, t in zip(kept, n_dropped, texts.to_pylist(), strict=True)], texts.type)
+        arrays = list(batch.columns)
+        arrays[batch.schema.get_field_index("text")] = new
+        at = batch.schema.get_field_index("n_chars")
+        if at >= 0 and pa.types.is_integer(arrays[at].type):
+            arrays[at] = pa.array([len(k) if d else n for k, d, n in zip(kept, n_dropped, arrays[at].to_pylist(), strict=True)], arrays[at].type)
+        return pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(folder, bits)
-        for batch in batches:
-            ids, texts = _ids(batch), column(batch, "text")
-            kept, n_lines, n_dropped, hashes = [], [], [], []
-            for first, last, buf, offsets in segments(texts):
-                lines = Lines(buf, offsets)
-                drop = np.zeros(len(lines.doc), bool)
-                long = np.flatnonzero(lines.chars >= min_chars)
-                if len(long):
-                    found, keep = index.keepers(*lines.hashes(buf, long))
-                    drop[long] = found & (keep != ids[first + lines.doc[long]])
-                raw, dropped = buf.tobytes(), np.bincount(lines.doc[drop], minlength=last - first)
-                at = 0
-                for i in range(last - first):
-                    end = at + int(lines.count[i])
-                    text = raw[offsets[i] : offsets[i + 1]]
-                    if dropped[i]:
-                        text = b"\n".join(raw[lines.start[k] : lines.end[k]] for k in range(at, end) if not drop[k])
-                    if digests:
-                        hashes.append(hashlib.sha256(text).hexdigest())
-                    else:
-                        kept.append(text.decode() if dropped[i] else None)
-                    at = end
-                n_lines += lines.count.tolist()
-                n_dropped += dropped.tolist()
-            if digests:
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(hashes, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
-                continue
-            new = pa.array([k if d else t for k, d, t in zip(kept, n_dropped, texts.to_pylist(), strict=True)], texts.type)
-            arrays = list(batch.columns)
-            arrays[batch.schema.get_field_index("text")] = new
-            at = batch.schema.get_field_index("n_chars")
-            if at >= 0 and pa.types.is_integer(arrays[at].type):
-                arrays[at] = pa.array([len(k) if d else n for k, d, n in zip(kept, n_dropped, arrays[at].to_pylist(), strict=True)], arrays[at].type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+        index = index_of(folder, bits)
+        for portion in portions(batches, "text", PORTION):
+            for batch, parts in judged(portion, index, min_chars):
+                yield rewritten(batch, parts)
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string" if digests else docs.schema)
 

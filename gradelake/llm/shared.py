@@ -95,6 +95,19 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def portions(batches: Iterator[pa.RecordBatch], name: str, size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of batches whose columns ``name`` have at least ``size`` bytes together, but for the last run."""
+    held, have = [], 0
+    for batch in batches:
+        held.append(batch)
+        have += batch.column(batch.schema.get_field_index(name)).nbytes
+        if have >= size:
+            yield held
+            held, have = [], 0
+    if held:
+        yield held
+
+
 def release() -> None:
     """Gives a Python worker's free memory back to the system at the end of a task; workers live on idle beside the next stage."""
     gc.collect()

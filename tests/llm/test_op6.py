@@ -182,3 +182,28 @@ def test_long_and_repeated_documents(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = D.contamination(df, spark.createDataFrame(items * 2, "item_id long, text string")).collect()
     assert sorted((x.doc_id, x.item_ids, x.n_regions) for x in got) == [(1, [4], 1), (1, [4], 1), (2, [], 0), (3, [], 0), (3, [2], 1), (3, [2], 1)]
+
+
+def test_a_portion_reads_each_part_once(spark, monkeypatch):
+    """A benchmark of many times the bytes that a worker holds, searched for in three portions of texts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(D, "PASS_CHARS", 400)
+    r = random.Random(3)
+    items = [(i, words(r, 20)) for i in range(60)]
+    folder, parts = D.build(spark.createDataFrame(items, "item_id long, text string"), D.ERRORS)
+    read, real = [], D.pickle.loads
+    monkeypatch.setattr(D.pickle, "loads", lambda raw: read.append(len(raw)) or real(raw))
+    D.Parts(folder, parts).find([pa.array(["x"])])
+    total, there = sum(read), len(read)
+    assert there >= 8
+    monkeypatch.setattr(D, "HELD_BYTES", total // 4)
+    docs = [(i, words(r, 30) + " " + (items[i % 60][1] if i % 3 == 0 else "") + " " + words(r, 5)) for i in range(90)]
+    table = pa.table({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs]})
+    monkeypatch.setattr(D, "PORTION", table.column("text").nbytes // 3)
+    read.clear()
+    known, got = D.Parts(folder, parts), {}
+    for batch, ids, _ in D.searched(iter(table.to_batches(5)), known):
+        got |= dict(zip(batch.column(0).to_pylist(), map(sorted, ids), strict=True))
+    assert got == {i: [i % 60] if i % 3 == 0 else [] for i, _ in docs}
+    assert there <= len(read) <= 3 * there - 2  # three portions, and what is held is not read again

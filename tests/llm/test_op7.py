@@ -6,6 +6,10 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 
+import pyarrow as pa
+import pytest
+
+from gradelake.llm import line_dedup as L
 from gradelake.llm.line_dedup import OP7_SQL, PerfectHash, Shard, dedup_lines, op7_line_dedup
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +73,31 @@ def test_letters_that_cancel_out_do_not_collide(spark):
     rows = [(i, one) for i in range(4)] + [(9, two)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((x.doc_id, x.text) for x in dedup_lines(df).collect()) == rows
+
+
+@pytest.mark.parametrize("batch_rows", [7, 400])
+def test_a_portion_reads_each_shard_once(spark, monkeypatch, batch_rows):
+    """An index of ten times the bytes that a worker holds: no shard is read twice for a portion, and a portion is not a segment."""
+    monkeypatch.setattr(L, "SHARD_KEYS", 16)
+    r = random.Random(6)
+    shared = [f"a line that many documents of this corpus share, number {i}" for i in range(600)]
+    rows = [(i, "\n".join([*r.sample(shared, 30), f"own {i}"])) for i in range(400)]
+    folder, bits = L.build_index(spark.createDataFrame(rows, "doc_id long, text string"))
+    read, real = [], L.Shard.from_bytes
+    monkeypatch.setattr(L.Shard, "from_bytes", lambda raw: read.append(len(raw)) or real(raw))
+    index = L.Index(folder, bits)
+    index.keepers(np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits), np.zeros(1 << bits, np.uint64))
+    total, shards = sum(read), len(read)
+    assert bits >= 5
+    monkeypatch.setattr(L, "HELD_BYTES", total // 10)
+    table = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    index, got = L.Index(folder, bits), {}
+    read.clear()
+    held = list(L.portions(iter(table.to_batches(batch_rows)), "text", table.nbytes // 3))
+    for portion in held:
+        for batch, parts in L.judged(portion, index, 40):
+            dropped = np.concatenate([np.bincount(lines.doc[drop], minlength=len(offsets) - 1) for _, offsets, lines, drop in parts])
+            got |= dict(zip(batch.column(0).to_pylist(), dropped.tolist(), strict=True))
+    assert got == {i: n for i, _, n, _ in brute(rows)} and sum(got.values()) > 1000
+    assert len(read) <= len(held) * shards - (len(held) - 1)  # what is held is not read again
+    assert len(held) == (1 if batch_rows == 400 else 3)
