@@ -7,9 +7,10 @@ Features of a whole text: its distinct words (A-Z lower-cased, outer punctuation
 one of DIMS buckets. A word weighs PRESENT, a character class its share of the words times CLASS. Buckets that fewer than SUPPORT rated texts
 have, or that do not tell the grades apart, get no weight, so long texts do not score by chance.
 
-The model is fitted on at most SAMPLE rated rows, chosen by a hash of their ids, each with at most FEATURES features, chosen by a hash too (those of
-words, classes and GRAM bytes from all over the text); both bounds are parameters, and what reaches the driver stays under 8 * SAMPLE * FEATURES
-bytes. Everything else runs over all rows and all features, in Arrow batches without a shuffle, with the weights (4 * DIMS bytes) broadcast.
+The model is fitted on at most SAMPLE rated rows, chosen by a hash of their ids (the bound is a parameter), with all features of each. A first pass over
+them counts texts by bucket and grade (DIMS * GRADES numbers at most reach the driver), which tells the buckets that get a weight; a second one brings the
+rated rows to the driver with the features of these buckets only, at most 8 bytes for each of a row's. Everything else runs over all rows and all
+features, in Arrow batches without a shuffle, with the weights (4 * DIMS bytes) broadcast.
 
 Rows: a null or empty text scores by the intercept alone. Ratings without a document, or null ones, are not used; of several ratings of one id
 each counts, and so does each text of several of one id, but rows that repeat id, text and grade count once. Equal hashes are told apart by id,
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from gradelake.llm.shared import stored
 from gradelake.llm.textcore import LOWER, SPACE, column, mix, segments, span_hashes, word_bounds
 
-DIMS, SAMPLE, FEATURES, GRADES, GRAM = 1 << 18, 8_000, 4_096, 3, 4
+DIMS, SAMPLE, GRADES, GRAM = 1 << 18, 8_000, 3, 4
 STEPS, RATE, RIDGE, SUPPORT, PRESENT, CLASS = 250, 0.3, 1e-4, 5, 0.25, 4.0
 APART = 4.0
 #: Kept are documents of at least this probability of the best grade.
@@ -118,19 +119,7 @@ class Model:
 
     @staticmethod
     def telling(row: np.ndarray, col: np.ndarray, grades: np.ndarray) -> np.ndarray:
-        """Buckets whose share of texts differs between lower and higher grades by APART standard errors, at some threshold."""
-        n, have = len(grades), np.bincount(col, minlength=DIMS)
-        out = np.zeros(DIMS, bool)
-        for k in range(GRADES - 1):
-            low = grades <= k
-            m = int(low.sum())
-            if not 0 < m < n:
-                continue
-            own = np.bincount(col[low[row]], minlength=DIMS)
-            p = have / n
-            error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * n / (m * (n - m)))
-            out |= (np.abs(own / m - (have - own) / (n - m)) > APART * error) | (have >= n - 1)
-        return out & (have >= SUPPORT)
+        return apart(np.array([np.bincount(col[(grades == g)[row]], minlength=DIMS) for g in range(GRADES)]), np.bincount(grades, minlength=GRADES))
 
     def at_most(self, texts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """P(grade <= k) for every text and every k below the best grade."""
@@ -138,12 +127,19 @@ class Model:
         return sigmoid(self.cuts[None, :] - score[:, None])
 
 
-def few(cols: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """At most FEATURES features of a text, those of the least hashes."""
-    if len(cols) <= FEATURES:
-        return cols, vals
-    best = np.sort(np.argsort(mix(cols.astype(np.uint64) + np.uint64(1)), kind="stable")[:FEATURES])
-    return cols[best], vals[best]
+def apart(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Buckets whose share of texts differs between lower and higher grades by APART standard errors, at some threshold. counts: texts by grade and
+    bucket; sizes: texts by grade."""
+    n, have = int(sizes.sum()), counts.sum(0)
+    out = np.zeros(DIMS, bool)
+    for k in range(GRADES - 1):
+        m, own = int(sizes[: k + 1].sum()), counts[: k + 1].sum(0)
+        if not 0 < m < n:
+            continue
+        p = have / n
+        error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * n / (m * (n - m)))
+        out |= (np.abs(own / m - (have - own) / (n - m)) > APART * error) | (have >= n - 1)
+    return out & (have >= SUPPORT)
 
 
 def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -156,19 +152,49 @@ def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on the hashed features of the sample; what reaches the driver is bounded by it."""
+    names, kind = ["doc_id", "grade", "cols", "vals"], "doc_id long, grade int, cols binary, vals binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [few(i, v) for i, v in features(column(batch, "text"))]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "grade"), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], ["doc_id", "grade", "cols", "vals"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = list(features(column(part, "text")))
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "grade"), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], names)
 
     order = [F.xxhash64("doc_id"), "doc_id", "grade", "key"]
-    every = stored(rated(docs, labels, sample).mapInArrow(run, "doc_id long, grade int, cols binary, vals binary").withColumn("key", F.xxhash64("cols", "vals")), "rated")
+    every = stored(rated(docs, labels, sample).mapInArrow(run, kind).withColumn("key", F.xxhash64("cols", "vals")), "rated")
     chosen = every.select("doc_id", "grade", "key").distinct().orderBy(*order).limit(sample)
-    rows = every.join(F.broadcast(chosen), ["doc_id", "grade", "key"], "left_semi").dropDuplicates(["doc_id", "grade", "key"]).toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("cols", "ascending")])
-    texts = [(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(v, "<f4")) for c, v in zip(rows["cols"].to_pylist(), rows["vals"].to_pylist(), strict=True)]
-    return Model(texts, np.array(rows["grade"].to_pylist(), np.int64))
+    rows = stored(every.join(F.broadcast(chosen), ["doc_id", "grade", "key"], "left_semi").dropDuplicates(["doc_id", "grade", "key"]), "chosen")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((GRADES, DIMS), np.int64)
+        for batch in batches:
+            for g, cols in zip(column(batch, "grade").to_pylist(), column(batch, "cols").to_pylist(), strict=True):
+                counts[g, np.unique(np.frombuffer(cols, "<i4"))] += 1  # a text has a bucket once, whatever falls into it
+        g, bucket = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[g, bucket])], ["grade", "bucket", "n"])
+
+    counts, sizes = np.zeros((GRADES, DIMS), np.int64), np.zeros(GRADES, np.int64)
+    found = rows.select("grade", "cols").mapInArrow(count, "grade int, bucket int, n long").groupBy("grade", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["grade"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
+    for x in rows.groupBy("grade").count().collect():
+        sizes[x["grade"]] = x["count"]
+    shared = docs.sparkSession.sparkContext.broadcast(apart(counts, sizes))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols, vals = [], []
+            for i, v in zip(column(batch, "cols").to_pylist(), column(batch, "vals").to_pylist(), strict=True):
+                i, v = np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4")
+                well = shared.value[i]
+                cols.append(i[well].tobytes())
+                vals.append(v[well].tobytes())
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "grade"), pa.array(cols, pa.binary()), pa.array(vals, pa.binary())], names)
+
+    table = rows.select(*names).mapInArrow(narrow, kind).toArrow()
+    table = table.sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("cols", "ascending"), ("vals", "ascending")])
+    texts = [(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(v, "<f4")) for c, v in zip(table["cols"].to_pylist(), table["vals"].to_pylist(), strict=True)]
+    return Model(texts, np.array(table["grade"].to_pylist(), np.int64))
 
 
 SCHEMA = "doc_id long, expected_grade double, tail_prob double, toxic_prob double, toxic boolean, kept boolean"

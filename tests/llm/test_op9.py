@@ -124,8 +124,7 @@ def test_query_against_plain_fit(spark):
     for i, t in texts.items():
         for b, v in plain_features(t):
             vectors[i][b] = vectors[i].get(b, 0.0) + v
-    assert max(map(len, vectors.values())) < Q.FEATURES * 3
-    rated = [(dict_few(texts[i], vectors[i]), g) for i, g in labels]
+    rated = [(vectors[i], g) for i, g in labels]
     n, grades = len(rated), np.array([g for _, g in rated])
     have = Counter(b for x, _ in rated for b in x)
     use = []
@@ -168,16 +167,6 @@ def test_query_against_plain_fit(spark):
         assert got[i].expected_grade == pytest.approx(2 - sum(below), abs=2e-4)
 
 
-def dict_few(text, vector):
-    if len(plain_features(text)) <= Q.FEATURES:
-        return vector
-    cols, vals = Q.few(*(np.array(z) for z in zip(*plain_features(text), strict=True)))
-    out = {}
-    for b, v in zip(cols.tolist(), vals.tolist(), strict=True):
-        out[b] = out.get(b, 0.0) + v
-    return out
-
-
 def test_repeated_rows_and_long_texts_stay_bounded(spark, monkeypatch):
     long = " ".join(f"word{i}" for i in range(5000))
     docs = spark.createDataFrame([(1, "a b c")] * 300 + [(2, long), (3, "d e"), (3, "f g")], "doc_id long, text string")
@@ -186,4 +175,23 @@ def test_repeated_rows_and_long_texts_stay_bounded(spark, monkeypatch):
     monkeypatch.setattr(Q, "Model", lambda texts, grades: seen.append((texts, grades)))
     Q.fit(docs, labels)
     Q.fit(docs, labels, 2)
-    assert [len(x[0]) for x in seen] == [4, 2] and max(len(i) for i, _ in seen[0][0]) == Q.FEATURES
+    assert [len(x[0]) for x in seen] == [4, 2] and max(len(i) for i, _ in seen[0][0]) < 5  # no bucket has SUPPORT texts
+    seen.clear()
+    monkeypatch.setattr(Q, "apart", lambda counts, sizes: counts.sum(0) > 0)
+    Q.fit(docs, labels)
+    whole = next(Q.features(pa.array([long])))[0]
+    assert max(len(i) for i, _ in seen[0][0]) == len(whole) > 4096
+
+
+def test_buckets_are_told_by_counts():
+    r = np.random.default_rng(4)
+    grades = r.integers(0, 3, 200)
+    row, col = np.nonzero(r.random((200, 50)) < np.where(grades[:, None] == 2, 0.6, 0.2))
+    well = Q.Model.telling(row, col, grades)
+    for b in range(50):
+        has, told = np.isin(np.arange(200), row[col == b]), False
+        for k in range(2):
+            low = grades <= k
+            p = has.mean()
+            told |= abs(has[low].mean() - has[~low].mean()) > Q.APART * math.sqrt(p * (1 - p) * (1 / low.sum() + 1 / (~low).sum()))
+        assert well[b] == (told and has.sum() >= Q.SUPPORT)
