@@ -318,8 +318,7 @@ def cycle(state: State, last_window: int | None, chain: Chain, bundles: Bundles,
     """One validator cycle: rollover where a window began, marks, due audits and the next challenges; the state comes back settled."""
     if last_window is not None and last_window != chain.window:
         state = rollover(state, chain.window).settled()
-    state = mark(state, chain).settled()
-    state = audit_due(state, chain, bundles, evaluation, root, engine, tokenizer, protocol).settled()
+    state = audit_due(mark(state, chain), chain, bundles, evaluation, root, engine, tokenizer, protocol)
     return scheduled(state, chain, protocol).settled()
 
 
