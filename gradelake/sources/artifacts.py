@@ -1,7 +1,8 @@
 """JSONL files and rollout bundles: exact readers that fail on the first wrong line, ordered writers with their hash.
 
-Lines are numbered by a scan of whole files in byte order (``numbered_lines``), so no reader depends on splits. ``spark.read.text`` would join nothing and
-number nothing; a file is one task here, since its hash and its order are one sequence of bytes (8 GiB at most by protocol).
+Files are read in blocks of bytes, a task a block: a first pass counts the lines that start in each block, and with these counts every line has its number
+in the file whichever task reads it (``numbered_lines``). A line belongs to the block in which it starts. Writers are one task a file, since a file's hash is
+one sequence of bytes (8 GiB at most by protocol).
 """
 
 from __future__ import annotations
@@ -28,42 +29,88 @@ MANIFEST = {
     "base_model": str, "base_revision": str, "max_output_tokens": int, "protocol": str,
 }
 PIECE = 1 << 20
-
-
-def _lines(stream, limit: int | None) -> Iterator[bytes]:
-    """Lines of a stream with their line feeds; a longer line than ``limit`` is an error before it is held."""
-    held = b""
-    while piece := stream.read(PIECE):
-        parts = (held + piece).split(b"\n")
-        held = parts.pop()
-        for line in parts:
-            yield line + b"\n"
+#: Bytes of a block of a file that one task reads, and tasks of a pass at most (each then has several blocks).
+BLOCK, MAX_TASKS = 8 << 20, 4_096
+
+
+def _block_lines(f, start: int, end: int, limit: int | None) -> Iterator[bytes]:
+    """The lines, without their line feeds, that start in [start, end) of an open file; of a line over ``limit`` bytes a beginning that is still over it."""
+    f.seek(max(0, start - 1))
+    at, held, skip = start, b"", start > 0 and f.read(1) != b"\n"  # skip: the block begins within a line of an earlier one
+    while at < end or held or (skip and at < end):
+        piece = f.read(min(PIECE, end - at) if at < end else 4096)
+        if not piece:
+            break
+        parts, begins = piece.split(b"\n"), at
+        for k, part in enumerate(parts[:-1]):
+            if skip:
+                skip = False
+            elif k or held or begins < end:
+                yield held + part
+            held, begins = b"", begins + len(part) + 1
+            if begins >= end:
+                return
+        at += len(piece)
+        if not skip:
+            held += parts[-1]
         if limit is not None and len(held) > limit:
             yield held
+            return
+        if skip and at >= end:
+            return
     if held:
         yield held
 
 
-def numbered_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """line (from 1), value (bytes without the line feed) of a file; lines over ``limit`` bytes are errors."""
+def _starts(f, start: int, end: int) -> int:
+    """How many lines start in [start, end)."""
+    f.seek(max(0, start - 1))
+    left, n = end - max(1, start), int(start == 0 and end > 0)
+    while left > 0 and (piece := f.read(min(PIECE, left))):
+        n += piece.count(b"\n")
+        left -= len(piece)
+    return n
+
+
+def numbered_lines(spark: SparkSession, path: str, limit: int | None = None, block: int = BLOCK) -> DataFrame:
+    """line (from 1), value (bytes without the line feed) of a file; lines over ``limit`` bytes are errors. The blocks' line counts, a number a block, pass the driver."""
+    source, inner = opened(path)
+    size = source.get_file_info(inner).size
+    if size is None:
+        raise FileNotFoundError(path)
+    n = max(1, -(-size // block))
+    blocks = spark.range(0, n, 1, min(n, MAX_TASKS))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, inner = opened(path)
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            with source.open_input_file(inner) as f:
+                counts = [_starts(f, b * block, min(size, (b + 1) * block)) for b in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], ["id", "n"])
+
+    counts = dict(map(tuple, blocks.mapInArrow(count, "id long, n long").collect()))
+    before, total = {}, 0
+    for b in range(n):
+        before[b], total = total, total + counts[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, inner = opened(path)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                source, inner = opened(name)
-                with source.open_input_stream(inner) as f:
-                    rows, first, size = [], 1, 0
-                    for line in _lines(f, limit):
-                        if limit is not None and len(line) > limit:
+            for b in batch.column(0).to_pylist():
+                with source.open_input_file(inner) as f:
+                    first, rows, have = before[b] + 1, [], 0
+                    for line in _block_lines(f, b * block, min(size, (b + 1) * block), limit):
+                        if limit is not None and len(line) >= limit:  # its line feed counts
                             raise ValueError(f"line {first + len(rows)} has over {limit} bytes")
-                        rows.append(line.removesuffix(b"\n"))
-                        size += len(line)
-                        if size > PIECE:
+                        rows.append(line)
+                        have += len(line)
+                        if have > PIECE:
                             yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(rows)), pa.int64()), pa.array(rows, pa.binary())], ["line", "value"])
-                            rows, first, size = [], first + len(rows), 0
+                            rows, first, have = [], first + len(rows), 0
                     yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(rows)), pa.int64()), pa.array(rows, pa.binary())], ["line", "value"])
 
-    return spark.createDataFrame([(path,)], "path string").repartition(1).mapInArrow(run, "line long, value binary")
+    return blocks.mapInArrow(run, "line long, value binary")
 
 
 BLANK = r"\A[\x09-\x0d\x1c-\x20\x85]*\z"

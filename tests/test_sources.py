@@ -244,3 +244,34 @@ def test_window_opens_each_block_once_and_passes_empty_ones(spark, tmp_path, kin
     assert sorted(x.row_id for x in held.collect()) == sorted(r for _, r in best[:100])
     with pytest.raises(ValueError, match="usable rows"):
         W.select_source(source, "seed", 10_000, None)
+
+
+@pytest.mark.parametrize("raw", [b"", b"\n", b"a", b"a\n", b"\n\n", b"a\n\nbb\r\n\xff\xc3(\n" + b"c" * 70 + b"\nd", b"x" * 100, b"y" * 64 + b"\n" + b"z" * 63 + b"\n\n"])
+def test_lines_are_numbered_whatever_the_blocks(spark, tmp_path, raw):
+    (tmp_path / "x").write_bytes(raw)
+    expected = [x for x in enumerate(raw.split(b"\n"), 1)]
+    expected = expected[:-1] if not expected[-1][1] else expected
+    for block in (1, 2, 7, 64, 1000):
+        got = sorted((x.line, bytes(x.value)) for x in A.numbered_lines(spark, f"{tmp_path}/x", None, block).collect())
+        assert got == expected, block
+    if raw:
+        assert A.numbered_lines(spark, f"{tmp_path}/x", None, 7).rdd.getNumPartitions() == -(-len(raw) // 7)
+
+
+def test_random_files_and_limits(spark, tmp_path, monkeypatch):
+    r = random.Random(2)
+    raw = b"".join(bytes(r.choice(b"ab\xe9 ") for _ in range(r.choice([0, 1, 5, 200]))) + b"\n" for _ in range(300))
+    (tmp_path / "x").write_bytes(raw)
+    for piece in (3, 1 << 20):
+        monkeypatch.setattr(A, "PIECE", piece)
+        with open(f"{tmp_path}/x", "rb") as f:
+            for block in (1, 50, 333):
+                ends = [(s, min(len(raw), s + block)) for s in range(0, len(raw), block)]
+                lines = [list(A._block_lines(f, *e, None)) for e in ends]
+                assert [x for part in lines for x in part] == raw.split(b"\n")[:-1]
+                assert [A._starts(f, *e) for e in ends] == list(map(len, lines))
+    assert A.numbered_lines(spark, f"{tmp_path}/x", 201, 64).count() == 300
+    with pytest.raises(PySparkException):
+        A.numbered_lines(spark, f"{tmp_path}/x", 200, 64).collect()
+    with pytest.raises(FileNotFoundError):
+        A.numbered_lines(spark, f"{tmp_path}/none")
