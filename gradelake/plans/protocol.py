@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gradelake.config import PROTOCOL
 from gradelake.functions import native as N
+from gradelake.functions.answers import rational_udf
 from gradelake.operators import constraints as C
 from gradelake.operators import grading as G
 from gradelake.operators import integrity as I
@@ -442,6 +443,68 @@ def audit_step(spark, sf_dir):
     return A.audit_step(progress, reports, nation.select(name, (F.col("n") * 40).alias("correct"), F.lit(0.5).alias("score")), replace(PROTOCOL, exact_ratio=0.975))
 
 
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, l_suppkey % 9 + 1 AS d, CAST(round(l_discount * 100) AS BIGINT) AS c FROM lineitem),
+f AS (SELECT *, CASE l_linenumber WHEN 1 THEN q WHEN 2 THEN -q WHEN 3 THEN c WHEN 4 THEN q * 100 WHEN 5 THEN q END AS n, CASE l_linenumber WHEN 3 THEN 100 WHEN 4 THEN 1 ELSE d END AS m FROM x)
+SELECT l_orderkey, l_linenumber, CAST(n // gcd(n, m) AS VARCHAR) || CASE WHEN m // gcd(n, m) = 1 THEN '' ELSE '/' || (m // gcd(n, m)) END AS value FROM f""")
+def exact_rationals(spark, sf_dir):
+    """Ratios of line items in five ways of writing; the others have no number, or divide by nothing."""
+    n, q, d = F.col("l_linenumber"), F.col("l_quantity").cast("long").cast("string"), (F.col("l_suppkey") % 9 + 1).cast("string")
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    text = F.when(n == 1, say("\\frac{", q, "}{", d, "}")).when(n == 2, say("so \\boxed{\\frac{-", q, "}{", d, "}}")).when(n == 3, F.format_string("the answer is %.2f", "l_discount"))
+    text = text.when(n == 4, say("FINAL: $", q, "e2$")).when(n == 5, say("<answer>", q, " / ", d, "</answer>")).when(n == 6, say(q, "/0")).otherwise("seven")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rational_udf(text).alias("value"))
+
+
+@query("""WITH o AS (SELECT * FROM orders) SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN coalesce(CASE WHEN o_orderkey % 5 > 0 THEN 'own' END, 'repo-' || o_custkey) WHEN o_orderkey % 5 > 0 THEN 'own' END AS model_repo FROM o""")
+def metadata_backfill(spark, sf_dir):
+    """Orders as results, of which a third has the digest that is committed; what they lack comes from there."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumn("hotkey", k.cast("string"))
+    results = o.select("o_orderkey", "hotkey", F.when(k % 3 == 0, "now").otherwise("old").alias("digest"), F.when(k % 5 > 0, "own").alias("model_repo"))
+    now = o.select("hotkey", F.lit("now").alias("digest"), F.concat(F.lit("repo-"), F.col("o_custkey").cast("string")).alias("model_repo"))
+    return P.backfill(results, now, ["model_repo"]).select("o_orderkey", "model_repo")
+
+
+@query("""WITH h AS (SELECT l_partkey, min(l_suppkey) AS owner FROM lineitem GROUP BY 1), r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_suppkey = owner AS valid, CASE WHEN l_suppkey = owner THEN 0.5 ELSE 0 END::DOUBLE AS score, CASE WHEN l_suppkey = owner THEN 'passed' ELSE 'copied' END AS audit_status, CASE WHEN l_suppkey <> owner THEN 's' || owner END AS copy_source FROM r JOIN h USING (l_partkey)""")
+def copy_retraction(spark, sf_dir):
+    """Line items as results that passed; those whose part an earlier submitter holds by now are taken back as copies."""
+    item = table(spark, sf_dir, "lineitem")
+    key, hotkey = F.col("l_partkey").cast("string"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    held = S.priority(None, item.select(key.alias("key"), F.col("l_suppkey").alias("block"), hotkey.alias("hotkey")))
+    none = F.lit(None).cast("string")
+    results = item.select("l_orderkey", "l_linenumber", hotkey.alias("hotkey"), key.alias("rows_key"), F.lit(True).alias("valid"), F.lit(0.5).alias("score"), F.lit("passed").alias("audit_status"), none.alias("copy_kind"), none.alias("copy_source"))
+    return A.retract(results, held).select("l_orderkey", "l_linenumber", "valid", "score", "audit_status", "copy_source")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 > 1 THEN c_custkey % 9 + 2 ELSE 1 END::INTEGER AS round, CASE WHEN c_custkey % 4 > 1 THEN 100 + c_custkey ELSE 505 END::BIGINT AS challenge_block, CASE WHEN c_custkey % 4 > 1 THEN c_custkey % 3 ELSE 0 END::INTEGER AS attempts
+FROM customer WHERE c_custkey % 5 > 0""")
+def revision_restart(spark, sf_dir):
+    """Customers as pending audits; a quarter has a new revision, a quarter was not pending, a fifth withdrew."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").withColumn("hotkey", k.cast("string"))
+    pending = Y.conform(c.where(k % 4 > 0).select("hotkey", F.lit("d").alias("digest"), F.lit("r").alias("revision"), k.alias("commit_block"), F.lit(7).alias("pinned_block"), (k + 100).alias("challenge_block"), (k % 9 + 2).alias("round"), (k % 3).alias("attempts")), "pending")
+    now = c.where(k % 5 > 0).select("hotkey", F.lit("d").alias("digest"), F.when(k % 4 == 1, "new").otherwise("r").alias("revision"), k.alias("commit_block"))
+    return A.revise(pending, now, 500).select(F.col("hotkey").cast("long").alias("c_custkey"), "round", "challenge_block", "attempts")
+
+
+@query("""WITH k AS (SELECT DISTINCT o_orderkey // 3600 AS win, o_custkey FROM orders) SELECT win, o_custkey, min(o_orderkey) AS block FROM orders JOIN k USING (o_custkey)
+WHERE win = 0 AND o_orderkey // 3600 = 0 AND o_custkey % 4 > 0 GROUP BY win, o_custkey""")
+def priority_prune(spark, sf_dir):
+    """Orders as submissions, those of the first window: of their holders those that are still committed at that block."""
+    o = table(spark, sf_dir, "orders").select(N.window_of(F.col("o_orderkey")).alias("window"), F.col("o_custkey").cast("string").alias("hotkey"), F.col("o_orderkey").alias("block"))
+    held = o.groupBy("window", "hotkey").agg(F.min("block").alias("block")).withColumn("key", F.concat_ws(":", "window", "hotkey"))
+    now = held.where("CAST(hotkey AS BIGINT) % 4 > 0").select("hotkey", F.col("block").alias("commit_block"))
+    return A.prune(held, now, 0).select(F.col("window").alias("win"), F.col("hotkey").cast("long").alias("o_custkey"), "block")
+
+
+@query("SELECT DISTINCT l_suppkey AS s, l_orderkey // 3600 AS win FROM lineitem WHERE l_suppkey % 3 > 0 OR l_orderkey // 3600 > 0")
+def produced_once(spark, sf_dir):
+    """Suppliers and windows as wanted rollouts, without those of the first window that every third supplier has produced."""
+    wanted = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), N.window_of(F.col("l_orderkey")).alias("win"))
+    return A.produced(wanted.where("s % 3 = 0 AND win = 0").distinct(), wanted)
+
+
 _SAMPLED = f"sha256('{DOMAIN}' || chr(0) || 's' || n || chr(0) || 'audit' || chr(0) || 'row-' || p_partkey)"
 
 
