@@ -22,6 +22,17 @@ def say(answer, n=8):
     return [*TOK.opening, *[97] * n, *TOK.closing, *map(ord, f"\\boxed{{{answer}}}"), TOK.stops[0]]
 
 
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    """The tables are tiny and the jobs many."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 class Miner:
     def __init__(self, name, uid, block, right, digest=None, sha=None, kind="good", revision="r1"):
         self.hotkey, self.uid, self.block, self.right, self.kind, self.revision = name, uid, block, right, kind, revision
@@ -210,9 +221,9 @@ def test_audits_against_a_sequential_simulation(spark):
     plain.priority = {"5:held": (170, "holder"), "5:other": (3, "x")}
     state = state_of(spark, plain)
     evaluation, told = spark.createDataFrame(ROWS, EVALUATION), set()
-    for step in range(4):
+    for step in range(3):
         block = 500 + 100 * step
-        seeds = {h: f"{h}-{step}" for h in miners if h != "unseeded" or step > 1}
+        seeds = {h: f"{h}-{step}" for h in miners if h != "unseeded" or step > 0}
         gone, changed = ({"gone"}, {"changed"}) if step == 0 else (set(), set())
         for p in plain.pending.values():
             p["challenge_before"] = p["challenge"]
