@@ -50,6 +50,7 @@ def same_last(text: Column, expected: Column) -> Column:
 
 def predicates(t: Column, a: Column) -> dict[str, Column]:
     """Every id's predicate over the answer ``t`` and the arguments ``a``."""
+    # The patterns, bounds and relations of the constraints below.
     w, rel = N.words(t), a["relation"]
     low, n = F.lower(t), arg(a, "N")
     letters = F.regexp_replace(t, "[^A-Za-z]", "")

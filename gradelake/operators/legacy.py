@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.config import PROTOCOL, Protocol
+from gradelake.functions import canonical as C
 from gradelake.functions import native as N
 from gradelake.functions import scalars as S
 from gradelake.operators import grading as G
-from gradelake.functions import canonical as C
 from gradelake.operators import integrity as I
 
 
@@ -26,6 +26,7 @@ def roots(submission: DataFrame) -> tuple[str, str]:
 def structure_faults(submission: DataFrame, evaluation: DataFrame, head: dict, expected: dict, keys: dict[str, bytes] | None = None) -> list[str]:
     """What is wrong with a submission: its head (base_hash, evaluation_root, adapter_hash, answer_root, rollout_root, signature) against what is expected (base_hash,
     evaluation_root, adapter_hash), its roots, its rows' ids and order, and its signature where keys are given."""
+    # The messages of faults.
     out = [f"{k} mismatch" for k in ("base_hash", "evaluation_root", "adapter_hash") if head.get(k) != expected.get(k)]
     both = evaluation.select("pos", F.col("row_id").alias("want")).join(submission.select("pos", "row_id"), "pos", "full_outer")
     if both.where(~F.col("want").eqNullSafe(F.col("row_id"))).limit(1).count():

@@ -91,6 +91,7 @@ def update_champion(results: DataFrame, champions: DataFrame, block: int, window
     for the number of candidates. The best bound (then difference, earlier block, larger hotkey) is promoted if it reaches ``margin``. Reward
     vectors stay packed: their counts of set and of differing bits give mean and variance. One champion's row and the best candidate's reach the driver.
     """
+    # The reasons of decisions below.
     spark = results.sparkSession
     king = champions.limit(1).first()
     good = results.where(verified() & (F.col("digest") != "") & (F.col("rows") == rows) & F.col("reward_bits").isNotNull())
