@@ -6,11 +6,13 @@ whole sequence is its one shingle. Two documents link when den * |x & y| >= num
 1. Documents with equal sets are one class, represented by its row of the smallest doc_id (then of the smallest text hash); only representatives
    go on, under a number of their own, so that rows that share a doc_id but not a text stay apart.
 2. All shingles have one global order, frequent ones last. Every task counts the shingles of all its documents and reports its HEAVY most
-   frequent ones; the sums order the table's FREQUENT ones. Any order is exact. Sets that link share a token among the first
-   |x| - ceil(|x| num / den) + 1 of each. A representative's home is the token of the least hash of its whole set, which similar
+   frequent ones; the sums order the table's FREQUENT ones. Any order is exact. Sets that link share ``shared`` tokens (a few, by size) among the
+   first |x| - ceil(|x| num / den) + shared of each. A representative's home is the token of the least hash of its whole set, which similar
    sets mostly have in common.
-3. Rows of (token, document) without text show which documents share such a token beyond one home; sizes and positions bound the overlap.
-   Such a document visits the other home. Tokens of over RUN documents are dealt out in chunks of which every two meet.
+3. Rows of (token, document) without text show which documents share such tokens beyond one home; sizes and positions bound the overlap. One of
+   two such documents visits the other's home, for each token the one of fewer at hand; of the tokens that a pair must share one of both goes for
+   half at least, so that visits with fewer tokens, which are chance and grow with the square of the table, end here. Tokens of over RUN documents
+   are dealt out in chunks of which every two meet; a visit for one of those needs no more.
 4. In a home of over MAPS sets all are first compared with LEADS of them, in chunks to each of which those are added. What is connected to the first
    of them is one component already; only the others, the open ones, still have to meet all. In smaller homes all sets are open.
 5. Bitmaps and sizes of members and visitors of a home tell which may link with a member at all, one of both being open; a home is dealt out in
@@ -46,6 +48,8 @@ from gradelake.llm.textcore import column, mix, shingle_runs, shingle_sets
 HEAVY, FREQUENT = 1 << 13, 1 << 17
 #: Shingles that a task counts at a time.
 COUNTED = 1 << 20
+#: Sets that link share a token of their prefixes for every so many shingles, and at most so many are asked for.
+EACH, SHARED = 32, 8
 #: Rows of a token that are compared in one task.
 RUN = 8_192
 #: Shingles in a chunk of a home, about, when texts are compared, and sets in a chunk when bitmaps are.
@@ -106,6 +110,11 @@ def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
     return token[np.lexsort((token, often))].view(np.uint64)
 
 
+def shared(n):
+    """How many tokens of its prefix a set of n shingles shares with one that it links with, if that one asks for as many."""
+    return np.clip(n // EACH, 1, SHARED)
+
+
 def bitmap(tokens: np.ndarray) -> bytes:
     """Bits of a set's tokens, in a map of at least as many bits as tokens (a power of two)."""
     size = 64
@@ -120,10 +129,10 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray
     """doc_id, th (hash of the text), n (size of the set), d1 and d2 (digest of the set), prefix (its first tokens), bits (its bitmap), home (its least token)."""
     place = np.argsort(frequent).astype(np.int32)
     known = frequent[place]
-    shared = docs.sparkSession.sparkContext.broadcast((known, place))
+    told = docs.sparkSession.sparkContext.broadcast((known, place))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place = shared.value
+        known, place = told.value
         for batch in batches:
             ids, th = column(batch, "doc_id").cast(pa.int64()), column(batch, "th")
             plain = ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -139,7 +148,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray
                     continue
                 d1.append(int(mix(s ^ np.uint64(0x243F6A8885A308D3)).sum().view(np.int64)))
                 d2.append(int(mix(s ^ np.uint64(0x13198A2E03707344)).sum().view(np.int64)))
-                want = len(s) - -(-num * len(s) // den) + 1
+                want = len(s) - -(-num * len(s) // den) + int(shared(len(s)))
                 order = s
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -158,18 +167,23 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray
 
 
 class Visits:
-    """From rows sorted by token: which document has to visit which other home. Rows of tokens with over ``most`` of them are passed on."""
+    """From rows sorted by token: which document would visit which other home for it, and for how many tokens it has to. Rows of tokens with over ``most``
+    of them are passed on."""
 
     def __init__(self, num: int, den: int, most: int) -> None:
         self.num, self.den, self.most = num, den, most
 
     def may_link(self, n1, p1, n2, p2) -> np.ndarray:
-        """Whether two sets can link whose first common token stands at these positions."""
+        """Whether two sets can link if one of their first common tokens, as many as they have to share, stands at these positions."""
         least = -(-self.num * (n1 + n2) // (self.num + self.den))
-        return np.minimum(n1 - p1, n2 - p2) >= least
+        return np.minimum(n1 - p1, n2 - p2) + shared(np.maximum(n1, n2)) - 1 >= least
+
+    def needed(self, n: np.ndarray) -> np.ndarray:
+        """For how many tokens a set of n visits at least, or is visited by the other, which has num / den of its shingles at least."""
+        return (shared(-(-self.num * n // self.den)) + 1) // 2
 
-    def run(self, token, rep, home, n, pos) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (document, home) of complete runs of equal tokens."""
+    def run(self, token, rep, home, n, pos) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Document, home and size of the document, of complete runs of equal tokens; each once a token."""
         start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         size = np.diff(np.r_[start, len(token)])
         out = []
@@ -178,7 +192,7 @@ class Visits:
         go = (home[a] != home[b]) & self.may_link(n[a], pos[a], n[b], pos[b])
         a, b = a[go], b[go]
         lower = home[a] < home[b]
-        out.append((np.where(lower, rep[a], rep[b]), np.where(lower, home[b], home[a])))
+        out.append((np.where(lower, rep[a], rep[b]), np.where(lower, home[b], home[a]), np.where(lower, n[a], n[b])))
         for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             own = home[s : s + m]
             homes, which, count = np.unique(own, return_inverse=True, return_counts=True)
@@ -186,7 +200,7 @@ class Visits:
                 continue
             order = np.argsort(n[s : s + m], kind="stable")
             which, r, k, p = which[order], rep[s : s + m][order], n[s : s + m][order], pos[s : s + m][order]
-            weight = count[which]
+            weight, pairs = count[which], []
             for i in range(0, m, 64):
                 j = min(m, i + 64)
                 far = int(np.searchsorted(k, k[j - 1] * self.den // self.num, side="right"))
@@ -194,8 +208,9 @@ class Visits:
                 ahead = y > x
                 x, y = x[ahead] + i, y[ahead] + i
                 x_goes = (weight[x] < weight[y]) | (weight[x] == weight[y]) & (which[x] < which[y])
-                pairs = np.unique(np.stack([np.where(x_goes, r[x], r[y]), homes[np.where(x_goes, which[y], which[x])]], 1), axis=0)
-                out.append((pairs[:, 0], pairs[:, 1]))
+                pairs.append(np.unique(np.where(x_goes, x, y) * len(homes) + np.where(x_goes, which[y], which[x])))
+            goes, to = np.divmod(np.unique(np.concatenate(pairs)), len(homes))
+            out.append((r[goes], homes[to], k[goes]))
         return out
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +229,8 @@ class Visits:
                 yield _rows({"home": home[far], "rep": rep[far], "token": token[far], "at": at[far]})
                 token, rep, home, at = token[~far], rep[~far], home[~far], at[~far]
             if len(token):
-                found = self.run(token, rep, home, at >> 32, at & 0xFFFFFFFF)
-                home, rep = np.concatenate([h for _, h in found]), np.concatenate([r for r, _ in found])
-                yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(rep), *[pa.nulls(len(rep), pa.int64())] * 2], ["home", "rep", "token", "at"])
+                rep, home, n = map(np.concatenate, zip(*self.run(token, rep, home, at >> 32, at & 0xFFFFFFFF), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(rep), pa.nulls(len(rep), pa.int64()), pa.array(self.needed(n))], ["home", "rep", "token", "at"])
 
         for batch in batches:
             new = [column(batch, c).to_numpy(zero_copy_only=False) for c in names]
@@ -248,7 +262,8 @@ def visits_of(reps: DataFrame, num: int, den: int) -> DataFrame:
     """home, rep: which document has to visit which other home. The rows of a token that has over RUN of them are dealt out in parts."""
     kind = "home long, rep long, token long, at long"
     tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), "rep", "home", "n").select("token", "rep", "home", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
-    found = cut(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(Visits(num, den, RUN), kind).distinct())
+    found = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(Visits(num, den, RUN), kind).groupBy("home", "rep", "token", "at").agg(F.count(F.lit(1)).alias("c"))
+    found = cut(found.where("token IS NOT NULL OR c >= at").drop("c"))
     far = found.where("token IS NOT NULL")
     out = found.where("token IS NULL").select("home", "rep")
     if not far.limit(1).count():

@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from gradelake.llm import jaccard_join as J
 from gradelake.llm.signature_tree import Join
@@ -166,3 +167,23 @@ def test_of_repeated_rows_the_first_by_their_other_columns_stays(spark):
     for parts in (1, 5):
         got = J.one_of_each(df.repartition(parts, "__one"))
         assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[2], rows[4], rows[5]], key=str)
+
+
+def test_tokens_shared_by_chance_make_no_visits(spark):
+    """Documents of one vocabulary share some rare shingles each; only those that share as many as a link needs visit another home."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(24)]
+    rows = []
+    while len(rows) < 240:
+        w = [r.choice(words) for _ in range(r.randint(260, 420))]
+        rows.append((len(rows), " ".join(w)))
+        if len(rows) % 8 == 0:
+            for _ in range(3):  # near copies on both sides of the threshold
+                w = list(w)
+                for _ in range(r.randint(1, 5)):
+                    w[r.randrange(len(w))] = r.choice(words)
+                rows.append((len(rows), " ".join(w)))
+    df, got, _ = run(spark, rows, 3, 9, 10)
+    assert got == brute(rows, 3, 9, 10)
+    sig = J.signatures(df, 3, 9, 10, J.frequent_tokens(df, 3)).withColumn("rep", F.monotonically_increasing_id())
+    assert J.visits_of(J.stored(sig, "signatures"), 9, 10).count() < len(rows)
