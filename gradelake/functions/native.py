@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from gradelake.functions.canonical import object_json
 
 #: White space as Python's str methods see it; Java's \s is ASCII only.
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: The characters of that class one by one, which are trimmed without a regular expression.
+SPACES = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?"
 
 # Classes of suspicious prompts, first match wins.
@@ -40,9 +43,17 @@ def demand(ok: Column, value: Column, message: str) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)))
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of ``x``, which is computed once a row however often, and in whatever loops, f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(x: Column) -> Column:
-    # a trailing run is tried from its first character only, so a long inner run costs its length once
-    return F.regexp_replace(x, rf"\A{WS}+|(?<!{WS}){WS}+\z", "")
+    return F.btrim(x, F.lit(SPACES))
+
+
+def strip_end(x: Column) -> Column:
+    return F.rtrim(x, F.lit(SPACES))
 
 
 def collapse(x: Column) -> Column:

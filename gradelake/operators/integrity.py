@@ -13,6 +13,8 @@ from gradelake.functions import native as N
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 FOLD = 10
+#: Bytes of packed bits that are unpacked at a time.
+PIECE = 512
 
 
 def parent(left: bytes, right: bytes) -> bytes:
@@ -73,26 +75,41 @@ def _byte(raw: Column, i: Column) -> Column:
 
 def checked_bits(bits: Column, rows: Column) -> Column:
     """Hex digits of packed bits; a length that does not fit or set padding bits are errors."""
-    raw = F.hex(F.unbase64(bits))
-    n = F.length(raw) / 2
-    padding = F.when(rows % 8 > 0, _byte(raw, n - 1) < F.pow(F.lit(2), rows % 8)).otherwise(True)
-    return N.demand((n == F.ceil(rows / 8)) & padding, raw, "reward bits do not fit their rows")
+
+    def checked(raw: Column) -> Column:
+        n = F.length(raw) / 2
+        padding = F.when(rows % 8 > 0, _byte(raw, n - 1) < F.pow(F.lit(2), rows % 8)).otherwise(True)
+        return N.demand((n == F.ceil(rows / 8)) & padding, raw, "reward bits do not fit their rows")
+
+    return N.bound(F.hex(F.unbase64(bits)), checked)
 
 
 def unpack_bits(df: DataFrame, group: list[str], bits: str, rows: Column) -> DataFrame:
     """group, pos, reward; a length that does not fit or set padding bits are errors. An empty vector has no rows."""
-    raw = df.select(*group, checked_bits(F.col(bits), rows).alias("raw_"), rows.cast("long").alias("rows_"))
-    every = F.when(F.col("rows_") > 0, F.sequence(F.lit(0).cast("long"), F.col("rows_") - 1)).otherwise(F.array().cast("array<long>"))
-    return raw.select(*group, "raw_", F.explode(every).alias("pos")).select(*group, "pos", (F.floor(_byte(F.col("raw_"), N.div(F.col("pos"), 8)) / F.pow(F.lit(2), F.col("pos") % 8)).cast("int") % 2).alias("reward"))
+    # a vector falls into pieces first, so that no row of a bit carries or walks through all of it
+    count = rows.cast("long")
+    steps = F.sequence(F.lit(0).cast("long"), N.div(count - 1, 8 * PIECE))
+    cut = lambda raw: F.transform(steps, lambda i: F.struct((i * 8 * PIECE).alias("from"), F.substr(raw, (i * PIECE + 1).cast("int"), F.lit(PIECE)).alias("raw")))
+    part = df.where(count > 0).select(*group, count.alias("rows_"), F.explode(N.bound(F.unhex(checked_bits(F.col(bits), rows)), cut)).alias("p_"))
+    left = F.least(F.lit(8 * PIECE).cast("long"), F.col("rows_") - F.col("p_.from"))
+    bit = F.explode(F.sequence(F.lit(0).cast("long"), left - 1)).alias("bit_")
+    byte = _byte(F.hex(F.substr(F.col("p_.raw"), (N.div(F.col("bit_"), 8) + 1).cast("int"), F.lit(1))), F.lit(0))
+    return part.select(*group, "p_", bit).select(*group, (F.col("p_.from") + F.col("bit_")).alias("pos"), (F.floor(byte / F.pow(F.lit(2), F.col("bit_") % 8)).cast("int") % 2).alias("reward"))
 
 
 def bit_sums(one: Column, two: Column) -> Column:
-    """struct(one, two, differ): bits set in each of two texts of hex digits of equal length, and bits that differ; 14 digits at a time, so nothing is exploded."""
-    steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(one) / 14).cast("int") - 1, F.lit(0)))
-    part = lambda x, i: F.coalesce(F.conv(F.substr(x, i * 14 + 1, F.lit(14)), 16, 10).cast("long"), F.lit(0).cast("long"))
+    """struct(one, two, differ): bits set in each of two texts of hex digits of equal length, and bits that differ; 7 bytes at a time, so nothing is exploded.
+    Both become bytes once, since a place in them is found at once and one in a text by going through what is before it."""
+    part = lambda x, i: F.coalesce(F.conv(F.hex(F.substr(x, i * 7 + 1, F.lit(7))), 16, 10).cast("long"), F.lit(0).cast("long"))
     count = lambda x: F.bit_count(x).cast("long")
     zero = F.struct(*[F.lit(0).cast("long").alias(k) for k in ("one", "two", "differ")])
-    return F.aggregate(steps, zero, lambda s, i: F.struct((s["one"] + count(part(one, i))).alias("one"), (s["two"] + count(part(two, i))).alias("two"), (s["differ"] + count(part(one, i).bitwiseXOR(part(two, i)))).alias("differ")))
+
+    def summed(both: Column) -> Column:
+        x, y = both["x"], both["y"]
+        steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(x) / 7).cast("int") - 1, F.lit(0)))
+        return F.aggregate(steps, zero, lambda s, i: F.struct((s["one"] + count(part(x, i))).alias("one"), (s["two"] + count(part(y, i))).alias("two"), (s["differ"] + count(part(x, i).bitwiseXOR(part(y, i)))).alias("differ")))
+
+    return N.bound(F.struct(F.unhex(one).alias("x"), F.unhex(two).alias("y")), summed)
 
 
 def familywise_z(z: float, comparisons: int) -> float:
