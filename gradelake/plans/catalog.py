@@ -222,8 +222,7 @@ ARGUMENTS = {
 def instruction_constraints(spark, sf_dir):
     """All 30 instruction constraints over documents; constraint_predicates keeps the columns of its SQL. Tests hold some against plain Python."""
     args = F.create_map(*[F.lit(x) for pair in ARGUMENTS.items() for x in pair])
-    d = docs(spark, sf_dir)
-    return d.select("doc_id", *[F.coalesce(p, F.lit(False)).alias(name.replace(":", "_")) for name, p in C.predicates(F.col("text"), args).items()])
+    return C.all_predicates(docs(spark, sf_dir), "text", args, ["doc_id"])
 
 
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 0) AS valid, count(DISTINCT user_id) AS hotkeys, max(value) AS best FROM events GROUP BY event_type")

@@ -133,8 +133,8 @@ _SOME = {
 def constraint_predicates(spark, sf_dir):
     """The library's predicates that SQL can state; existence has an empty list of keywords here, which fails."""
     args = F.create_map(*[F.lit(x) for pair in (ARGUMENTS | {"keywords": "[]"}).items() for x in pair])
-    found = C.predicates(F.col("text"), args)
-    return docs(spark, sf_dir).select("doc_id", *[F.coalesce(found[name], F.lit(False)).alias(name.replace(":", "_")) for name in ("keywords:existence", *_SOME)])
+    found = C.all_predicates(docs(spark, sf_dir), "text", args, ["doc_id"])
+    return found.select("doc_id", *[name.replace(":", "_") for name in ("keywords:existence", *_SOME)])
 
 
 @query("""SELECT doc_id, CASE WHEN text IS NULL THEN 0 WHEN doc_id % 4 = 0 THEN 0 WHEN doc_id % 4 = 1 THEN CAST(text NOT LIKE '%,%' AS INTEGER) WHEN doc_id % 4 = 2 THEN CAST(text NOT LIKE '%!%' AND regexp_matches(text, '[a-z]') AND NOT regexp_matches(text, '[A-Z]') AS INTEGER) ELSE 0 END AS reward FROM documents""")

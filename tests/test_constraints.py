@@ -1,6 +1,10 @@
+import re
+
 from pyspark.sql import functions as F
 
-from gradelake.operators.constraints import predicates, satisfied
+from gradelake.functions import native as N
+from gradelake.operators.constraints import all_predicates, predicates, satisfied
+from gradelake.plans.catalog import QUERIES
 
 CASES = [
     ("keywords:forbidden_words", "A cat", {"forbidden_words": '["dog"]'}, True), ("keywords:forbidden_words", "A Dog", {"forbidden_words": '["dog"]'}, False), ("keywords:forbidden_words", "x", {}, True),
@@ -27,3 +31,22 @@ def test_cases(spark):
     got = {x.i: x.ok for x in df.select("i", satisfied(F.col("t"), F.col("c"), F.col("a")).alias("ok")).collect()}
     assert {i: ok for i, ok in got.items() if ok != CASES[i][3]} == {}
     assert len(predicates(F.col("t"), F.col("a"))) == 30 and {c for c, _, _, _ in CASES} >= set(predicates(F.col("t"), F.col("a")))
+
+
+def test_all_predicates_at_once(spark):
+    """Every id as a column equals the same predicate alone, and what they share is computed once a row."""
+    args = {k: v for _, _, a, _ in CASES for k, v in a.items()}
+    df = spark.createDataFrame([(i, c[1]) for i, c in enumerate(CASES)] + [(-1, None), (-2, "  The cat. \x85\n\n a***b *c* 　")], "i int, t string")
+    a = F.create_map(*[F.lit(x) for pair in args.items() for x in pair])
+    at_once = all_predicates(df, "t", a, ["i"])
+    alone = df.select("i", *[F.coalesce(p, F.lit(False)).alias(k.replace(":", "_")) for k, p in predicates(F.col("t"), a).items()])
+    assert sorted(at_once.collect()) == sorted(alone.collect())
+    plan = QUERIES["instruction_constraints"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_extract_all\(text#\d+, \[A-Za-z0-9\]\+", plan)) == 1
+
+
+def test_strip_takes_what_python_takes(spark):
+    every = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    texts = ["", "a", " ", "".join(every), *[f"{c}a {c} b{c}{c}" for c in every], "​a​", "\x00a "]
+    got = {x.i: (x.s, x.e) for x in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", N.strip(F.col("t")).alias("s"), N.strip_end(F.col("t")).alias("e")).collect()}
+    assert got == {i: (t.strip(), t.rstrip()) for i, t in enumerate(texts)}
