@@ -424,7 +424,7 @@ def score_rollouts(spark, sf_dir):
     answer = F.concat(F.lit("\\boxed{"), F.when(k % 3 == 0, F.col("p_size")).otherwise(F.col("p_size") + 1).cast("string"), F.lit("}"))
     tokens = F.concat(opening, F.array_repeat(F.lit(tok.ids("a")[0]), fill), F.array(*map(F.lit, tok.closing)), letters(tok, answer), F.array(F.lit(tok.stops[0])))
     rollouts = placed.select("pos", row.alias("row_id"), tokens.alias("tokens"))
-    return G.score_rollouts(evaluation, rollouts, tok).select("pos", "row_id", "reward", "reasoning_tokens", "reasoning_valid")
+    return G.score_rollouts(evaluation, rollouts, tok, tokens=False).select("pos", "row_id", "reward", "reasoning_tokens", "reasoning_valid")
 
 
 @query("""WITH r AS (SELECT c_nationkey AS n, bool_and(c_acctbal > -990) AS a, sum(c_custkey % 7 + 190) AS e, count(*) * 197 AS c FROM customer GROUP BY 1),

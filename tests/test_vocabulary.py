@@ -43,3 +43,21 @@ def test_scores_of_a_bundle(spark, vocabulary):
     tokens = [(0, "r0", say(" Forty  two\n")), (1, "r1", say("forty")), (2, "r2", say("forty two", 5))]
     got = G.score_rollouts(spark.createDataFrame(rows, kind), spark.createDataFrame(tokens, "pos long, row_id string, tokens array<int>"), vocabulary)
     assert {x.row_id: (x.reward, x.reasoning_tokens) for x in got.collect()} == {"r0": (1, 1000), "r1": (0, 1000), "r2": (0, None)}
+
+
+def test_rollouts_are_joined_once_and_without_their_tokens(spark, vocabulary):
+    """All verifiers read one written table of answers; rollouts that are not returned do not go through the join, but are still held to the protocol."""
+    kind = "pos long, row_id string, prompt string, expected array<string>, verifier string, category string, reasoning_budget_tokens int"
+    say = lambda text, n: [*vocabulary.opening, *vocabulary.ids("a") * n, *vocabulary.closing, *vocabulary.ids(text), vocabulary.stops[0]]
+    kinds = ["label_match", "math_exact", "json_output_exact", "exact_or_numeric"]
+    evaluation = spark.createDataFrame([(i, f"r{i}", "What?", ["7"], kinds[i % 4], "c", 1024) for i in range(8)], kind)
+    texts = ["7", "\\boxed{7}", '{"output": "7"}', "it is 7.0"]
+    rows = [(i, f"r{i}", say(texts[i % 4], 1000 if i < 5 else 900)) for i in range(8)]
+    rollouts = spark.createDataFrame(rows, "pos long, row_id string, tokens array<int>")
+    whole, few = (G.score_rollouts(evaluation, rollouts, vocabulary, tokens=t) for t in (True, False))
+    assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert {x.row_id: (x.reward, x.reasoning_tokens) for x in few.collect()} == {f"r{i}": (1, 1000) if i < 5 else (0, None) for i in range(8)}
+    assert sorted(few.collect()) == sorted(whole.drop("tokens").collect()) and {(x.row_id, tuple(x.tokens)) for x in whole.collect()} == {(i, tuple(t)) for _, i, t in rows}
+    for bad in (rows[1:], [(0, "r1", rows[0][2]), *rows[1:]], [(0, "r0", rows[0][2][:-1]), *rows[1:]]):
+        with pytest.raises(Exception, match="rows differ|no_terminal"):
+            G.score_rollouts(evaluation, spark.createDataFrame(bad, rollouts.schema), vocabulary, tokens=False).collect()
