@@ -20,7 +20,8 @@ whole sequence is its one shingle. Two documents link when den * |x & y| >= num
    of which the home's first set is added. What that one is not connected to visits all chunks in a second round.
 6. In each chunk a signature tree (OR-combined bitmaps, size ranges) is traversed against itself; node pairs go that cannot reach the least
    overlap, or whose members are connected already. Remaining pairs are compared exactly. Links are a spanning forest of the component.
-7. Components over the links come from label propagation with pointer jumping on DataFrames, checkpointed every round.
+7. Components over the links come from label propagation with pointer jumping on DataFrames, checkpointed every round. Links are contracted to stars
+   before, by portions, wherever they lie; links of few portions take one round or two then.
 
 Nothing is capped or dropped, and no unbounded group meets in one task: joins on homes, tokens and labels deal the rows of each key over
 SALTS tasks, and classes of very many copies are joined by broadcast (BROAD of them at most).
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.shared import SALTS, cut, grouped, release, salted, stored
+from gradelake.llm.shared import SALTS, cut, grouped, portions, release, salted, stored
 from gradelake.llm.signature_tree import Join
 from gradelake.llm.textcore import column, mix, shingle_runs, shingle_sets
 
@@ -266,7 +267,7 @@ def visits_of(reps: DataFrame, num: int, den: int) -> DataFrame:
     found = cut(found.where("token IS NOT NULL OR c >= at").drop("c"))
     far = found.where("token IS NOT NULL")
     out = found.where("token IS NULL").select("home", "rep")
-    if not far.limit(1).count():
+    if far.isEmpty():
         return out
     parts = far.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / (RUN // 2)).cast("int").alias("k"))
     dealt = salted(far, parts, ["token"], "rep").withColumn("own", part_of("rep", F.col("k"))).select("token", "rep", "home", "at", meetings(F.col("own"), F.col("k")).alias("chunk"))
@@ -356,9 +357,37 @@ def verify(work: DataFrame, docs: DataFrame, n: int, num: int, den: int, star: b
     return rows.mapInArrow(run, "a long, b long, home long")
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least node of its component, and the node, of all other nodes of the links (a, b)."""
+    nodes, place = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[x] != label[y]).any():
+        least = np.minimum(label[x], label[y])
+        for end in (label[x], label[y]):
+            np.minimum.at(label, end, least)
+        while (label[label] != label).any():
+            label = label[label]
+    own = label != np.arange(len(nodes))
+    return nodes[label[own]], nodes[own]
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Links that connect what ``links`` connects: stars around the least node, of portions of COUNTED links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in portions(batches, "a", 8 * COUNTED):
+            a, b = forest(*(np.concatenate([column(x, c).to_numpy(zero_copy_only=False) for x in held]) for c in ("a", "b")))
+            yield _rows({"a": a, "b": b})
+        release()
+
+    return links.where("a <> b").hint("rebalance", "a").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """rep, label (the smallest rep that it is connected to) for every end of a link. Rows of a node with very many links are dealt out."""
-    both = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).where("u <> v").distinct())
+    links = cut(contracted(links.select("a", "b")))
+    both = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
     hubs = cut(both.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(HOT, both.count() // BROAD)).select("v", F.lit(SALTS - 1).alias("top")))
     top = F.coalesce("top", F.lit(0))
     both = cut(both.join(F.broadcast(hubs), "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), top + 1).alias("salt")))
@@ -369,7 +398,7 @@ def components(links: DataFrame) -> DataFrame:
         lower = label.join(seen, "u").select("u", F.least("l", "m").alias("l"), F.col("l").alias("old"))
         jump = salted(lower, label.select(F.col("u").alias("l"), F.col("l").alias("k")), ["l"], "u", "left")
         new = cut(jump.select("u", F.least("l", F.coalesce("k", "l")).alias("l"), "old"))
-        if not new.where("l <> old").limit(1).count():
+        if new.where("l <> old").isEmpty():
             return label.select(F.col("u").alias("rep"), F.col("l").alias("label"))
         label = new.select("u", "l")
 
@@ -377,10 +406,13 @@ def components(links: DataFrame) -> DataFrame:
 def stars(crowd: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """crowd: home, rep, c (sets of the home). What ``verify`` finds in homes of over MAPS sets when all are compared with LEADS of them, one by a hash of the rep."""
     big = crowd.where(F.col("c") > MAPS).select("home", "rep", F.ceil(F.col("c") / MAPS).cast("int").alias("chunks"), part_of("rep", F.lit(LEADS)).alias("lead"))
+    if big.isEmpty():
+        return big.limit(0).select(F.lit(None).cast("long").alias("a"), F.col("rep").alias("b"), "home")
     first = big.groupBy("home", "lead").agg(F.min("rep").alias("rep"), F.first("chunks").alias("chunks"))
     lead = cut(first.select("home", "rep", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("resident")))
     others = big.join(first.select("home", "rep"), ["home", "rep"], "left_anti").select("home", "rep", "chunks", part_of("rep", F.col("chunks")).alias("chunk"), F.lit(True).alias("resident"))
-    return cut(verify(lead.union(others).join(reps.select("rep", "doc_id", "th"), "rep"), docs, n, num, den, star=True))
+    work = cut(lead.union(others).join(reps.select("rep", "doc_id", "th"), "rep"))
+    return cut(verify(work, docs, n, num, den, star=True))
 
 
 def parted(crowd: DataFrame, loose: DataFrame) -> DataFrame:
@@ -405,16 +437,17 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     classes = sig.groupBy("n", "d1", "d2").agg(least.alias("r"), F.count(F.lit(1)).alias("c"))
     classes = cut(classes.select("n", "d1", "d2", "c", F.col("r.rid").alias("rep"), F.struct("r.doc_id", "r.th").alias("own")))
     reps = sig.where("n > 0").join(classes.where("rep IS NOT NULL").select(F.col("rep").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "rep")
+    known = sig.withColumnRenamed("rid", "rep")  # for joins with what holds representatives only
     visits = visits_of(reps, num, den)
     members = reps.select("home", "rep", F.lit(True).alias("member")).union(visits.select("home", "rep", F.lit(False)))
     sizes = members.groupBy("home").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     crowd = cut(salted(members, sizes, ["home"], "rep"))
-    star = stars(crowd, reps, docs, n, num, den)
+    star = stars(crowd, known, docs, n, num, den)
     crowd = parted(crowd, star.where("home IS NOT NULL").select("home", F.col("b").alias("rep")).distinct())
-    stay = prune(crowd.join(reps.select("rep", "n", "bits"), "rep"), num, den)
+    stay = cut(prune(crowd.join(known.select("rep", "n", "bits"), "rep"), num, den))
     weight = stay.groupBy("home").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.min("rep").alias("least")).where("c > 1")
     weight = weight.select("home", F.ceil(F.col("w") / CHUNK).cast("int").alias("chunks"), "least")
-    work = cut(salted(stay, weight, ["home"], "rep").select("home", "rep", "chunks", "least").join(reps.select("rep", "doc_id", "th"), "rep"))
+    work = cut(salted(stay, weight, ["home"], "rep").select("home", "rep", "chunks", "least").join(known.select("rep", "doc_id", "th"), "rep"))
     chunk = part_of("rep", F.col("chunks"))
     everywhere = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     cols = ["home", "chunk", "chunks", "rep", "doc_id", "th", "resident"]
@@ -423,7 +456,7 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     found = cut(verify(first.select(cols), docs, n, num, den))
     links = found.union(star).where("home IS NULL").select("a", "b")
     loose = found.where("home IS NOT NULL").select("home", F.col("b").alias("rep")).distinct()
-    if loose.limit(1).count():
+    if not loose.isEmpty():
         open_ = loose.join(work, ["home", "rep"])
         guests = open_.withColumn("chunk", everywhere).where(F.col("chunk") != chunk).withColumn("resident", F.lit(False))
         hosts = salted(work, loose.select("home").distinct(), ["home"], "rep").withColumn("chunk", chunk).withColumn("resident", F.lit(True))

@@ -187,3 +187,27 @@ def test_tokens_shared_by_chance_make_no_visits(spark):
     assert got == brute(rows, 3, 9, 10)
     sig = J.signatures(df, 3, 9, 10, J.frequent_tokens(df, 3)).withColumn("rep", F.monotonically_increasing_id())
     assert J.visits_of(J.stored(sig, "signatures"), 9, 10).count() < len(rows)
+
+
+def test_long_chains_of_links_take_few_jobs(spark):
+    r = random.Random(5)
+    nodes = r.sample(range(10**6), 1500)
+    links = [(nodes[i], nodes[i + 1]) if r.random() < 0.5 else (nodes[i + 1], nodes[i]) for i in range(1499) if i % 500 != 499]
+    links += [(x, x) for x in nodes[:20]]
+    r.shuffle(links)
+    df = spark.createDataFrame(links, "a long, b long").repartition(6)
+    context = spark.sparkContext
+    context.setJobGroup("chains", "")
+    got = sorted(map(tuple, J.components(df).collect()))
+    jobs = len(context.statusTracker().getJobIdsForGroup("chains"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == sorted((x, min(nodes[i : i + 500])) for i in (0, 500, 1000) for x in nodes[i : i + 500])
+    assert jobs < 45
+
+
+def test_chains_over_many_portions(spark, monkeypatch):
+    monkeypatch.setattr(J, "COUNTED", 4)
+    nodes = random.Random(6).sample(range(1000), 300)
+    df = spark.createDataFrame([(nodes[i], nodes[i + 1]) for i in range(299) if i != 120], "a long, b long").repartition(7)
+    got = sorted(map(tuple, J.components(df).collect()))
+    assert got == sorted([(x, min(nodes[:121])) for x in nodes[:121]] + [(x, min(nodes[121:])) for x in nodes[121:]])
