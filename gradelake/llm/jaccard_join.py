@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from gradelake.llm.shared import SALTS, cut, grouped, portions, release, salted, stored
 from gradelake.llm.signature_tree import Join
 from gradelake.llm.textcore import column, mix, shingle_runs, shingle_sets
+from gradelake.llm.url_filter import block_of, bloom, passes
 
 #: Frequent shingles that a task reports, and tokens of the table that orders them; they bear on speed only.
 HEAVY, FREQUENT = 1 << 13, 1 << 17
@@ -477,17 +478,21 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id; rows without a doc_id stay. Of rows that share that doc_id and its text the one whose
-    other columns come first, as JSON text, stays."""
+    other columns come first, as JSON text, stays. Rows that go, and repeated ones, pass a Bloom filter; only what passes it is shuffled with its text."""
     members, _ = similar_documents(docs, n, num, den)
-    own = ["__one_id", "__one_text", "__one_rows"]
-    keep = cut(members.where("first AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(own[0]), F.col("th").alias(own[1])).agg(F.count(F.lit(1)).alias(own[2])))
-    both = docs.join(keep, (docs["doc_id"] == keep[own[0]]) & (F.xxhash64(docs["text"]) == keep[own[1]]))
-    stay = both.where(F.col(own[2]) == 1).select(docs.columns)
-    if keep.where(F.col(own[2]) > 1).limit(1).count():
-        row = F.struct(*docs.columns)
-        least = both.where(F.col(own[2]) > 1).groupBy(*own[:2]).agg(F.min_by(row, F.to_json(row)).alias("row"))
-        stay = stay.union(least.select("row.*"))
-    return stay.union(docs.where("doc_id IS NULL")).select(docs.columns)
+    own = ["__one_id", "__one_text"]
+    pairs = members.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(own[0]), F.col("th").alias(own[1])).agg(F.count_if("first").alias("rows"))
+    odd = cut(pairs.where("rows <> 1").withColumn("key", F.xxhash64(*own)))
+    filled, blocks = bloom(odd, "key")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias(own[0]), F.xxhash64(docs["text"]).alias(own[1])).withColumn("key", F.xxhash64(*own))
+    rows = rows.withColumn("block", block_of(F.col("key"), blocks)).join(F.broadcast(filled), "block", "left")
+    odd_row = F.col(own[0]).isNotNull() & passes(F.col("key"))
+    passed = rows.where(odd_row).select("row", *own)
+    stay = rows.where(~odd_row).select("row").union(passed.join(odd, own, "left_anti").select("row"))
+    again = odd.where("rows > 1")
+    if not again.isEmpty():
+        stay = stay.union(passed.join(again, own).groupBy(own).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return stay.select("row.*")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

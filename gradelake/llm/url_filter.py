@@ -76,6 +76,14 @@ def _bit(b: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63)).cast("int"))
 
 
+def passes(key: Column) -> Column:
+    """Whether a row that was joined with its block, if there is one, passes the filter."""
+    hit = F.lit(True)
+    for i, m in enumerate(masks(key)):
+        hit = hit & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(m) == m)
+    return hit
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page; ``listed`` has canonical URLs in column key."""
     listed = cut(listed.where("key IS NOT NULL").select("key").distinct())
@@ -84,10 +92,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = base.withColumns({"rule": name, "ruled": verdict, "key": canonical(F.col("host"), F.col("path"))})
     probe = base.withColumn("block", block_of(F.col("key"), blocks)).join(F.broadcast(filled), "block", "left")
-    hit = F.lit(True)
-    for i, m in enumerate(masks(F.col("key"))):
-        hit = hit & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(m) == m)
-    probe = probe.withColumn("maybe", F.col("ruled").isNull() & hit)
+    probe = probe.withColumn("maybe", F.col("ruled").isNull() & passes(F.col("key")))
     out = ["page_id", "host", "path", "rule"]
     passed = probe.where("maybe").select(*out, "key").join(listed.withColumn("found", F.lit(True)), "key", "left").select(*out, F.when(F.col("found"), "block").otherwise("allow").alias("verdict"))
     return probe.where("NOT maybe").select(*out, F.coalesce("ruled", F.lit("allow")).alias("verdict")).union(passed)

@@ -211,3 +211,29 @@ def test_chains_over_many_portions(spark, monkeypatch):
     df = spark.createDataFrame([(nodes[i], nodes[i + 1]) for i in range(299) if i != 120], "a long, b long").repartition(7)
     got = sorted(map(tuple, J.components(df).collect()))
     assert got == sorted([(x, min(nodes[:121])) for x in nodes[:121]] + [(x, min(nodes[121:])) for x in nodes[121:]])
+
+
+def shuffled_mb(spark):
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) / 1e6
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    """Of one_of_each only rows that go, repeated ones and what else passes the filter are shuffled with their texts."""
+    r = random.Random(12)
+    rows = [(i, " ".join(f"{r.getrandbits(200):x}" for _ in range(40)), f"{r.getrandbits(160_000):x}") for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " more", "c") for i in range(8)] + [(20, rows[20][1], ""), (None, "null id", "b")]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string, other string")
+        before = shuffled_mb(spark)
+        kept = J.one_of_each(docs).collect()
+        written = shuffled_mb(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    expected = [x for x in rows[:400] if x[0] != 20] + rows[-2:]
+    assert sorted(map(tuple, kept), key=str) == sorted(expected, key=str)
+    assert written < sum(len(x[2]) for x in rows) / 1e6 / 4
